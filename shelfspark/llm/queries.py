@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, licenses, urlfilter
+from . import decontaminate, exactdedup, licenses, ngramjoin, packing, tokenbin, urlfilter, warc
 
-_MODULES = (decontaminate, urlfilter, licenses, exactdedup)
+_MODULES = (decontaminate, urlfilter, licenses, ngramjoin, exactdedup, packing, warc, tokenbin)
 
 
 def queries() -> dict:
