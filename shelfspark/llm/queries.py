@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, licenses, ngramjoin, packing, tokenbin, urlfilter, warc
+from . import decontaminate, exactdedup, licenses, ngramjoin, packing, quality, tokenbin, toxicity, urlfilter, warc
 
-_MODULES = (decontaminate, urlfilter, licenses, ngramjoin, exactdedup, packing, warc, tokenbin)
+_MODULES = (decontaminate, urlfilter, licenses, ngramjoin, quality, exactdedup, packing, warc, tokenbin, toxicity)
 
 
 def queries() -> dict:
