@@ -72,7 +72,7 @@ def label_posteriors(votes, labels, rounds: int = 30):
     return q, list(zip(a, b, weight, strict=True))
 
 
-def linear_fit(rows: list[list[int]], targets, size: int, l2: float = 3e-4, steps: int = 300):
+def linear_fit(rows: list[list[int]], targets, size: int, l2: float = 2e-5, steps: int = 600):
     """(bias, weights) of logistic regression on soft labels; rows list the features that a document has."""
     import numpy as np
 
