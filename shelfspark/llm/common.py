@@ -34,7 +34,15 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write a table to the shared folder and read it back: later plans start there, also after a lost executor."""
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.cut_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what cut() wrote, once nothing later reads it."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:

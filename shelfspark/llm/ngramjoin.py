@@ -20,11 +20,11 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, arrow_batches, cut, fresh_dir, small_side, table
+from .common import Store, arrow_batches, cut, discard, fresh_dir, small_side, table
 from .graph import connected_components
 from .hashing import SpanHasher, mixed, shingle_sets
 
-WIDTH, PERCENT, FREQUENT = 4, 85, 32
+WIDTH, PERCENT, FREQUENT = 4, 85, 128
 #: Tokens that a task gathers before it hands them on, and tokens for each shard of the counts and of the index.
 FLUSH, SHARD_TOKENS = 3_000_000, 2_000_000
 
@@ -36,20 +36,23 @@ def prefix(n: int, percent: int) -> int:
 def classes(n: int, percent: int) -> list[tuple[int, int]]:
     """(size class of a pair, groups) for which a set of n tokens is indexed: its own, and the next if a partner can be in it."""
     own = n.bit_length() - 1
-    return [(c, max(1, (100 - percent) * (1 << c) // 1600)) for c in range(own, (n * 100 // percent).bit_length())]
+    return [(c, max(1, (100 - percent) * (1 << c) // 400)) for c in range(own, (n * 100 // percent).bit_length())]
 
 
-def _pack(values) -> bytes:
-    """Sorted 32-bit numbers as the planes of their differences, which compress well."""
+def _pack(values, ordered: bool = False) -> bytes:
+    """Numbers as planes of their bytes, which compress well; of ordered ones the differences."""
     import numpy as np
 
-    return zlib.compress(np.diff(values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    values = np.diff(values, prepend=values.dtype.type(0)) if ordered else values
+    return zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
 
 
-def _unpack(blob: bytes):
+def _unpack(blob: bytes, dtype, ordered: bool = False):
     import numpy as np
 
-    return np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    values = planes.T.copy().view(dtype).ravel()
+    return np.cumsum(values, dtype=dtype) if ordered else values
 
 
 def _set_rows(texts: DataFrame, shards: int, width: int) -> DataFrame:
@@ -69,7 +72,7 @@ def _set_rows(texts: DataFrame, shards: int, width: int) -> DataFrame:
             ends = np.searchsorted(codes, np.arange(1, shards + 1, dtype=np.uint64) << np.uint64(32 - bits))
             parts = [(i, codes[a:b]) for i, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)) if b > a]
             none = [None] * len(parts)
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([none, none, none, none, [i for i, _ in parts], [_pack(c) for _, c in parts]], kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([none, none, none, none, [i for i, _ in parts], [_pack(c, True) for _, c in parts]], kinds, strict=True)], names)
 
         for batch in batches:
             out = []
@@ -96,7 +99,7 @@ def _write_frequent(counts: DataFrame, path: str, most: int) -> None:
     def write(pdf):
         import numpy as np
 
-        codes, n = np.unique(np.concatenate([_unpack(x) for x in pdf["blob"]]), return_counts=True)
+        codes, n = np.unique(np.concatenate([_unpack(x, np.uint32, True) for x in pdf["blob"]]), return_counts=True)
         store, shard, often = Store(path), int(pdf["shard"].iloc[0]), n > most
         for kind, values in (("codes", codes[often].astype("<u4")), ("counts", n[often].astype("<u4"))):
             made = f"_{uuid.uuid4().hex}"
@@ -109,25 +112,32 @@ def _write_frequent(counts: DataFrame, path: str, most: int) -> None:
 
 
 class _Frequent:
-    """The counts of frequent codes, from files mapped shard by shard."""
+    """The counts of frequent codes, from mapped files: joined if they are few, else looked up shard by shard."""
 
-    def __init__(self, path: str, shards: int):
-        self.store, self.shards, self.files = Store(path), shards, {}
-        self.names = {i.base_name for i in self.store.fs.get_file_info(_selector(self.store.root))}
+    def __init__(self, path: str, shards: int, joined_codes: int = 4 << 20):
+        import numpy as np
+
+        store = Store(path)
+        there = {i.base_name for i in store.fs.get_file_info(_selector(store.root))}
+        names = [(k, f"{k:06d}") for k in range(shards) if f"{k:06d}.codes" in there]
+        parts = [(k, store.array(f"{x}.codes", "<u4"), store.array(f"{x}.counts", "<u4")) for k, x in names]
+        parts = [p for p in parts if len(p[1])]
+        if sum(len(p[1]) for p in parts) <= joined_codes and parts:
+            self.parts, shards = [(0, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))], 1
+        else:
+            self.parts = parts
+        self.ends = np.arange(1, shards + 1, dtype=np.uint64) << np.uint64(33 - shards.bit_length())
 
     def __call__(self, codes):
         import numpy as np
 
-        bits, out = self.shards.bit_length() - 1, np.zeros(len(codes), np.int64)
-        ends = np.searchsorted(codes, np.arange(1, self.shards + 1, dtype=np.uint64) << np.uint64(32 - bits))
-        for shard, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)):
-            if b > a and f"{shard:06d}.codes" in self.names:
-                if shard not in self.files:
-                    self.files[shard] = [self.store.array(f"{shard:06d}.{k}", "<u4") for k in ("codes", "counts")]
-                known, counts = self.files[shard]
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, codes[a:b]), len(known) - 1)
-                    out[a:b] = np.where(known[at] == codes[a:b], counts[at], 0)
+        out = np.zeros(len(codes), np.int64)
+        ends = np.append(0, np.searchsorted(codes, self.ends))
+        for shard, known, counts in self.parts:
+            a, b = ends[shard], ends[shard + 1]
+            if b > a:
+                at = np.minimum(np.searchsorted(known, codes[a:b]), len(known) - 1)
+                out[a:b] = np.where(known[at] == codes[a:b], counts[at], 0)
         return out
 
 
@@ -137,6 +147,22 @@ def _selector(root: str):
     return fs.FileSelector(root)
 
 
+def _blob(token, doc, n, at) -> bytes:
+    packed = [_pack(token, True), _pack(doc), _pack(n), _pack(at)]
+    return b"".join(len(x).to_bytes(4, "little") + x for x in packed)
+
+
+def _from_blob(blob: bytes):
+    import numpy as np
+
+    out, at = [], 0
+    for dtype, ordered in ((np.uint64, True), (np.int64, False), (np.int32, False), (np.int32, False)):
+        size = int.from_bytes(blob[at : at + 4], "little")
+        out.append(_unpack(blob[at + 4 : at + 4 + size], dtype, ordered))
+        at += 4 + size
+    return out
+
+
 def _index(texts: DataFrame, path: str, shards: int, width: int, percent: int) -> DataFrame:
     """Rows of packed rare tokens by shard (shard, blob), and rows of combinations (key, id, n, rare)."""
 
@@ -156,7 +182,7 @@ def _index(texts: DataFrame, path: str, shards: int, width: int, percent: int) -
             order = np.lexsort((token, shard))
             token, doc, n, at, shard = token[order], doc[order], n[order], at[order], shard[order]
             ends = np.searchsorted(shard, np.arange(shards), "right")
-            parts = [(i, b"".join(x[a:b].tobytes() for x in (token, doc, n, at))) for i, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)) if b > a]
+            parts = [(i, _blob(token[a:b], doc[a:b], n[a:b], at[a:b])) for i, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)) if b > a]
             none = [None] * len(parts)
             return of([i for i, _ in parts], [x for _, x in parts], none, none, none, none)
 
@@ -179,13 +205,15 @@ def _index(texts: DataFrame, path: str, shards: int, width: int, percent: int) -
                     shared = often[: max(0, length + g - len(rare))]
                     if len(shared) < 2:
                         continue
-                    dealt = ((shared >> np.uint64(8)) % np.uint64(g)).astype(np.int64)
-                    keys = []
-                    for group in range(g):
-                        own = shared[dealt == group]
-                        i, j = np.triu_indices(len(own), 1)
-                        keys.append(mixed(own[i] * np.uint64(0xD6E8FEB86659FD93) + own[j] * np.uint64(0xA0761D6478BD642F) + np.uint64(c)))
-                    keys = np.concatenate(keys).astype(np.int64)
+                    dealt = (shared >> np.uint64(8)) % np.uint64(g)
+                    order = np.argsort(dealt, kind="stable")
+                    own, dealt, keys = shared[order], dealt[order], []
+                    for d in range(1, len(own)):
+                        i = np.flatnonzero(dealt[:-d] == dealt[d:])
+                        if not len(i):
+                            break
+                        keys.append(mixed(own[i] * np.uint64(0xD6E8FEB86659FD93) + own[i + d] * np.uint64(0xA0761D6478BD642F) + np.uint64(c)))
+                    keys = (np.concatenate(keys) if keys else np.zeros(0, np.uint64)).astype(np.int64)
                     if len(keys):
                         m = len(keys)
                         yield of([None] * m, [None] * m, keys, np.full(m, doc, np.int64), np.full(m, n, np.int32), np.full(m, len(rare), np.int32))
@@ -202,18 +230,14 @@ def _need(a: str, b: str, percent: int) -> str:
     return f"ceil({percent} * ({a} + {b}) / {100 + percent}.0 - 1e-9)"
 
 
-def _rare_pairs(index: DataFrame, percent: int, most: int) -> DataFrame:
+def _rare_pairs(index: DataFrame, percent: int) -> DataFrame:
     """(a, b) of sets that share a rare token of their prefixes and whose sizes and places let them link."""
 
     def pairs(pdf):
         import numpy as np
         import pandas as pd
 
-        parts = []
-        for blob in pdf["blob"]:
-            m = len(blob) // 24
-            parts.append(tuple(np.frombuffer(blob[a * m : b * m], t) for a, b, t in ((0, 8, np.uint64), (8, 16, np.int64), (16, 20, np.int32), (20, 24, np.int32))))
-        token, doc, n, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        token, doc, n, at = (np.concatenate(x) for x in zip(*map(_from_blob, pdf["blob"]), strict=True))
         order = np.argsort(token, kind="stable")
         token, doc, n, at = token[order], doc[order], n[order].astype(np.int64), at[order].astype(np.int64)
         found = []
@@ -248,7 +272,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     held = cut(texts.join(ends, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s array<bigint>"), "sets")
     both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return cut(both.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").distinct(), "links")
+    links = cut(both.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").distinct(), "links")
+    discard(held)
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most: int = FREQUENT) -> DataFrame:
@@ -278,12 +304,14 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     sets = rows.where("doc_id is not null").select("doc_id", "n", "k1", "k2").distinct()
     key = sets.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     sets = cut(sets.join(key, ["n", "k1", "k2"]).select("doc_id", "n", "rep"), "reps")
+    discard(rows)
     same = small_side(cut(sets.where("doc_id <> rep or n = 0").select("doc_id"), "same"), 16)
     texts = texts.join(same, "doc_id", "left_anti")
 
     index = cut(_index(texts, path, shards, width, percent), "index")
-    rare = _rare_pairs(index, percent, most)
-    combined = index.where("key is not null").select("key", "id", "n", "rare")
+    rare = cut(_rare_pairs(index, percent), "pairs")
+    combined = cut(index.where("key is not null").select("key", "id", "n", "rare"), "combined")
+    discard(index)
     pivots = combined.groupBy("key").agg(F.min(F.struct("rare", "id", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
     fits = f"id <> p.id and least(n - rare, p.n - p.rare) >= {_need('n', 'p.n', percent)}"
     star = combined.join(pivots, "key").where(fits).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
