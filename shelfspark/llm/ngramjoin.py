@@ -27,6 +27,8 @@ from .hashing import SpanHasher, mixed, shingle_sets
 WIDTH, PERCENT, FREQUENT = 4, 85, 128
 #: Tokens that a task gathers before it hands them on, and tokens for each shard of the counts and of the index.
 FLUSH, SHARD_TOKENS = 3_000_000, 2_000_000
+#: Documents of a bucket of a large cluster.
+CELL = 256
 
 
 def prefix(n: int, percent: int) -> int:
@@ -258,23 +260,54 @@ def _rare_pairs(index: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    ends = small_side(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends"), 16)
+    """Of the pairs (a, b) that link by their whole sets, enough to connect all that they connect.
+
+    Pairs are dealt to cells: a cluster of the candidate graph is one cell if it has at most CELL documents, else
+    its documents are dealt to buckets and a cell has the pairs of two of them. So a set goes to its cell once
+    however many pairs it has, and a cell is bounded whatever the cluster. Inside a cell a pair that earlier links
+    connect already is not compared.
+    """
+    found = connected_components(pairs)
+    sizes = found.groupBy("component").agg(F.ceil(F.count("*") / CELL).cast("int").alias("buckets"))
+    placed = found.join(sizes, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("buckets")).alias("bucket"))
+    x, y = (placed.select(F.col("id").alias(k), F.col("bucket").alias(name), *also) for k, name, also in (("a", "x", ["component"]), ("b", "y", [])))
+    cells = cut(pairs.join(x, "a").join(y, "b").select("component", "x", "y", "a", "b"), "cells")
+    need = cells.select("component", "x", "y", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    need = small_side(cut(need, "needed"), 40)
 
     def sets(batches):
         import pyarrow as pa
 
         hasher = SpanHasher()
         for batch in batches:
-            docs, found = batch.column(0).to_pylist(), list(shingle_sets(batch.column(1).to_pylist(), width, hasher))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([s.astype("<i8") for s in found], pa.list_(pa.int64()))], ["doc_id", "s"])
-
-    held = cut(texts.join(ends, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s array<bigint>"), "sets")
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    links = cut(both.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").distinct(), "links")
-    discard(held)
-    return links
+            held = [s.tobytes() for s in shingle_sets(batch.column(4).to_pylist(), width, hasher)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(held, pa.binary())], ["component", "x", "y", "doc_id", "s"])
+
+    def links(wanted, held):
+        import numpy as np
+        import pandas as pd
+
+        known = {d: np.frombuffer(s, np.uint64) for d, s in zip(held["doc_id"].tolist(), held["s"], strict=True)}
+        up, out = {}, []
+
+        def root(d):
+            while d in up:
+                d = up[d]
+            return d
+
+        for p, q in sorted(zip(wanted["a"].tolist(), wanted["b"].tolist(), strict=True)):
+            r, t = root(p), root(q)
+            if r != t:
+                s, u = known[p], known[q]
+                both = len(np.intersect1d(s, u, assume_unique=True))
+                if 100 * both >= percent * (len(s) + len(u) - both):
+                    up[max(r, t)] = min(r, t)
+                    out.append((p, q))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    key = ["component", "x", "y"]
+    rows = texts.join(need, "doc_id").select(*key, "doc_id", "text").mapInArrow(sets, "component long, x long, y long, doc_id long, s binary")
+    return cut(cells.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(links, "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most: int = FREQUENT) -> DataFrame:
