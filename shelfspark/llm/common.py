@@ -40,9 +40,13 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete what cut() wrote, once nothing later reads it."""
+    """Delete what cut() wrote, once nothing later reads it, and let Spark's cleaner drop the shuffle files of plans that are done."""
+    import gc
+
     where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
 
 
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:

@@ -158,7 +158,7 @@ def _from_blob(blob: bytes):
     import numpy as np
 
     out, at = [], 0
-    for dtype, ordered in ((np.uint64, True), (np.int64, False), (np.int32, False), (np.int32, False)):
+    for dtype, ordered in ((np.uint32, True), (np.int64, False), (np.int32, False), (np.int32, False)):
         size = int.from_bytes(blob[at : at + 4], "little")
         out.append(_unpack(blob[at + 4 : at + 4 + size], dtype, ordered))
         at += 4 + size
@@ -181,6 +181,7 @@ def _index(texts: DataFrame, path: str, shards: int, width: int, percent: int) -
         def flush():
             token, doc, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
             shard = (token % np.uint64(shards)).astype(np.int32)
+            token = (token >> np.uint64(32)).astype(np.uint32)  # tokens that share a shard and this much only add a pair to verify
             order = np.lexsort((token, shard))
             token, doc, n, at, shard = token[order], doc[order], n[order], at[order], shard[order]
             ends = np.searchsorted(shard, np.arange(shards), "right")
@@ -342,13 +343,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     texts = texts.join(same, "doc_id", "left_anti")
 
     index = cut(_index(texts, path, shards, width, percent), "index")
-    rare = cut(_rare_pairs(index, percent), "pairs")
+    rare = cut(_rare_pairs(index, percent), "rare")
     combined = cut(index.where("key is not null").select("key", "id", "n", "rare"), "combined")
     discard(index)
     pivots = combined.groupBy("key").agg(F.min(F.struct("rare", "id", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
     fits = f"id <> p.id and least(n - rare, p.n - p.rare) >= {_need('n', 'p.n', percent)}"
     star = combined.join(pivots, "key").where(fits).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-    links = _verified(cut(rare.union(star).distinct(), "pairs"), texts, width, percent)
+    pairs = cut(rare.union(star).distinct(), "pairs")
+    discard(rare)
+    links = _verified(pairs, texts, width, percent)
+    discard(pairs)
     found = connected_components(links)
 
     left = combined.join(found, "id", "left").select("key", "id", "n", "rare", F.coalesce("component", "id").alias("c"))
