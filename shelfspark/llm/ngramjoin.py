@@ -166,14 +166,14 @@ def _from_blob(blob: bytes):
 
 
 def _index(texts: DataFrame, path: str, shards: int, width: int, percent: int) -> DataFrame:
-    """Rows of packed rare tokens by shard (shard, blob), and rows of combinations (key, id, n, rare)."""
+    """Rows of packed rare tokens by shard (shard, blob), of combinations (key, id, n, rare) and of sketches (id, n, sketch)."""
 
     def rows(batches):
         import numpy as np
         import pyarrow as pa
 
         hasher, frequent, held, size = SpanHasher(), _Frequent(path, shards), [], 0
-        names, kinds = ["shard", "blob", "key", "id", "n", "rare"], [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        names, kinds = ["shard", "blob", "key", "id", "n", "rare", "sketch"], [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
         def of(*columns):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
@@ -187,14 +187,15 @@ def _index(texts: DataFrame, path: str, shards: int, width: int, percent: int) -
             ends = np.searchsorted(shard, np.arange(shards), "right")
             parts = [(i, _blob(token[a:b], doc[a:b], n[a:b], at[a:b])) for i, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)) if b > a]
             none = [None] * len(parts)
-            return of([i for i, _ in parts], [x for _, x in parts], none, none, none, none)
+            return of([i for i, _ in parts], [x for _, x in parts], none, none, none, none, none)
 
         for batch in batches:
-            docs = batch.column(0).to_pylist()
+            docs, sketched = batch.column(0).to_pylist(), []
             for doc, s in zip(docs, shingle_sets(batch.column(1).to_pylist(), width, hasher), strict=True):
                 n = len(s)
                 if 100 * n < percent * (n + 1):  # only an equal set can link
                     continue
+                sketched.append((doc, n, sketch(s)))
                 count = frequent((s >> np.uint64(32)).astype(np.uint32))
                 rare, often = s[count == 0], s[count > 0]
                 often = often[np.argsort(count[count > 0], kind="stable")]
@@ -219,14 +220,18 @@ def _index(texts: DataFrame, path: str, shards: int, width: int, percent: int) -
                     keys = (np.concatenate(keys) if keys else np.zeros(0, np.uint64)).astype(np.int64)
                     if len(keys):
                         m = len(keys)
-                        yield of([None] * m, [None] * m, keys, np.full(m, doc, np.int64), np.full(m, n, np.int32), np.full(m, len(rare), np.int32))
+                        yield of([None] * m, [None] * m, keys, np.full(m, doc, np.int64), np.full(m, n, np.int32), np.full(m, len(rare), np.int32), [None] * m)
                 if size >= FLUSH // 4:
                     yield flush()
                     held, size = [], 0
+            if sketched:
+                none = [None] * len(sketched)
+                ids, sizes, bins = zip(*sketched, strict=True)
+                yield of(none, none, none, ids, sizes, none, bins)
         if held:
             yield flush()
 
-    return texts.mapInArrow(rows, "shard int, blob binary, key long, id long, n int, rare int")
+    return texts.mapInArrow(rows, "shard int, blob binary, key long, id long, n int, rare int, sketch binary")
 
 
 def _need(a: str, b: str, percent: int) -> str:
@@ -260,35 +265,79 @@ def _rare_pairs(index: DataFrame, percent: int) -> DataFrame:
     return index.where("shard is not null").select("shard", "blob").groupBy("shard").applyInPandas(pairs, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def sketch(values) -> bytes:
+    """Of a sorted set, how many values begin with each bit string, four to eight in the mean; empty if one byte can't hold a count.
+
+    The sums of two sets' smaller counts are a bound of their intersection, so a pair below its need can't link.
+    """
+    import numpy as np
+
+    bits = max(0, len(values).bit_length() - 3)
+    counts = np.bincount((values >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def could_link(a, b, n: dict, sketches: dict, percent: int):
+    """Of the pairs (a[i], b[i]), those whose sketches let them link; n and sketches are by id."""
+    import numpy as np
+
+    ids = np.array(sorted(n), np.int64)
+    size, held = np.array([n[i] for i in ids.tolist()], np.int64), [sketches[i] for i in ids.tolist()]
+    bins = np.array([len(x) for x in held])
+    i, j = np.searchsorted(ids, a), np.searchsorted(ids, b)
+    both, fewer, out = size[i] + size[j], np.minimum(bins[i], bins[j]), np.ones(len(a), bool)
+    for width in np.unique(fewer[fewer > 0]).tolist():
+        at = np.flatnonzero(fewer == width)
+        used, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        counts = np.stack([np.frombuffer(held[k], np.uint8).reshape(width, -1).sum(axis=1, dtype=np.uint32) for k in used.tolist()])
+        x, y, step = place[: len(at)], place[len(at) :], max(1, (1 << 21) // width)
+        for begin in range(0, len(at), step):
+            now = slice(begin, begin + step)
+            most = np.minimum(counts[x[now]], counts[y[now]]).sum(axis=1, dtype=np.int64)
+            out[at[now]] = 100 * most >= percent * (both[at[now]] - most)
+    return out
+
+
+def _dealt(cells: DataFrame, docs: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs of `cells` in parts of about `docs` documents, as (part, cell, a, b), and what they need as (part, doc_id)."""
+    ends = F.explode(F.array("a", "b")).alias("doc_id")
+    parts = 1 + cells.select("cell", ends).distinct().count() // docs
+    cells = cells.withColumn("part", F.pmod("cell", F.lit(parts)))
+    need = cut(cells.select("part", ends).distinct(), "needed")
+    return cells, small_side(need, 24)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) that link by their whole sets, enough to connect all that they connect.
 
     Pairs are dealt to cells: a cluster of the candidate graph is one cell if it has at most CELL documents, else
-    its documents are dealt to buckets and a cell has the pairs of two of them. So a set goes to its cell once
-    however many pairs it has, and a cell is bounded whatever the cluster. Inside a cell a pair that earlier links
-    connect already is not compared.
+    its documents are dealt to buckets and a cell has the pairs of two of them. Cells are dealt to parts, so a
+    document goes to a part once however many pairs it has there, and a part is bounded whatever the cluster.
+    First the short sketches (doc_id, n, sketch) go to the parts and rule out pairs that can't link; then the texts
+    of the others. A pair that earlier links of its part connect already is not compared.
     """
     found = connected_components(pairs)
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / CELL).cast("int").alias("buckets"))
     placed = found.join(sizes, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("buckets")).alias("bucket"))
     x, y = (placed.select(F.col("id").alias(k), F.col("bucket").alias(name), *also) for k, name, also in (("a", "x", ["component"]), ("b", "y", [])))
-    cells = cut(pairs.join(x, "a").join(y, "b").select("component", "x", "y", "a", "b"), "cells")
-    need = cells.select("component", "x", "y", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    need = small_side(cut(need, "needed"), 40)
+    cells = pairs.join(x, "a").join(y, "b").select(F.xxhash64("component", F.least("x", "y"), F.greatest("x", "y")).alias("cell"), "a", "b")
+    cells = cut(cells, "cells")
 
-    def sets(batches):
-        import pyarrow as pa
+    def near(wanted, held):
+        ids = held["doc_id"].tolist()
+        n, s = (dict(zip(ids, held[c].tolist(), strict=True)) for c in ("n", "sketch"))
+        return wanted.loc[could_link(wanted["a"].to_numpy(), wanted["b"].to_numpy(), n, s, percent), ["cell", "a", "b"]]
 
-        hasher = SpanHasher()
-        for batch in batches:
-            held = [s.tobytes() for s in shingle_sets(batch.column(4).to_pylist(), width, hasher)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(held, pa.binary())], ["component", "x", "y", "doc_id", "s"])
+    dealt, need = _dealt(cells, 20_000)
+    rows = sketches.join(need, "doc_id").select("part", "doc_id", "n", "sketch")
+    left = cut(dealt.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(near, "cell long, a long, b long"), "near")
+    discard(cells)
+    hasher = SpanHasher()
 
     def links(wanted, held):
-        import numpy as np
         import pandas as pd
 
-        known = {d: np.frombuffer(s, np.uint64) for d, s in zip(held["doc_id"].tolist(), held["s"], strict=True)}
+        known = dict(zip(held["doc_id"].tolist(), shingle_sets(held["text"].tolist(), width, hasher), strict=True))
         up, out = {}, []
 
         def root(d):
@@ -296,19 +345,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 d = up[d]
             return d
 
-        for p, q in sorted(zip(wanted["a"].tolist(), wanted["b"].tolist(), strict=True)):
+        for p, q in sorted(set(zip(wanted["a"].tolist(), wanted["b"].tolist(), strict=True))):
             r, t = root(p), root(q)
-            if r != t:
-                s, u = known[p], known[q]
-                both = len(np.intersect1d(s, u, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(u) - both):
-                    up[max(r, t)] = min(r, t)
-                    out.append((p, q))
+            if r != t and 100 * (both := _common(known[p], known[q])) >= percent * (len(known[p]) + len(known[q]) - both):
+                up[max(r, t)] = min(r, t)
+                out.append((p, q))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    key = ["component", "x", "y"]
-    rows = texts.join(need, "doc_id").select(*key, "doc_id", "text").mapInArrow(sets, "component long, x long, y long, doc_id long, s binary")
-    return cut(cells.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(links, "a long, b long"), "links")
+    dealt, need = _dealt(left, 1_000)
+    rows = texts.join(need, "doc_id").select("part", "doc_id", "text")
+    return cut(dealt.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(links, "a long, b long"), "links")
+
+
+def _common(s, u) -> int:
+    import numpy as np
+
+    both = np.concatenate([s, u])
+    both.sort(kind="stable")  # two sorted runs are merged
+    return int((both[1:] == both[:-1]).sum())
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most: int = FREQUENT) -> DataFrame:
@@ -345,13 +399,14 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     index = cut(_index(texts, path, shards, width, percent), "index")
     rare = cut(_rare_pairs(index, percent), "rare")
     combined = cut(index.where("key is not null").select("key", "id", "n", "rare"), "combined")
+    sketches = cut(index.where("sketch is not null").select(F.col("id").alias("doc_id"), "n", "sketch"), "sketches")
     discard(index)
     pivots = combined.groupBy("key").agg(F.min(F.struct("rare", "id", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
     fits = f"id <> p.id and least(n - rare, p.n - p.rare) >= {_need('n', 'p.n', percent)}"
     star = combined.join(pivots, "key").where(fits).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
     pairs = cut(rare.union(star).distinct(), "pairs")
     discard(rare)
-    links = _verified(pairs, texts, width, percent)
+    links = _verified(pairs, texts, sketches, width, percent)
     discard(pairs)
     found = connected_components(links)
 
@@ -363,7 +418,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     apart = f"id1 < id2 and c1 <> c2 and least(n1 - rare1, n2 - rare2) >= {_need('n1', 'n2', percent)}"
     rest = cut(x.join(y, "key").where(apart).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct(), "pairs")
     if not rest.isEmpty():
-        more = _verified(rest, texts, width, percent)
+        more = _verified(rest, texts, sketches, width, percent)
         if not more.isEmpty():
             found = connected_components(links.union(more))
 

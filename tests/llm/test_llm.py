@@ -1,9 +1,11 @@
 """Each operator of the subpackage against brute force, with the awkward rows: nulls, empties, repeats, clashing names."""
 
+import itertools
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +226,24 @@ def test_shingle_sets_sizes():
     texts = [t for _, t in corpus()]
     got = list(hashing.shingle_sets(texts, 4, hashing.SpanHasher()))
     assert [len(s) for s in got] == [len(shingles(t, 4)) for t in texts]
+
+
+def test_sketches_lose_no_link():
+    rng, n, sketches, sets = np.random.default_rng(5), {}, {}, {}
+    for base in range(12):
+        size = int(rng.integers(2, 900))
+        whole = rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2)
+        for k in range(4):
+            part = whole[rng.random(size) < 1 - 0.06 * k]
+            sets[4 * base + k] = np.unique(np.append(part, rng.integers(0, 1 << 63, int(size * 0.04 * k), np.uint64)))
+    sets[99] = np.arange(3000, dtype=np.uint64)  # all begin alike: no sketch can hold the count
+    for d, s in sets.items():
+        n[d], sketches[d] = len(s), ngramjoin.sketch(s)
+    assert sketches[99] == b""
+    a, b = (np.array(x) for x in zip(*itertools.combinations(sorted(sets), 2)))
+    kept = ngramjoin.could_link(a, b, n, sketches, 85)
+    both = np.array([len(np.intersect1d(sets[x], sets[y])) for x, y in zip(a, b)])
+    union = np.array([n[x] + n[y] for x, y in zip(a, b)]) - both
+    assert kept[(union > 0) & (100 * both >= 85 * union)].all()
+    far = (a // 4 != b // 4) & (a != 99) & (b != 99) & np.isin(a, [d for d in n if n[d] > 50]) & np.isin(b, [d for d in n if n[d] > 50])
+    assert not kept[far].any()
