@@ -30,9 +30,19 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write a table to the shared folder and read it back: later plans start there, also after a lost executor."""
+#: Rows of a few numbers that one file holds where their count is known.
+FILE_ROWS = 200_000
+
+
+def cut(df: DataFrame, label: str = "cut", most: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: later plans start there, also after a lost executor.
+
+    most: a bound of the rows, if each is a few numbers; then no more tasks write than fill a file each, but for one
+    on every core.
+    """
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, label)
+    if most is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, most // FILE_ROWS))
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.cut_path = path

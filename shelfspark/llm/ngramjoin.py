@@ -301,9 +301,10 @@ def could_link(a, b, n: dict, sketches: dict, percent: int):
 def _dealt(cells: DataFrame, docs: int) -> tuple[DataFrame, DataFrame]:
     """The pairs of `cells` in parts of about `docs` documents, as (part, cell, a, b), and what they need as (part, doc_id)."""
     ends = F.explode(F.array("a", "b")).alias("doc_id")
+    ends_read = 2 * cells.count()
     parts = 1 + cells.select("cell", ends).distinct().count() // docs
     cells = cells.withColumn("part", F.pmod("cell", F.lit(parts)))
-    need = cut(cells.select("part", ends).distinct(), "needed")
+    need = cut(cells.select("part", ends).distinct(), "needed", ends_read)
     return cells, small_side(need, 24)
 
 
@@ -316,12 +317,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: in
     First the short sketches (doc_id, n, sketch) go to the parts and rule out pairs that can't link; then the texts
     of the others. A pair that earlier links of its part connect already is not compared.
     """
-    found = connected_components(pairs)
+    found = connected_components(pairs, most=pairs.count())
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / CELL).cast("int").alias("buckets"))
     placed = found.join(sizes, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("buckets")).alias("bucket"))
     x, y = (placed.select(F.col("id").alias(k), F.col("bucket").alias(name), *also) for k, name, also in (("a", "x", ["component"]), ("b", "y", [])))
     cells = pairs.join(x, "a").join(y, "b").select(F.xxhash64("component", F.least("x", "y"), F.greatest("x", "y")).alias("cell"), "a", "b")
-    cells = cut(cells, "cells")
+    cells = cut(cells, "cells", pairs.count())
 
     def near(wanted, held):
         ids = held["doc_id"].tolist()
@@ -380,9 +381,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     keyed = cut(known.select("doc_id", F.unhex(F.md5("text")).alias("h"), F.octet_length("text").alias("size")).distinct(), "hashed")
     first = keyed.groupBy("h").agg(F.min("doc_id").alias("first"))
     copies = keyed.join(first, "h").select("doc_id", "first")
-    copies = cut(copies, "copies")
+    total, docs_read = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    copies = cut(copies, "copies", docs_read)
     again = small_side(cut(copies.where("doc_id <> first").select("doc_id"), "again"), 16)
-    total = keyed.agg(F.sum("size")).first()[0] or 0
     shards = 1 << max(0, (total // 6 // SHARD_TOKENS).bit_length())
 
     texts = known.join(again, "doc_id", "left_anti")
@@ -391,7 +392,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     _write_frequent(rows.where("shard is not null").select("shard", "blob"), path, most)
     sets = rows.where("doc_id is not null").select("doc_id", "n", "k1", "k2").distinct()
     key = sets.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    sets = cut(sets.join(key, ["n", "k1", "k2"]).select("doc_id", "n", "rep"), "reps")
+    sets = cut(sets.join(key, ["n", "k1", "k2"]).select("doc_id", "n", "rep"), "reps", docs_read)
     discard(rows)
     same = small_side(cut(sets.where("doc_id <> rep or n = 0").select("doc_id"), "same"), 16)
     texts = texts.join(same, "doc_id", "left_anti")
@@ -408,7 +409,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     discard(rare)
     links = _verified(pairs, texts, sketches, width, percent)
     discard(pairs)
-    found = connected_components(links)
+    found = connected_components(links, most=links.count())
 
     left = combined.join(found, "id", "left").select("key", "id", "n", "rare", F.coalesce("component", "id").alias("c"))
     left = cut(left, "combined")
