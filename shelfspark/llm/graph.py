@@ -11,7 +11,9 @@ from .common import cut
 def connected_components(edges: DataFrame, rounds: int = 60, most: int | None = None) -> DataFrame:
     """(id, component) of every end of `edges` (a, b): component is the smallest id that links reach.
 
-    most: a bound of the edges, where one is known. Null ends and loops are ignored, repeated edges change nothing, no edges give no rows. Every round only
+    most: a bound of the edges, where one is known.
+
+    Null ends and loops are ignored, repeated edges change nothing, no edges give no rows. Every round only
     groups by a node with min() and joins that minimum back, so a hub of any degree is summed before the shuffle
     and its rows are split by the skew join; each round is written to the shared folder.
     """
