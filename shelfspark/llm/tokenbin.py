@@ -9,22 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Store, arrow_batches, fresh_dir, table
-from .tokens import default_vocabulary, encoder, with_end
+from .tokens import END_ID, default_vocabulary, encoder, with_end
 
 _MANIFEST = "shard string, first_id long, documents long, tokens long"
 
 
+def width(vocabulary: str) -> str:
+    """The narrowest little-endian unsigned type that holds every id of a vocabulary and the end id."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(END_ID, *Tokenizer.from_file(vocabulary).get_vocab().values()) < 1 << 16 else "<u4"
+
+
 def write_ids(docs: DataFrame, path: str, vocabulary: str, shard_bytes: int = 32 << 20) -> list[dict]:
     """Write the ids of docs (doc_id, text) below `path`; returns the manifest, also left there as manifest.json.
 
-    Documents are dealt by ranges of doc_id and sorted in each. A shard is three flat files: NAME.ids (unsigned
-    32-bit little-endian ids, 1 after each document), NAME.offsets (signed 64-bit: where each document begins, and
+    Documents are dealt by ranges of doc_id and sorted in each. A shard is three flat files: NAME.ids (little-endian
+    ids, unsigned 16-bit if the vocabulary fits, else 32-bit, 1 after each document), NAME.offsets (signed 64-bit: where each document begins, and
     the end) and NAME.docs (64-bit doc_id). A task writes under a temporary name and renames, so a repeated task
     leaves the same files. The manifest has one row per shard in id order with `base`, the ids before the shard, by
     prefix sums. Null texts are empty; rows without doc_id have no place in the order and are not written; rows
     that repeat a doc_id are all written, ordered by text; an empty table leaves an empty manifest.
     """
-    spark = docs.sparkSession
+    spark, dtype = docs.sparkSession, width(vocabulary)
     arrow_batches(spark)
     known = docs.select("doc_id", "text").where("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -42,7 +49,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, shard_bytes: int = 32
             begun = begun or store.create(f"{made}.ids")
             kept += batch.column(0).to_pylist()
             for ids in ids_of.encode(batch.column(1).to_pylist()):
-                begun.write((one := with_end(ids)).tobytes())
+                begun.write((one := with_end(ids)).astype(dtype).tobytes())
                 offsets.append(offsets[-1] + len(one))
         if not kept:
             if begun:
@@ -59,9 +66,9 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, shard_bytes: int = 32
     rows = known.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, _MANIFEST).collect()
     shards, base = sorted((r.asDict() for r in rows), key=lambda r: (r["first_id"], r["shard"])), 0
     for shard in shards:
-        shard["base"] = base
+        shard |= {"base": base, "dtype": dtype}
         base += shard["tokens"]
-    Store(path).write_json("manifest.json", {"dtype": "<u4", "documents": sum(s["documents"] for s in shards), "tokens": base, "shards": shards})
+    Store(path).write_json("manifest.json", {"dtype": dtype, "documents": sum(s["documents"] for s in shards), "tokens": base, "shards": shards})
     return shards
 
 
@@ -74,8 +81,8 @@ def read_ids(spark: SparkSession, path: str, shards: list[dict]) -> DataFrame:
         store = Store(path)
         for batch in batches:
             for shard in batch.to_pylist():
-                ids, offsets, docs = (store.array(f"{shard['shard']}.{k}", t) for k, t in (("ids", "<u4"), ("offsets", "<i8"), ("docs", "<i8")))
-                sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                ids, offsets, docs = (store.array(f"{shard['shard']}.{k}", t) for k, t in (("ids", shard["dtype"]), ("offsets", "<i8"), ("docs", "<i8")))
+                sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs), pa.array(offsets[:-1] + shard["base"]), pa.array(offsets[1:] - offsets[:-1]), pa.array(sums, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
@@ -84,7 +91,7 @@ def read_ids(spark: SparkSession, path: str, shards: list[dict]) -> DataFrame:
     kinds = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not shards:
         return spark.createDataFrame([], kinds)
-    listed = spark.createDataFrame([(s["shard"], s["base"]) for s in shards], "shard string, base long")
+    listed = spark.createDataFrame([(s["shard"], s["base"], s["dtype"]) for s in shards], "shard string, base long, dtype string")
     return listed.repartitionByRange(len(shards), "base").mapInArrow(read, kinds)
 
 
