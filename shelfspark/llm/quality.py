@@ -1,22 +1,27 @@
 """Quality classifier: interpolated modified Kneser-Ney model of trusted text, perplexity against language quantiles.
 
-The units are UTF-16 code units, four of which are one 64-bit number, so every n-gram up to order 4 is a key without
-hashing and the joins are on whole numbers.
+The classifier counts trigrams of words (WordModels), so its tables grow with the trusted text. perplexities() is the
+same kind of model over UTF-16 code units, four of which are one 64-bit number; its tables saturate, and the
+classifier does not use it.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, arrow_batches, cut, fresh_dir, small_side, table
+from .common import Store, arrow_batches, cut, discard, fresh_dir, small_side, table
+from .hashing import SpanHasher, mixed
 
-#: Share of a language's trusted documents outside the model that stays below its threshold.
+#: Share of a language's trusted documents that stays below its threshold.
 QUANTILE = 0.99
-#: One trusted document in so many, by a hash of its id, is left out of the counts to set the thresholds.
-CALIBRATION = 10
+#: Texts are dealt to so many folds by their hash; a text is scored by the model of the trusted texts of the other folds.
+FOLDS = 2
+#: Word trigrams that a task gathers before it hands them on, and trusted words for each shard of a model's tables.
+FLUSH_WORDS, SHARD_WORDS = 1_000_000, 2_000_000
 #: Units of text counted at once, and distinct n-grams that a task holds before it hands them on.
 CHUNK_UNITS, HELD_GRAMS = 1 << 19, 2_000_000
 #: A prime: n-grams are dealt to shards by their remainder, in Spark and in numpy alike.
@@ -198,19 +203,311 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return rows.mapInArrow(score, "doc_id long, lang string, perplexity double")
 
 
+def word_codes(texts, hasher: SpanHasher) -> list:
+    """Of each text, the 40-bit codes of its units between two begin codes and an end code.
+
+    Units are runs of letters, digits and bytes outside ASCII, and each other character that is not blank.
+    """
+    import numpy as np
+
+    begin, end, mask = np.array([1, 1], np.uint64), np.array([2], np.uint64), np.uint64((1 << 40) - 1)
+    out = []
+    for text in texts:
+        b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        word = (b >= 128) | ((b >= 48) & (b <= 57)) | ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122))
+        alone = ~word & (b != 32) & ~((b >= 9) & (b <= 13))
+        begins = np.flatnonzero((word & ~np.concatenate([[False], word[:-1]])[: len(word)]) | alone)
+        stops = np.flatnonzero((word & ~np.concatenate([word[1:], [False]])[: len(word)]) | alone) + 1
+        out.append(np.concatenate([begin, hasher.names(b, begins, stops) & mask, end]))
+    return out
+
+
+def _key(*codes):
+    """A 64-bit key of an n-gram of word codes."""
+    import numpy as np
+
+    key = codes[0]
+    for code in codes[1:]:
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + code)
+    return mixed(key)
+
+
+def _distinct(columns, n):
+    """The distinct rows of `columns`, in the order of the first, then the next, and the sum of each one's n."""
+    import numpy as np
+
+    order = np.lexsort(columns[::-1])
+    columns, n = [c[order] for c in columns], n[order]
+    first = np.ones(len(n), bool)
+    first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.flatnonzero(first)
+    return [c[at] for c in columns], np.add.reduceat(n, at) if len(at) else n
+
+
+def _packed(values) -> bytes:
+    """Numbers as planes of the bytes of their differences, which compress well."""
+    import numpy as np
+
+    values = np.diff(values.astype("<u8"), prepend=np.uint64(0))
+    return zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(blob: bytes):
+    import numpy as np
+
+    return np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+
+
+def _write_table(store: Store, name: str, keys, columns) -> None:
+    """Sorted keys, the number of each one's values, and the few different rows of values."""
+    import numpy as np
+
+    _, first, at = np.unique(_key(*[c.astype(np.uint64) for c in columns]), return_index=True, return_inverse=True)
+    order = np.argsort(keys)
+    values = np.stack([c[first] for c in columns], 1).astype("<i8")
+    kind = "u1" if len(first) <= 1 << 8 else "<u2" if len(first) <= 1 << 16 else "<u4"
+    for part, data in (("key", keys[order].astype("<u8")), ("at", at[order].astype(kind)), ("values", values)):
+        made = f"_{uuid.uuid4().hex}"
+        with store.create(made) as out:
+            out.write(data.tobytes())
+        store.rename(made, f"{name}.{part}")
+
+
+class _Tables:
+    """Look-ups in the written tables, which are mapped as they are needed."""
+
+    def __init__(self, path: str, shards: int):
+        self.store, self.shards, self.files = Store(path), shards, {}
+
+    def _file(self, name: str, width: int):
+        if name not in self.files:
+            if not self.store.fs.get_file_info(self.store.path(f"{name}.values")).is_file:
+                self.files[name] = None
+            else:
+                keys = self.store.array(f"{name}.key", "<u8")
+                size = self.store.fs.get_file_info(self.store.path(f"{name}.at")).size // len(keys)
+                self.files[name] = keys, self.store.array(f"{name}.at", f"<u{size}"), self.store.array(f"{name}.values", "<i8").reshape(-1, width)
+        return self.files[name]
+
+    def __call__(self, model: str, owner, wanted: list) -> list:
+        """For each (table, keys, width) of `wanted`, a row of values for each key, zeros if it is not there; owner names the shards."""
+        import numpy as np
+
+        shard = (owner % np.uint64(self.shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        out = [np.zeros((len(keys), width), np.int64) for _, keys, width in wanted]
+        for k in range(self.shards):
+            at = order[ends[k] : ends[k + 1]]
+            for (kind, keys, width), rows in zip(wanted, out, strict=True):
+                if len(at) and (found := self._file(f"{model}-{k:06d}.{kind}", width)):
+                    known, index, values = found
+                    place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
+                    there = known[place] == keys[at]
+                    rows[at[there]] = values[index[place[there]]]
+        return out
+
+
+_STATS = ("n1", "n2", "n3", "n4", "kinds", "total")
+_PART = "model string, shard int, blob1 binary, blob2 binary, blob3 binary, blob4 binary, " + ", ".join(f"{c} long" for c in _STATS)
+
+
+def _parts(model: str, shard, columns, n, shards: int) -> list[tuple]:
+    """Rows of packed columns by shard; the model has no statistics there."""
+    import numpy as np
+
+    order, out = np.argsort(shard, kind="stable"), []
+    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    for k in range(shards):
+        if ends[k + 1] > ends[k]:
+            at = order[ends[k] : ends[k + 1]]
+            blobs = [_packed(c[at]) for c in [*columns, n.astype(np.uint64)]]
+            out.append((model, k, *blobs, *[None] * (4 - len(blobs)), *[None] * len(_STATS)))
+    return out
+
+
+class WordModels:
+    """Modified Kneser-Ney models of word trigrams, one for each language and fold, as sorted tables in the shared folder.
+
+    trusted: lang, fold, text. The model of a fold counts the texts of the other folds. The highest order has counts,
+    the lower ones the number of distinct words before an n-gram. The tables hold counts and, of each context, its sum
+    and how many of its n-grams have counts 1, 2 and more; the discounts, as in kneser_ney(), apply when text is scored.
+    An n-gram and its context are in one shard, so each order is counted shard by shard and none is gathered whole.
+    """
+
+    def __init__(self, trusted: DataFrame):
+        spark = trusted.sparkSession
+        size = trusted.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] * (FOLDS - 1)
+        self.shards = shards = 1 << max(0, (size // 5 // SHARD_WORDS).bit_length())
+        self.path = path = fresh_dir(spark, "word-model")
+        Store(path)
+        self.stats: dict = {}
+        parts, before = trusted.select("lang", "fold", "text").mapInArrow(self._counting(), _PART), None
+        for order in (3, 2, 1):
+            made = cut(parts.where("blob1 is not null").groupBy("model", "shard").applyInPandas(self._table(order), _PART), f"words{order}")
+            if before is not None:
+                discard(before)
+            sums = made.where("kinds is not null").groupBy("model").agg(*[F.sum(c).alias(c) for c in _STATS])
+            for r in sums.collect():
+                self.stats.setdefault(r["model"], {})[order] = tuple(r[c] for c in _STATS)
+            parts = before = made
+        discard(before)
+
+    def _counting(self):
+        shards = self.shards
+
+        def rows(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            hasher, held, size = SpanHasher(), {}, 0
+            schema = pa.schema([("model", pa.string()), ("shard", pa.int32()), *[(f"blob{i}", pa.binary()) for i in (1, 2, 3, 4)], *[(c, pa.int64()) for c in _STATS]])
+
+            def flush():
+                out = []
+                for model, codes in held.items():
+                    a, b, c = (np.concatenate([u[i : len(u) - 2 + i] for u in codes]) for i in range(3))
+                    (b, a, c), n = _distinct([b, a, c], np.ones(len(a), np.int64))
+                    out += _parts(model, (_key(a, b) % np.uint64(shards)).astype(np.int64), [b, a, c], n, shards)
+                return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+            for batch in batches:
+                langs, folds, texts = (x.to_pylist() for x in batch.columns)
+                for lang, fold, codes in zip(langs, folds, word_codes(texts, hasher), strict=True):
+                    for other in range(FOLDS):
+                        if other != fold:
+                            held.setdefault(f"{lang.encode().hex()}-{other}", []).append(codes)
+                            size += len(codes)
+                    if size >= FLUSH_WORDS:
+                        yield flush()
+                        held.clear()
+                        size = 0
+            if held:
+                yield flush()
+
+        return rows
+
+    def _table(self, order: int):
+        shards, path = self.shards, self.path
+
+        def table(pdf):
+            import numpy as np
+            import pandas as pd
+
+            store, model, shard = Store(path), pdf["model"].iloc[0], int(pdf["shard"].iloc[0])
+            *columns, n = (np.concatenate([_unpacked(x) for x in pdf[f"blob{i}"]]) for i in range(1, order + 2))
+            columns, n = _distinct(columns, n.astype(np.int64))
+            name = f"{model}-{shard:06d}"
+            if order == 3:
+                b, a, c = columns
+                context, key = [b, a], _key(a, b, c)
+            elif order == 2:
+                b, c = columns
+                context, key = [b], _key(b, c)
+            else:
+                (c,) = columns
+                context, key = [], _key(c)
+            _write_table(store, f"{name}.g{order}", key, [n])
+            if context:
+                sums = [n, n == 1, n == 2, n > 2]
+                kept, _ = _distinct(context, n)
+                sums = [_distinct(context, x.astype(np.int64))[1] for x in sums]
+                _write_table(store, f"{name}.c{order}", _key(*kept[::-1]), sums)
+            out = [(model, shard, *[None] * 4, *[int((n == k).sum()) for k in (1, 2, 3, 4)], len(n), int(n.sum()))]
+            if order == 3:
+                lower, types = _distinct([b, c], np.ones(len(n), np.int64))
+                out += _parts(model, (_key(lower[0]) % np.uint64(shards)).astype(np.int64), lower, types, shards)
+            elif order == 2:
+                lower, types = _distinct([c], np.ones(len(n), np.int64))
+                out += _parts(model, (_key(lower[0]) % np.uint64(shards)).astype(np.int64), lower, types, shards)
+            return pd.DataFrame(out, columns=["model", "shard", *[f"blob{i}" for i in (1, 2, 3, 4)], *_STATS]).astype({c: "Int64" for c in _STATS})
+
+        return table
+
+    def scorer(self):
+        """A function of (batches of doc_id, lang, fold, text) that gives doc_id, lang, fold, perplexity."""
+        path, shards, stats = self.path, self.shards, self.stats
+        discounts = {(m, o): _discounts(*s[:4]) for m, orders in stats.items() for o, s in orders.items()}
+
+        def score(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            tables, hasher = _Tables(path, shards), SpanHasher()
+
+            def probabilities(model, a, b, c):
+                n1, n2, _, _, kinds, total = stats[model][1]
+                d = discounts[model, 1]
+                own = tables(model, _key(c), [("g1", _key(c), 1)])[0][:, 0]
+                left = (d[1] * n1 + d[2] * n2 + d[3] * (kinds - n1 - n2)) / total
+                p = (own - d[np.minimum(own, 3)]) / total + left / (kinds + 1)
+                for order, context, key in ((2, _key(b), _key(b, c)), (3, _key(a, b), _key(a, b, c))):
+                    d = discounts[model, order]
+                    own, held = tables(model, context, [(f"g{order}", key, 1), (f"c{order}", context, 4)])
+                    own, s = own[:, 0], held[:, 0]
+                    known = (own - d[np.minimum(own, 3)] + (held[:, 1:] @ d[1:]) * p) / np.maximum(s, 1)
+                    p = np.where(s > 0, known, p)
+                return p
+
+            for batch in batches:
+                ids, langs, folds, texts = (x.to_pylist() for x in batch.columns)
+                found, groups = [65536.0] * len(ids), {}
+                for i, (lang, fold) in enumerate(zip(langs, folds, strict=True)):
+                    models = [f"{lang.encode().hex()}-{k}" for k in (fold, *range(FOLDS))]
+                    if (model := next((m for m in models if m in stats), None)) is not None:
+                        groups.setdefault(model, []).append(i)
+                for model, rows in groups.items():
+                    while rows:
+                        taken, size = [], 0
+                        while rows and size < CHUNK_UNITS * 6:
+                            taken.append(rows.pop())
+                            size += len(texts[taken[-1]] or "")
+                        codes = word_codes([texts[i] for i in taken], hasher)
+                        a, b, c = (np.concatenate([u[k : len(u) - 2 + k] for u in codes]) for k in range(3))
+                        lp, end = np.log(probabilities(model, a, b, c)), 0
+                        for i, u in zip(taken, codes, strict=True):
+                            found[i] = float(np.exp(-lp[end : end + len(u) - 2].mean()))
+                            end += len(u) - 2
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.float64())], ["doc_id", "lang", "fold", "perplexity"])
+
+        return score
+
+
+def _discounts(n1: int, n2: int, n3: int, n4: int):
+    """Those of counts 0, 1, 2 and 3 or more, from the counts of counts."""
+    import numpy as np
+
+    n, out = (n1, n2, n3, n4), [0.0]
+    for k in (1, 2, 3):
+        d = k - (k + 1) * n1 / (n1 + 2 * n2) * n[k] / n[k - 1] if n1 + 2 * n2 and n[k - 1] else 0
+        out.append(d if 0 < d < k else k / 2)
+    return np.array(out)
+
+
+def word_perplexities(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """(doc_id, lang, fold, perplexity) of every row of docs (doc_id, lang, text); documents in good (doc_id) are the trusted text.
+
+    Texts are dealt to FOLDS folds, equal ones to the same; a row is scored by the model of its language that has not
+    counted its fold, or by the one there is. A null language is "und"; one without trusted text has 65,536.
+    """
+    arrow_batches(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int").alias("fold"), "text")
+    models = WordModels(rows.join(good, "doc_id", "left_semi"))
+    return rows.mapInArrow(models.scorer(), "doc_id long, lang string, fold int, perplexity double")
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep) of every row of docs (doc_id, lang, text).
 
-    Documents that labels (doc_id, quality) call good (1) are the trusted text. One in CALIBRATION of them is not
-    counted by the model: a document is kept if its perplexity is at most the `quantile` of those of its language,
-    or of all trusted ones where none was left out; a language without trusted text keeps all. Repeated rows are
+    Documents that labels (doc_id, quality) call good (1) are the trusted text. All of them are counted and all set
+    the thresholds, each scored by a model that did not count it: a document is kept if its perplexity is at most the
+    `quantile` of the trusted ones of its language; a language without trusted text keeps all. Repeated rows are
     scored alike, rows without doc_id too; an empty table gives no rows.
     """
-    good = cut(labels.where("quality = 1 and doc_id is not null").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0).alias("_out")).distinct(), "good")
-    good = small_side(good, 17)
-    scores = cut(perplexities(docs, docs.join(good.where("not _out"), "doc_id", "left_semi")), "perplexities")
-    of = lambda c: F.percentile_approx(F.when(c, F.col("perplexity")), quantile, 100_000)
-    limits = scores.join(good, "doc_id").groupBy("lang").agg(F.coalesce(of(F.col("_out")), of(F.lit(True))).alias("threshold"))
+    good = small_side(cut(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "good"), 16)
+    scores = cut(word_perplexities(docs, good), "perplexities")
+    limits = scores.join(good, "doc_id").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"))
     out = scores.join(small_side(cut(limits, "limits"), 64), "lang", "left")
     return out.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
 

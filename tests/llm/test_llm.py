@@ -222,6 +222,49 @@ def test_quality(spark):
     assert quality.quality_scores(docs, labels).where("lang = 'und' and keep").count() == 1
 
 
+def test_word_models(spark, monkeypatch):
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(quality, "SHARD_WORDS", 200)
+    monkeypatch.setattr(quality, "FLUSH_WORDS", 500)
+    rows = [(i, t, "en") for i, t in corpus(n=30)] + [(700, "unseen ÄÖ, w1 w2", "en"), (701, "other", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.word_perplexities(docs, docs.where("doc_id < 25").select("doc_id")).collect()}
+    cut = lambda t: ["\x02", "\x02", *re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^\s]", t or ""), "\x03"]
+    assert {r.fold for r in got.values()} == {0, 1} and got[701].perplexity == 65536.0
+    for fold in (0, 1):
+        trusted = [cut(t) for i, t, _ in rows if i < 25 and got[i].fold != fold]
+        c = {3: Counter(tuple(u[i : i + 3]) for u in trusted for i in range(len(u) - 2))}
+        for k in (2, 1):
+            c[k] = Counter(g[1:] for g in c[k + 1])
+        d = {k: quality._discounts(*[Counter(c[k].values())[j] for j in (1, 2, 3, 4)]) for k in c}
+
+        def p(g):
+            if not g:
+                return 1 / (len(c[1]) + 1)
+            k = len(g)
+            s = {h: n for h, n in c[k].items() if h[:-1] == g[:-1]}
+            if not s:
+                return p(g[1:])
+            n, total = c[k][g], sum(s.values())
+            return (n - d[k][min(n, 3)]) / total + sum(d[k][min(n, 3)] for n in s.values()) / total * p(g[1:])
+
+        for i, t, lang in rows:
+            if lang and got[i].fold == fold and len(t or "") < 9000:
+                u = cut(t)
+                want = math.exp(-sum(math.log(p(tuple(u[k : k + 3]))) for k in range(len(u) - 2)) / (len(u) - 2))
+                assert got[i].perplexity == pytest.approx(want, rel=1e-6)
+
+
+def test_quality_is_of_words(spark):
+    r = random.Random(9)
+    say = lambda k: " ".join(r.choices(WORDS, [1 / (1 + i) for i in range(400)], k=k))
+    rows = [(i, say(60), "en") for i in range(120)] + [(500, " ".join(["w399"] * 60), "en")]
+    got = {x.doc_id: x for x in quality.quality_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int")).collect()}
+    assert not got[500].keep and sum(got[i].keep for i in range(120)) >= 118
+
+
 def test_shingle_sets_sizes():
     texts = [t for _, t in corpus()]
     got = list(hashing.shingle_sets(texts, 4, hashing.SpanHasher()))
