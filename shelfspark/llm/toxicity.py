@@ -10,18 +10,27 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, cut, small_side, table
 
-#: Insults of the seed lexicon.
-SEED_WORDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "jerk", "imbecile", "vermin", "filth")
+#: Insults of the seed lexicon, of each language.
+SEED_LEXICONS = {
+    "en": ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "jerk", "imbecile", "vermin", "filth"),
+    "de": ("idiot", "trottel", "dummkopf", "arschloch", "versager", "abschaum", "widerlich", "erbärmlich", "wertlos", "depp", "vollidiot", "mistkerl", "drecksack"),
+    "fr": ("idiot", "crétin", "connard", "connasse", "imbécile", "débile", "ordure", "minable", "abruti", "raclure", "salaud", "pathétique", "dégoûtant"),
+    "es": ("idiota", "imbécil", "estúpido", "estúpida", "cabrón", "gilipollas", "basura", "escoria", "patético", "inútil", "asqueroso", "payaso", "tarado"),
+}
+SEED_WORDS = tuple(dict.fromkeys(w for words in SEED_LEXICONS.values() for w in words))
 #: Patterns of abuse.
 SEED_PATTERNS = (
     r"\byou(?:'re| are) (?:an? )?(?:\w+ ){0,2}(?:" + "|".join(SEED_WORDS) + r")\b",
     r"\b(?:shut up|go away|get lost|drop dead)\b",
     r"\b(?:kill|hate) (?:you|them|yourself)\b",
+    r"\bdu (?:bist|bleibst) (?:ein(?:e|er)? )?(?:\w+ ){0,2}(?:" + "|".join(SEED_LEXICONS["de"]) + r")\b|\b(?:halt die klappe|hau ab|verpiss dich|ich hasse (?:dich|euch))\b",
+    r"\b(?:tu es|vous êtes|espèce d[e']) ?(?:une? )?(?:\w+ ){0,2}(?:" + "|".join(SEED_LEXICONS["fr"]) + r")\b|\b(?:ta gueule|ferme-la|dégage|je (?:te|vous) (?:hais|déteste))\b",
+    r"\b(?:eres|sois) (?:una? )?(?:\w+ ){0,2}(?:" + "|".join(SEED_LEXICONS["es"]) + r")\b|\b(?:cállate|lárgate|vete a la mierda|(?:te|os) odio)\b",
 )
-#: Labelled documents for fitting at most, features of the classifier, voters that are drawn from features.
+#: Labelled documents for fitting at most, and as many without label; features of the classifier, voters that are drawn from features.
 MOST_ROWS, MOST_FEATURES, MOST_VOTERS = 20_000, 3_000, 96
-#: A human label is taken to be wrong at most this often.
-LABEL_ERROR = 1e-4
+#: A word is drawn as a voter if it is so many times as frequent in toxic documents as in clean ones, with one more clean document.
+VOTER_RATIO = 40
 _WORD, _PATTERNS = re.compile(r"[^\W\d_]+"), [re.compile(p) for p in SEED_PATTERNS]
 _STEMS = (4, 5, 6)
 
@@ -40,33 +49,36 @@ def held_out(doc_id) -> F.Column:
 def label_posteriors(votes, labels, rounds: int = 30):
     """P(toxic) of each row of `votes` (rows x voters: 1 votes toxic, 0 abstains), by EM over a latent class.
 
-    The human label is one more voter, which never abstains. Voters that agree more than their classes explain are correlated: the excess
-    correlation within a class, estimated anew in every round, divides their say, so copies of one voter count once.
-    Returns the posteriors and, of each voter, (rate when toxic, rate when clean, weight).
+    Two voters are added: one fires where a single voter does, the last where all abstain. labels: 1, 0 or -1 (none) of each row. They
+    calibrate the voters: in estimating rates and the class prior a labelled row counts as its label says, others as
+    the model says. They do not vote, so a row's own posterior comes from its votes alone. Voters that agree more than
+    their classes explain are correlated: the excess correlation within a class, estimated anew in every round, divides
+    their say, so copies of one voter count once. Returns the posteriors and, of each voter, (rate when toxic, rate
+    when clean, weight).
     """
     import numpy as np
 
-    v = np.concatenate([votes, labels[:, None]], 1).astype(float)
-    q = np.clip(labels.astype(float), 0.02, 0.98)
-    weight = np.ones(v.shape[1])
+    number = votes.sum(1, keepdims=True)
+    v = np.concatenate([votes, number == 1, number == 0], 1).astype(float)
+    told = labels >= 0
+    q, known = labels.astype(float), np.clip(labels, 0.02, 0.98)
+    share_of = told.astype(float)  # rows without label count from the second round on
     for _ in range(rounds):
-        hot, cold = q.sum() + 1e-9, (1 - q).sum() + 1e-9
-        a = np.clip((q @ v + 0.1) / (hot + 1), 1e-4, 1 - 1e-4)
-        b = np.clip(((1 - q) @ v + 0.1) / (cold + 10), 1e-5, 1 - 1e-4)
-        a[-1], b[-1] = max(a[-1], 1 - LABEL_ERROR), min(b[-1], LABEL_ERROR)
+        use = np.where(told, known, q)
+        hot, cold = (share_of * use).sum() + 1e-9, (share_of * (1 - use)).sum() + 1e-9
+        a = np.clip(((share_of * use) @ v + 0.1) / (hot + 1), 1e-4, 1 - 1e-4)
+        b = np.clip(((share_of * (1 - use)) @ v + 0.1) / (cold + 10), 1e-5, 1 - 1e-4)
         excess = np.zeros((v.shape[1],) * 2)
-        for share, rate in ((q, a), (1 - q, b)):
-            d = (v - rate) * np.sqrt(share / share.sum())[:, None]
+        for share, rate in ((share_of * use, a), (share_of * (1 - use), b)):
+            d = (v - rate) * np.sqrt(share / (share.sum() + 1e-9))[:, None]
             cov = d.T @ d
             sd = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
-            excess += cov / sd[:, None] / sd[None, :] * (share.sum() / len(v))
+            excess += cov / sd[:, None] / sd[None, :] * (share.sum() / share_of.sum())
         np.fill_diagonal(excess, 0)
         weight = 1 / (1 + np.clip(excess - 0.1, 0, None).sum(1))
-        weight[-1] = 1.0
-        llr = v * (np.log(a) - np.log(b))
-        llr[:, -1] += (1 - v[:, -1]) * (np.log(1 - a[-1]) - np.log(1 - b[-1]))
-        now = 1 / (1 + np.exp(-np.clip(llr @ weight + math.log(hot / cold), -30, 30)))
+        now = 1 / (1 + np.exp(-np.clip((v * (np.log(a) - np.log(b))) @ weight + math.log(hot / cold), -30, 30)))
         moved, q = np.abs(now - q).max(), now
+        share_of = np.ones(len(v))
         if moved < 1e-4:
             break
     return q, list(zip(a, b, weight, strict=True))
@@ -90,11 +102,13 @@ def linear_fit(rows: list[list[int]], targets, size: int, l2: float = 2e-5, step
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> dict:
-    """{"bias": ..., "weights": {feature: weight}} from labelled documents outside the held-out fifth.
+    """{"bias": ..., "weights": {feature: weight}} from documents outside the held-out fifth, labelled or not.
 
     docs: doc_id, text; labels: doc_id, toxic. At most `most_rows` labelled documents are used, those of the least
-    hash of doc_id; counts of their features are summed in Spark, and only selected features reach the driver.
-    Rows without label, text or id are not used. Without labels of both kinds the seed lexicon alone decides.
+    hash of doc_id, and as many without label; counts of the labelled ones' features are summed in Spark, and only
+    selected features reach the driver. The voters are the seed lexicons and patterns of each language and the features
+    most associated with the labels; the classifier is fitted on the label model's posteriors. Rows without text or id
+    are not used. Without labels of both kinds the seed lexicons alone decide.
     """
     import numpy as np
 
@@ -123,7 +137,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS)
     stats = train.select("text", "toxic").mapInArrow(counted, "f string, hot long, cold long").groupBy("f").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold"))
     odds = F.log((F.col("hot") + 0.5) / (hot_n - F.col("hot") + 0.5)) - F.log((F.col("cold") + 0.5) / (cold_n - F.col("cold") + 0.5))
     z = odds / F.sqrt(1 / (F.col("hot") + 0.5) + 1 / (F.col("cold") + 0.5))
-    top = stats.where("hot >= 3").select("f", z.alias("z")).where("z > 2.5").orderBy(F.desc("z"), "f").limit(MOST_FEATURES).collect()
+    top = stats.where("hot >= 3").select("f", z.alias("z"), ((F.col("hot") / hot_n > VOTER_RATIO * (F.col("cold") + 1) / cold_n) & ~F.col("f").endswith("*")).alias("votes")).where("z > 2.5").orderBy(F.desc("z"), "f").limit(MOST_FEATURES).collect()
     names = list(dict.fromkeys([*SEED_WORDS, *(f"/{i}/" for i in range(len(_PATTERNS))), *(r["f"] for r in top)]))
     index = {f: i for i, f in enumerate(names)}
 
@@ -134,12 +148,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS)
             found = [sorted(index[f] for f in features_of(t) & index.keys()) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["at", "toxic"])
 
-    known = train.orderBy("doc_id").select("text", "toxic").mapInArrow(chosen, "at array<int>, toxic int").collect()
+    named = labels.where("toxic is not null").select("doc_id").distinct()
+    others = docs.select("doc_id").where("doc_id is not null and text is not null").where(~held_out(F.col("doc_id"))).distinct().join(small_side(cut(named, "named"), 16), "doc_id", "left_anti")
+    others = cut(others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "unlabelled")
+    others = docs.select("doc_id", "text").where("text is not null").join(small_side(others, 16), "doc_id").select("doc_id", "text", F.lit(-1).alias("toxic"))
+    known = train.union(others).orderBy("doc_id").select("text", "toxic").mapInArrow(chosen, "at array<int>, toxic int").collect()
     rows, gold = [list(r["at"]) for r in known], np.array([r["toxic"] for r in known])
-    voters = len(SEED_WORDS) + len(_PATTERNS) + MOST_VOTERS
-    votes = np.zeros((len(rows), min(voters, len(names))), np.int8)
+    seeds = len(SEED_WORDS) + len(_PATTERNS)
+    drawn_voters = [index[r["f"]] for r in top if r["votes"] and index[r["f"]] >= seeds][:MOST_VOTERS]
+    voters = {k: i for i, k in enumerate([*range(seeds), *drawn_voters])}
+    votes = np.zeros((len(rows), len(voters)), np.int8)
     for i, r in enumerate(rows):
-        votes[i, [k for k in r if k < votes.shape[1]]] = 1
+        votes[i, [voters[k] for k in r if k in voters]] = 1
     posterior, _ = label_posteriors(votes, gold)
     bias, weights = linear_fit(rows, posterior, len(names))
     return {"bias": float(bias), "weights": {f: float(weights[i]) for f, i in index.items() if abs(weights[i]) > 1e-6}}

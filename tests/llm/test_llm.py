@@ -172,6 +172,20 @@ def test_toxicity(spark):
     assert toxicity.fit_toxicity(docs, labels.limit(0))["weights"]["idiot"] > 0
 
 
+def test_label_model_corrects_labels():
+    r = np.random.default_rng(2)
+    truth = np.arange(600) % 6 == 0
+    votes = (r.random((600, 5)) < np.where(truth[:, None], 0.6, 0.02)).astype(np.int8)
+    labels = np.where(np.arange(600) % 2, -1, truth)
+    wrong = np.flatnonzero((labels == 0) & (votes.sum(1) == 0))[:3]
+    labels[wrong] = 1
+    posterior, voters = toxicity.label_posteriors(votes, labels)
+    assert (posterior[wrong] < 0.5).all() and voters[-1][0] < voters[-1][1]
+    unlabelled = (labels < 0) & (votes.sum(1) > 1) & truth
+    assert (posterior[unlabelled] > 0.5).all()
+    assert all({w for w in toxicity.features_of(t) if w[0] == "/"} for t in ("Du bist ein Trottel", "Tu es un crétin", "Eres un imbécil"))
+
+
 def brute_kn(texts):
     """Plain interpolated modified Kneser-Ney of order 4 over characters."""
     from collections import Counter
