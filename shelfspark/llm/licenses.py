@@ -1,13 +1,15 @@
-"""Licence scans: lines and whole texts compared to licence templates by Dice coefficient over word bigrams."""
+"""Licence scans: lines, whole texts and blocks of words compared to licence templates by Dice coefficient over word bigrams."""
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, words_of
+from .common import cut, let, table, words_of
 
 #: Licence notices as their licensors word them.
 TEMPLATES = {
@@ -40,6 +42,62 @@ def _bigrams(text: Column, most: float | None = None) -> Column:
     return let(words_of(text), lambda w: F.when(fits(w), F.array_distinct(pairs(w))).otherwise(F.array().cast("array<string>")))
 
 
+def _signs(template: str, threshold: float) -> set[str]:
+    """Words of which a text has at least one if any block of it reaches the threshold: without them too few bigrams can be shared."""
+    words = [w for w in re.split(r"[\W_]+", template.lower()) if w]
+    pairs, signs = set(zip(words, words[1:], strict=False)), set()
+    need, rest = math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9), sorted(set(words), key=lambda w: (-len(w), w))
+    while rest and len(pairs) >= need:
+        signs.add(rest.pop(0))
+        pairs = {p for p in pairs if not signs & set(p)}
+    return signs
+
+
+def _blocks(docs: DataFrame, known: DataFrame, best: DataFrame, templates: Mapping[str, str], threshold: float) -> DataFrame:
+    """The blocks of licence_matches(), with columns like those of `best`, the matches of whole units.
+
+    known: licence, template_bigrams, _x. A block begins and ends with a bigram of the template and is at most
+    (2-t)/t times as long as it in words. Only texts with a sign of a template are cut into positions; a block is
+    tried only where enough of the template's bigrams stand that close together.
+    """
+    spark, low = docs.sparkSession, F.lower("text")
+    signs, signed = sorted(set().union(*(_signs(t, threshold) for t in templates.values()))), F.lit(False)
+    for sign in signs:
+        if not any(other != sign and other in sign for other in signs):
+            signed = signed | low.contains(sign)
+    texts = docs.where("doc_id is not null").where(signed).select("doc_id", F.transform(F.split("text", "\n"), words_of).alias("_l"))
+    texts = texts.where(F.arrays_overlap(F.flatten("_l"), F.array(*map(F.lit, signs)))).distinct()
+    line = F.flatten(F.transform("_l", lambda w, i: F.array_repeat(i + 1, F.size(w))))
+    texts = texts.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.flatten("_l").alias("_w"), line.alias("_n")).where(F.size("_w") > 1)
+    pairs = F.transform(F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1)))
+    texts = cut(texts.select("_row", "doc_id", "_n", pairs.alias("_g")), "signed")
+    wide = {k: max(2, math.floor((len(re.findall(r"[^\W_]+", t)) - 1) * (2 - threshold) / threshold + 1e-9)) for k, t in templates.items()}
+    spans = spark.createDataFrame(sorted(wide.items()), "licence string, _span int")
+    known = known.join(F.broadcast(spans), "licence")
+    need = F.ceil(F.col("template_bigrams") * (threshold / (2 - threshold)) - 1e-9).cast("int")
+    hits = texts.select("_row", F.posexplode("_g").alias("_i", "_x")).join(F.broadcast(known), "_x")
+    hits = hits.groupBy("_row", "licence", "template_bigrams", "_span").agg(F.array_sort(F.collect_list("_i")).alias("_h")).where(F.size("_h") >= need)
+    hits = hits.select("*", F.posexplode("_h").alias("_k", "_s")).where(F.get("_h", F.col("_k") + need - 1) < F.col("_s") + F.col("_span"))
+    ends = F.filter("_h", lambda e, i: (i >= F.col("_k") + need - 1) & (e < F.col("_s") + F.col("_span")))
+    tried = hits.select("_row", "licence", "template_bigrams", "_s", F.explode(ends).alias("_e"))
+    sets = known.groupBy("licence").agg(F.collect_set("_x").alias("_t"))
+    tried = tried.join(texts, "_row").join(F.broadcast(sets), "licence")
+    tried = tried.withColumn("_d", F.array_distinct(F.slice("_g", F.col("_s") + 1, F.col("_e") - F.col("_s") + 1)))
+    size, shared = F.size("_d"), F.size(F.array_intersect("_d", "_t"))
+    tried = tried.select("_row", "doc_id", "licence", shared.alias("shared"), size.alias("line_bigrams"), "template_bigrams", (F.lit(2.0) * shared / (size + F.col("template_bigrams"))).alias("dice"),
+                         F.get("_n", F.col("_s")).alias("_from"), F.get("_n", F.col("_e") + 1).alias("_to"), "_s", "_e").where(F.col("dice") >= threshold)
+    told = best.select("doc_id", "line_no", F.col("_m.shared").alias("_shared")).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "_shared")).alias("_told"))
+    tried = tried.join(told, "doc_id", "left")
+    same = F.exists("_told", lambda u: ((u["line_no"] == 0) | u["line_no"].between(F.col("_from"), F.col("_to"))) & (u["_shared"] >= F.col("shared")))
+    tried = tried.where(~F.coalesce(same, F.lit(False)))
+    one = F.struct((-F.col("shared")).alias("a"), (-F.col("dice")).alias("d"), "licence", "_s", "_e", "_from", "shared", "line_bigrams", "template_bigrams", "dice")
+    ranked = tried.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(one)).alias("_r"))
+    none = F.filter("_r", lambda _: F.lit(False))
+    apart = lambda acc, x: F.when(F.exists(acc, lambda y: (y["_s"] <= x["_e"] + 1) & (x["_s"] <= y["_e"] + 1)), acc).otherwise(F.concat(acc, F.array(x)))
+    kept = ranked.select("doc_id", F.explode(F.aggregate("_r", none, apart)).alias("_m"))
+    return kept.select("doc_id", F.col("_m._from").alias("line_no"), "_m")
+
+
 def licence_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line_no, licence, shared, line_bigrams, template_bigrams, dice) of the best template of each unit.
 
@@ -49,6 +107,12 @@ def licence_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, t
     A template can reach the threshold only for units of t/(2-t) to (2-t)/t times its size, so others are not
     compared. Null, empty and one-word units match nothing; repeated rows are reported once; an empty table gives
     no rows. The templates are constants of the plan, so their bigrams are broadcast.
+
+    Blocks of words within or across lines are compared too, so a notice wrapped over lines of a longer text or inside
+    a paragraph is found; line_no is the line where the block begins, from 1. Of blocks that overlap the one that
+    shares most stays, then the one of greater Dice; a block that shares no more than a matched unit it touches is not
+    repeated. So a line may have a row as a unit and rows as the begin of blocks. Blocks of rows without doc_id are
+    not reported.
     """
     spark = docs.sparkSession
     known = spark.createDataFrame(sorted(templates.items()), "licence string, text string").select("licence", _bigrams(F.col("text")).alias("_b"))
@@ -65,6 +129,8 @@ def licence_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, t
     dice = F.lit(2.0) * F.col("shared") / (F.col("line_bigrams") + F.col("template_bigrams"))
     found = found.withColumn("dice", dice).where(F.col("dice") >= threshold)
     best = found.groupBy("doc_id", "line_no").agg(F.min(F.struct((-F.col("dice")).alias("d"), "licence", "shared", "line_bigrams", "template_bigrams", "dice")).alias("_m"))
+    best = cut(best, "units")
+    best = best.unionByName(_blocks(docs, known, best, templates, threshold).select("doc_id", "line_no", F.struct(*[F.col(f"_m.{c}").alias(c) for c in ("d", "licence", "shared", "line_bigrams", "template_bigrams", "dice")]).alias("_m")))
     long = [F.col(f"_m.{c}").cast("long").alias(c) for c in ("shared", "line_bigrams", "template_bigrams")]
     return best.select("doc_id", F.col("line_no").cast("long"), "_m.licence", *long, "_m.dice")
 

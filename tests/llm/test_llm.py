@@ -92,6 +92,21 @@ def test_licences(spark):
     assert sorted((r.doc_id, r.line_no, r.licence) for r in got) == [(3, 2, "MIT/short"), (4, 0, "CC-BY-NC-4.0/short")]
 
 
+def test_licence_blocks(spark):
+    import textwrap
+
+    wrapped = "\n".join(f"# {x}" for x in textwrap.wrap(licenses.TEMPLATES["Apache-2.0/notice"], 60))
+    code = "\n".join(f"call w{i} of the w{i + 1}" for i in range(80))
+    rows = [
+        (1, f"{code}\n{wrapped}\n{code}"), (2, "some words before it " * 5 + licenses.TEMPLATES["Unlicense/notice"] + " and words after it" * 5),
+        (3, f"{code}\n{chr(10).join(textwrap.wrap(licenses.TEMPLATES['MIT/text'], 70))}\n{code}\n{wrapped}"), (4, code), (5, "Released under the MIT License."),
+    ]
+    got = licenses.licence_matches(docs_of(spark, rows)).collect()
+    assert {(1, 81, "Apache-2.0/notice"), (2, 1, "Unlicense/notice"), (3, 81, "MIT/text"), (5, 0, "MIT/short")} <= {(r.doc_id, r.line_no, r.licence) for r in got}
+    assert {r.licence for r in got if r.doc_id == 3} >= {"MIT/text", "Apache-2.0/notice"} and [r.doc_id for r in got].count(5) == 1 and 4 not in {r.doc_id for r in got}
+    assert all(r.dice == 1.0 for r in got if r.licence.endswith(("/notice", "/text")))
+
+
 def test_url_filter(spark):
     rows = [
         (1, "http://A.com/en/1#x", '<link rel="canonical" href="https://alias.info/p">'),
