@@ -10,6 +10,8 @@ keeps the number of combinations of a set in proportion to its prefix.
 A block of a combination may be large (near copies of one text), so its pairs are not expanded: first every member is
 verified against the block's most central member, then only pairs of members that are still in different components.
 Every pair that could link is verified or known to be connected, so the components are exact.
+
+jaccard_join() returns the links themselves: it verifies every candidate pair, skipping none that is connected.
 """
 
 from __future__ import annotations
@@ -308,14 +310,14 @@ def _dealt(cells: DataFrame, docs: int) -> tuple[DataFrame, DataFrame]:
     return cells, small_side(need, 24)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) that link by their whole sets, enough to connect all that they connect.
+def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: int, percent: int, every: bool = False) -> DataFrame:
+    """Of the pairs (a, b) that link by their whole sets, enough to connect all that they connect, or every one.
 
     Pairs are dealt to cells: a cluster of the candidate graph is one cell if it has at most CELL documents, else
     its documents are dealt to buckets and a cell has the pairs of two of them. Cells are dealt to parts, so a
     document goes to a part once however many pairs it has there, and a part is bounded whatever the cluster.
     First the short sketches (doc_id, n, sketch) go to the parts and rule out pairs that can't link; then the texts
-    of the others. A pair that earlier links of its part connect already is not compared.
+    of the others. A pair that earlier links of its part connect already is not compared, unless every link is asked for.
     """
     found = connected_components(pairs, most=pairs.count())
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / CELL).cast("int").alias("buckets"))
@@ -348,8 +350,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: in
 
         for p, q in sorted(set(zip(wanted["a"].tolist(), wanted["b"].tolist(), strict=True))):
             r, t = root(p), root(q)
-            if r != t and 100 * (both := _common(known[p], known[q])) >= percent * (len(known[p]) + len(known[q]) - both):
-                up[max(r, t)] = min(r, t)
+            if (every or r != t) and 100 * (both := _common(known[p], known[q])) >= percent * (len(known[p]) + len(known[q]) - both):
+                if r != t:
+                    up[max(r, t)] = min(r, t)
                 out.append((p, q))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
@@ -375,6 +378,30 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     nothing. Rows that repeat a doc_id with the same text count once; rows without doc_id are not reported; an
     empty table gives no rows. Shingles are 64-bit hashes.
     """
+    copies, sets, found, _ = _joined(docs, width, percent, most, False)
+    return _labelled(copies, sets, found)
+
+
+def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """(rep_a, rep_b) of every two different sets that link, and (doc_id, rep, n_shingles, component_id, links) of every document.
+
+    Documents of equal sets are one class, named by a representative doc_id; documents without shingles are classes
+    of their own. links is the number of other documents that a document links with: those of its own class and of
+    all classes that its class links with. Otherwise as jaccard_components(); no link is skipped.
+    """
+    copies, sets, found, links = _joined(docs, width, percent, most, True)
+    rep = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("rep"))
+    member = cut(copies.join(sets.select(F.col("doc_id").alias("first"), "n", "rep"), "first").select("doc_id", "n", rep.alias("rep")), "members")
+    sizes = cut(member.groupBy("rep").agg(F.count("*").alias("size")), "class-sizes")
+    ends = links.select("a", "b").union(links.select("b", "a")).toDF("rep", "other")
+    beside = ends.join(sizes.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("beside"))
+    of_class = sizes.join(beside, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("beside", F.lit(0))).alias("links"))
+    out = _labelled(copies, sets, found).join(member.select("doc_id", "rep"), "doc_id").join(of_class, "rep")
+    return links.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b")), out.select("doc_id", "rep", "n_shingles", "component_id", "links")
+
+
+def _joined(docs: DataFrame, width: int, percent: int, most: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, first) of equal texts, (doc_id, n, rep) of equal sets, (id, component) and links (a, b) of representatives: every one, or enough for the components."""
     spark = docs.sparkSession
     arrow_batches(spark)
     known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
@@ -407,8 +434,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     star = combined.join(pivots, "key").where(fits).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
     pairs = cut(rare.union(star).distinct(), "pairs")
     discard(rare)
-    links = _verified(pairs, texts, sketches, width, percent)
+    if every:
+        x, y = (combined.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("id", "n", "rare")]) for i in (1, 2))
+        near = f"id1 < id2 and least(n1 - rare1, n2 - rare2) >= {_need('n1', 'n2', percent)}"
+        rest = x.join(y, "key").where(near).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+        pairs = cut(pairs.union(rest).distinct(), "pairs")
+    links = _verified(pairs, texts, sketches, width, percent, every)
     discard(pairs)
+    if every:
+        links = cut(links.distinct(), "all-links")
+        return copies, sets, connected_components(links, most=links.count()), links
     found = connected_components(links, most=links.count())
 
     left = combined.join(found, "id", "left").select("key", "id", "n", "rare", F.coalesce("component", "id").alias("c"))
@@ -421,8 +456,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     if not rest.isEmpty():
         more = _verified(rest, texts, sketches, width, percent)
         if not more.isEmpty():
-            found = connected_components(links.union(more))
+            links = links.union(more)
+            found = connected_components(links)
+    return copies, sets, found, links
+
 
+def _labelled(copies: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
     of_rep = sets.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     of_rep = of_rep.select(F.col("doc_id").alias("first"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
     out = copies.join(of_rep, "first")
@@ -433,6 +472,11 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The membership of jaccard_join() with its number of links; op4_ngram_jaccard keeps the columns of its SQL."""
+    return jaccard_join(table(spark, sf_dir, "documents"))[1]
+
+
 SQL = {
     "op4_ngram_jaccard": """
         WITH RECURSIVE w AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

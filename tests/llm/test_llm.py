@@ -66,6 +66,19 @@ def test_jaccard_components(spark, most, monkeypatch):
     assert sorted(map(tuple, got)) == sorted((d, len(s), label[d]) for d, s in sets.items())
 
 
+@pytest.mark.parametrize("most", [1, 128])
+def test_jaccard_join_has_every_link(spark, most, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "CELL", 4)
+    rows = corpus()
+    sets = {d: shingles(t, 4) for d, t in rows}
+    linked = {(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    pairs, members = (df.collect() for df in ngramjoin.jaccard_join(docs_of(spark, rows), most=most))
+    rep = {r.doc_id: r.rep for r in members}
+    assert {tuple(sorted((r.rep_a, r.rep_b))) for r in pairs} == {tuple(sorted((rep[a], rep[b]))) for a, b in linked if rep[a] != rep[b]}
+    assert {r.doc_id: r.links for r in members} == {d: sum(d in p for p in linked) for d in sets}
+    assert all((rep[a] == rep[b]) == (sets[a] == sets[b]) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b])
+
+
 def test_exact_groups(spark):
     rows = corpus()
     got = {r.doc_id: r for r in exactdedup.exact_groups(docs_of(spark, rows), keep="max").collect()}
