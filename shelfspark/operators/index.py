@@ -1,4 +1,4 @@
-"""Inverted index as tables: postings, document lengths and their merge."""
+"""Inverted index as tables: postings and their writing."""
 
 from __future__ import annotations
 
