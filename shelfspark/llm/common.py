@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from urllib.parse import urlparse
 
@@ -18,12 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
+    """The folder that all executors share, with its scheme: spark.checkpoint.dir, which Spark may set only itself in local mode.
+
+    A folder without scheme is resolved by Hadoop's default filesystem, so that Spark and Store mean the same one.
+    Unset, it is a folder of this machine in local mode (tests); on a cluster that is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/shelfspark-checkpoints"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = "file:/tmp/shelfspark-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    where = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -49,14 +57,19 @@ def cut(df: DataFrame, label: str = "cut", most: int | None = None) -> DataFrame
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what cut() wrote, once nothing later reads it, and let Spark's cleaner drop the shuffle files of plans that are done."""
+def discard(*tables: DataFrame) -> None:
+    """Delete what cut() wrote, once nothing later reads it."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def swept(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are done."""
     import gc
 
-    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
     gc.collect()
-    df.sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -108,6 +121,10 @@ class Store:
             out.write(json.dumps(value).encode())
         self.rename(temporary, name)
 
+    def read_json(self, name: str):
+        with self.open(name) as f:
+            return json.loads(f.read())
+
     def array(self, name: str, dtype):
         """A flat file as an array: mapped where the folder is a local mount, read otherwise."""
         import numpy as np

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def connected_components(edges: DataFrame, rounds: int = 60, most: int | None = None) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, rounds: int = 60, most: int | None =
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(root.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc", 2 * state[0])
+        e, old = cut(small.union(root.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc", 2 * state[0]), e
+        discard(old)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-#: Multiplier of the polynomial over bytes modulo 2**64, and its inverse.
-_R = 0x9E3779B97F4A7C15
-_R_INVERSE = pow(_R, -1, 1 << 64)
 CHUNK_BYTES = 1 << 20
 
 
@@ -19,54 +16,61 @@ def mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
-class SpanHasher:
-    """Names spans of bytes by sums of a polynomial, so that all spans of a buffer take a few passes over it."""
+def names_of(words: list[bytes]):
+    """64 bits of XXH3 of each word. Links are confirmed on the words themselves, so a collision adds a candidate only."""
+    import numpy as np
+    from xxhash import xxh3_64_digest
+
+    return np.frombuffer(b"".join(map(xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
-    def __init__(self):
-        import numpy as np
 
-        self.codes = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.powers = self.inverses = np.zeros(0, np.uint64)
+def segments(data: bytes, size: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """A text in parts of about `size` bytes that end at a blank or line end, so that a long one is never cut into words at once."""
+    at = 0
+    while at < len(data):
+        stops = [x for x in (data.find(b" ", at + size), data.find(b"\n", at + size)) if x >= 0]
+        stop = min(stops, default=len(data))
+        yield data[at:stop]
+        at = stop
 
-    def names(self, b, begins, stops):
-        import numpy as np
 
-        if len(b) > len(self.powers):
-            self.powers, self.inverses = (np.cumprod(np.full(len(b) + (1 << 18), x, np.uint64)) for x in (_R, _R_INVERSE))
-        if not len(begins):
-            return np.zeros(0, np.uint64)
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(self.codes[b] * self.powers[: len(b)], out=sums[1:])
-        return mixed((sums[stops] - sums[begins]) * self.inverses[begins] + (stops - begins).astype(np.uint64) * np.uint64(_R))
+def shingles_of(text: str | None, width: int) -> set[tuple[bytes, ...]]:
+    """The distinct shingles of `width` words themselves; fewer words are one shingle, without words there is none."""
+    words = (text or "").encode().lower().split()  # of bytes: A-Z and ASCII blanks alone
+    if len(words) < width:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(width)), strict=False))
 
 
-def shingle_sets(texts: Iterable[str | None], width: int, hasher: SpanHasher) -> Iterator:
+def shingle_sets(texts: Iterable[str | None], width: int) -> Iterator:
     """Per text, the sorted distinct hashes of its shingles of `width` words.
 
     Words are runs of other bytes than blank and 0x09-0x0D, A-Z lower-cased. Fewer words than the width are one
-    shingle; without words the set is empty. Texts are taken whole, a chunk of about a megabyte at a time.
+    shingle; without words the set is empty. Texts are taken whole; a chunk of them is hashed at once.
     """
-    chunk, size = [], 0
+    codes, size = [], 0
     for t in texts:
-        chunk.append((t or "").encode())
-        size += len(chunk[-1])
-        if size >= CHUNK_BYTES:
-            yield from _sets(chunk, width, hasher)
-            chunk, size = [], 0
-    yield from _sets(chunk, width, hasher)
+        codes.append(_codes((t or "").encode().lower()))
+        size += len(codes[-1])
+        if size >= CHUNK_BYTES // 8:
+            yield from _sets(codes, width)
+            codes, size = [], 0
+    if codes:
+        yield from _sets(codes, width)
+
+
+def _codes(data: bytes):
+    import numpy as np
+
+    if len(data) <= CHUNK_BYTES:
+        return names_of(data.split())
+    return np.concatenate([names_of(part.split()) for part in segments(data)])
 
 
-def _sets(texts: list[bytes], width: int, hasher: SpanHasher) -> Iterator:
+def _sets(codes: list, width: int) -> Iterator:
     import numpy as np
 
-    if not texts:
-        return
-    b = np.frombuffer(b" ".join(texts), np.uint8)
-    b = np.where((b >= 65) & (b <= 90), b + np.uint8(32), b).astype(np.uint8)
-    blank = np.concatenate([[True], (b == 32) | ((b >= 9) & (b <= 13)), [True]])
-    begins, stops = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
-    w = hasher.names(b, begins, stops)
-    ends = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts]))
+    w, ends = np.concatenate(codes), np.cumsum([len(c) for c in codes])
     factors = [np.uint64(x) for x in mixed(np.arange(1, width + 1, dtype=np.uint64)).tolist()]
     n = max(0, len(w) - width + 1)
     all_of = np.zeros(n, np.uint64)

@@ -22,9 +22,9 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, arrow_batches, cut, discard, fresh_dir, small_side, table
+from .common import Store, arrow_batches, cut, discard, fresh_dir, small_side, swept, table
 from .graph import connected_components
-from .hashing import SpanHasher, mixed, shingle_sets
+from .hashing import mixed, shingle_sets, shingles_of
 
 WIDTH, PERCENT, FREQUENT = 4, 85, 128
 #: Tokens that a task gathers before it hands them on, and tokens for each shard of the counts and of the index.
@@ -67,7 +67,7 @@ def _set_rows(texts: DataFrame, shards: int, width: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        hasher, held, size = SpanHasher(), [], 0
+        held, size = [], 0
         names = ["doc_id", "n", "k1", "k2", "shard", "blob"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
@@ -80,7 +80,7 @@ def _set_rows(texts: DataFrame, shards: int, width: int) -> DataFrame:
 
         for batch in batches:
             out = []
-            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width, hasher), strict=True):
+            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width), strict=True):
                 k1, k2 = (int(mixed(s ^ np.uint64(seed)).sum(dtype=np.uint64).astype(np.int64)) for seed in (0, 0x5851F42D4C957F2D))
                 out.append((doc, len(s), k1, k2))
                 held.append((s >> np.uint64(32)).astype(np.uint32))
@@ -97,7 +97,7 @@ def _set_rows(texts: DataFrame, shards: int, width: int) -> DataFrame:
 
 
 def _write_frequent(counts: DataFrame, path: str, most: int) -> None:
-    """For each shard a file of the codes that stand in more than `most` sets, and one of their counts."""
+    """For each shard a file of the codes that stand in more than `most` sets, and one of their counts; shards.json names them."""
     Store(path)
 
     def write(pdf):
@@ -112,7 +112,8 @@ def _write_frequent(counts: DataFrame, path: str, most: int) -> None:
             store.rename(made, f"{shard:06d}.{kind}")
         return pdf[["shard"]].head(1)
 
-    counts.groupBy("shard").applyInPandas(write, "shard int").agg(F.count("*")).first()
+    written = counts.groupBy("shard").applyInPandas(write, "shard int").collect()  # one number a shard
+    Store(path).write_json("shards.json", sorted(r["shard"] for r in written))
 
 
 class _Frequent:
@@ -122,8 +123,7 @@ class _Frequent:
         import numpy as np
 
         store = Store(path)
-        there = {i.base_name for i in store.fs.get_file_info(_selector(store.root))}
-        names = [(k, f"{k:06d}") for k in range(shards) if f"{k:06d}.codes" in there]
+        names = [(k, f"{k:06d}") for k in store.read_json("shards.json")]
         parts = [(k, store.array(f"{x}.codes", "<u4"), store.array(f"{x}.counts", "<u4")) for k, x in names]
         parts = [p for p in parts if len(p[1])]
         if sum(len(p[1]) for p in parts) <= joined_codes and parts:
@@ -145,12 +145,6 @@ class _Frequent:
         return out
 
 
-def _selector(root: str):
-    from pyarrow import fs
-
-    return fs.FileSelector(root)
-
-
 def _blob(token, doc, n, at) -> bytes:
     packed = [_pack(token, True), _pack(doc), _pack(n), _pack(at)]
     return b"".join(len(x).to_bytes(4, "little") + x for x in packed)
@@ -174,7 +168,7 @@ def _index(texts: DataFrame, path: str, shards: int, width: int, percent: int) -
         import numpy as np
         import pyarrow as pa
 
-        hasher, frequent, held, size = SpanHasher(), _Frequent(path, shards), [], 0
+        frequent, held, size = _Frequent(path, shards), [], 0
         names, kinds = ["shard", "blob", "key", "id", "n", "rare", "sketch"], [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
         def of(*columns):
@@ -193,7 +187,7 @@ def _index(texts: DataFrame, path: str, shards: int, width: int, percent: int) -
 
         for batch in batches:
             docs, sketched = batch.column(0).to_pylist(), []
-            for doc, s in zip(docs, shingle_sets(batch.column(1).to_pylist(), width, hasher), strict=True):
+            for doc, s in zip(docs, shingle_sets(batch.column(1).to_pylist(), width), strict=True):
                 n = len(s)
                 if 100 * n < percent * (n + 1):  # only an equal set can link
                     continue
@@ -335,13 +329,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: in
     rows = sketches.join(need, "doc_id").select("part", "doc_id", "n", "sketch")
     left = cut(dealt.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(near, "cell long, a long, b long"), "near")
     discard(cells)
-    hasher = SpanHasher()
 
     def links(wanted, held):
         import pandas as pd
 
-        known = dict(zip(held["doc_id"].tolist(), shingle_sets(held["text"].tolist(), width, hasher), strict=True))
-        up, out = {}, []
+        texts_of = dict(zip(held["doc_id"].tolist(), held["text"].tolist(), strict=True))
+        known = dict(zip(texts_of, shingle_sets(texts_of.values(), width), strict=True))
+        up, out, of = {}, [], _Shingles(texts_of, width)
 
         def root(d):
             while d in up:
@@ -351,6 +345,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: in
         for p, q in sorted(set(zip(wanted["a"].tolist(), wanted["b"].tolist(), strict=True))):
             r, t = root(p), root(q)
             if (every or r != t) and 100 * (both := _common(known[p], known[q])) >= percent * (len(known[p]) + len(known[q]) - both):
+                x, y = of(p), of(q)
+                both = len(x & y)
+                if 100 * both < percent * (len(x) + len(y) - both):
+                    continue
                 if r != t:
                     up[max(r, t)] = min(r, t)
                 out.append((p, q))
@@ -361,6 +359,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: in
     return cut(dealt.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(links, "a long, b long"), "links")
 
 
+class _Shingles:
+    """The shingles themselves of a part's texts; those of the last two are kept."""
+
+    def __init__(self, texts: dict, width: int):
+        self.texts, self.width, self.held = texts, width, {}
+
+    def __call__(self, doc):
+        if doc not in self.held:
+            self.held = dict(list(self.held.items())[-1:])
+            self.held[doc] = shingles_of(self.texts[doc], self.width)
+        else:
+            self.held[doc] = self.held.pop(doc)
+        return self.held[doc]
+
+
 def _common(s, u) -> int:
     import numpy as np
 
@@ -369,26 +382,46 @@ def _common(s, u) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most: int = FREQUENT) -> DataFrame:
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with one text for each doc_id, and (id, doc_id) if for that texts were numbered anew."""
+    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    keyed = known.select("doc_id", F.unhex(F.md5("text")).alias("h"))
+    several = keyed.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("rows")).where("rows > 1")
+    rows, texts = several.agg(F.count("*"), F.count_if(F.col("a") != F.col("b"))).first()
+    if not rows:
+        return known, None
+    if not texts:
+        return known.groupBy("doc_id").agg(F.first("text").alias("text")), None
+    names = cut(keyed.distinct().withColumn("id", F.monotonically_increasing_id()), "text-ids")  # written, so the numbers stay
+    once = known.withColumn("h", F.unhex(F.md5("text"))).join(names, ["doc_id", "h"]).groupBy("id").agg(F.first("text").alias("text"))
+    return cut(once.withColumnRenamed("id", "doc_id"), "numbered"), names.select("id", "doc_id")
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most: int = FREQUENT, keyed: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document of docs (doc_id, text; others are not read).
 
     Words are runs of other characters than blank and 0x09-0x0D, A-Z lower-cased; a set holds the distinct shingles
     of `width` words, fewer words are one shingle. Documents link when 100 * intersection >= percent * union;
     component_id is the smallest doc_id that links reach. Null and empty texts have no shingles and link with
-    nothing. Rows that repeat a doc_id with the same text count once; rows without doc_id are not reported; an
-    empty table gives no rows. Shingles are 64-bit hashes.
+    nothing. Rows that repeat a doc_id with the same text count once, with another text they are a document of their
+    own (keyed: with its text_md5, binary); rows without doc_id are not reported; an empty table gives no rows. Candidates come
+    from 64-bit hashes of shingles, links are confirmed on the shingles.
     """
+    docs, names = _numbered(docs)
     copies, sets, found, _ = _joined(docs, width, percent, most, False)
-    return _labelled(copies, sets, found)
+    out = _named(_labelled(copies, sets, found), names, "component_id")
+    return out.select("doc_id", "n_shingles", "component_id", *(["text_md5"] if keyed else []))
 
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
     """(rep_a, rep_b) of every two different sets that link, and (doc_id, rep, n_shingles, component_id, links) of every document.
 
-    Documents of equal sets are one class, named by a representative doc_id; documents without shingles are classes
-    of their own. links is the number of other documents that a document links with: those of its own class and of
-    all classes that its class links with. Otherwise as jaccard_components(); no link is skipped.
+    Documents of equal sets are one class, named by a representative: a doc_id, or a number of its own where a doc_id
+    has several texts; documents without shingles are classes of their own. links is the number of other documents
+    that a document links with: those of its own class and of all classes that its class links with. Otherwise as
+    jaccard_components(); no link is skipped.
     """
+    docs, names = _numbered(docs)
     copies, sets, found, links = _joined(docs, width, percent, most, True)
     rep = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("rep"))
     member = cut(copies.join(sets.select(F.col("doc_id").alias("first"), "n", "rep"), "first").select("doc_id", "n", rep.alias("rep")), "members")
@@ -397,19 +430,45 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, mo
     beside = ends.join(sizes.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("beside"))
     of_class = sizes.join(beside, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("beside", F.lit(0))).alias("links"))
     out = _labelled(copies, sets, found).join(member.select("doc_id", "rep"), "doc_id").join(of_class, "rep")
-    return links.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b")), out.select("doc_id", "rep", "n_shingles", "component_id", "links")
+    out = _named(out, names, "component_id").select("doc_id", "rep", "n_shingles", "component_id", "links")
+    return links.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b")), out
+
+
+def _named(rows: DataFrame, names: DataFrame | None, component: str) -> DataFrame:
+    """`rows` with documents' ids in place of numbers of texts."""
+    if names is None:
+        return rows
+    rows = rows.withColumnRenamed("doc_id", "id").join(names, "id")
+    least = rows.groupBy(component).agg(F.min("doc_id").alias("_least"))
+    return rows.join(least, component).withColumn(component, F.col("_least")).drop("id", "_least")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id) of the pairs (doc_id, rep) whose sets are equal shingle by shingle."""
+    parts = 1 + pairs.count() // 1_000
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    need = cut(pairs.select("part", F.explode(F.array("doc_id", "rep")).alias("doc_id")).distinct(), "needed")
+
+    def same(wanted, held):
+        of = _Shingles(dict(zip(held["doc_id"].tolist(), held["text"].tolist(), strict=True)), width)
+        wanted = wanted.sort_values("rep")
+        told = [len(of(r) ^ of(d)) == 0 for d, r in zip(wanted["doc_id"].tolist(), wanted["rep"].tolist(), strict=True)]
+        return wanted.loc[told, ["doc_id"]]
+
+    rows = texts.join(small_side(need, 24), "doc_id").select("part", "doc_id", "text")
+    return pairs.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(same, "doc_id long")
 
 
 def _joined(docs: DataFrame, width: int, percent: int, most: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(doc_id, first) of equal texts, (doc_id, n, rep) of equal sets, (id, component) and links (a, b) of representatives: every one, or enough for the components."""
-    spark = docs.sparkSession
+    """(doc_id, first, text_md5) of equal texts, (doc_id, n, rep) of equal sets, (id, component) and links (a, b) of representatives: every one, or enough for the components."""
+    spark, known = docs.sparkSession, docs
     arrow_batches(spark)
-    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    keyed = cut(known.select("doc_id", F.unhex(F.md5("text")).alias("h"), F.octet_length("text").alias("size")).distinct(), "hashed")
+    keyed = cut(known.select("doc_id", F.unhex(F.md5("text")).alias("h"), F.octet_length("text").alias("size")), "hashed")
     first = keyed.groupBy("h").agg(F.min("doc_id").alias("first"))
-    copies = keyed.join(first, "h").select("doc_id", "first")
+    copies = keyed.join(first, "h").select("doc_id", "first", F.col("h").alias("text_md5"))
     total, docs_read = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     copies = cut(copies, "copies", docs_read)
+    discard(keyed)
     again = small_side(cut(copies.where("doc_id <> first").select("doc_id"), "again"), 16)
     shards = 1 << max(0, (total // 6 // SHARD_TOKENS).bit_length())
 
@@ -417,10 +476,14 @@ def _joined(docs: DataFrame, width: int, percent: int, most: int, every: bool) -
     rows = cut(_set_rows(texts, shards, width), "set-rows")
     path = fresh_dir(spark, "frequent")
     _write_frequent(rows.where("shard is not null").select("shard", "blob"), path, most)
-    sets = rows.where("doc_id is not null").select("doc_id", "n", "k1", "k2").distinct()
+    sets = rows.where("doc_id is not null").select("doc_id", "n", "k1", "k2")
     key = sets.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     sets = cut(sets.join(key, ["n", "k1", "k2"]).select("doc_id", "n", "rep"), "reps", docs_read)
     discard(rows)
+    twins = cut(sets.where("doc_id <> rep and n > 0").select("doc_id", "rep"), "twins")
+    if not twins.isEmpty():
+        alike = small_side(cut(_alike(twins, texts, width).withColumn("alike", F.lit(True)), "alike"), 17)
+        sets = cut(sets.join(alike, "doc_id", "left").select("doc_id", "n", F.when(F.col("alike"), F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "reps", docs_read)
     same = small_side(cut(sets.where("doc_id <> rep or n = 0").select("doc_id"), "same"), 16)
     texts = texts.join(same, "doc_id", "left_anti")
 
@@ -429,6 +492,7 @@ def _joined(docs: DataFrame, width: int, percent: int, most: int, every: bool) -
     combined = cut(index.where("key is not null").select("key", "id", "n", "rare"), "combined")
     sketches = cut(index.where("sketch is not null").select(F.col("id").alias("doc_id"), "n", "sketch"), "sketches")
     discard(index)
+    swept(spark)
     pivots = combined.groupBy("key").agg(F.min(F.struct("rare", "id", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
     fits = f"id <> p.id and least(n - rare, p.n - p.rare) >= {_need('n', 'p.n', percent)}"
     star = combined.join(pivots, "key").where(fits).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
@@ -448,6 +512,7 @@ def _joined(docs: DataFrame, width: int, percent: int, most: int, every: bool) -
 
     left = combined.join(found, "id", "left").select("key", "id", "n", "rare", F.coalesce("component", "id").alias("c"))
     left = cut(left, "combined")
+    discard(combined)
     mixed_keys = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     left = left.join(mixed_keys, "key", "left_semi")
     x, y = (left.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("id", "n", "rare", "c")]) for i in (1, 2))
@@ -465,7 +530,7 @@ def _labelled(copies: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame
     of_rep = sets.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     of_rep = of_rep.select(F.col("doc_id").alias("first"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
     out = copies.join(of_rep, "first")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "text_md5")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

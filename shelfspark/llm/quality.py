@@ -7,6 +7,7 @@ classifier does not use it.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Store, arrow_batches, cut, discard, fresh_dir, small_side, table
-from .hashing import SpanHasher, mixed
+from .hashing import mixed, names_of, segments
 
 #: Share of a language's trusted documents that stays below its threshold.
 QUANTILE = 0.99
@@ -27,6 +28,7 @@ CHUNK_UNITS, HELD_GRAMS = 1 << 19, 2_000_000
 #: A prime: n-grams are dealt to shards by their remainder, in Spark and in numpy alike.
 SHARDS = 61
 _BEGIN, _END = "\x02\x02\x02", "\x03"
+_UNITS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^ \t-\r]")
 
 
 def grams_of(text: str | None):
@@ -203,7 +205,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return rows.mapInArrow(score, "doc_id long, lang string, perplexity double")
 
 
-def word_codes(texts, hasher: SpanHasher) -> list:
+def word_codes(texts) -> list:
     """Of each text, the 40-bit codes of its units between two begin codes and an end code.
 
     Units are runs of letters, digits and bytes outside ASCII, and each other character that is not blank.
@@ -211,15 +213,8 @@ def word_codes(texts, hasher: SpanHasher) -> list:
     import numpy as np
 
     begin, end, mask = np.array([1, 1], np.uint64), np.array([2], np.uint64), np.uint64((1 << 40) - 1)
-    out = []
-    for text in texts:
-        b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-        word = (b >= 128) | ((b >= 48) & (b <= 57)) | ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122))
-        alone = ~word & (b != 32) & ~((b >= 9) & (b <= 13))
-        begins = np.flatnonzero((word & ~np.concatenate([[False], word[:-1]])[: len(word)]) | alone)
-        stops = np.flatnonzero((word & ~np.concatenate([word[1:], [False]])[: len(word)]) | alone) + 1
-        out.append(np.concatenate([begin, hasher.names(b, begins, stops) & mask, end]))
-    return out
+    parts = ((names_of(_UNITS.findall(part)) & mask for part in segments((t or "").encode("utf-8", "surrogatepass"))) for t in texts)
+    return [np.concatenate([begin, *codes, end]) for codes in parts]
 
 
 def _key(*codes):
@@ -360,7 +355,7 @@ class WordModels:
             import numpy as np
             import pyarrow as pa
 
-            hasher, held, size = SpanHasher(), {}, 0
+            held, size = {}, 0
             schema = pa.schema([("model", pa.string()), ("shard", pa.int32()), *[(f"blob{i}", pa.binary()) for i in (1, 2, 3, 4)], *[(c, pa.int64()) for c in _STATS]])
 
             def flush():
@@ -373,7 +368,7 @@ class WordModels:
 
             for batch in batches:
                 langs, folds, texts = (x.to_pylist() for x in batch.columns)
-                for lang, fold, codes in zip(langs, folds, word_codes(texts, hasher), strict=True):
+                for lang, fold, codes in zip(langs, folds, word_codes(texts), strict=True):
                     for other in range(FOLDS):
                         if other != fold:
                             held.setdefault(f"{lang.encode().hex()}-{other}", []).append(codes)
@@ -433,7 +428,7 @@ class WordModels:
             import numpy as np
             import pyarrow as pa
 
-            tables, hasher = _Tables(path, shards), SpanHasher()
+            tables = _Tables(path, shards)
 
             def probabilities(model, a, b, c):
                 n1, n2, _, _, kinds, total = stats[model][1]
@@ -462,7 +457,7 @@ class WordModels:
                         while rows and size < CHUNK_UNITS * 6:
                             taken.append(rows.pop())
                             size += len(texts[taken[-1]] or "")
-                        codes = word_codes([texts[i] for i in taken], hasher)
+                        codes = word_codes([texts[i] for i in taken])
                         a, b, c = (np.concatenate([u[k : len(u) - 2 + k] for u in codes]) for k in range(3))
                         lp, end = np.log(probabilities(model, a, b, c)), 0
                         for i, u in zip(taken, codes, strict=True):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Iterator
 
-from .hashing import SpanHasher
+from .hashing import segments
 
 #: End id of a document.
 END_ID = 1
@@ -22,8 +22,7 @@ class PieceEncoder:
     """ids of texts, as Tokenizer.encode(text, add_special_tokens=False) gives them.
 
     The vocabulary drops white space before it pairs letters, so no id spans a blank or a line end: a text's ids
-    are those of the pieces between them, one after the other. A piece is encoded once and then found by a 64-bit
-    hash of its bytes and its length.
+    are those of the pieces between them, one after the other. A piece is encoded once and then found by its bytes.
     """
 
     def __init__(self, path: str):
@@ -31,13 +30,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.hasher = SpanHasher()
         self._forget()
 
     def _forget(self) -> None:
         import numpy as np
 
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.starts, self.sizes, self.flat = (np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32))
         self.used = 0
 
@@ -63,10 +61,18 @@ class PieceEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator:
         """One uint32 array per text; a null text is empty."""
+        import numpy as np
+
         chunk, size = [], 0
         for t in texts:
-            chunk.append((t or "").encode())
-            size += len(chunk[-1])
+            data = (t or "").encode()
+            if len(data) > CHUNK_BYTES:
+                yield from self._encode(chunk)
+                chunk, size = [], 0
+                yield np.concatenate([ids for part in segments(data, CHUNK_BYTES) for ids in self._encode([part])])
+                continue
+            chunk.append(data)
+            size += len(data)
             if size >= CHUNK_BYTES:
                 yield from self._encode(chunk)
                 chunk, size = [], 0
@@ -79,24 +85,19 @@ class PieceEncoder:
             return
         if len(self.index) > CACHE_PIECES:
             self._forget()
-        joined = b" ".join(texts)
-        b = np.frombuffer(joined, np.uint8)
-        blanks = np.flatnonzero((b == 32) | (b == 10))
-        begins, stops = np.append(0, blanks + 1), np.append(blanks, len(b))
-        full = stops > begins
-        begins, stops = begins[full], stops[full]
-        names, first, at = np.unique(self.hasher.names(b, begins, stops), return_index=True, return_inverse=True)
-        names = names.tolist()
-        new = [i for i, x in enumerate(names) if x not in self.index]
+        pieces, ends = [], []
+        for t in texts:
+            pieces += filter(None, t.replace(b"\n", b" ").split(b" "))
+            ends.append(len(pieces))
+        new = [x for x in dict.fromkeys(pieces) if x not in self.index]
         if new:
-            self._learn([joined[begins[j] : stops[j]].decode() for j in first[new]])
             k = len(self.index)
-            self.index.update((names[i], k + j) for j, i in enumerate(new))
-        at = np.array([self.index[x] for x in names], np.int64)[at] if names else np.zeros(0, np.int64)
+            self._learn([x.decode() for x in new])
+            self.index.update(zip(new, range(k, k + len(new)), strict=True))
+        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         sizes = self.sizes[at].astype(np.int64)
         done = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[at] - (done - sizes), sizes) + np.arange(done[-1] if len(done) else 0)]
-        ends = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts]))
         begin = 0
         for end in ends:
             stop = int(done[end - 1]) if end else 0

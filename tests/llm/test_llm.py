@@ -309,7 +309,7 @@ def test_quality_is_of_words(spark):
 
 def test_shingle_sets_sizes():
     texts = [t for _, t in corpus()]
-    got = list(hashing.shingle_sets(texts, 4, hashing.SpanHasher()))
+    got = list(hashing.shingle_sets(texts, 4))
     assert [len(s) for s in got] == [len(shingles(t, 4)) for t in texts]
 
 
