@@ -50,35 +50,36 @@ def first_fit_decreasing(sizes: Iterable[int], capacity: int) -> list[tuple[int,
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of at most `capacity` ids of docs (doc_id, text), cut at multiples of it; the last one is the rest."""
+    """Pieces of at most `capacity` ids of docs (doc_id, text, _g), cut at multiples of it; the last one is the rest."""
     arrow_batches(docs.sparkSession)
 
     def pieces(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_g"]
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1).to_pylist()), strict=True):
+            docs, texts, groups = (c.to_pylist() for c in batch.columns)
+            for doc, group, ids in zip(docs, groups, encoder(vocabulary).encode(texts), strict=True):
                 ids = with_end(ids)
-                rows += [(doc, i, min(capacity, len(ids) - i), zlib.crc32(ids[i : i + capacity].tobytes()), len(ids)) for i in range(0, len(ids), capacity)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names)
+                rows += [(doc, i, min(capacity, len(ids) - i), zlib.crc32(ids[i : i + capacity].tobytes()), len(ids), group) for i in range(0, len(ids), capacity)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, names)
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, PIECES)
+    return docs.select("doc_id", "text", "_g").mapInArrow(pieces, f"{PIECES}, _g long")
 
 
 def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = 11) -> DataFrame:
     """One row per piece of docs (doc_id, text): where it comes from and where it lies (sequence_id, offset).
 
     Documents get ids and an end id, so a null or empty text is the end id alone; every id lies in exactly one
-    piece. Groups are drawn by a hash of doc_id and take about `group_docs` documents at any size of the table;
-    sequences are filled inside a group and numbered group * 2**32 + bin. Pieces of a group meet in one task: a
-    group is bounded by its documents' pieces, never by a key of the data. Repeated rows are packed like others,
-    rows without doc_id too; an empty table gives no rows.
+    piece. Groups are drawn by a hash of a row's place in the table and take about `group_docs` documents at any size
+    of it; sequences are filled inside a group and numbered group * 2**32 + bin. Pieces of a group meet in one task: a
+    group is bounded by its documents' pieces, never by a key of the data, so a repeated doc_id and equal texts without
+    one are spread as well. Repeated rows are packed like others, rows without doc_id too; an empty table gives no rows.
     """
-    pieces = cut(token_pieces(docs, vocabulary, capacity), "pieces")
     groups = max(1, round(docs.count() / group_docs))
-    grouped = pieces.withColumn("_g", F.pmod(F.xxhash64(F.coalesce("doc_id", F.hash("ids_crc32").cast("long")), F.lit(seed)), F.lit(groups)))
+    drawn = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).alias("_g"))
+    grouped = cut(token_pieces(drawn, vocabulary, capacity), "pieces")
 
     def pack(pdf):
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")

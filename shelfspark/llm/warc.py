@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, arrow_batches, cut, fresh_dir, small_side, table
+from .common import Store, arrow_batches, cut, discard, fresh_dir, small_side, table
+from .ranges import byte_ranges
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -60,53 +61,67 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = 64 << 20, part_byt
     """Write one record per row of pages (page_id, url, html) below `path`; returns the rows of manifest.json there.
 
     Of rows with equal payloads (html in UTF-8; null: empty) the one with the largest page_id is a response, the
-    others revisit it. Equality is by SHA-256 of the payload; only hashes are shuffled for it, summed before the
-    shuffle. Records are dealt by ranges of page_id and sorted, a task's file is rolled before it would pass
+    others revisit it. Equality is by SHA-256 of the payload and settled over hashes alone; payloads are shuffled once,
+    together with a mark for each row that revisits another, so a hot payload is never gathered and nothing is
+    broadcast. Records are dealt by exact ranges of page_id of about `part_bytes` payload bytes (byte_ranges(); a hot
+    or null page_id is split by a hash of url and payload) and sorted, a part's file is rolled before it would pass
     `roll_bytes` compressed, each record is a gzip member without a time stamp: the same rows give the same files.
     Files get their names by renaming when complete, and the manifest comes last. Rows without page_id or url have
     no such field; of rows that repeat a page_id with equal payloads each is a response; an empty table leaves an
     empty manifest.
     """
     arrow_batches(pages.sparkSession, 200)
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.cast("binary").alias("_p"), F.unhex(F.sha2(html.cast("binary"), 256)).alias("_h"))
-    same = rows.groupBy("_h").agg(F.max("page_id").alias("_to"), F.count("*").alias("_n")).where("_n > 1").select("_h", "_to")
-    same = small_side(cut(same, "equal"), 56)
-    rows = rows.join(same, "_h", "left").select("page_id", "url", "_p", F.when(F.col("_to") != F.col("page_id"), F.col("_to")).when(F.col("page_id").isNull(), F.col("_to")).alias("_to"))
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("_p")).withColumn("_h", F.unhex(F.sha2("_p", 256)))
+    rows = rows.withColumn("_x", F.xxhash64("url", "_h"))
+    hashed = cut(rows.select("page_id", "_x", "_h", F.octet_length("_p").cast("long").alias("size")), "hashed")
+    same = hashed.groupBy("_h").agg(F.max("page_id").alias("_to"), F.count("*").alias("_n")).where("_n > 1").select("_h", "_to")
+    marks = hashed.join(small_side(cut(same, "equal"), 56), "_h").where("_to is not null and not _to <=> page_id").select("page_id", "_x", "_to").distinct()
+    parts, part_of = byte_ranges(hashed.select(F.col("page_id").alias("k"), F.col("_x").alias("x"), "size"), part_bytes)
+    none = F.lit(None).cast
+    whole = rows.select("page_id", "_x", "url", "_p", none("long").alias("_to")).unionByName(marks.select("page_id", "_x", none("string").alias("url"), none("binary").alias("_p"), "_to"))
+    whole = whole.withColumn("_part", part_of(F.col("page_id"), F.col("_x"))).repartitionById(parts, "_part")
+    whole = whole.sortWithinPartitions("_part", "page_id", "_x", F.col("_p").isNotNull())  # a mark comes before its rows
 
     def write(batches):
         import gzip
         import hashlib
 
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        store, part, made, done = Store(path), TaskContext.get().partitionId(), None, []
-        temporary, records, size, digest = f"_{uuid.uuid4().hex}", 0, 0, hashlib.sha1()
+        store, made, done, temporary, at = Store(path), None, [], f"_{uuid.uuid4().hex}", None
+        number, records, size, digest, marked = 0, 0, 0, hashlib.sha1(), None
 
         def close() -> None:
             made.close()
-            name = f"records-{part:05d}-{len(done):04d}.warc.gz"
-            store.rename(f"{temporary}.{len(done)}", name)
+            name = f"records-{at:06d}-{number:04d}.warc.gz"
+            store.rename(f"{temporary}.{at}.{number}", name)
             done.append({"file": name, "records": records, "bytes": size, "sha1": digest.hexdigest()})
 
         for batch in batches:
-            for page, url, payload, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, x, url, payload, to, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if payload is None:
+                    marked = (page, x, to)
+                    continue
+                refers = marked[2] if marked and marked[:2] == (page, x) else None
                 one = gzip.compress(record(page, url, payload, refers), 6, mtime=0)
-                if made and size + len(one) > roll_bytes:
+                if made and (part != at or size + len(one) > roll_bytes):
                     close()
                     made, records, size, digest = None, 0, 0, hashlib.sha1()
-                made = made or store.create(f"{temporary}.{len(done)}")
+                    number += 1
+                if part != at:
+                    at, number = part, 0
+                made = made or store.create(f"{temporary}.{at}.{number}")
                 made.write(one)
                 digest.update(one)
                 records, size = records + 1, size + len(one)
         if made:
             close()
+        if done:
             yield pa.RecordBatch.from_pylist(done)
 
-    files = [r.asDict() for r in rows.repartitionByRange(parts, "page_id").sortWithinPartitions("page_id", "url", "_p").mapInArrow(write, _FILES).collect()]
+    files = [r.asDict() for r in whole.mapInArrow(write, _FILES).collect()]
+    discard(hashed)
     files.sort(key=lambda r: r["file"])
     Store(path).write_json("manifest.json", {"files": files})
     return files
