@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, table, words_of
+from .common import cut, let, small_side, table, words_of
 
 #: Licence notices as their licensors word them.
 TEMPLATES = {
@@ -33,69 +33,80 @@ TEMPLATES = {
 THRESHOLD = 0.8
 
 
-def _bigrams(text: Column, most: float | None = None) -> Column:
-    """Distinct word pairs; a single word has none. With `most`, a text that surely has more of them gives none."""
-    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
-    fits = lambda w: F.size(w) > 1
-    if most is not None:  # d distinct words stand in at least d - 1 distinct pairs
-        fits = lambda w: (F.size(w) > 1) & ((F.size(w) <= most) | (F.size(F.array_distinct(w)) - 1 <= most))
-    return let(words_of(text), lambda w: F.when(fits(w), F.array_distinct(pairs(w))).otherwise(F.array().cast("array<string>")))
+#: Words that stand in any text: a sign of a template is rather another word.
+_COMMON = ("a", "an", "and", "as", "at", "be", "by", "for", "from", "in", "is", "it", "not", "of", "on", "or", "that", "the", "this", "to", "with", "you")
+
+
+def _words(template: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", template.lower()) if w]
+
+
+def _need(bigrams: int, threshold: float) -> int:
+    """Distinct bigrams of a template that a unit has to share."""
+    return math.ceil(bigrams * threshold / (2 - threshold) - 1e-9)
 
 
 def _signs(template: str, threshold: float) -> set[str]:
-    """Words of which a text has at least one if any block of it reaches the threshold: without them too few bigrams can be shared."""
-    words = [w for w in re.split(r"[\W_]+", template.lower()) if w]
+    """Words of which a text has at least one if any part of it reaches the threshold: without them too few bigrams can be shared."""
+    words = _words(template)
     pairs, signs = set(zip(words, words[1:], strict=False)), set()
-    need, rest = math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9), sorted(set(words), key=lambda w: (-len(w), w))
+    need, rest = _need(len(pairs), threshold), sorted(set(words), key=lambda w: (w in _COMMON, -len(w), w))
     while rest and len(pairs) >= need:
         signs.add(rest.pop(0))
         pairs = {p for p in pairs if not signs & set(p)}
     return signs
 
 
-def _blocks(docs: DataFrame, known: DataFrame, best: DataFrame, templates: Mapping[str, str], threshold: float) -> DataFrame:
-    """The blocks of licence_matches(), with columns like those of `best`, the matches of whole units.
+def _hits(docs: DataFrame, known: DataFrame, templates: Mapping[str, str], threshold: float) -> DataFrame:
+    """(doc_id, _m, licence, template_bigrams, _need, _span, _h) with _h the sorted array(struct(i, a, b, x)) of the template's bigrams in a text.
 
-    known: licence, template_bigrams, _x. A block begins and ends with a bigram of the template and is at most
-    (2-t)/t times as long as it in words. Only texts with a sign of a template are cut into positions; a block is
-    tried only where enough of the template's bigrams stand that close together.
+    Texts without a sign of a template go first. Of the others only positions whose two words are words of templates leave
+    the row, so what is joined, shuffled and gathered follows the hits, not the texts. a and b are the lines of a bigram's words.
     """
-    spark, low = docs.sparkSession, F.lower("text")
-    signs, signed = sorted(set().union(*(_signs(t, threshold) for t in templates.values()))), F.lit(False)
-    for sign in signs:
-        if not any(other != sign and other in sign for other in signs):
-            signed = signed | low.contains(sign)
-    texts = docs.where("doc_id is not null").where(signed).select("doc_id", F.transform(F.split("text", "\n"), words_of).alias("_l"))
-    texts = texts.where(F.arrays_overlap(F.flatten("_l"), F.array(*map(F.lit, signs)))).distinct()
-    line = F.flatten(F.transform("_l", lambda w, i: F.array_repeat(i + 1, F.size(w))))
-    texts = texts.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.flatten("_l").alias("_w"), line.alias("_n")).where(F.size("_w") > 1)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1)))
-    texts = cut(texts.select("_row", "doc_id", "_n", pairs.alias("_g")), "signed")
-    wide = {k: max(2, math.floor((len(re.findall(r"[^\W_]+", t)) - 1) * (2 - threshold) / threshold + 1e-9)) for k, t in templates.items()}
-    spans = spark.createDataFrame(sorted(wide.items()), "licence string, _span int")
-    known = known.join(F.broadcast(spans), "licence")
-    need = F.ceil(F.col("template_bigrams") * (threshold / (2 - threshold)) - 1e-9).cast("int")
-    hits = texts.select("_row", F.posexplode("_g").alias("_i", "_x")).join(F.broadcast(known), "_x")
-    hits = hits.groupBy("_row", "licence", "template_bigrams", "_span").agg(F.array_sort(F.collect_list("_i")).alias("_h")).where(F.size("_h") >= need)
-    hits = hits.select("*", F.posexplode("_h").alias("_k", "_s")).where(F.get("_h", F.col("_k") + need - 1) < F.col("_s") + F.col("_span"))
-    ends = F.filter("_h", lambda e, i: (i >= F.col("_k") + need - 1) & (e < F.col("_s") + F.col("_span")))
-    tried = hits.select("_row", "licence", "template_bigrams", "_s", F.explode(ends).alias("_e"))
-    sets = known.groupBy("licence").agg(F.collect_set("_x").alias("_t"))
-    tried = tried.join(texts, "_row").join(F.broadcast(sets), "licence")
-    tried = tried.withColumn("_d", F.array_distinct(F.slice("_g", F.col("_s") + 1, F.col("_e") - F.col("_s") + 1)))
-    size, shared = F.size("_d"), F.size(F.array_intersect("_d", "_t"))
-    tried = tried.select("_row", "doc_id", "licence", shared.alias("shared"), size.alias("line_bigrams"), "template_bigrams", (F.lit(2.0) * shared / (size + F.col("template_bigrams"))).alias("dice"),
-                         F.get("_n", F.col("_s")).alias("_from"), F.get("_n", F.col("_e") + 1).alias("_to"), "_s", "_e").where(F.col("dice") >= threshold)
-    told = best.select("doc_id", "line_no", F.col("_m.shared").alias("_shared")).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "_shared")).alias("_told"))
-    tried = tried.join(told, "doc_id", "left")
-    same = F.exists("_told", lambda u: ((u["line_no"] == 0) | u["line_no"].between(F.col("_from"), F.col("_to"))) & (u["_shared"] >= F.col("shared")))
-    tried = tried.where(~F.coalesce(same, F.lit(False)))
-    one = F.struct((-F.col("shared")).alias("a"), (-F.col("dice")).alias("d"), "licence", "_s", "_e", "_from", "shared", "line_bigrams", "template_bigrams", "dice")
-    ranked = tried.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(one)).alias("_r"))
-    none = F.filter("_r", lambda _: F.lit(False))
-    apart = lambda acc, x: F.when(F.exists(acc, lambda y: (y["_s"] <= x["_e"] + 1) & (x["_s"] <= y["_e"] + 1)), acc).otherwise(F.concat(acc, F.array(x)))
-    kept = ranked.select("doc_id", F.explode(F.aggregate("_r", none, apart)).alias("_m"))
-    return kept.select("doc_id", F.col("_m._from").alias("line_no"), "_m")
+    signs, vocabulary = sorted(set().union(*(_signs(t, threshold) for t in templates.values()))), sorted({w for t in templates.values() for w in _words(t)})
+    rows = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_m"), "text").where(F.arrays_overlap(words_of(F.col("text")), F.array(*map(F.lit, signs))))
+    both = lambda w, i: F.get(w, i).isin(*vocabulary) & F.get(w, i + 1).isin(*vocabulary)
+    at = lambda s, i: F.struct(i.alias("i"), F.get(s["n"], i).alias("a"), F.get(s["n"], i + 1).alias("b"), F.concat_ws(" ", F.get(s["w"], i), F.get(s["w"], i + 1)).alias("x"))
+    found = lambda s: F.when(F.size(s["w"]) > 1, F.transform(F.filter(F.sequence(F.lit(0), F.size(s["w"]) - 2), lambda i: both(s["w"], i)), lambda i: at(s, i)))
+    rows = rows.select("doc_id", "_m", F.explode(let(_lined(F.col("text")), found)).alias("p"))
+    rows = rows.select("doc_id", "_m", "p", F.col("p.x").alias("_x")).join(F.broadcast(known), "_x")
+    rows = rows.groupBy("doc_id", "_m", "licence", "template_bigrams", "_need", "_span").agg(F.array_sort(F.collect_set("p")).alias("_h"))
+    return rows.where(F.size(F.array_distinct("_h.x")) >= F.col("_need"))
+
+
+def _lined(text: Column) -> Column:
+    """struct(l, w, n): the words of each line, all of them, and the line from 1 of each."""
+    line = lambda l: F.flatten(F.transform(l, lambda w, i: F.array_repeat(i + 1, F.size(w))))
+    return let(F.transform(F.split(text, "\n"), words_of), lambda l: F.struct(l.alias("l"), F.flatten(l).alias("w"), line(l).alias("n")))
+
+
+def _pairs(w: Column) -> Column:
+    """Word pairs in their order; a single word has none."""
+    many = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+    return F.when(F.size(w) > 1, many).otherwise(F.array().cast("array<string>"))
+
+
+def _tried(hits: DataFrame) -> DataFrame:
+    """(doc_id, _m, licence, template_bigrams, line, s, e, shared) of the units and blocks that share enough bigrams.
+
+    line is 0 for the whole text, a number for a line, null for a block from bigram s to e. A block begins and ends with a
+    run of the template's bigrams, since a bigram more that is shared only helps; it is shorter than the template's span,
+    or one run.
+    """
+    whole = hits.select("*", F.lit(0).alias("line"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.size(F.array_distinct("_h.x")).alias("shared"))
+    own = F.filter("_h", lambda p: p["a"] == p["b"])
+    lines = hits.select("doc_id", "_m", "licence", "template_bigrams", "_need", F.explode(own).alias("p")).groupBy("doc_id", "_m", "licence", "template_bigrams", "_need", F.col("p.a").alias("line"))
+    lines = lines.agg(F.countDistinct("p.x").cast("int").alias("shared")).where("shared >= _need").withColumns({"s": F.lit(0), "e": F.lit(0)})
+    first = F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda k: (k == 0) | (F.get("_h", k)["i"] != F.get("_h", k - 1)["i"] + 1))
+    last = F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda k: (k == F.size("_h") - 1) | (F.get("_h", k + 1)["i"] != F.get("_h", k)["i"] + 1))
+    width = lambda j, k: F.get("_h", k)["i"] - F.get("_h", j)["i"]
+    fits = lambda j, k: (k >= j + F.col("_need") - 1) & ((width(j, k) < F.col("_span")) | (width(j, k) == k - j))
+    held = lambda j, k: F.size(F.array_distinct(F.transform(F.slice("_h", j + 1, k - j + 1), lambda p: p["x"])))
+    block = lambda j, k: F.struct(F.get("_h", j)["i"].alias("s"), F.get("_h", k)["i"].alias("e"), held(j, k).alias("shared"))
+    spans = hits.withColumn("_f", first).withColumn("_e", last).withColumn("j", F.explode("_f")).withColumn("k", F.explode(F.filter("_e", lambda k: fits(F.col("j"), k))))
+    blocks = spans.withColumn("b", block(F.col("j"), F.col("k"))).where("b.shared >= _need")
+    columns = ["doc_id", "_m", "licence", "template_bigrams", "line", "s", "e", "shared"]
+    return whole.select(columns).unionByName(lines.select(columns)).unionByName(blocks.select("doc_id", "_m", "licence", "template_bigrams", F.lit(None).cast("int").alias("line"), "b.s", "b.e", "b.shared"))
 
 
 def licence_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -104,35 +115,56 @@ def licence_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, t
     docs: doc_id, text; other columns are not read. Units are the whole text (line_no 0) and, if it has several,
     its lines from 1. Words are lower-case runs of letters and digits. Dice is 2 * shared / (own + template) over
     distinct bigrams; units of at least `threshold` are returned, with the best template, ties to the first name.
-    A template can reach the threshold only for units of t/(2-t) to (2-t)/t times its size, so others are not
-    compared. Null, empty and one-word units match nothing; repeated rows are reported once; an empty table gives
-    no rows. The templates are constants of the plan, so their bigrams are broadcast.
+    A template can reach the threshold only in units with t/(2-t) of its own bigrams, so others are not compared.
+    Null, empty and one-word units match nothing; repeated rows are reported once, rows without doc_id too; an empty
+    table gives no rows. The templates are constants of the plan, so their bigrams are broadcast.
 
     Blocks of words within or across lines are compared too, so a notice wrapped over lines of a longer text or inside
     a paragraph is found; line_no is the line where the block begins, from 1. Of blocks that overlap the one that
     shares most stays, then the one of greater Dice; a block that shares no more than a matched unit it touches is not
-    repeated. So a line may have a row as a unit and rows as the begin of blocks. Blocks of rows without doc_id are
-    not reported.
+    repeated. So a line may have a row as a unit and rows as the begin of blocks.
+
+    The first pass finds where the templates' bigrams stand, the second one reads only texts with enough of them again
+    and measures the units and blocks there.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame(sorted(templates.items()), "licence string, text string").select("licence", _bigrams(F.col("text")).alias("_b"))
-    known = known.select("licence", F.size("_b").alias("template_bigrams"), F.explode_outer("_b").alias("_x"))
-    most = max([len(t.split()) * 2 for t in templates.values()], default=0) * (2 - threshold) / threshold
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n")
-    units = docs.select("doc_id", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.array(text))).alias("line_no", "_l"))
-    units = units.select("doc_id", "line_no", _bigrams(F.col("_l"), most).alias("_b")).select("doc_id", "line_no", F.size("_b").alias("line_bigrams"), F.explode_outer("_b").alias("_x"))
-    least = threshold / (2 - threshold)
-    near = (F.col("line_bigrams") >= F.col("template_bigrams") * least - 1e-9) & (F.col("line_bigrams") * least <= F.col("template_bigrams") + 1e-9)
-    found = units.join(F.broadcast(known), "_x").where(near).distinct()
-    found = found.groupBy("doc_id", "line_no", "licence", "line_bigrams", "template_bigrams").agg(F.count("*").alias("shared"))
-    dice = F.lit(2.0) * F.col("shared") / (F.col("line_bigrams") + F.col("template_bigrams"))
-    found = found.withColumn("dice", dice).where(F.col("dice") >= threshold)
-    best = found.groupBy("doc_id", "line_no").agg(F.min(F.struct((-F.col("dice")).alias("d"), "licence", "shared", "line_bigrams", "template_bigrams", "dice")).alias("_m"))
-    best = cut(best, "units")
-    best = best.unionByName(_blocks(docs, known, best, templates, threshold).select("doc_id", "line_no", F.struct(*[F.col(f"_m.{c}").alias(c) for c in ("d", "licence", "shared", "line_bigrams", "template_bigrams", "dice")]).alias("_m")))
-    long = [F.col(f"_m.{c}").cast("long").alias(c) for c in ("shared", "line_bigrams", "template_bigrams")]
-    return best.select("doc_id", F.col("line_no").cast("long"), "_m.licence", *long, "_m.dice")
+    of = {k: set(zip(_words(t), _words(t)[1:], strict=False)) for k, t in templates.items()}
+    wide = {k: max(2, math.floor((len(_words(t)) - 1) * (2 - threshold) / threshold + 1e-9)) for k, t in templates.items()}
+    rows = [(k, " ".join(x), len(p), _need(len(p), threshold), wide[k]) for k, p in sorted(of.items()) for x in sorted(p)]
+    known = spark.createDataFrame(rows, "licence string, _x string, template_bigrams int, _need int, _span int")
+    tried = cut(_tried(cut(_hits(docs, known, templates, threshold), "hits")), "tried")
+
+    texts = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_m"), "text")
+    wanted = tried.groupBy("doc_id", "_m").agg(F.collect_list(F.struct("licence", "template_bigrams", "line", "s", "e", "shared")).alias("_c"))
+    same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t._m") == F.col("c._m"))
+    texts = texts.alias("t").join(small_side(wanted.select("doc_id", "_m"), 48).alias("c"), same, "left_semi")
+    texts = texts.alias("t").join(wanted.alias("c"), same).select("t.doc_id", "t._m", "t.text", "c._c")
+    distinct = lambda w: F.size(F.array_distinct(_pairs(w)))
+    size = lambda s, c: F.when(c["line"] == 0, distinct(s["w"])).when(c["line"] > 0, distinct(F.get(s["l"], c["line"] - 1))).otherwise(distinct(F.slice(s["w"], c["s"] + 1, c["e"] - c["s"] + 2)))
+    measured = lambda s: F.transform("_c", lambda c: F.struct(*[c[x].alias(x) for x in ("licence", "template_bigrams", "line", "s", "e", "shared")], size(s, c).alias("line_bigrams"), F.get(s["n"], c["s"]).alias("from"), F.get(s["n"], c["e"] + 1).alias("to"), (F.size(s["l"]) > 1).alias("several")))
+    units = texts.select("doc_id", "_m", F.explode(let(_lined(F.col("text")), measured)).alias("u")).select("doc_id", "_m", "u.*").distinct()
+    units = units.withColumn("dice", F.lit(2.0) * F.col("shared") / (F.col("line_bigrams") + F.col("template_bigrams"))).where(F.col("dice") >= threshold)
+    units = cut(units, "units")
+    told = F.struct((-F.col("dice")).alias("d"), "licence", "shared", "line_bigrams", "template_bigrams", "dice")
+    best = units.where("line = 0 or line > 0 and several").groupBy("doc_id", "_m", F.col("line").alias("line_no")).agg(F.min(told).alias("_r"))
+    best = best.unionByName(_blocks(units.where("line is null"), best))
+    long = [F.col(f"_r.{c}").cast("long").alias(c) for c in ("shared", "line_bigrams", "template_bigrams")]
+    return best.select("doc_id", F.col("line_no").cast("long"), "_r.licence", *long, "_r.dice").distinct()
+
+
+def _blocks(tried: DataFrame, best: DataFrame) -> DataFrame:
+    """The blocks of licence_matches(), with columns like those of `best`, the matches of whole units."""
+    matched = best.groupBy("doc_id", "_m").agg(F.collect_list(F.struct("line_no", F.col("_r.shared").alias("shared"))).alias("_told"))
+    same = F.col("b.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("b._m") == F.col("k._m"))
+    rows = tried.alias("b").join(matched.alias("k"), same, "left").select("b.*", "k._told")
+    said = F.exists("_told", lambda u: ((u["line_no"] == 0) | u["line_no"].between(F.col("from"), F.col("to"))) & (u["shared"] >= F.col("shared")))
+    rows = rows.where(~F.coalesce(said, F.lit(False)))
+    one = F.struct((-F.col("shared")).alias("a"), (-F.col("dice")).alias("d"), "licence", "s", "e", "from", "shared", "line_bigrams", "template_bigrams", "dice")
+    ranked = rows.groupBy("doc_id", "_m").agg(F.array_sort(F.collect_list(one)).alias("_l"))
+    none = F.filter("_l", lambda _: F.lit(False))
+    apart = lambda acc, x: F.when(F.exists(acc, lambda y: (y["s"] <= x["e"] + 1) & (x["s"] <= y["e"] + 1)), acc).otherwise(F.concat(acc, F.array(x)))
+    kept = ranked.select("doc_id", "_m", F.explode(F.aggregate("_l", none, apart)).alias("k"))
+    return kept.select("doc_id", "_m", F.col("k.from").alias("line_no"), F.struct("k.d", "k.licence", "k.shared", "k.line_bigrams", "k.template_bigrams", "k.dice").alias("_r"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
