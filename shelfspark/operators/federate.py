@@ -1,17 +1,22 @@
-"""Union of sources, dedupe, upsert, provenance and coverage."""
+"""Union of sources, dedupe, upsert, provenance, capped slices, harvest marks and notes."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    """Rows with a key: null and empty ones name nothing."""
+    return df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
+
+
 def _kept(df: DataFrame, key: str, order: Column, pick) -> DataFrame:
     """One row per key by a partial aggregate: no window, so a hot key is reduced before the shuffle."""
     row = F.struct(order.alias("_o"), *[F.col(c) for c in df.columns if c != key])
-    return df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).groupBy(key).agg(pick(row).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in df.columns if c != key])
+    return _keyed(df, key).groupBy(key).agg(pick(row).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in df.columns if c != key])
 
 
 def first_wins(df: DataFrame, key: str, order: Column) -> DataFrame:
@@ -32,36 +37,140 @@ def ranked_union(sources: Sequence[DataFrame]) -> DataFrame:
 
 
 def merged(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Column-wise upsert: of each column the latest value that is not null."""
-    cols = [c for c in df.columns if c not in (key, order)]
-    return df.groupBy(key).agg(F.max(order).alias(order), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in cols])
+    """Column-wise upsert: of each column the latest value that is not null, of equally late ones the greatest.
+
+    Rows without a key are passed over.
+    """
+    return merged_state(df, key, order).select(*[c for c in df.columns if not c.startswith("_o_")])
+
+
+def merged_state(df: DataFrame, key: str, order: str) -> DataFrame:
+    """merged() with the order of each column's value as _o_NAME, so that its result can be merged again in any order."""
+    cols = [c for c in df.columns if c not in (key, order) and not c.startswith("_o_")]
+    own = {c: F.col(f"_o_{c}") if f"_o_{c}" in df.columns else F.when(F.col(c).isNotNull(), F.col(order)) for c in cols}
+    latest = [F.max(F.when(F.col(c).isNotNull(), F.struct(own[c].alias("o"), F.col(c).alias("v")))).alias(c) for c in cols]
+    out = _keyed(df, key).groupBy(key).agg(F.max(order).alias(order), *latest)
+    return out.select(key, order, *[F.col(f"{c}.v").alias(c) for c in cols], *[F.col(f"{c}.o").alias(f"_o_{c}") for c in cols])
+
 
+def provenance(index_rows: Column, live_rows: Column, attempted: Column | None = None) -> Column:
+    """Which source the rows come from; without rows, live if it was asked (attempted)."""
+    empty = F.lit("index") if attempted is None else F.when(attempted & (index_rows == 0), "live").otherwise("index")
+    return F.when((index_rows > 0) & (live_rows > 0), "hybrid").when(live_rows > 0, "live").otherwise(empty)
 
-def provenance(index_rows: Column, live_rows: Column) -> Column:
-    return F.when((index_rows > 0) & (live_rows > 0), "hybrid").when(live_rows > 0, "live").otherwise("index")
+
+def noted(*notes: tuple[Column, Column | str]) -> Column:
+    """The texts whose condition holds, in order."""
+    return F.filter(F.array(*[F.when(test, F.lit(text) if isinstance(text, str) else text) for test, text in notes]), lambda x: x.isNotNull())
 
 
 def sliced(df: DataFrame, levels: Sequence[str], cap: int) -> DataFrame:
     """(level columns, depth, rows, complete) of the slices that a capped source is asked for.
 
     A slice over the cap is refined by the next level; the last level is incomplete if it is still over. One count
-    by all levels decides everything.
+    by all levels decides everything: every row of that small table tells by running sums where it is settled.
     """
-    left = df.groupBy(*levels).agg(F.count("*").alias("rows"))
+    asked = asked_slices(df, levels, cap)
+    return asked.where((F.col("rows") <= cap) | (F.col("depth") == len(levels))).withColumn("complete", F.col("rows") <= cap)
+
+
+def asked_slices(df: DataFrame, levels: Sequence[str], cap: int) -> DataFrame:
+    """(level columns, depth, rows) of every slice that is asked, also those that are then refined."""
+    counts = df.groupBy(*levels).agg(F.count("*").alias("rows"))
+    for depth in range(1, len(levels)):  # the sum of a slice's ancestors, on the counts alone
+        counts = counts.withColumn(f"_{depth}", F.sum("rows").over(Window.partitionBy(*levels[:depth])))
+    counts = counts.withColumn(f"_{len(levels)}", F.col("rows"))
+    over = F.lit(True)
+    rungs = []
+    for depth in range(1, len(levels) + 1):
+        names = [(F.col(c) if i < depth else F.lit(None).cast(dict(df.dtypes)[c])).alias(c) for i, c in enumerate(levels)]
+        rungs.append(F.when(over, F.struct(*names, F.lit(depth).alias("depth"), F.col(f"_{depth}").alias("rows"))))
+        over = over & (F.col(f"_{depth}") > cap)
+    one = counts.select(F.explode(F.filter(F.array(*rungs), lambda x: x.isNotNull())).alias("s"))
+    return one.select("s.*").distinct()
+
+
+def collected(df: DataFrame, key: str, levels: Sequence[str], cap: int, max_requests: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(rows, coverage) that asking slice by slice brings from a source that gives at most `cap` rows an answer.
+
+    Slices are asked in order, parents before their parts, `max_requests` at most. An answer holds all rows of a slice
+    within the cap, else the first ones by key; a row that several answers hold counts once. Coverage has one row
+    (requests, collected, total_found, complete): complete if every row is there, as the source's own total tells.
+    """
+    order = [F.col(c).asc_nulls_first() for c in levels]
+    asked = asked_slices(df, levels, cap).orderBy(*order).limit(max_requests)
     out = None
     for depth in range(1, len(levels) + 1):
-        own = left.groupBy(*levels[:depth]).agg(F.sum("rows").alias("rows"))
-        last = depth == len(levels)
-        asked = own if last else own.where(F.col("rows") <= cap)
-        if not last:
-            left = left.join(own.where(F.col("rows") > cap).select(*levels[:depth]), list(levels[:depth]), "left_semi")
-        part = asked.select(*levels[:depth], *[F.lit(None).cast(dict(df.dtypes)[c]).alias(c) for c in levels[depth:]], F.lit(depth).alias("depth"), "rows", (F.col("rows") <= cap).alias("complete"))
-        out = part if out is None else out.unionByName(part)
+        part = asked.where(F.col("depth") == depth).select(*[F.col(c).alias(f"_{c}") for c in levels[:depth]], F.col("rows").alias("_rows"))
+        same = F.lit(True)
+        for c in levels[:depth]:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        rows = df.join(F.broadcast(part), same)  # at most max_requests rows
+        first = F.row_number().over(Window.partitionBy(*levels[:depth]).orderBy(key))
+        whole = rows.where(F.col("_rows") <= cap).select(*df.columns)
+        capped = rows.where(F.col("_rows") > cap).withColumn("_n", first).where(F.col("_n") <= cap).select(*df.columns)
+        out = whole.union(capped) if out is None else out.union(whole).union(capped)
+    out = first_wins(out, key, F.lit(0))
+    total = df.agg(F.count("*").alias("total_found"))
+    coverage = asked.agg(F.count("*").alias("requests")).join(F.broadcast(out.agg(F.count("*").alias("collected")))).join(F.broadcast(total))
+    return out, coverage.withColumn("complete", F.col("collected") >= F.col("total_found"))
+
+
+def slice_product(*sides: DataFrame) -> DataFrame:
+    """Every combination of the values of small dimensions (institutions, types, years), the first one spread."""
+    out = sides[0].distinct()
+    for s in sides[1:]:
+        out = out.crossJoin(F.broadcast(s.distinct()))
     return out
 
 
+def slice_key(*parts: str) -> Column:
+    return F.concat_ws("|", *parts)
+
+
+def years(spec: str) -> list[int]:
+    """'2015-2017' -> three years, '2023' one, '2020,2022' two."""
+    spec = spec.strip()
+    if "-" in spec:
+        first, last = (int(x) for x in spec.split("-", 1))
+        return list(range(first, last + 1))
+    return [int(x) for x in spec.split(",") if x.strip()]
+
+
+def mark_done(slices: DataFrame, path: str, status: str = "complete") -> None:
+    """Append finished slices (slice) to the table of marks, with what became of them: complete or incomplete."""
+    if status not in ("complete", "incomplete"):
+        raise ValueError(f"unknown status {status}")
+    slices.select("slice", F.lit(status).alias("status")).write.mode("append").parquet(path)
+
+
+def done_slices(spark: SparkSession, path: str) -> DataFrame:
+    """(slice, status) of all marks, complete if any of a slice's marks is; no table, no marks."""
+    from ..sources.store import _fs
+
+    fs, where = _fs(spark, path)
+    if not fs.exists(where):
+        return spark.createDataFrame([], "slice string, status string")
+    return spark.read.schema("slice string, status string").parquet(path).groupBy("slice").agg(F.min("status").alias("status"))
+
+
+def pending(slices: DataFrame, done: DataFrame) -> DataFrame:
+    """Slices that are not marked complete: an incomplete one is asked again."""
+    return slices.join(done.where("status = 'complete'").select("slice"), "slice", "left_anti")
+
+
+def harvest_totals(results: DataFrame) -> DataFrame:
+    """One row (slices, rows, incomplete, complete) over finished slices (rows, complete)."""
+    return results.agg(F.count("*").alias("slices"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count_if(~F.col("complete")).alias("incomplete"), F.coalesce(F.bool_and("complete"), F.lit(True)).alias("complete"))
+
+
 def reported(text: Column) -> Column:
     """struct(found, shown, complete) of "2.059 found, 2.000 shown"; without a second number all is shown."""
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9][0-9.]*)"), F.lit(1)), lambda x: F.replace(x, F.lit("."), F.lit("")).try_cast("bigint"))
     found, shown = F.get(numbers, F.lit(0)), F.coalesce(F.get(numbers, F.lit(1)), F.get(numbers, F.lit(0)))
     return F.struct(found.alias("found"), shown.alias("shown"), (shown >= found).alias("complete"))
+
+
+def production(records: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """Records, open ones, and the first and last year by every prefix of the given columns (a rollup)."""
+    return records.rollup(*by).agg(F.count("*").alias("n"), F.count_if(F.col("access_status") == "open").alias("open"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min(key).alias("first_id"))

@@ -1,28 +1,132 @@
-"""Inverted index as tables: postings and their writing."""
+"""Inverted index: postings in memory, or stored in segments sorted by term that searches prune by prefix."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources import store
+
+
+@dataclass
+class Index:
+    """postings (key, term, f, n, dl): weighted and plain occurrences of a term, and all terms of its record; with the
+    records and words of the corpus, numbers if they are stored, else columns of a one-row table."""
+
+    postings: DataFrame
+    key: str
+    docs: int | None = None
+    words: int | None = None
+
+    def corpus(self) -> DataFrame:
+        """One row (docs, words)."""
+        if self.docs is not None:
+            return self.postings.sparkSession.range(1).select(F.lit(self.docs).alias("docs"), F.lit(self.words).alias("words"))
+        return self.postings.groupBy(self.key).agg(F.first("dl").alias("dl")).agg(F.count("*").alias("docs"), F.sum("dl").alias("words"))
+
+    def is_empty(self) -> bool:
+        return self.docs == 0 if self.docs is not None else self.postings.isEmpty()
 
 
 def postings(records: DataFrame, key: str, weights: Mapping[str, float]) -> DataFrame:
-    """(key, term, f, n) with f the weighted and n the plain number of occurrences of a term in a record.
+    """(key, term, f, n, dl) of every term of a record; arrays are joined before. A record without terms has one row of null term.
 
-    Terms of all columns are exploded together with their column's weight, so one partial aggregate counts them.
+    Terms of all columns are exploded together with their column's weight, so one partial aggregate counts them, and the
+    record's length comes along instead of by a join.
     """
-    weighted = lambda c, w: F.transform(tokens(F.col(c)), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
-    parts = [weighted(c, w) for c, w in weights.items()]
-    rows = records.select(key, F.explode_outer(F.concat(*parts)).alias("t")).where("t is not null")
-    return rows.groupBy(key, F.col("t.term").alias("term")).agg(F.sum("t.w").alias("f"), F.count("*").alias("n"))
+    kinds = dict(records.dtypes)
+    text = lambda c: F.concat_ws("; ", c) if kinds[c].startswith("array") else F.col(c).cast("string")
+    weighted = lambda c, w: F.transform(tokens(text(c)), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
+    rows = records.select(key, F.concat(*[weighted(c, w) for c, w in weights.items()]).alias("_t"))
+    rows = rows.select(key, F.size("_t").cast("long").alias("dl"), F.explode_outer("_t").alias("t"))
+    return rows.groupBy(key, F.col("t.term").alias("term"), "dl").agg(F.sum("t.w").alias("f"), F.count("t").alias("n")).select(key, "term", "f", "n", "dl")
+
+
+def index_of(records: DataFrame, key: str, weights: Mapping[str, float]) -> Index:
+    """An index that is built whenever it is used."""
+    return Index(postings(records, key, weights), key)
+
+
+def _segment(records: DataFrame, key: str, weights: Mapping[str, float], path: str, number: int) -> tuple[DataFrame, DataFrame]:
+    """Write a segment: postings sorted by term, so that a prefix prunes row groups, and lengths by record."""
+    spark, base = records.sparkSession, f"{path}/segments/{number:06d}"
+    postings(records, key, weights).repartitionByRange("term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{base}/postings")
+    rows = spark.read.parquet(f"{base}/postings")
+    rows.groupBy(key).agg(F.first("dl").alias("dl")).write.mode("overwrite").parquet(f"{base}/lengths")
+    return rows, spark.read.parquet(f"{base}/lengths")
+
+
+def _figures(lengths: DataFrame) -> tuple[int, int]:
+    return tuple(lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
+
+
+def _manifest(spark: SparkSession, path: str, rows: list[tuple[int, int, int]]) -> None:
+    number = (store.latest(spark, f"{path}/manifest") or 0) + 1
+    store.write_version(spark.createDataFrame(rows, "segment int, docs long, words long").coalesce(1), f"{path}/manifest", number)
+
+
+def _segments(spark: SparkSession, path: str) -> list[tuple[int, int, int]]:
+    number = store.latest(spark, f"{path}/manifest")
+    return [] if number is None else sorted(map(tuple, spark.read.parquet(f"{path}/manifest/v={number}").collect()))
 
 
 def write_index(records: DataFrame, key: str, weights: Mapping[str, float], path: str) -> None:
-    """Postings sorted by term, so that a prefix prunes row groups, and lengths by record."""
-    p = postings(records, key, weights)
-    p.repartitionByRange("term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
-    p.groupBy(key).agg(F.sum("n").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    """A new index in one segment; `docs` and `words` of the manifest are those of the live records."""
+    spark, number = records.sparkSession, 1 + max((s for s, _, _ in _segments(records.sparkSession, path)), default=-1)
+    _, lengths = _segment(records, key, weights, path, number)
+    _manifest(spark, path, [(number, *_figures(lengths))])
+
+
+def upsert_index(changed: DataFrame, key: str, weights: Mapping[str, float], path: str) -> None:
+    """Write changed or new records as a further segment; what older segments hold of them no longer counts.
+
+    The cost follows the changed records: old segments are not rewritten, their postings of changed records are passed
+    over when they are read, and the corpus figures lose the old lengths. Of rows that repeat a key, all count.
+    """
+    spark, known = changed.sparkSession, _segments(changed.sparkSession, path)
+    if not known:
+        return write_index(changed, key, weights, path)
+    number = known[-1][0] + 1
+    _, lengths = _segment(changed, key, weights, path, number)
+    old = _live(spark, path, known, key, "lengths").join(lengths.select(key), key, "left_semi")
+    (gone, gone_words), (docs, words) = _figures(old), _figures(lengths)
+    _manifest(spark, path, [*known, (number, docs - gone, words - gone_words)])
+
+
+def _live(spark: SparkSession, path: str, known: list[tuple[int, int, int]], key: str, kind: str) -> DataFrame:
+    """Rows of all segments without those of records that a later segment has."""
+    later, out = None, None
+    for number, _, _ in reversed(known):
+        base = f"{path}/segments/{number:06d}"
+        rows, own = spark.read.parquet(f"{base}/{kind}"), spark.read.parquet(f"{base}/lengths").select(key)
+        rows = rows if later is None else rows.join(later, key, "left_anti")
+        later = own if later is None else later.union(own)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def read_index(spark: SparkSession, path: str, key: str, kind: str = "bigint") -> Index:
+    """The stored index; an empty one if there is none at `path`."""
+    known = _segments(spark, path)
+    if not known:
+        return Index(spark.createDataFrame([], f"{key} {kind}, term string, f double, n bigint, dl bigint"), key, 0, 0)
+    return Index(_live(spark, path, known, key, "postings"), key, sum(d for _, d, _ in known), sum(w for _, _, w in known))
+
+
+def compact(spark: SparkSession, path: str, key: str) -> None:
+    """All live rows in one new segment; the old ones go once the manifest no longer names them."""
+    known = _segments(spark, path)
+    if len(known) < 2:
+        return
+    number = known[-1][0] + 1
+    for kind in ("postings", "lengths"):
+        rows = _live(spark, path, known, key, kind)
+        rows = rows.repartitionByRange("term").sortWithinPartitions("term", key) if kind == "postings" else rows
+        rows.write.mode("overwrite").parquet(f"{path}/segments/{number:06d}/{kind}")
+    _manifest(spark, path, [(number, sum(d for _, d, _ in known), sum(w for _, _, w in known))])
+    for old, _, _ in known:
+        store.drop(spark, f"{path}/segments/{old:06d}")

@@ -2,39 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import analysed, fold, fold_contains
+from ..functions.text import analysed, fold_contains, plain, plain_text, upper_tr
+from .index import Index
 
+#: Fixed values of the ranking: BM25, the floor of idf, and what phrases, terms and recent years add.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+PHRASE_OF_TERMS, PHRASE_OF_ONE, IN_ABSTRACT, PER_TERM, PER_YEAR = 4.0, 2.0, 1.5, 0.7, 0.03
+RELATED_TERMS = 12
+#: Columns that a search field stands for.
+FIELDS = {
+    "title": ("title", "title_alt"), "author": ("author",), "advisor": ("advisor",), "subject": ("subjects",),
+    "keyword": ("keywords", "keywords_alt"), "abstract": ("abstract", "abstract_alt"),
+}
+PERSONS = ("author", "advisor")
 
 
-def bm25(postings: DataFrame, key: str, terms: Sequence[str], every: bool = True, total: int | None = None) -> DataFrame:
+def bm25(index: Index, terms: Sequence[str], every: bool = True) -> DataFrame:
     """(key, score) of records with a token for every (or any) prefix term; the smallest score is the best.
 
-    A repeated term counts again. Sums over postings are partial aggregates; the corpus figures are one row. total:
-    the records of the index, if some have no token.
+    A repeated term counts again; no terms find nothing. Only the terms' postings are read: the prefixes reach the scan.
+    Sums over them are partial aggregates, and the document frequencies that are broadcast are one row a term.
     """
-    wanted = sorted(set(terms))
+    key, wanted = index.key, sorted(set(terms))
+    if not wanted:
+        return index.postings.select(key, F.lit(0.0).alias("score")).limit(0)
     starts = [F.startswith("term", F.lit(t)) for t in wanted]
-    lengths = postings.groupBy(key).agg(F.sum("n").alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("docs"), F.sum("dl").alias("words"))
-    if total is not None:
-        corpus = corpus.withColumn("docs", F.lit(total))
-    held = F.filter(F.array(*[F.when(s, F.lit(t)) for s, t in zip(starts, wanted, strict=True)]), lambda x: x.isNotNull())
     any_of = starts[0]
     for s in starts[1:]:
         any_of = any_of | s
-    per = postings.where(any_of).select(key, "f", F.explode(held).alias("q")).groupBy(key, "q").agg(F.sum("f").alias("f"))
+    held = F.filter(F.array(*[F.when(s, F.lit(t)) for s, t in zip(starts, wanted, strict=True)]), lambda x: x.isNotNull())
+    per = index.postings.where(any_of).select(key, "dl", "f", F.explode(held).alias("q")).groupBy(key, "q").agg(F.sum("f").alias("f"), F.first("dl").alias("dl"))
     df = per.groupBy("q").agg(F.count("*").alias("df"))
     times = F.element_at(F.create_map(*[F.lit(x) for t in wanted for x in (t, list(terms).count(t))]), F.col("q"))
     idf = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
     share = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / (F.col("words") / F.col("docs"))))
-    rows = per.join(F.broadcast(df), "q").join(lengths, key).join(F.broadcast(corpus))
+    rows = per.join(F.broadcast(df.join(F.broadcast(index.corpus()))), "q")
     out = rows.groupBy(key).agg((-F.sum(times * idf * share)).alias("score"), F.count("*").alias("m"))
     return (out.where(F.col("m") == len(wanted)) if every else out).select(key, "score")
 
@@ -42,26 +50,96 @@ def bm25(postings: DataFrame, key: str, terms: Sequence[str], every: bool = True
 def bonus(query: str, title: Column, abstract: Column | None, year: Column) -> Column:
     """What a phrase or terms in the title, a phrase in the abstract and a recent year take off the score."""
     terms = analysed(query)
-    phrase, folded = " ".join(terms), fold(title)
-    hit = F.when(F.contains(folded, F.lit(phrase)), 4.0 if len(terms) > 1 else 2.0)
-    if abstract is not None:
-        hit = hit.when(F.contains(fold(abstract), F.lit(phrase)), 1.5)
-    covered = sum((F.contains(folded, F.lit(t)).cast("int") for t in terms), F.lit(0)) * 0.7 if len(terms) > 1 else F.lit(0.0)
-    return hit.otherwise(0.0) + covered + F.lit(0.03) * F.coalesce(F.greatest(F.lit(0), F.least(F.lit(30), year - 2000)), F.lit(0))
+    phrase, folded = " ".join(terms), plain(title)
+    hit = F.when(F.contains(folded, F.lit(phrase)), PHRASE_OF_TERMS if len(terms) > 1 else PHRASE_OF_ONE)
+    if abstract is not None and len(terms) > 1:
+        hit = hit.when(F.contains(plain(abstract), F.lit(phrase)), IN_ABSTRACT)
+    covered = sum((F.contains(folded, F.lit(t)).cast("int") for t in terms), F.lit(0)) * PER_TERM if len(terms) > 1 else F.lit(0.0)
+    return hit.otherwise(0.0) + covered + F.lit(PER_YEAR) * F.coalesce(F.greatest(F.lit(0), F.least(F.lit(30), year - 2000)), F.lit(0))
 
 
 def year_between(year: Column, first: int | None, last: int | None) -> Column:
     return (F.lit(True) if first is None else F.coalesce(year >= first, F.lit(False))) & (F.lit(True) if last is None else F.coalesce(year <= last, F.lit(False)))
 
 
-def by_person(records: DataFrame, column: str, name: str) -> DataFrame:
-    """Records whose person holds every term of a name."""
-    out = records
-    for t in analysed(name):
-        out = out.where(fold_contains(F.col(column), t))
+def holds_terms(column: Column, name: str) -> Column:
+    """Every term of a name stands in the column; a name without terms is held by nothing."""
+    terms = analysed(name)
+    out = F.lit(bool(terms))
+    for t in terms:
+        out = out & fold_contains(column, t)
     return out
 
 
+def filtered(records: DataFrame, *, record_type: str | None = None, first_year: int | None = None, last_year: int | None = None, institution: str | None = None,
+             department: str | None = None, advisor: str | None = None, language: str | None = None, access: str | None = None, approval: str | None = None) -> DataFrame:
+    """Records that pass every filter given: substrings without case and accents, years inclusive, the rest equal but for case.
+
+    An absent or empty filter passes all; a null value passes no filter. An advisor without terms is no filter.
+    """
+    test = F.lit(True)
+    for column, needle in (("record_type", record_type), ("institution", institution), ("department", department), ("language", language)):
+        if needle:
+            test = test & fold_contains(F.col(column), needle)
+    for column, value in (("access_status", access), ("approval", approval)):
+        if value:
+            test = test & F.coalesce(plain(F.col(column)) == plain_text(value), F.lit(False))
+    if advisor and analysed(advisor):
+        test = test & holds_terms(F.col("advisor"), advisor)
+    if first_year is not None or last_year is not None:
+        test = test & year_between(F.col("year"), first_year, last_year)
+    return records.where(test)
+
+
+def newest(key: str) -> list[Column]:
+    """The order from the latest year, none as 0, ties by key."""
+    return [F.coalesce("year", F.lit(0)).desc(), F.col(key)]
+
+
+def ranked(index: Index, records: DataFrame, query: str, abstract: str | None = "abstract", candidate_cap: int | None = None) -> DataFrame:
+    """`records` that hold every term of the query, with their adjusted score (the smallest is the best).
+
+    records: already filtered, so that filters come before ranking. candidate_cap keeps so many best raw scores of the
+    whole index first, for those who want such a cap. A query of stopwords alone finds nothing.
+    """
+    key = index.key
+    hits = bm25(index, analysed(query))
+    if candidate_cap is not None:
+        hits = hits.orderBy("score", key).limit(candidate_cap)
+    title = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "title_alt") if c in records.columns])
+    body = F.col(abstract) if abstract is not None and abstract in records.columns else None
+    hits = hits.join(records, key)
+    return hits.withColumn("score", F.col("score") - bonus(query, title, body, F.col("year")))
+
+
+def by_person(records: DataFrame, column: str, name: str, key: str | None = None, limit: int | None = None) -> DataFrame:
+    """Records whose person holds every term of a name, in any order; with `key` the newest first, `limit` of them at most.
+
+    A name without terms (stopwords alone) finds nothing.
+    """
+    out = records.where(holds_terms(F.col(column), name))
+    out = out if key is None else out.orderBy(*newest(key))
+    return out if limit is None else out.limit(limit)
+
+
+def by_institution(records: DataFrame, name: str, key: str, record_type: str | None = None, first_year: int | None = None, last_year: int | None = None, limit: int | None = None) -> DataFrame:
+    """Records of the institutions whose name holds the whole given one, newest first; an empty name finds nothing."""
+    out = filtered(records.where(fold_contains(F.col("institution"), name) & F.lit(bool(analysed(name, keep_stopwords=True)))), record_type=record_type, first_year=first_year, last_year=last_year)
+    out = out.orderBy(*newest(key))
+    return out if limit is None else out.limit(limit)
+
+
+def related_terms(record: Mapping, most: int = RELATED_TERMS) -> list[str]:
+    """The first `most` different terms of a record's keywords, subjects and title."""
+    texts = [x for c in ("keywords", "keywords_alt", "subjects") for x in (record.get(c) or [])] + [record.get("title") or ""]
+    return list(dict.fromkeys(t for x in texts for t in analysed(x)))[:most]
+
+
+def related(index: Index, record: Mapping, most: int = RELATED_TERMS) -> DataFrame:
+    """(key, score) of the records that share a term with `record`, but for itself; a record without terms has none."""
+    return bm25(index, related_terms(record, most), every=False).where(F.col(index.key) != F.lit(record[index.key]))
+
+
 def half_split(query: str, op: str = "and") -> tuple[str, str | None, str]:
     """Two phrases of a query, the first with the larger half of its words."""
     if op not in ("and", "or", "not"):
@@ -71,29 +149,58 @@ def half_split(query: str, op: str = "and") -> tuple[str, str | None, str]:
     return (query.strip(), None, op) if len(words) < 2 else (" ".join(words[:k]), " ".join(words[k:]), op)
 
 
-def keyword_filter(columns: Sequence[Column], query: str, match: str = "contains", op: str = "and") -> Column:
-    """Field search: each phrase in any of the columns, as a substring or as whole words, joined by and, or, not."""
+def _has(columns: Sequence[Column], phrase: str, match: str) -> Column:
+    words = analysed(phrase, keep_stopwords=True)
+    exact = r"(^|[^\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(words) + r"([^\p{L}\p{N}]|$)"
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce(F.contains(plain(c), F.lit(" ".join(words))) if match == "contains" else plain(c).rlike(exact), F.lit(False))
+    return out if words else F.lit(False)
+
+
+def keyword_filters(columns: Sequence[Column], query: str, match: str = "contains", ops: Sequence[str] = ("and", "or", "not")) -> dict[str, Column]:
+    """keyword_filter() for several operators over the same two phrases."""
     if match not in ("contains", "exact"):
         raise ValueError(f"unknown match {match}")
+    if not query.strip():
+        raise ValueError("the query is empty")
+    out = {}
+    for op in ops:
+        one, two, op = half_split(query, op)
+        a, b = _has(columns, one, match), None if two is None else _has(columns, two, match)
+        out[op] = a if b is None else {"and": a & b, "or": a | b, "not": a & ~b}[op]
+    return out
 
-    def has(phrase: str) -> Column:
-        folded = analysed(phrase, keep_stopwords=True)
-        test = (lambda c: F.contains(fold(c), F.lit(" ".join(folded)))) if match == "contains" else (lambda c: fold(c).rlike(r"(^|[^\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(folded) + r"([^\p{L}\p{N}]|$)"))
-        out = F.lit(False)
-        for c in columns:
-            out = out | F.coalesce(test(c), F.lit(False))
-        return out
 
-    one, two, op = half_split(query, op)
-    if two is None:
-        return has(one)
-    return {"and": has(one) & has(two), "or": has(one) | has(two), "not": has(one) & ~has(two)}[op]
+def keyword_filter(columns: Sequence[Column], query: str, match: str = "contains", op: str = "and") -> Column:
+    """Field search: each phrase in any of the columns, as a substring or as whole words, joined by and, or, not."""
+    return keyword_filters(columns, query, match, [op])[op] if op in ("and", "or", "not") else half_split(query, op)
+
+
+def keyword_search(records: DataFrame, query: str, field: str = "all", match: str = "contains", op: str = "and") -> DataFrame:
+    """Records with the query in a field: halves of it joined by `op`; a person's name is one upper-cased phrase, never split."""
+    if field != "all" and field not in FIELDS:
+        raise ValueError(f"unknown field {field}")
+    if field in PERSONS:
+        if not query.strip():
+            raise ValueError("the query is empty")
+        return records.where(F.coalesce(F.contains(upper_tr(F.col(field)), upper_tr(F.lit(" ".join(query.split())))), F.lit(False)))
+    names = [c for f in (FIELDS if field == "all" else [field]) for c in FIELDS[f] if c in records.columns]
+    kinds = dict(records.dtypes)
+    return records.where(keyword_filter([F.concat_ws("; ", c) if kinds[c].startswith("array") else F.col(c) for c in names], query, match, op))
 
 
-def relevance(hits: DataFrame, texts: Sequence[str], title: str, query: str, least: int | None = None) -> DataFrame:
-    """Hits with their covered terms in all texts and in the title; those that cover `least` (default: all) stay."""
+def relevance(hits: DataFrame, texts: Sequence[str], title: str, query: str, least: int | None = None, key: str | None = None) -> DataFrame:
+    """Hits with their covered terms in all texts and in the title; those that cover `least` (default: all) stay.
+
+    With `key` they are sorted: the most covered, the most covered in the title, the newest, then by key. A query without
+    terms leaves all as they are.
+    """
     terms = analysed(query)
-    whole = fold(F.concat_ws(" ", *[F.col(c) for c in texts]))
+    whole = plain(F.concat_ws(" ", *[F.col(c) for c in texts]))
     count = lambda c: sum((F.contains(c, F.lit(t)).cast("int") for t in terms), F.lit(0))
-    out = hits.withColumns({"coverage": count(whole), "title_coverage": count(fold(F.col(title)))})
-    return out.where(F.col("coverage") >= (len(terms) if least is None else least)) if terms else out
+    out = hits.withColumns({"coverage": count(whole), "title_coverage": count(plain(F.col(title)))})
+    if not terms:
+        return out
+    out = out.where(F.col("coverage") >= (len(terms) if least is None else least))
+    return out if key is None else out.orderBy(F.desc("coverage"), F.desc("title_coverage"), *newest(key))

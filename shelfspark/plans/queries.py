@@ -1,128 +1,104 @@
-"""One query per operator group over the document tables, with its SQL twin."""
+"""One query per operator group over the document and order tables, with its SQL twin."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ACCENTED, PLAIN, TURKISH, TURKISH_FOLDED, fold, fold_contains, grouped_int, keyword_list, person_name, place_part, strip_html, tokens, upper_tr
-from ..operators import cite, federate, fulltext, retrieve
-from ..operators.index import postings
-from ..sources import html
+from ..functions.text import fold, fold_contains, grouped_int, place_part, tokens, upper_tr
+from ..operators import federate, fulltext, retrieve
+from ..operators.index import Index, postings, read_index, write_index
+from ..sources import html, store
 from ..sources.records import read, records
+from .registry import QUERIES, SQL, bm25_sql, fold_sql, plain_sql, query, tokens_sql
 
+__all__ = ["QUERIES", "SQL"]
 _WEIGHTS = {"title": 5.0, "body": 1.0, "institution": 2.0}
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+_INDEXED = ("record_id", "title", "body", "institution")
+_STORED: dict[tuple[str, str], str] = {}
 
 
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+def stored_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The documents' index, written once for each application and table folder and read from then on."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORED:
+        path = f"{store.work_folder(spark)}/index-{spark.sparkContext.applicationId}-{len(_STORED)}"
+        write_index(records(spark, sf_dir, _INDEXED), "record_id", _WEIGHTS, path)
+        _STORED[at] = path
+    return read_index(spark, _STORED[at], "record_id")
 
-    return add
 
-
-def _fold(c: str) -> str:
-    return f"replace(lower(translate(coalesce({c}, ''), '{TURKISH}', '{TURKISH_FOLDED}')), 'ß', 'ss')"
-
-
-def _tokens(c: str) -> str:
-    return f"regexp_extract_all(translate({_fold(c)}, '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
-
-
-_REC = """rec AS (SELECT d.doc_id AS record_id, substr(string_split(text, chr(10))[1], 1, 120) AS title, text AS body, source AS institution,
+_REC = """rec AS (SELECT d.doc_id AS record_id, string_split(text, chr(10))[1] AS title, text AS body, source AS institution,
     lang AS language, (1990 + d.doc_id % 35)::INT AS year,
     CASE WHEN toxic = 1 THEN 'restricted' WHEN toxic = 0 THEN 'open' ELSE 'unknown' END AS access_status
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
-_POST = f"""p0 AS (SELECT record_id, unnest({_tokens("title")}) AS term, 5.0::DOUBLE AS w FROM rec
-    UNION ALL SELECT record_id, unnest({_tokens("body")}), 1.0 FROM rec UNION ALL SELECT record_id, unnest({_tokens("institution")}), 2.0 FROM rec),
-    post AS (SELECT record_id, term, sum(w) AS f, count(*) AS n FROM p0 GROUP BY 1, 2)"""
 
 
 def _bm25(terms: list[str], every: bool) -> str:
-    q = ", ".join(f"('{t}')" for t in sorted(set(terms)))
-    return f"""WITH {_REC}, {_POST}, q(q) AS (VALUES {q}), len AS (SELECT record_id, sum(n) AS dl FROM post GROUP BY 1),
-        c AS (SELECT count(*) AS docs, sum(dl) / count(*) AS avgdl FROM len),
-        per AS (SELECT record_id, q, sum(f) AS f FROM post JOIN q ON starts_with(term, q) GROUP BY 1, 2),
-        df AS (SELECT q, count(*) AS df, greatest(ln((any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM per, c GROUP BY q),
-        s AS (SELECT record_id, -sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) AS m
-              FROM per JOIN df USING (q) JOIN len USING (record_id), c GROUP BY 1)
-        SELECT record_id, round(score, 6) AS score FROM s {"WHERE m = " + str(len(set(terms))) if every else ""}"""
+    return f"WITH {_REC}, {bm25_sql(_WEIGHTS, terms, every)}"
 
 
-def _posted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(records(spark, sf_dir), "record_id", _WEIGHTS)
-
-
-@_query(_bm25(["with", "onan"], True))
+@query(_bm25(["with", "onan"], True) + " SELECT record_id, round(score, 6) AS score FROM s")
 def search_and(spark, sf_dir):
-    return retrieve.bm25(_posted(spark, sf_dir), "record_id", ["with", "onan"]).select("record_id", F.round("score", 6).alias("score"))
+    return retrieve.bm25(stored_index(spark, sf_dir), ["with", "onan"]).select("record_id", F.round("score", 6).alias("score"))
 
 
-@_query(_bm25(["ble", "onan", "with"], False))
+@query(_bm25(["ble", "onan", "with"], False) + " SELECT record_id, round(score, 6) AS score FROM s")
 def related_or(spark, sf_dir):
-    return retrieve.bm25(_posted(spark, sf_dir), "record_id", ["ble", "onan", "with"], every=False).select("record_id", F.round("score", 6).alias("score"))
+    return retrieve.bm25(stored_index(spark, sf_dir), ["ble", "onan", "with"], every=False).select("record_id", F.round("score", 6).alias("score"))
 
 
-@_query(f"""{_bm25(["onan", "ble"], True).replace("SELECT record_id, round(score, 6) AS score FROM s WHERE m = 2", f'''
-    , hit AS (SELECT record_id, score, title, body, year FROM s JOIN rec USING (record_id) WHERE m = 2 AND year BETWEEN 1995 AND 2015),
-    adj AS (SELECT record_id, year, round(score - (CASE WHEN contains({_fold("title")}, 'onan ble') THEN 4.0 WHEN contains({_fold("body")}, 'onan ble') THEN 1.5 ELSE 0.0 END
-        + 0.7 * (contains({_fold("title")}, 'onan')::INT + contains({_fold("title")}, 'ble')::INT) + 0.03 * greatest(0, least(30, year - 2000)))::DOUBLE, 6) AS score FROM hit)
-    SELECT record_id, year, score FROM adj ORDER BY score, record_id LIMIT 50''')}""")
+@query(f"""{_bm25(["onan", "ble"], True)}, hit AS (SELECT record_id, score, title, body, year FROM s JOIN rec USING (record_id) WHERE year BETWEEN 1995 AND 2015),
+    adj AS (SELECT record_id, year, round(score - (CASE WHEN contains({plain_sql("title")}, 'onan ble') THEN 4.0 WHEN contains({plain_sql("body")}, 'onan ble') THEN 1.5 ELSE 0.0 END
+        + 0.7 * (contains({plain_sql("title")}, 'onan')::INT + contains({plain_sql("title")}, 'ble')::INT) + 0.03 * greatest(0, least(30, year - 2000)))::DOUBLE, 6) AS score FROM hit)
+    SELECT record_id, year, score FROM adj ORDER BY score, record_id LIMIT 50""")
 def search_ranked(spark, sf_dir):
-    rec = records(spark, sf_dir)
-    hits = retrieve.bm25(_posted(spark, sf_dir), "record_id", ["onan", "ble"]).join(rec.where(retrieve.year_between(F.col("year"), 1995, 2015)), "record_id")
-    score = F.round(F.col("score") - retrieve.bonus("onan ble", F.col("title"), F.col("body"), F.col("year")), 6)
-    return hits.select("record_id", "year", score.alias("score")).orderBy("score", "record_id").limit(50)
+    rec = records(spark, sf_dir, ("record_id", "title", "body", "year")).where(retrieve.year_between(F.col("year"), 1995, 2015))
+    hits = retrieve.ranked(stored_index(spark, sf_dir), rec, "onan ble", abstract="body")
+    return hits.select("record_id", "year", F.round("score", 6).alias("score")).orderBy("score", "record_id").limit(50)
 
 
-@_query(f"WITH {_REC}, {_POST} SELECT term, count(*) AS df, sum(n)::BIGINT AS n FROM post GROUP BY 1 HAVING count(*) > 2")
+@query(f"WITH {_REC}, {bm25_sql(_WEIGHTS, ['x'], False)} SELECT term, count(*) AS df, sum(n)::BIGINT AS n FROM post GROUP BY 1 HAVING count(*) > 2")
 def index_terms(spark, sf_dir):
-    return _posted(spark, sf_dir).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n")).where("df > 2")
+    return postings(records(spark, sf_dir, _INDEXED), "record_id", _WEIGHTS).where("term is not null").groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n")).where("df > 2")
 
 
-@_query(f"SELECT c_custkey, c_name FROM customer WHERE contains({_fold('c_name')}, 'customer') AND contains({_fold('c_name')}, '12')")
+@query(f"SELECT c_custkey, c_name FROM customer WHERE contains({plain_sql('c_name')}, 'customer') AND contains({plain_sql('c_name')}, '12')")
 def by_person(spark, sf_dir):
     return retrieve.by_person(read(spark, sf_dir, "customer"), "c_name", "CUSTOMER 12").select("c_custkey", "c_name")
 
 
-@_query(f"WITH {_REC} SELECT record_id, year FROM rec WHERE contains({_fold('institution')}, 'src1') AND year >= 2000 AND contains({_fold('language')}, 'en')")
+@query(f"WITH {_REC} SELECT record_id, year FROM rec WHERE contains({plain_sql('institution')}, 'src1') AND year >= 2000 AND contains({plain_sql('language')}, 'en')")
 def by_institution(spark, sf_dir):
-    r = records(spark, sf_dir)
+    r = records(spark, sf_dir, ("record_id", "institution", "language", "year"))
     return r.where(fold_contains(F.col("institution"), "SRC1") & retrieve.year_between(F.col("year"), 2000, None) & fold_contains(F.col("language"), "EN")).select("record_id", "year")
 
 
 _KW = {"and": "a AND b", "or": "a OR b", "not": "a AND NOT b"}
 
 
-@_query(f"""WITH {_REC}, t AS (SELECT record_id, contains({_fold("title")}, 'the of') OR contains({_fold("body")}, 'the of') AS a,
-        contains({_fold("title")}, 'and') OR contains({_fold("body")}, 'and') AS b FROM rec)
+@query(f"""WITH {_REC}, t AS (SELECT record_id, contains({plain_sql("title")}, 'the of') OR contains({plain_sql("body")}, 'the of') AS a,
+        contains({plain_sql("title")}, 'and') OR contains({plain_sql("body")}, 'and') AS b FROM rec)
         """ + " UNION ALL ".join(f"SELECT '{k}' AS op, record_id FROM t WHERE {v}" for k, v in _KW.items()))
 def keyword_ops(spark, sf_dir):
-    r, out = records(spark, sf_dir), None
-    for op in _KW:
-        part = r.where(retrieve.keyword_filter([F.col("title"), F.col("body")], "the of and", op=op)).select(F.lit(op).alias("op"), "record_id")
-        out = part if out is None else out.union(part)
-    return out
+    tests = retrieve.keyword_filters([F.col("title"), F.col("body")], "the of and", ops=tuple(_KW))
+    held = F.filter(F.array(*[F.when(test, F.lit(op)) for op, test in tests.items()]), lambda x: x.isNotNull())
+    return records(spark, sf_dir, ("record_id", "title", "body")).select(F.explode(held).alias("op"), "record_id")
 
 
-@_query(f"WITH {_REC} SELECT record_id FROM rec WHERE regexp_matches({_fold('title')}, '(^|[^\\p{{L}}\\p{{N}}])the([^\\p{{L}}\\p{{N}}]|$)')")
+@query(f"WITH {_REC} SELECT record_id FROM rec WHERE regexp_matches({plain_sql('title')}, '(^|[^\\p{{L}}\\p{{N}}])the([^\\p{{L}}\\p{{N}}]|$)')")
 def keyword_exact(spark, sf_dir):
-    return records(spark, sf_dir).where(retrieve.keyword_filter([F.col("title")], "the", match="exact")).select("record_id")
+    return records(spark, sf_dir, ("record_id", "title")).where(retrieve.keyword_filter([F.col("title")], "the", match="exact")).select("record_id")
 
 
-@_query(f"""WITH {_REC}, t AS (SELECT record_id, {_fold("title || ' ' || institution")} AS w, {_fold("title")} AS t FROM rec),
+@query(f"""WITH {_REC}, t AS (SELECT record_id, {plain_sql("title || ' ' || institution")} AS w, {plain_sql("title")} AS t FROM rec),
     c AS (SELECT record_id, contains(w, 'src1')::INT + contains(w, 'ble')::INT AS coverage, contains(t, 'src1')::INT + contains(t, 'ble')::INT AS title_coverage FROM t)
     SELECT * FROM c WHERE coverage >= 1""")
 def relevance_filter(spark, sf_dir):
-    return retrieve.relevance(records(spark, sf_dir), ["title", "institution"], "title", "src1 ble", 1).select("record_id", "coverage", "title_coverage")
+    return retrieve.relevance(records(spark, sf_dir, ("record_id", "title", "institution")), ["title", "institution"], "title", "src1 ble", 1).select("record_id", "coverage", "title_coverage")
 
 
-@_query("""WITH u AS (SELECT o_custkey AS id, 0 AS source_rank, min(o_orderkey) AS pos FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1
+@query("""WITH u AS (SELECT o_custkey AS id, 0 AS source_rank, min(o_orderkey) AS pos FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1
     UNION ALL SELECT o_custkey, 1, min(o_orderkey) FROM orders WHERE o_orderpriority LIKE '2%' GROUP BY 1)
     SELECT id, source_rank, pos FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY source_rank, pos) = 1""")
 def federated_dedupe(spark, sf_dir):
@@ -131,19 +107,19 @@ def federated_dedupe(spark, sf_dir):
     return federate.first_wins(federate.ranked_union([side("1"), side("2")]), "id", F.struct("source_rank", "pos")).select("id", "source_rank", "pos")
 
 
-@_query("""SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type,
+@query("""SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type,
     arg_max(value, event_id) FILTER (WHERE event_type <> 'view') AS value FROM events GROUP BY 1""")
 def upsert_merge(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.when(F.col("event_type") != "view", F.col("value")).alias("value"))
     return federate.merged(e, "user_id", "event_id")
 
 
-@_query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def upsert_latest(spark, sf_dir):
     return federate.last_wins(read(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", F.col("event_id"))
 
 
-@_query("""WITH o AS (SELECT year(o_orderdate) AS y, o_orderpriority AS p, o_orderstatus AS s FROM orders),
+@query("""WITH o AS (SELECT year(o_orderdate) AS y, o_orderpriority AS p, o_orderstatus AS s FROM orders),
     a AS (SELECT y, count(*) AS n FROM o GROUP BY 1), b AS (SELECT y, p, count(*) AS n FROM o GROUP BY 1, 2), c AS (SELECT y, p, s, count(*) AS n FROM o GROUP BY 1, 2, 3)
     SELECT y, NULL AS p, NULL AS s, 1 AS depth, n AS "rows", true AS complete FROM a WHERE n <= 400
     UNION ALL SELECT y, p, NULL, 2, b.n, true FROM b JOIN a USING (y) WHERE a.n > 400 AND b.n <= 400
@@ -153,7 +129,7 @@ def capped_slices(spark, sf_dir):
     return federate.sliced(o, ["y", "p", "s"], 400)
 
 
-@_query("""WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1)
+@query("""WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1)
     SELECT k, n AS found, least(n, 10) AS shown, n <= 10 AS complete FROM o""")
 def coverage_report(spark, sf_dir):
     o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
@@ -161,30 +137,29 @@ def coverage_report(spark, sf_dir):
     return o.select("k", r.alias("r")).select("k", "r.found", "r.shown", "r.complete")
 
 
-@_query("""WITH c AS (SELECT DISTINCT n_nationkey, y, p FROM nation, (SELECT DISTINCT year(o_orderdate) AS y, o_orderpriority AS p FROM orders)),
+@query("""WITH c AS (SELECT DISTINCT n_nationkey, y, p FROM nation, (SELECT DISTINCT year(o_orderdate) AS y, o_orderpriority AS p FROM orders)),
     done AS (SELECT DISTINCT c_nationkey AS n_nationkey, year(o_orderdate) AS y, o_orderpriority AS p FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P')
     SELECT n_nationkey || '|' || p || '|' || y AS slice FROM c ANTI JOIN done USING (n_nationkey, y, p)""")
 def resume_slices(spark, sf_dir):
     o, n = read(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s")), read(spark, sf_dir, "nation")
-    done = o.where("s = 'P'").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), "y", "p").distinct()
-    whole = o.select("y", "p").distinct().withColumn("n_nationkey", F.explode(F.lit(list(range(25)))))
-    whole = whole.join(F.broadcast(n.select("n_nationkey")), "n_nationkey", "left_semi")
-    return whole.join(done, ["n_nationkey", "y", "p"], "left_anti").select(F.concat_ws("|", "n_nationkey", "p", "y").alias("slice"))
+    key = federate.slice_key("n_nationkey", "p", "y").alias("slice")
+    done = o.where("s = 'P'").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), "y", "p").select(key, F.lit("complete").alias("status")).distinct()
+    return federate.pending(federate.slice_product(o.select("y", "p"), n.select("n_nationkey")).select(key), done)
 
 
-@_query("""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 'is'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS title,
+@query("""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 'is'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS title,
     len(regexp_extract_all(html, 'href="[^"]*"')) AS links,
     length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\\b.*?</script>', ' ', 'gis'), '<style\\b.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_chars FROM pages""")
 def html_records(spark, sf_dir):
     return html.page_records(read(spark, sf_dir, "pages"))
 
 
-@_query("""SELECT page_id, unnest(range(0, len(l))) AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)""")
+@query("""SELECT page_id, unnest(range(0, len(l))) AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)""")
 def html_links(spark, sf_dir):
     return html.page_links(read(spark, sf_dir, "pages")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@_query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS value FROM events")
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS value FROM events")
 def json_properties(spark, sf_dir):
     return html.json_property(read(spark, sf_dir, "events"))
 
@@ -192,7 +167,7 @@ def json_properties(spark, sf_dir):
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))"""
 
 
-@_query(rf"""WITH c AS (SELECT doc_id, {_CLEAN} AS t FROM documents), m AS (SELECT doc_id, length(t) AS chars, length(regexp_replace(t, '\s', '', 'g')) AS solid,
+@query(rf"""WITH c AS (SELECT doc_id, {_CLEAN} AS t FROM documents), m AS (SELECT doc_id, length(t) AS chars, length(regexp_replace(t, '\s', '', 'g')) AS solid,
     regexp_replace(t, '\P{{L}}', '', 'g') AS l FROM c),
     r AS (SELECT *, CASE WHEN l = '' THEN 1.0 ELSE length(regexp_replace(substr(l, 1, 3000), '[^{fulltext.EXPECTED}]', '', 'g')) / length(substr(l, 1, 3000)) END AS ratio FROM m)
     SELECT doc_id, chars, solid > 10 AND length(l) / solid >= 0.5 AS has_text, solid > 10 AND length(l) / solid >= 0.5 AND ratio >= 0.8 AS reliable FROM r""")
@@ -201,81 +176,50 @@ def fulltext_quality(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.length(c).cast("long").alias("chars"), fulltext.assessed(c).alias("a")).select("doc_id", "chars", "a.has_text", "a.reliable")
 
 
-@_query("""WITH l AS (SELECT doc_id, unnest(s) AS line, unnest(range(0, len(s))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+@query("""WITH l AS (SELECT doc_id, unnest(s) AS line, unnest(range(0, len(s))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
     h AS (SELECT *, length(trim(line)) BETWEEN 1 AND 40 AS h FROM l), n AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h)
     SELECT doc_id, section::BIGINT AS section, max(CASE WHEN h THEN trim(line) END) AS heading, sum(CASE WHEN h THEN 0 ELSE length(trim(line)) END)::BIGINT AS chars
     FROM n GROUP BY 1, 2 HAVING sum(CASE WHEN h THEN 0 ELSE length(trim(line)) END) > 0""")
 def text_sections(spark, sf_dir):
-    return fulltext.sections(read(spark, sf_dir, "documents"), "doc_id", "text", F.length(F.trim("line")).between(1, 40))
+    return fulltext.sections(read(spark, sf_dir, "documents"), "doc_id", "text", lambda line: F.length(F.trim(line)).between(1, 40))
 
 
-@_query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)
+@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)
     SELECT doc_id, len(s[2:3]) AS n, array_to_string(s[2:3], chr(10)) AS text, len(s) > 3 AS has_more FROM d""")
 def page_windows(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", fulltext.page_window(F.split("text", "\n"), 2, 2).alias("w"))
     return d.select("doc_id", F.size("w.pages").cast("long").alias("n"), F.array_join("w.pages", "\n").alias("text"), "w.has_more")
 
 
-@_query(f"WITH {_REC} SELECT record_id, access_status, CASE WHEN access_status = 'open' THEN md5(body) END AS content FROM rec")
+@query(f"WITH {_REC} SELECT record_id, access_status, CASE WHEN access_status = 'open' THEN md5(body) END AS content FROM rec")
 def access_gate(spark, sf_dir):
     return records(spark, sf_dir).select("record_id", "access_status", F.md5(fulltext.gated(F.col("body"), F.col("access_status"))).alias("content"))
 
 
-@_query(f"SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains({_fold('n_name')}, 'n')")
+@query(f"SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains({plain_sql('n_name')}, 'n')")
 def facet_search(spark, sf_dir):
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     return n.where(fold_contains(F.col("n_name"), "N")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
 
 
-@_query(f"""WITH c AS (SELECT DISTINCT o_orderpriority AS p FROM orders), l AS (SELECT * FROM (VALUES ('high'), ('low'), ('none')) t(label))
-    SELECT label, coalesce(min(split_part(p, '-', 1)), '0') AS code FROM l LEFT JOIN c ON contains({_fold("p")}, label) GROUP BY 1""")
-def code_lookup(spark, sf_dir):
-    codes = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p")).distinct()
-    found = [F.coalesce(F.min(F.when(fold_contains(F.col("p"), x), F.split("p", "-")[0])), F.lit("0")).alias(x) for x in ("high", "low", "none")]
-    return codes.agg(*found).unpivot([], ["high", "low", "none"], "label", "code")
-
-
-@_query("""WITH s AS (SELECT s_suppkey AS k, 'Ada Bea ' || s_name AS a, 'On trade.' AS t, 1990 + s_suppkey % 30 AS y, s_name AS f FROM supplier)
-    SELECT k, f || ', A. B. (' || y || '). *On trade* (No. ' || k || ') [PhD thesis, Univ]. National Thesis Centre.' AS apa,
-    f || ', Ada Bea. *On trade*. Univ, ' || y || '. PhD thesis. National Thesis Centre.' AS mla,
-    'A. B. ' || f || ', "On trade," PhD thesis, Univ, ' || y || '.' AS ieee,
-    f || ', Ada Bea. "On trade." PhD thesis, Univ, ' || y || '.' AS chicago,
-    f || ', A. B. (' || y || ') *On trade*. PhD thesis. Univ. National Thesis Centre.' AS harvard,
-    'TY  - THES' || chr(10) || 'AU  - ' || f || ', Ada Bea' || chr(10) || 'T1  - On trade.' || chr(10) || 'PY  - ' || y || chr(10) || 'PB  - Univ' || chr(10) || 'M3  - PhD thesis' || chr(10) || 'DB  - National Thesis Centre' || chr(10) || 'ER  - ' || chr(10) AS ris FROM s""")
-def citations(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("Ada Bea "), "s_name").alias("a"), (1990 + F.col("s_suppkey") % 30).alias("y"))
-    made = cite.formats(F.col("a"), F.lit("On trade."), F.col("y"), F.lit("PhD thesis"), F.lit("Univ"), F.col("k").cast("string"), F.lit(None).cast("string"))
-    return s.select("k", *[made[f].alias(f) for f in ("apa", "mla", "ieee", "chicago", "harvard", "ris")])
-
-
-@_query(None)
-def citation_data(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier")
-    made = cite.formats(F.concat(F.lit("Ada Bea "), "s_name"), F.lit("On {trade}"), F.lit(2001), F.lit("PhD thesis"), F.lit("Univ"), F.col("s_suppkey").cast("string"), F.lit("http://x"))
-    return s.select("s_suppkey", made["bibtex"].alias("bibtex"), made["csl"].alias("csl"))
-
-
-@_query(f"WITH {_REC} SELECT institution, language, year, count(*) AS n, min(record_id) AS first_id FROM rec GROUP BY ROLLUP (institution, language, year)")
+@query(f"""WITH {_REC} SELECT institution, language, year, count(*) AS n, count(*) FILTER (WHERE access_status = 'open') AS open, min(year) AS first_year, max(year) AS last_year,
+    min(record_id) AS first_id FROM rec GROUP BY ROLLUP (institution, language, year)""")
 def production_rollup(spark, sf_dir):
-    return records(spark, sf_dir).rollup("institution", "language", "year").agg(F.count("*").alias("n"), F.min("record_id").alias("first_id"))
+    return federate.production(records(spark, sf_dir, ("record_id", "institution", "language", "year", "access_status")), ["institution", "language", "year"], "record_id")
 
 
-@_query(f"""SELECT p_partkey, {_fold("p_name")} AS folded, upper(translate(p_name, 'iı', 'İI')) AS upper_tr, len({_tokens("p_name")}) AS n,
+@query(f"""SELECT p_partkey, {fold_sql("p_name")} AS folded, upper(translate(p_name, 'iı', 'İI')) AS upper_tr, len({tokens_sql("p_name")}) AS n,
     nullif(trim(string_split('A / B /  / ' || p_name, ' / ')[2]), '') AS part, try_cast(replace(trim(p_size || '.000'), '.', '') AS BIGINT) AS number FROM part""")
 def text_functions(spark, sf_dir):
     c, place = F.col("p_name"), F.concat(F.lit("A / B /  / "), "p_name")
     return read(spark, sf_dir, "part").select("p_partkey", fold(c).alias("folded"), upper_tr(c).alias("upper_tr"), F.size(tokens(c)).cast("long").alias("n"), place_part(place, 1).alias("part"), grouped_int(F.concat(F.col("p_size").cast("string"), F.lit(".000"))).alias("number"))
 
 
-@_query("""SELECT s_suppkey, s_name || ' Ada Kaya' AS name, 2 AS keywords, s_name AS stripped FROM supplier""")
-def name_functions(spark, sf_dir):
-    n = person_name(F.concat(F.lit("Prof. Dr. Kaya,  "), "s_name", F.lit(" Ada")))
-    k = keyword_list(F.concat(F.lit("<b>x</b>; "), "s_name", F.lit("; ")))
-    return read(spark, sf_dir, "supplier").select("s_suppkey", n.alias("name"), F.size(k).cast("int").alias("keywords"), strip_html(F.concat(F.lit("<i>"), "s_name", F.lit("</i>"))).alias("stripped"))
-
-
-@_query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     from ..streaming.warm import windowed
 
     return windowed(read(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
+
+
+from . import engine_queries, extract_queries  # noqa: E402, F401  (they add their queries)

@@ -2,30 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.federate import merged
+from ..operators.federate import merged_state
+from ..sources import store
 
+#: Batches after which the changes are merged into a new base.
+COMPACT_EVERY = 16
 
-def warm(stream: DataFrame, key: str, order: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Merge each micro-batch column-wise into PATH/v=BATCH; a repeated batch overwrites its own version only."""
+
+def warm(stream: DataFrame, key: str, order: str, path: str, checkpoint: str, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Merge each micro-batch column-wise into the table at `path`, which warmed() reads.
+
+    A batch is merged in itself and written as PATH/v=BATCH, so its cost follows the batch; a repeated batch overwrites
+    its own version only. Every `compact_every` batches the changes are merged into PATH/base/v=BATCH and go, with the
+    older base. Each value keeps its order (_o_NAME), so the result is that of one merge of all rows, also for late ones.
+    A version that is missing fails the stream.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        whole = batch
-        if number:
-            try:
-                whole = spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}").unionByName(batch)
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-        merged(whole, key, order).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v={number}")
+        since = _since(spark, path, number - 1)
+        store.write_version(merged_state(batch, key, order), path, number)
+        if since and (number + 1) % compact_every == 0:
+            store.write_version(_whole(spark, path, [*since, number], key, order), f"{path}/base", number)
+            for old in since:
+                store.drop(spark, f"{path}/v={old}")
+            for old in store.versions(spark, f"{path}/base")[:-1]:
+                store.drop(spark, f"{path}/base/v={old}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _since(spark: SparkSession, path: str, last: int) -> list[int]:
+    """The versions after the base up to `last`, all of which have to be there."""
+    base, there = store.latest(spark, f"{path}/base"), set(store.versions(spark, path))
+    wanted = list(range(0 if base is None else base + 1, last + 1))
+    if lost := [n for n in wanted if n not in there]:
+        raise RuntimeError(f"versions {lost} of {path} are missing")
+    return wanted
+
+
+def _whole(spark: SparkSession, path: str, numbers: list[int], key: str, order: str) -> DataFrame:
+    base = store.latest(spark, f"{path}/base")
+    parts = [f"{path}/v={n}" for n in numbers if base is None or n > base] + ([] if base is None else [f"{path}/base/v={base}"])
+    return merged_state(spark.read.parquet(*parts), key, order)
+
+
+def warmed(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
+    """The table that warm() keeps: one row per key, of each column the latest value that is not null."""
+    last = max([*store.versions(spark, path), *store.versions(spark, f"{path}/base")])
+    whole = _whole(spark, path, _since(spark, path, last), key, order)
+    return whole.select(*[c for c in whole.columns if not c.startswith("_o_")])
+
+
 def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts and sums by event type and tumbling window, late events dropped past the watermark."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
