@@ -14,7 +14,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, arrow_batches, cut, discard, fresh_dir, small_side, table
+from .common import Store, arrow_batches, cut, discard, fresh_dir, small_side, swept, table
 from .hashing import mixed, names_of, segments
 
 #: Share of a language's trusted documents that stays below its threshold.
@@ -22,7 +22,7 @@ QUANTILE = 0.99
 #: Texts are dealt to so many folds by their hash; a text is scored by the model of the trusted texts of the other folds.
 FOLDS = 2
 #: Word trigrams that a task gathers before it hands them on, and trusted words for each shard of a model's tables.
-FLUSH_WORDS, SHARD_WORDS = 1_000_000, 2_000_000
+FLUSH_WORDS, SHARD_WORDS = 1_500_000, 4_000_000
 #: Units of text counted at once, and distinct n-grams that a task holds before it hands them on.
 CHUNK_UNITS, HELD_GRAMS = 1 << 19, 2_000_000
 #: A prime: n-grams are dealt to shards by their remainder, in Spark and in numpy alike.
@@ -239,29 +239,65 @@ def _distinct(columns, n):
     return [c[at] for c in columns], np.add.reduceat(n, at) if len(at) else n
 
 
-def _packed(values) -> bytes:
-    """Numbers as planes of the bytes of their differences, which compress well."""
+def _planes(values) -> bytes:
+    """Numbers in their narrowest type as planes of bytes, which compress well."""
     import numpy as np
 
-    values = np.diff(values.astype("<u8"), prepend=np.uint64(0))
-    return zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    values = values.astype(np.min_scalar_type(int(values.max(initial=0))))
+    packed = zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+    return bytes([values.itemsize]) + len(packed).to_bytes(4, "little") + packed
 
 
-def _unpacked(blob: bytes):
+def _packed(columns, n) -> bytes:
+    """Columns of word codes as places in the list of their words, and counts."""
     import numpy as np
 
-    return np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+    words, at = np.unique(np.concatenate(columns), return_inverse=True)
+    return b"".join([_planes(np.diff(words, prepend=np.uint64(0))), *map(_planes, at.reshape(len(columns), -1)), _planes(n)])
 
 
-def _write_table(store: Store, name: str, keys, columns) -> None:
-    """Sorted keys, the number of each one's values, and the few different rows of values."""
+def _unpacked(blob: bytes) -> list:
+    """The columns and counts of _packed()."""
     import numpy as np
 
-    _, first, at = np.unique(_key(*[c.astype(np.uint64) for c in columns]), return_index=True, return_inverse=True)
-    order = np.argsort(keys)
-    values = np.stack([c[first] for c in columns], 1).astype("<i8")
-    kind = "u1" if len(first) <= 1 << 8 else "<u2" if len(first) <= 1 << 16 else "<u4"
-    for part, data in (("key", keys[order].astype("<u8")), ("at", at[order].astype(kind)), ("values", values)):
+    found, at = [], 0
+    while at < len(blob):
+        width, size = blob[at], int.from_bytes(blob[at + 1 : at + 5], "little")
+        planes = np.frombuffer(zlib.decompress(blob[at + 5 : at + 5 + size]), np.uint8).reshape(width, -1)
+        found.append(planes.T.copy().view(f"<u{width}").ravel())
+        at += 5 + size
+    words = np.cumsum(found[0], dtype=np.uint64)
+    return [*[words[x] for x in found[1:-1]], found[-1].astype(np.int64)]
+
+
+def _tail(codes):
+    """32 bits by which a word is found among those that follow one context."""
+    import numpy as np
+
+    return (_key(codes) & np.uint64((1 << 32) - 1)).astype("<u4")
+
+
+def _shard(context, shards: int):
+    """The shard of a context key, by its first bits: sorted keys are sorted by shard."""
+    import numpy as np
+
+    return (context >> np.uint64(33 - shards.bit_length()) >> np.uint64(32)).astype(np.int64)
+
+
+def _write_table(store: Store, name: str, context, tail, n) -> None:
+    """Sorted contexts, where the words after each begin, these words, their counts, and of each context its sum and how
+    many words have counts 1, 2 and more; counts and sums as places in the list of the different ones."""
+    import numpy as np
+
+    order = np.lexsort((tail, context))
+    context, tail, n = context[order], tail[order], n[order]
+    begin = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    sums = np.stack([np.add.reduceat(x.astype(np.int64), begin) for x in (n, n == 1, n == 2, n > 2)], 1)
+    counts, at = np.unique(n, return_inverse=True)
+    kinds, of = np.unique(sums, axis=0, return_inverse=True)
+    narrow = lambda x, size: x.ravel().astype("u1" if size <= 1 << 8 else "<u2" if size <= 1 << 16 else "<u4")
+    files = {"context": context[begin].astype("<u8"), "begin": np.append(begin, len(n)).astype("<u4"), "tail": tail, "n": narrow(at, len(counts)), "sums": narrow(of, len(kinds)), "counts": counts.astype("<i8"), "kinds": kinds.astype("<i8")}
+    for part, data in files.items():
         made = f"_{uuid.uuid4().hex}"
         with store.create(made) as out:
             out.write(data.tobytes())
@@ -269,55 +305,68 @@ def _write_table(store: Store, name: str, keys, columns) -> None:
 
 
 class _Tables:
-    """Look-ups in the written tables, which are mapped as they are needed."""
+    """Look-ups in the written tables: mapped as they are needed, or read, a bounded number of them at a time."""
+
+    def __init__(self, path: str, shards: int, names: list[str], most: int = 8):
+        from collections import OrderedDict
 
-    def __init__(self, path: str, shards: int):
-        self.store, self.shards, self.files = Store(path), shards, {}
+        self.store, self.shards, self.names, self.files, self.most = Store(path), shards, set(names), OrderedDict(), most
 
-    def _file(self, name: str, width: int):
+    def _open(self, name: str):
         if name not in self.files:
-            if not self.store.fs.get_file_info(self.store.path(f"{name}.values")).is_file:
-                self.files[name] = None
-            else:
-                keys = self.store.array(f"{name}.key", "<u8")
-                size = self.store.fs.get_file_info(self.store.path(f"{name}.at")).size // len(keys)
-                self.files[name] = keys, self.store.array(f"{name}.at", f"<u{size}"), self.store.array(f"{name}.values", "<i8").reshape(-1, width)
+            own = {part: self.store.array(f"{name}.{part}", kind) for part, kind in (("context", "<u8"), ("begin", "<u4"), ("tail", "<u4"), ("counts", "<i8"), ("kinds", "<i8"))}
+            own["kinds"] = own["kinds"].reshape(-1, 4)
+            for part, size in (("n", len(own["counts"])), ("sums", len(own["kinds"]))):
+                own[part] = self.store.array(f"{name}.{part}", "u1" if size <= 1 << 8 else "<u2" if size <= 1 << 16 else "<u4")
+            self.files[name] = own
+            while not self.store.local and len(self.files) > self.most:
+                self.files.popitem(last=False)
+        self.files.move_to_end(name)
         return self.files[name]
 
-    def __call__(self, model: str, owner, wanted: list) -> list:
-        """For each (table, keys, width) of `wanted`, a row of values for each key, zeros if it is not there; owner names the shards."""
+    def __call__(self, model: str, order: int, context, tail):
+        """(counts of the words `tail` after their contexts, [sum, ones, twos, more] of the contexts); zeros for what isn't there."""
         import numpy as np
 
-        shard = (owner % np.uint64(self.shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        out = [np.zeros((len(keys), width), np.int64) for _, keys, width in wanted]
-        for k in range(self.shards):
-            at = order[ends[k] : ends[k + 1]]
-            for (kind, keys, width), rows in zip(wanted, out, strict=True):
-                if len(at) and (found := self._file(f"{model}-{k:06d}.{kind}", width)):
-                    known, index, values = found
-                    place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-                    there = known[place] == keys[at]
-                    rows[at[there]] = values[index[place[there]]]
-        return out
+        own, sums = np.zeros(len(context), np.int64), np.zeros((len(context), 4), np.int64)
+        sort = np.argsort(context)
+        shard = _shard(context[sort], self.shards)
+        ends = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(sort)) if len(sort) else [0]
+        for begin, end in zip(ends[:-1], ends[1:], strict=True):
+            if (name := f"{model}-{shard[begin]:06d}.{order}") not in self.names:
+                continue
+            t, at = self._open(name), sort[begin:end]
+            place = np.minimum(np.searchsorted(t["context"], context[at]), len(t["context"]) - 1)
+            there = t["context"][place] == context[at]
+            at, place = at[there], place[there]
+            sums[at] = t["kinds"][t["sums"][place]]
+            low, high, wanted = t["begin"][place].astype(np.int64), t["begin"][place + 1].astype(np.int64), tail[at]
+            last = high.copy()
+            while (open_ := np.flatnonzero(low < high)).size:  # a binary search in each context's own words
+                middle = (low[open_] + high[open_]) >> 1
+                less = t["tail"][middle] < wanted[open_]
+                low[open_[less]], high[open_[~less]] = middle[less] + 1, middle[~less]
+            found = np.flatnonzero(low < last)
+            found = found[t["tail"][low[found]] == wanted[found]]
+            own[at[found]] = t["counts"][t["n"][low[found]]]
+        return own, sums
 
 
 _STATS = ("n1", "n2", "n3", "n4", "kinds", "total")
-_PART = "model string, shard int, blob1 binary, blob2 binary, blob3 binary, blob4 binary, " + ", ".join(f"{c} long" for c in _STATS)
+_PART = "model string, shard int, blob binary, " + ", ".join(f"{c} long" for c in _STATS)
 
 
-def _parts(model: str, shard, columns, n, shards: int) -> list[tuple]:
-    """Rows of packed columns by shard; the model has no statistics there."""
+def _parts(model: str, context, columns, n, shards: int) -> list[tuple]:
+    """Rows of packed columns by the shard of their context."""
     import numpy as np
 
-    order, out = np.argsort(shard, kind="stable"), []
+    shard, out = _shard(context, shards), []
+    order = np.argsort(shard, kind="stable")
     ends = np.searchsorted(shard[order], np.arange(shards + 1))
     for k in range(shards):
         if ends[k + 1] > ends[k]:
             at = order[ends[k] : ends[k + 1]]
-            blobs = [_packed(c[at]) for c in [*columns, n.astype(np.uint64)]]
-            out.append((model, k, *blobs, *[None] * (4 - len(blobs)), *[None] * len(_STATS)))
+            out.append((model, k, _packed([c[at] for c in columns], n[at]), *[None] * len(_STATS)))
     return out
 
 
@@ -325,9 +374,10 @@ class WordModels:
     """Modified Kneser-Ney models of word trigrams, one for each language and fold, as sorted tables in the shared folder.
 
     trusted: lang, fold, text. The model of a fold counts the texts of the other folds. The highest order has counts,
-    the lower ones the number of distinct words before an n-gram. The tables hold counts and, of each context, its sum
-    and how many of its n-grams have counts 1, 2 and more; the discounts, as in kneser_ney(), apply when text is scored.
-    An n-gram and its context are in one shard, so each order is counted shard by shard and none is gathered whole.
+    the lower ones the number of distinct words before an n-gram. The tables hold contexts and the words after them with
+    their counts, and of each context its sum and how many of its words have counts 1, 2 and more; the discounts, as in
+    kneser_ney(), apply when text is scored. A context's words are in one shard, so each order is counted shard by
+    shard and none is gathered whole.
     """
 
     def __init__(self, trusted: DataFrame):
@@ -336,15 +386,19 @@ class WordModels:
         self.shards = shards = 1 << max(0, (size // 5 // SHARD_WORDS).bit_length())
         self.path = path = fresh_dir(spark, "word-model")
         Store(path)
-        self.stats: dict = {}
+        self.stats, self.names = {}, []
         parts, before = trusted.select("lang", "fold", "text").mapInArrow(self._counting(), _PART), None
         for order in (3, 2, 1):
-            made = cut(parts.where("blob1 is not null").groupBy("model", "shard").applyInPandas(self._table(order), _PART), f"words{order}")
+            made = cut(parts.where("blob is not null").groupBy("model", "shard").applyInPandas(self._table(order), _PART), f"words{order}")
             if before is not None:
                 discard(before)
-            sums = made.where("kinds is not null").groupBy("model").agg(*[F.sum(c).alias(c) for c in _STATS])
-            for r in sums.collect():
-                self.stats.setdefault(r["model"], {})[order] = tuple(r[c] for c in _STATS)
+            swept(spark)
+            told = made.where("kinds is not null").select("model", "shard", *_STATS).collect()  # a row of numbers for each shard
+            for r in told:
+                sums = self.stats.setdefault(r["model"], {}).setdefault(order, [0] * len(_STATS))
+                for i, c in enumerate(_STATS):
+                    sums[i] += r[c]
+                self.names.append(f"{r['model']}-{r['shard']:06d}.{order}")
             parts = before = made
         discard(before)
 
@@ -356,14 +410,14 @@ class WordModels:
             import pyarrow as pa
 
             held, size = {}, 0
-            schema = pa.schema([("model", pa.string()), ("shard", pa.int32()), *[(f"blob{i}", pa.binary()) for i in (1, 2, 3, 4)], *[(c, pa.int64()) for c in _STATS]])
+            schema = pa.schema([("model", pa.string()), ("shard", pa.int32()), ("blob", pa.binary()), *[(c, pa.int64()) for c in _STATS]])
 
             def flush():
                 out = []
                 for model, codes in held.items():
                     a, b, c = (np.concatenate([u[i : len(u) - 2 + i] for u in codes]) for i in range(3))
                     (b, a, c), n = _distinct([b, a, c], np.ones(len(a), np.int64))
-                    out += _parts(model, (_key(a, b) % np.uint64(shards)).astype(np.int64), [b, a, c], n, shards)
+                    out += _parts(model, _key(a, b), [b, a, c], n, shards)
                 return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
             for batch in batches:
@@ -390,57 +444,40 @@ class WordModels:
             import pandas as pd
 
             store, model, shard = Store(path), pdf["model"].iloc[0], int(pdf["shard"].iloc[0])
-            *columns, n = (np.concatenate([_unpacked(x) for x in pdf[f"blob{i}"]]) for i in range(1, order + 2))
-            columns, n = _distinct(columns, n.astype(np.int64))
-            name = f"{model}-{shard:06d}"
-            if order == 3:
-                b, a, c = columns
-                context, key = [b, a], _key(a, b, c)
-            elif order == 2:
-                b, c = columns
-                context, key = [b], _key(b, c)
-            else:
-                (c,) = columns
-                context, key = [], _key(c)
-            _write_table(store, f"{name}.g{order}", key, [n])
-            if context:
-                sums = [n, n == 1, n == 2, n > 2]
-                kept, _ = _distinct(context, n)
-                sums = [_distinct(context, x.astype(np.int64))[1] for x in sums]
-                _write_table(store, f"{name}.c{order}", _key(*kept[::-1]), sums)
-            out = [(model, shard, *[None] * 4, *[int((n == k).sum()) for k in (1, 2, 3, 4)], len(n), int(n.sum()))]
-            if order == 3:
-                lower, types = _distinct([b, c], np.ones(len(n), np.int64))
-                out += _parts(model, (_key(lower[0]) % np.uint64(shards)).astype(np.int64), lower, types, shards)
-            elif order == 2:
-                lower, types = _distinct([c], np.ones(len(n), np.int64))
-                out += _parts(model, (_key(lower[0]) % np.uint64(shards)).astype(np.int64), lower, types, shards)
-            return pd.DataFrame(out, columns=["model", "shard", *[f"blob{i}" for i in (1, 2, 3, 4)], *_STATS]).astype({c: "Int64" for c in _STATS})
+            *columns, n = (np.concatenate(x) for x in zip(*map(_unpacked, pdf["blob"]), strict=True))
+            columns, n = _distinct(columns, n)
+            context = _key(*columns[:2][::-1]) if order == 3 else _key(columns[0])
+            _write_table(store, f"{model}-{shard:06d}.{order}", context, _tail(columns[-1]), n)
+            out = [(model, shard, None, *[int((n == k).sum()) for k in (1, 2, 3, 4)], len(n), int(n.sum()))]
+            if order > 1:
+                lower, types = _distinct([columns[0], columns[2]] if order == 3 else [columns[1]], np.ones(len(n), np.int64))
+                out += _parts(model, _key(lower[0]), lower, types, shards)
+            return pd.DataFrame(out, columns=["model", "shard", "blob", *_STATS]).astype({c: "Int64" for c in _STATS})
 
         return table
 
     def scorer(self):
         """A function of (batches of doc_id, lang, fold, text) that gives doc_id, lang, fold, perplexity."""
-        path, shards, stats = self.path, self.shards, self.stats
+        path, shards, stats, names = self.path, self.shards, self.stats, self.names
         discounts = {(m, o): _discounts(*s[:4]) for m, orders in stats.items() for o, s in orders.items()}
 
         def score(batches):
             import numpy as np
             import pyarrow as pa
 
-            tables = _Tables(path, shards)
+            tables = _Tables(path, shards, names)
 
             def probabilities(model, a, b, c):
                 n1, n2, _, _, kinds, total = stats[model][1]
-                d = discounts[model, 1]
-                own = tables(model, _key(c), [("g1", _key(c), 1)])[0][:, 0]
+                d, tail = discounts[model, 1], _tail(c)
+                own, _ = tables(model, 1, _key(c), tail)
                 left = (d[1] * n1 + d[2] * n2 + d[3] * (kinds - n1 - n2)) / total
                 p = (own - d[np.minimum(own, 3)]) / total + left / (kinds + 1)
-                for order, context, key in ((2, _key(b), _key(b, c)), (3, _key(a, b), _key(a, b, c))):
+                for order, context in ((2, _key(b)), (3, _key(a, b))):
                     d = discounts[model, order]
-                    own, held = tables(model, context, [(f"g{order}", key, 1), (f"c{order}", context, 4)])
-                    own, s = own[:, 0], held[:, 0]
-                    known = (own - d[np.minimum(own, 3)] + (held[:, 1:] @ d[1:]) * p) / np.maximum(s, 1)
+                    own, sums = tables(model, order, context, tail)
+                    s = sums[:, 0]
+                    known = (own - d[np.minimum(own, 3)] + (sums[:, 1:] @ d[1:]) * p) / np.maximum(s, 1)
                     p = np.where(s > 0, known, p)
                 return p
 
