@@ -77,6 +77,40 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Bits of the map that stands for keys too many to broadcast: 16 MiB whatever their number.
+MAP_BITS = 27
+
+
+def possible(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of `df` whose key may be one of `wanted` (key): a map of MAP_BITS bits, built from hashes of the keys, lets them through.
+
+    No wanted row is lost; others pass by the share of bits that are set. The map is one row of a fixed size.
+    """
+    size = MAP_BITS - 6
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << MAP_BITS))
+    word, mask = F.shiftright(bit, 6), F.shiftleft(F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    zeros = df.sparkSession.range(1 << size).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
+    words = zeros.union(wanted.select(word.alias("w"), mask.alias("b"))).groupBy("w").agg(F.bit_or("b").alias("b"))
+    one = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("_map"))
+    one = F.broadcast(cut(one, "map"))  # 2 ** MAP_BITS bits
+    own = F.pmod(F.xxhash64(df[key]), F.lit(1 << MAP_BITS))
+    held = F.get("_map", F.shiftright(own, 6).cast("int")).bitwiseAND(F.shiftleft(F.lit(1).cast("bigint"), own.bitwiseAND(F.lit(63)).cast("int")))
+    return df.join(one).where(held != 0).drop("_map")
+
+
+def looked_up(df: DataFrame, key: str, side: DataFrame, row_bytes: int, how: str = "inner") -> DataFrame:
+    """`df` joined (inner or left_semi) with `side` by `key`: broadcast if its counted size is within the bound; else only
+    rows that possible() lets through are shuffled."""
+    if side.count() * row_bytes <= BROADCAST_BYTES:
+        return df.join(F.broadcast(side), key, how)
+    return possible(df, key, side.select(key)).join(side, key, how)
+
+
+def text_key(text: Column) -> Column:
+    """The MD5 of a text, 16 bytes; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def arrow_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts can be long, so fewer of them go to Python at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -22,7 +22,7 @@ QUANTILE = 0.99
 #: Texts are dealt to so many folds by their hash; a text is scored by the model of the trusted texts of the other folds.
 FOLDS = 2
 #: Word trigrams that a task gathers before it hands them on, and trusted words for each shard of a model's tables.
-FLUSH_WORDS, SHARD_WORDS = 1_500_000, 4_000_000
+FLUSH_WORDS, SHARD_WORDS = 2_000_000, 8_000_000
 #: Units of text counted at once, and distinct n-grams that a task holds before it hands them on.
 CHUNK_UNITS, HELD_GRAMS = 1 << 19, 2_000_000
 #: A prime: n-grams are dealt to shards by their remainder, in Spark and in numpy alike.
@@ -284,9 +284,40 @@ def _shard(context, shards: int):
     return (context >> np.uint64(33 - shards.bit_length()) >> np.uint64(32)).astype(np.int64)
 
 
-def _write_table(store: Store, name: str, context, tail, n) -> None:
-    """Sorted contexts, where the words after each begin, these words, their counts, and of each context its sum and how
-    many words have counts 1, 2 and more; counts and sums as places in the list of the different ones."""
+def _narrow(values):
+    """Numbers in the narrowest unsigned type."""
+    import numpy as np
+
+    return values.ravel().astype(np.min_scalar_type(int(values.max(initial=0))).newbyteorder("<"))
+
+
+def _placed(context, shards: int, bits: int):
+    """(bucket, 32 bits that follow) of context keys: a shard's first bits and then `bits` more name the bucket."""
+    import numpy as np
+
+    rest = context << np.uint64(shards.bit_length() - 1)
+    return (rest >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64), (rest << np.uint64(bits) >> np.uint64(32)).astype("<u4")
+
+
+def _first_not_less(values, low, high, wanted):
+    """The places where `wanted` would stand in the sorted ranges [low, high) of `values`, by binary searches side by side."""
+    import numpy as np
+
+    low, high = low.astype(np.int64), high.astype(np.int64)
+    while (left := np.flatnonzero(low < high)).size:
+        middle = (low[left] + high[left]) >> 1
+        less = values[middle] < wanted[left]
+        low[left[less]], high[left[~less]] = middle[less] + 1, middle[~less]
+    return low
+
+
+def _write_table(store: Store, name: str, shards: int, context, tail, n) -> None:
+    """The contexts of a shard in buckets of about sixteen, where the words after each begin, these words and their
+    counts, and of each context its sum and how many words have counts 1, 2 and more.
+
+    Within a bucket 32 bits name a context, and where its words begin counts from the bucket's first; counts and sums are
+    places in the list of the different ones. head: the bits of a bucket and the widths of begin, n and sums.
+    """
     import numpy as np
 
     order = np.lexsort((tail, context))
@@ -295,8 +326,12 @@ def _write_table(store: Store, name: str, context, tail, n) -> None:
     sums = np.stack([np.add.reduceat(x.astype(np.int64), begin) for x in (n, n == 1, n == 2, n > 2)], 1)
     counts, at = np.unique(n, return_inverse=True)
     kinds, of = np.unique(sums, axis=0, return_inverse=True)
-    narrow = lambda x, size: x.ravel().astype("u1" if size <= 1 << 8 else "<u2" if size <= 1 << 16 else "<u4")
-    files = {"context": context[begin].astype("<u8"), "begin": np.append(begin, len(n)).astype("<u4"), "tail": tail, "n": narrow(at, len(counts)), "sums": narrow(of, len(kinds)), "counts": counts.astype("<i8"), "kinds": kinds.astype("<i8")}
+    bits = (len(begin) // 16).bit_length()
+    bucket, rest = _placed(context[begin], shards, bits)
+    index = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+    first = np.append(begin, len(n))[index]
+    begin, at, of = _narrow(begin - first[bucket]), _narrow(at), _narrow(of)
+    files = {"head": np.array([bits, begin.itemsize, at.itemsize, of.itemsize], "<i8"), "index": index.astype("<u4"), "first": first.astype("<u4"), "rest": rest, "begin": begin, "tail": tail, "n": at, "sums": of, "counts": counts.astype("<i8"), "kinds": kinds.astype("<i8")}
     for part, data in files.items():
         made = f"_{uuid.uuid4().hex}"
         with store.create(made) as out:
@@ -314,11 +349,10 @@ class _Tables:
 
     def _open(self, name: str):
         if name not in self.files:
-            own = {part: self.store.array(f"{name}.{part}", kind) for part, kind in (("context", "<u8"), ("begin", "<u4"), ("tail", "<u4"), ("counts", "<i8"), ("kinds", "<i8"))}
-            own["kinds"] = own["kinds"].reshape(-1, 4)
-            for part, size in (("n", len(own["counts"])), ("sums", len(own["kinds"]))):
-                own[part] = self.store.array(f"{name}.{part}", "u1" if size <= 1 << 8 else "<u2" if size <= 1 << 16 else "<u4")
-            self.files[name] = own
+            of = lambda part, kind: self.store.array(f"{name}.{part}", kind)
+            own = {"head": of("head", "<i8")} | {part: of(part, "<u4") for part in ("index", "first", "rest", "tail")}
+            own |= {part: of(part, f"<u{width}") for part, width in zip(("begin", "n", "sums"), own["head"][1:].tolist(), strict=True)}
+            self.files[name] = own | {"counts": of("counts", "<i8"), "kinds": of("kinds", "<i8").reshape(-1, 4)}
             while not self.store.local and len(self.files) > self.most:
                 self.files.popitem(last=False)
         self.files.move_to_end(name)
@@ -336,19 +370,23 @@ class _Tables:
             if (name := f"{model}-{shard[begin]:06d}.{order}") not in self.names:
                 continue
             t, at = self._open(name), sort[begin:end]
-            place = np.minimum(np.searchsorted(t["context"], context[at]), len(t["context"]) - 1)
-            there = t["context"][place] == context[at]
-            at, place = at[there], place[there]
+            bucket, rest = _placed(context[at], self.shards, int(t["head"][0]))
+            last = t["index"][bucket + 1].astype(np.int64)
+            place = _first_not_less(t["rest"], t["index"][bucket], last, rest)
+            there = np.flatnonzero(place < last)
+            there = there[t["rest"][place[there]] == rest[there]]
+            at, place, bucket, last = at[there], place[there], bucket[there], last[there]
             sums[at] = t["kinds"][t["sums"][place]]
-            low, high, wanted = t["begin"][place].astype(np.int64), t["begin"][place + 1].astype(np.int64), tail[at]
-            last = high.copy()
-            while (open_ := np.flatnonzero(low < high)).size:  # a binary search in each context's own words
-                middle = (low[open_] + high[open_]) >> 1
-                less = t["tail"][middle] < wanted[open_]
-                low[open_[less]], high[open_[~less]] = middle[less] + 1, middle[~less]
-            found = np.flatnonzero(low < last)
-            found = found[t["tail"][low[found]] == wanted[found]]
-            own[at[found]] = t["counts"][t["n"][low[found]]]
+            low = t["first"][bucket].astype(np.int64)
+            high = t["first"][bucket + 1].astype(np.int64)
+            inner = np.flatnonzero(place + 1 < last)
+            high[inner] = low[inner] + t["begin"][place[inner] + 1]
+            low += t["begin"][place]
+            wanted = tail[at]
+            word = _first_not_less(t["tail"], low, high, wanted)
+            found = np.flatnonzero(word < high)
+            found = found[t["tail"][word[found]] == wanted[found]]
+            own[at[found]] = t["counts"][t["n"][word[found]]]
         return own, sums
 
 
@@ -447,7 +485,7 @@ class WordModels:
             *columns, n = (np.concatenate(x) for x in zip(*map(_unpacked, pdf["blob"]), strict=True))
             columns, n = _distinct(columns, n)
             context = _key(*columns[:2][::-1]) if order == 3 else _key(columns[0])
-            _write_table(store, f"{model}-{shard:06d}.{order}", context, _tail(columns[-1]), n)
+            _write_table(store, f"{model}-{shard:06d}.{order}", shards, context, _tail(columns[-1]), n)
             out = [(model, shard, None, *[int((n == k).sum()) for k in (1, 2, 3, 4)], len(n), int(n.sum()))]
             if order > 1:
                 lower, types = _distinct([columns[0], columns[2]] if order == 3 else [columns[1]], np.ones(len(n), np.int64))

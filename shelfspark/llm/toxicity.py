@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut, small_side, table
+from .common import arrow_batches, cut, small_side, table, text_key
 
 #: Insults of the seed lexicon, of each language.
 SEED_LEXICONS = {
@@ -101,14 +101,15 @@ def linear_fit(rows: list[list[int]], targets, size: int, l2: float = 2e-5, step
     return b, w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> dict:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, label_model: bool = True) -> dict:
     """{"bias": ..., "weights": {feature: weight}} from documents outside the held-out fifth, labelled or not.
 
     docs: doc_id, text; labels: doc_id, toxic. At most `most_rows` labelled documents are used, those of the least
-    hash of doc_id, and as many without label; counts of the labelled ones' features are summed in Spark, and only
+    hash of doc_id, and as many without label, one text (the least) of a repeated doc_id; counts of the labelled ones' features are summed in Spark, and only
     selected features reach the driver. The voters are the seed lexicons and patterns of each language and the features
     most associated with the labels; the classifier is fitted on the label model's posteriors. Rows without text or id
-    are not used. Without labels of both kinds the seed lexicons alone decide.
+    are not used. Without labels of both kinds the seed lexicons alone decide. label_model: false fits on the bare labels,
+    for comparison.
     """
     import numpy as np
 
@@ -116,7 +117,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS)
     arrow_batches(docs.sparkSession)
     drawn = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = cut(drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "drawn")
-    train = cut(docs.select("doc_id", "text").where("text is not null").join(small_side(drawn, 20), "doc_id").select("doc_id", "text", "toxic"), "train")
+    once = lambda rows: rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # noqa: E731  (a repeated doc_id counts once)
+    train = cut(once(docs.select("doc_id", "text").where("text is not null").join(small_side(drawn, 20), "doc_id")), "train")
     total = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if not total.get(0) or not total.get(1):
         return seed
@@ -151,7 +153,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS)
     named = labels.where("toxic is not null").select("doc_id").distinct()
     others = docs.select("doc_id").where("doc_id is not null and text is not null").where(~held_out(F.col("doc_id"))).distinct().join(small_side(cut(named, "named"), 16), "doc_id", "left_anti")
     others = cut(others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "unlabelled")
-    others = docs.select("doc_id", "text").where("text is not null").join(small_side(others, 16), "doc_id").select("doc_id", "text", F.lit(-1).alias("toxic"))
+    others = once(docs.select("doc_id", "text").where("text is not null").join(small_side(others, 16), "doc_id").select("doc_id", "text", F.lit(-1).alias("toxic")))
     known = train.union(others).orderBy("doc_id").select("text", "toxic").mapInArrow(chosen, "at array<int>, toxic int").collect()
     rows, gold = [list(r["at"]) for r in known], np.array([r["toxic"] for r in known])
     seeds = len(SEED_WORDS) + len(_PATTERNS)
@@ -160,29 +162,34 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS)
     votes = np.zeros((len(rows), len(voters)), np.int8)
     for i, r in enumerate(rows):
         votes[i, [voters[k] for k in r if k in voters]] = 1
-    posterior, _ = label_posteriors(votes, gold)
-    bias, weights = linear_fit(rows, posterior, len(names))
+    if label_model:
+        targets, _ = label_posteriors(votes, gold)
+    else:
+        rows, targets = [r for r, g in zip(rows, gold, strict=True) if g >= 0], gold[gold >= 0].astype(float)
+    bias, weights = linear_fit(rows, targets, len(names))
     return {"bias": float(bias), "weights": {f: float(weights[i]) for f, i in index.items() if abs(weights[i]) > 1e-6}}
 
 
-def toxicity_scores(docs: DataFrame, model: dict) -> DataFrame:
+def toxicity_scores(docs: DataFrame, model: dict, keyed: bool = False) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text; others are never inputs).
 
     A null or empty text has the score of the bias alone. Repeated rows and rows without doc_id are scored like
-    others (their held_out is false); an empty table gives no rows.
+    others (their held_out is false); an empty table gives no rows. keyed: with the text_md5 (binary) of each row.
     """
     arrow_batches(docs.sparkSession)
     bias, weights = model["bias"], model["weights"]
+    also = ["text_md5"] if keyed else []
 
     def score(batches):
         import pyarrow as pa
 
         for batch in batches:
             scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(weights[f] for f in sorted(features_of(t) & weights.keys())))))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), *[batch.column(2) for _ in also]], ["doc_id", "score", *also])
 
-    scored = docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select("doc_id", "text", *[text_key(F.col("text")).alias(c) for c in also])
+    scored = rows.mapInArrow(score, "doc_id long, score double" + "".join(f", {c} binary" for c in also))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *also)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
