@@ -81,21 +81,26 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
 MAP_BITS = 27
 
 
+def _one(bit: Column) -> Column:
+    """The 64-bit word in which the last six bits of `bit` name the only set bit."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))
+
+
 def possible(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """Rows of `df` whose key may be one of `wanted` (key): a map of MAP_BITS bits, built from hashes of the keys, lets them through.
 
     No wanted row is lost; others pass by the share of bits that are set. The map is one row of a fixed size.
     """
-    size = MAP_BITS - 6
+    size, name = MAP_BITS - 6, f"_map{uuid.uuid4().hex}"
     bit = F.pmod(F.xxhash64(key), F.lit(1 << MAP_BITS))
-    word, mask = F.shiftright(bit, 6), F.shiftleft(F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    word, mask = F.shiftright(bit, 6), _one(bit)
     zeros = df.sparkSession.range(1 << size).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
     words = zeros.union(wanted.select(word.alias("w"), mask.alias("b"))).groupBy("w").agg(F.bit_or("b").alias("b"))
-    one = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("_map"))
+    one = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias(name))
     one = F.broadcast(cut(one, "map"))  # 2 ** MAP_BITS bits
     own = F.pmod(F.xxhash64(df[key]), F.lit(1 << MAP_BITS))
-    held = F.get("_map", F.shiftright(own, 6).cast("int")).bitwiseAND(F.shiftleft(F.lit(1).cast("bigint"), own.bitwiseAND(F.lit(63)).cast("int")))
-    return df.join(one).where(held != 0).drop("_map")
+    held = F.get(name, F.shiftright(own, 6).cast("int")).bitwiseAND(_one(own))
+    return df.join(one).where(held != 0).drop(name)
 
 
 def looked_up(df: DataFrame, key: str, side: DataFrame, row_bytes: int, how: str = "inner") -> DataFrame:
