@@ -226,6 +226,12 @@ def collected_coverage(spark, sf_dir):
     return _collected(spark, sf_dir)[1]
 
 
+@query(f"""WITH {BIB} SELECT record_type, department, advisor, count(*) AS n, count(*) FILTER (WHERE access_status = 'open') AS open, min(year) AS first_year, max(year) AS last_year,
+    min(record_id) AS first_id FROM bib GROUP BY ROLLUP (record_type, department, advisor)""")
+def production_people(spark, sf_dir):
+    return federate.production(bibliography(spark, sf_dir), ["record_type", "department", "advisor"], "record_id")
+
+
 @query("""WITH c AS (SELECT year(o_orderdate) AS y, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1, 2)
     SELECT count(*) AS slices, sum(n)::BIGINT AS "rows", count(*) FILTER (WHERE n > 400) AS incomplete, bool_and(n <= 400) AS complete FROM c""")
 def harvest_totals(spark, sf_dir):
