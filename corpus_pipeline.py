@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import decontaminate, exactdedup, ngramjoin, packing, toxicity
-from shelfspark.llm.common import cut, small_side, table, text_key
+from shelfspark.llm.common import cut, table, text_key, without
 from shelfspark.llm.tokens import default_vocabulary
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """`docs` without the rows of `gone` (doc_id, text_md5): a repeated doc_id loses only the text that is named, and a
     null doc_id is a value like others. All columns of `docs` stay as they are."""
-    gone = small_side(cut(gone.select("doc_id", "text_md5").distinct(), "gone"), 48).alias("r")
+    gone = cut(gone.select("doc_id", "text_md5").distinct(), "gone")
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (text_key(F.col("l.text")) == F.col("r.text_md5"))
-    return docs.alias("l").join(gone, same, "left_anti")
+    return without(docs, gone, same, F.xxhash64(text_key(F.col("l.text"))), F.xxhash64("r.text_md5"), 48)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

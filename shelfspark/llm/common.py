@@ -86,31 +86,59 @@ def _one(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def possible(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of `df` whose key may be one of `wanted` (key): a map of MAP_BITS bits, built from hashes of the keys, lets them through.
+def _flagged(df: DataFrame, own: Column, wanted: DataFrame) -> tuple[DataFrame, str]:
+    """`df` and the name of a further column: whether a row's 64-bit key `own` may be one of wanted (one bigint column).
 
-    No wanted row is lost; others pass by the share of bits that are set. The map is one row of a fixed size.
+    A map of MAP_BITS bits, one row of a fixed size, tells by a hash of the key. It never denies a wanted key; others
+    pass by the share of bits that are set.
     """
     size, name = MAP_BITS - 6, f"_map{uuid.uuid4().hex}"
-    bit = F.pmod(F.xxhash64(key), F.lit(1 << MAP_BITS))
-    word, mask = F.shiftright(bit, 6), _one(bit)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
+    bit = place(F.col(wanted.columns[0]))
     zeros = df.sparkSession.range(1 << size).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
-    words = zeros.union(wanted.select(word.alias("w"), mask.alias("b"))).groupBy("w").agg(F.bit_or("b").alias("b"))
+    words = zeros.union(wanted.select(F.shiftright(bit, 6).alias("w"), _one(bit).alias("b"))).groupBy("w").agg(F.bit_or("b").alias("b"))
     one = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias(name))
     one = F.broadcast(cut(one, "map"))  # 2 ** MAP_BITS bits
-    own = F.pmod(F.xxhash64(df[key]), F.lit(1 << MAP_BITS))
-    held = F.get(name, F.shiftright(own, 6).cast("int")).bitwiseAND(_one(own))
-    return df.join(one).where(held != 0).drop(name)
+    held = F.get(name, F.shiftright(place(own), 6).cast("int")).bitwiseAND(_one(place(own))) != 0
+    return df.join(one).select(*[df[c] for c in df.columns], held.alias(f"{name}_")), f"{name}_"
+
+
+def possible(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of `df` whose key may be one of `wanted` (key); no wanted row is lost."""
+    told, flag = _flagged(df, F.xxhash64(df[key]), wanted.select(F.xxhash64(key).alias("h")))
+    return told.where(F.col(flag)).drop(flag)
+
+
+def is_small(side: DataFrame, row_bytes: int) -> bool:
+    return side.count() * row_bytes <= BROADCAST_BYTES
 
 
 def looked_up(df: DataFrame, key: str, side: DataFrame, row_bytes: int, how: str = "inner") -> DataFrame:
     """`df` joined (inner or left_semi) with `side` by `key`: broadcast if its counted size is within the bound; else only
     rows that possible() lets through are shuffled."""
-    if side.count() * row_bytes <= BROADCAST_BYTES:
+    if is_small(side, row_bytes):
         return df.join(F.broadcast(side), key, how)
     return possible(df, key, side.select(key)).join(side, key, how)
 
 
+def without(df: DataFrame, side: DataFrame, same: Column, left: Column, right: Column, row_bytes: int) -> DataFrame:
+    """Rows of `df` (alias l) that no row of `side` (alias r) is the same as; left and right are 64-bit keys that are equal then.
+
+    A side within the bound is broadcast. Beyond it rows that the map denies stay where they are, and only the others
+    are shuffled to be compared.
+    """
+    if is_small(side, row_bytes):
+        return df.alias("l").join(F.broadcast(side).alias("r"), same, "left_anti")
+    told, flag = _flagged(df.alias("l"), left, side.alias("r").select(right.alias("h")))
+    maybe = told.where(F.col(flag)).drop(flag).alias("l").join(side.alias("r"), same, "left_anti")
+    return told.where(~F.col(flag)).drop(flag).unionByName(maybe)
+
+
+def without_ids(df: DataFrame, side: DataFrame) -> DataFrame:
+    """Rows of `df` whose doc_id is not in `side` (doc_id)."""
+    return without(df, side, F.col("l.doc_id") == F.col("r.doc_id"), F.xxhash64("l.doc_id"), F.xxhash64("r.doc_id"), 16)
+
+
 def text_key(text: Column) -> Column:
     """The MD5 of a text, 16 bytes; a null text counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
@@ -160,6 +188,13 @@ class Store:
             out.write(json.dumps(value).encode())
         self.rename(temporary, name)
 
+    def size(self, name: str) -> int:
+        """Bytes of a file that has to be there."""
+        info = self.fs.get_file_info(self.path(name))
+        if not info.is_file:
+            raise FileNotFoundError(self.path(name))
+        return info.size
+
     def read_json(self, name: str):
         with self.open(name) as f:
             return json.loads(f.read())
@@ -168,7 +203,7 @@ class Store:
         """A flat file as an array: mapped where the folder is a local mount, read otherwise."""
         import numpy as np
 
-        if self.fs.get_file_info(self.path(name)).size == 0:
+        if self.size(name) == 0:
             return np.zeros(0, dtype)
         if self.local:
             return np.memmap(self.path(name), dtype, "r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, looked_up, small_side, table, text_key, words_of
+from .common import cut, is_small, let, looked_up, possible, small_side, table, text_key, words_of
 
 WIDTH, THRESHOLD = 5, 0.8
 
@@ -23,6 +23,13 @@ def shingled(rows: DataFrame, key: str, width: int = WIDTH, *also: str) -> DataF
     return rows.select(key, *also, let(words_of(F.col("text")), coded).alias("_s")).select(key, *also, F.col("_s.w").alias("_w"), F.col("_s.h").alias("_h"))
 
 
+def _semi(known: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows of `known` that are in `held` (doc_id, text_md5)."""
+    if is_small(held, 40):
+        return known.join(F.broadcast(held), ["doc_id", "text_md5"], "left_semi")
+    return possible(known, "text_md5", held.select("text_md5")).join(held, ["doc_id", "text_md5"], "left_semi")
+
+
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, keyed: bool = False) -> DataFrame:
     """(doc_id, item_id, item_shingles, shared, containment) of every document that holds an item.
 
@@ -55,8 +62,8 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, thres
     hits = looked_up(probe, "_x", sketch, 32).where("_n >= _least").select("doc_id", "text_md5", "item_id").distinct()
     hits = cut(hits, "hits")
 
-    held = hits.select("doc_id", "text_md5").distinct()
-    again = shingled(known.join(small_side(held, 40), ["doc_id", "text_md5"], "left_semi"), "doc_id", width, "text_md5")
+    held = cut(hits.select("doc_id", "text_md5").distinct(), "held")
+    again = shingled(_semi(known, held), "doc_id", width, "text_md5")
     full = long.select("item_id", "_w", F.posexplode("_h").alias("_i", "_x")).select("item_id", "_x", said(F.col("_w"), F.col("_i"), width).alias("_s")).distinct()
     sizes = full.groupBy("item_id").agg(F.countDistinct("_s").alias("item_shingles"))
     full = small_side(cut(full, "shingles"), 160)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, looked_up, small_side, table, text_key
+from .common import cut, looked_up, small_side, table, text_key, without
 
 
 def exact_groups(docs: DataFrame, keep: str = "min", hashed: Callable[[Column], Column] = lambda c: F.unhex(F.md5(c))) -> DataFrame:
@@ -47,7 +47,7 @@ def drop_exact(docs: DataFrame, keep: str = "max") -> DataFrame:
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
     text = F.col("l.text")
     named = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)) == F.col("r._h")
-    left = docs.alias("l").join(small_side(gone, 64).alias("r"), same & named, "left_anti")
+    left = without(docs, gone, same & named, F.xxhash64(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))), F.xxhash64("r._h"), 64)
     repeated = cut(docs.groupBy("doc_id", text_key(F.col("text")).alias("_m")).count().where("count > 1").select("doc_id", "_m"), "repeated")
     if repeated.isEmpty():
         return left

@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, small_side, table, words_of
+from .common import cut, let, looked_up, table, words_of
 
 #: Licence notices as their licensors word them.
 TEMPLATES = {
@@ -137,7 +137,7 @@ def licence_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, t
     texts = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_m"), "text")
     wanted = tried.groupBy("doc_id", "_m").agg(F.collect_list(F.struct("licence", "template_bigrams", "line", "s", "e", "shared")).alias("_c"))
     same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t._m") == F.col("c._m"))
-    texts = texts.alias("t").join(small_side(wanted.select("doc_id", "_m"), 48).alias("c"), same, "left_semi")
+    texts = looked_up(texts, "_m", cut(wanted.select("_m").distinct(), "held"), 40, "left_semi")
     texts = texts.alias("t").join(wanted.alias("c"), same).select("t.doc_id", "t._m", "t.text", "c._c")
     distinct = lambda w: F.size(F.array_distinct(_pairs(w)))
     size = lambda s, c: F.when(c["line"] == 0, distinct(s["w"])).when(c["line"] > 0, distinct(F.get(s["l"], c["line"] - 1))).otherwise(distinct(F.slice(s["w"], c["s"] + 1, c["e"] - c["s"] + 2)))

@@ -22,7 +22,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, arrow_batches, cut, discard, fresh_dir, small_side, swept, table
+from .common import Store, arrow_batches, cut, discard, fresh_dir, looked_up, small_side, swept, table, without_ids
 from .graph import connected_components
 from .hashing import mixed, shingle_sets, shingles_of
 
@@ -117,33 +117,54 @@ def _write_frequent(counts: DataFrame, path: str, most: int) -> None:
 
 
 class _Frequent:
-    """The counts of frequent codes, from mapped files: joined if they are few, else looked up shard by shard."""
+    """The counts of frequent codes, from mapped files: joined if they are few, else looked up shard by shard.
+
+    Where the folder can't be mapped, `most` shards are held at a time. A shard that is named but missing is an error.
+    """
+
+    def __init__(self, path: str, shards: int, joined_codes: int = 4 << 20, most: int = 8):
+        from collections import OrderedDict
 
-    def __init__(self, path: str, shards: int, joined_codes: int = 4 << 20):
         import numpy as np
 
-        store = Store(path)
-        names = [(k, f"{k:06d}") for k in store.read_json("shards.json")]
-        parts = [(k, store.array(f"{x}.codes", "<u4"), store.array(f"{x}.counts", "<u4")) for k, x in names]
-        parts = [p for p in parts if len(p[1])]
-        if sum(len(p[1]) for p in parts) <= joined_codes and parts:
-            self.parts, shards = [(0, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))], 1
-        else:
-            self.parts = parts
+        self.store, self.most, self.parts = Store(path), most, OrderedDict()
+        names = self.store.read_json("shards.json")
+        sizes = {k: self.store.size(f"{k:06d}.codes") // 4 for k in names}
+        self.names = {k for k, n in sizes.items() if n}
+        if sum(sizes.values()) <= joined_codes and self.names:
+            parts = [self._open(k) for k in sorted(self.names)]
+            self.parts, self.names, shards = {0: tuple(np.concatenate(x) for x in zip(*parts, strict=True))}, {0}, 1
         self.ends = np.arange(1, shards + 1, dtype=np.uint64) << np.uint64(33 - shards.bit_length())
 
+    def _open(self, shard: int):
+        if shard not in self.parts:
+            self.parts[shard] = tuple(self.store.array(f"{shard:06d}.{x}", "<u4") for x in ("codes", "counts"))
+            while not self.store.local and len(self.parts) > self.most:
+                self.parts.popitem(last=False)
+        return self.parts[shard]
+
     def __call__(self, codes):
+        """The counts of sorted codes, 0 for those that are not frequent."""
         import numpy as np
 
         out = np.zeros(len(codes), np.int64)
         ends = np.append(0, np.searchsorted(codes, self.ends))
-        for shard, known, counts in self.parts:
-            a, b = ends[shard], ends[shard + 1]
-            if b > a:
+        for shard in np.flatnonzero(np.diff(ends)).tolist():
+            if shard in self.names:
+                (known, counts), a, b = self._open(shard), ends[shard], ends[shard + 1]
                 at = np.minimum(np.searchsorted(known, codes[a:b]), len(known) - 1)
                 out[a:b] = np.where(known[at] == codes[a:b], counts[at], 0)
         return out
 
+    def of(self, sets: list) -> list:
+        """The counts of the tokens of each of several sets, each code looked up once."""
+        import numpy as np
+
+        if not sets:
+            return []
+        codes, at = np.unique(np.concatenate([s >> np.uint64(32) for s in sets]).astype(np.uint32), return_inverse=True)
+        return np.split(self(codes)[at], np.cumsum([len(s) for s in sets])[:-1])
+
 
 def _blob(token, doc, n, at) -> bytes:
     packed = [_pack(token, True), _pack(doc), _pack(n), _pack(at)]
@@ -187,12 +208,12 @@ def _index(texts: DataFrame, path: str, shards: int, width: int, percent: int) -
 
         for batch in batches:
             docs, sketched = batch.column(0).to_pylist(), []
-            for doc, s in zip(docs, shingle_sets(batch.column(1).to_pylist(), width), strict=True):
+            sets = list(shingle_sets(batch.column(1).to_pylist(), width))
+            for doc, s, count in zip(docs, sets, frequent.of(sets), strict=True):
                 n = len(s)
                 if 100 * n < percent * (n + 1):  # only an equal set can link
                     continue
                 sketched.append((doc, n, sketch(s)))
-                count = frequent((s >> np.uint64(32)).astype(np.uint32))
                 rare, often = s[count == 0], s[count > 0]
                 often = often[np.argsort(count[count > 0], kind="stable")]
                 length, held_classes = prefix(n, percent), classes(n, percent)
@@ -300,8 +321,7 @@ def _dealt(cells: DataFrame, docs: int) -> tuple[DataFrame, DataFrame]:
     ends_read = 2 * cells.count()
     parts = 1 + cells.select("cell", ends).distinct().count() // docs
     cells = cells.withColumn("part", F.pmod("cell", F.lit(parts)))
-    need = cut(cells.select("part", ends).distinct(), "needed", ends_read)
-    return cells, small_side(need, 24)
+    return cells, cut(cells.select("part", ends).distinct(), "needed", ends_read)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: int, percent: int, every: bool = False) -> DataFrame:
@@ -326,7 +346,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: in
         return wanted.loc[could_link(wanted["a"].to_numpy(), wanted["b"].to_numpy(), n, s, percent), ["cell", "a", "b"]]
 
     dealt, need = _dealt(cells, 20_000)
-    rows = sketches.join(need, "doc_id").select("part", "doc_id", "n", "sketch")
+    rows = sketches.join(small_side(need, 24), "doc_id").select("part", "doc_id", "n", "sketch")
     left = cut(dealt.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(near, "cell long, a long, b long"), "near")
     discard(cells)
 
@@ -355,7 +375,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: in
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     dealt, need = _dealt(left, 1_000)
-    rows = texts.join(need, "doc_id").select("part", "doc_id", "text")
+    rows = looked_up(texts, "doc_id", need, 24).select("part", "doc_id", "text")
     return cut(dealt.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(links, "a long, b long"), "links")
 
 
@@ -455,7 +475,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         told = [len(of(r) ^ of(d)) == 0 for d, r in zip(wanted["doc_id"].tolist(), wanted["rep"].tolist(), strict=True)]
         return wanted.loc[told, ["doc_id"]]
 
-    rows = texts.join(small_side(need, 24), "doc_id").select("part", "doc_id", "text")
+    rows = looked_up(texts, "doc_id", need, 24).select("part", "doc_id", "text")
     return pairs.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(same, "doc_id long")
 
 
@@ -469,10 +489,10 @@ def _joined(docs: DataFrame, width: int, percent: int, most: int, every: bool) -
     total, docs_read = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     copies = cut(copies, "copies", docs_read)
     discard(keyed)
-    again = small_side(cut(copies.where("doc_id <> first").select("doc_id"), "again"), 16)
+    again = cut(copies.where("doc_id <> first").select("doc_id"), "again")
     shards = 1 << max(0, (total // 6 // SHARD_TOKENS).bit_length())
 
-    texts = known.join(again, "doc_id", "left_anti")
+    texts = without_ids(known, again)
     rows = cut(_set_rows(texts, shards, width), "set-rows")
     path = fresh_dir(spark, "frequent")
     _write_frequent(rows.where("shard is not null").select("shard", "blob"), path, most)
@@ -484,8 +504,7 @@ def _joined(docs: DataFrame, width: int, percent: int, most: int, every: bool) -
     if not twins.isEmpty():
         alike = small_side(cut(_alike(twins, texts, width).withColumn("alike", F.lit(True)), "alike"), 17)
         sets = cut(sets.join(alike, "doc_id", "left").select("doc_id", "n", F.when(F.col("alike"), F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "reps", docs_read)
-    same = small_side(cut(sets.where("doc_id <> rep or n = 0").select("doc_id"), "same"), 16)
-    texts = texts.join(same, "doc_id", "left_anti")
+    texts = without_ids(texts, cut(sets.where("doc_id <> rep or n = 0").select("doc_id"), "same"))
 
     index = cut(_index(texts, path, shards, width, percent), "index")
     rare = cut(_rare_pairs(index, percent), "rare")

@@ -14,7 +14,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, arrow_batches, cut, discard, fresh_dir, small_side, swept, table
+from .common import Store, arrow_batches, cut, discard, fresh_dir, looked_up, small_side, swept, table
 from .hashing import mixed, names_of, segments
 
 #: Share of a language's trusted documents that stays below its threshold.
@@ -563,7 +563,7 @@ def word_perplexities(docs: DataFrame, good: DataFrame) -> DataFrame:
     arrow_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int").alias("fold"), "text")
-    models = WordModels(rows.join(good, "doc_id", "left_semi"))
+    models = WordModels(looked_up(rows, "doc_id", good, 16, "left_semi"))
     return rows.mapInArrow(models.scorer(), "doc_id long, lang string, fold int, perplexity double")
 
 
@@ -575,9 +575,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTIL
     `quantile` of the trusted ones of its language; a language without trusted text keeps all. Repeated rows are
     scored alike, rows without doc_id too; an empty table gives no rows.
     """
-    good = small_side(cut(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "good"), 16)
+    good = cut(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "good")
     scores = cut(word_perplexities(docs, good), "perplexities")
-    limits = scores.join(good, "doc_id").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"))
+    limits = scores.join(small_side(good, 16), "doc_id").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"))
     out = scores.join(small_side(cut(limits, "limits"), 64), "lang", "left")
     return out.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
 

@@ -89,12 +89,14 @@ class PieceEncoder:
         for t in texts:
             pieces += filter(None, t.replace(b"\n", b" ").split(b" "))
             ends.append(len(pieces))
-        new = [x for x in dict.fromkeys(pieces) if x not in self.index]
-        if new:
+        found = list(map(self.index.get, pieces))
+        if None in found:
+            new = list(dict.fromkeys(x for x, i in zip(pieces, found, strict=True) if i is None))
             k = len(self.index)
             self._learn([x.decode() for x in new])
             self.index.update(zip(new, range(k, k + len(new)), strict=True))
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+            found = list(map(self.index.get, pieces))
+        at = np.array(found, np.int64)
         sizes = self.sizes[at].astype(np.int64)
         done = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[at] - (done - sizes), sizes) + np.arange(done[-1] if len(done) else 0)]

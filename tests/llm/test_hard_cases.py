@@ -122,6 +122,21 @@ def test_maps_in_place_of_broadcasts(spark, monkeypatch):
     assert {3, 5} <= {r.doc_id for r in held.collect()} and held.count() < 10
 
 
+def test_components_and_stages_with_maps(spark, tables, monkeypatch):
+    def told():
+        docs = awkward(spark)
+        out = [sorted(map(str, ngramjoin.jaccard_components(docs.union(docs.withColumn("doc_id", F.col("doc_id") + 50)), percent=60).collect()))]
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.cut(stage(spark, docs, tables), name)
+            out.append(sorted(map(str, docs.collect())))
+        return out
+
+    want = told()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "MAP_BITS", 10)
+    assert told() == want
+
+
 def test_dropping_copies_keeps_other_texts_of_an_id(spark):
     rows = [(1, "a", 1), (2, "a", 2), (2, "b", 3), (2, "b", 4), (None, "a", 5), (None, "c", 6), (None, "c", 7), (3, None, 8), (4, "", 9)]
     left = exactdedup.drop_exact(spark.createDataFrame(rows, "doc_id long, text string, n int"))
