@@ -42,6 +42,9 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 FILE_ROWS = 200_000
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, label: str = "cut", most: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: later plans start there, also after a lost executor.
 
@@ -51,7 +54,12 @@ def cut(df: DataFrame, label: str = "cut", most: int | None = None) -> DataFrame
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, label)
     if most is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, most // FILE_ROWS))
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled for a table that is written goes at once
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back.cut_path = path
     return back
@@ -64,14 +72,6 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def swept(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are done."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     """`df`, marked for broadcast if its counted size is within the bound; else left to a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

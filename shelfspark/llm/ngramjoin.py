@@ -22,7 +22,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, arrow_batches, cut, discard, fresh_dir, looked_up, small_side, swept, table, without_ids
+from .common import Store, arrow_batches, cut, discard, fresh_dir, looked_up, small_side, table, without_ids
 from .graph import connected_components
 from .hashing import mixed, shingle_sets, shingles_of
 
@@ -511,7 +511,6 @@ def _joined(docs: DataFrame, width: int, percent: int, most: int, every: bool) -
     combined = cut(index.where("key is not null").select("key", "id", "n", "rare"), "combined")
     sketches = cut(index.where("sketch is not null").select(F.col("id").alias("doc_id"), "n", "sketch"), "sketches")
     discard(index)
-    swept(spark)
     pivots = combined.groupBy("key").agg(F.min(F.struct("rare", "id", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
     fits = f"id <> p.id and least(n - rare, p.n - p.rare) >= {_need('n', 'p.n', percent)}"
     star = combined.join(pivots, "key").where(fits).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))

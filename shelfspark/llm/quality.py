@@ -14,7 +14,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, arrow_batches, cut, discard, fresh_dir, looked_up, small_side, swept, table
+from .common import Store, arrow_batches, cut, discard, fresh_dir, looked_up, small_side, table
 from .hashing import mixed, names_of, segments
 
 #: Share of a language's trusted documents that stays below its threshold.
@@ -430,7 +430,6 @@ class WordModels:
             made = cut(parts.where("blob is not null").groupBy("model", "shard").applyInPandas(self._table(order), _PART), f"words{order}")
             if before is not None:
                 discard(before)
-            swept(spark)
             told = made.where("kinds is not null").select("model", "shard", *_STATS).collect()  # a row of numbers for each shard
             for r in told:
                 sums = self.stats.setdefault(r["model"], {}).setdefault(order, [0] * len(_STATS))
