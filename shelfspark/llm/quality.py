@@ -249,11 +249,14 @@ def _planes(values) -> bytes:
 
 
 def _packed(columns, n) -> bytes:
-    """Columns of word codes as places in the list of their words, and counts."""
+    """Columns of word codes as places in the list of their words, the most frequent first, and counts."""
     import numpy as np
 
-    words, at = np.unique(np.concatenate(columns), return_inverse=True)
-    return b"".join([_planes(np.diff(words, prepend=np.uint64(0))), *map(_planes, at.reshape(len(columns), -1)), _planes(n)])
+    words, at, often = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return b"".join([_planes(np.diff(words[order], prepend=np.uint64(0))), *map(_planes, rank[at.ravel()].reshape(len(columns), -1)), _planes(n)])
 
 
 def _unpacked(blob: bytes) -> list:
@@ -266,7 +269,7 @@ def _unpacked(blob: bytes) -> list:
         planes = np.frombuffer(zlib.decompress(blob[at + 5 : at + 5 + size]), np.uint8).reshape(width, -1)
         found.append(planes.T.copy().view(f"<u{width}").ravel())
         at += 5 + size
-    words = np.cumsum(found[0], dtype=np.uint64)
+    words = np.cumsum(found[0].astype(np.uint64), dtype=np.uint64)  # differences and sums modulo 2**64
     return [*[words[x] for x in found[1:-1]], found[-1].astype(np.int64)]
 
 
@@ -303,12 +306,16 @@ def _first_not_less(values, low, high, wanted):
     """The places where `wanted` would stand in the sorted ranges [low, high) of `values`, by binary searches side by side."""
     import numpy as np
 
-    low, high = low.astype(np.int64), high.astype(np.int64)
-    while (left := np.flatnonzero(low < high)).size:
-        middle = (low[left] + high[left]) >> 1
-        less = values[middle] < wanted[left]
-        low[left[less]], high[left[~less]] = middle[less] + 1, middle[~less]
-    return low
+    out, at = low.astype(np.int64), np.flatnonzero(low < high)
+    low, high, wanted = out[at], high[at].astype(np.int64), wanted[at]
+    while len(at):
+        middle = (low + high) >> 1
+        less = values[middle] < wanted
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        done = low >= high
+        out[at[done]] = low[done]
+        at, low, high, wanted = at[~done], low[~done], high[~done], wanted[~done]
+    return out
 
 
 def _write_table(store: Store, name: str, shards: int, context, tail, n) -> None:
@@ -504,19 +511,27 @@ class WordModels:
 
             tables = _Tables(path, shards, names)
 
+            def once(*codes):
+                """The places of the first of equal n-grams, and which of them each one is."""
+                return np.unique(codes[0] if len(codes) == 1 else _key(*codes), return_index=True, return_inverse=True)[1:]
+
+            def interpolated(model, order, context, tail, p):
+                d = discounts[model, order]
+                own, sums = tables(model, order, context, tail)
+                s = sums[:, 0]
+                known = (own - d[np.minimum(own, 3)] + (sums[:, 1:] @ d[1:]) * p) / np.maximum(s, 1)
+                return np.where(s > 0, known, p)
+
             def probabilities(model, a, b, c):
                 n1, n2, _, _, kinds, total = stats[model][1]
                 d, tail = discounts[model, 1], _tail(c)
-                own, _ = tables(model, 1, _key(c), tail)
+                first, which = once(c)  # words repeat, and so do pairs of them: each is looked up once
+                own, _ = tables(model, 1, _key(c[first]), tail[first])
                 left = (d[1] * n1 + d[2] * n2 + d[3] * (kinds - n1 - n2)) / total
-                p = (own - d[np.minimum(own, 3)]) / total + left / (kinds + 1)
-                for order, context in ((2, _key(b)), (3, _key(a, b))):
-                    d = discounts[model, order]
-                    own, sums = tables(model, order, context, tail)
-                    s = sums[:, 0]
-                    known = (own - d[np.minimum(own, 3)] + (sums[:, 1:] @ d[1:]) * p) / np.maximum(s, 1)
-                    p = np.where(s > 0, known, p)
-                return p
+                p = ((own - d[np.minimum(own, 3)]) / total + left / (kinds + 1))[which]
+                first, which = once(b, c)
+                p = interpolated(model, 2, _key(b[first]), tail[first], p[first])[which]
+                return interpolated(model, 3, _key(a, b), tail, p)
 
             for batch in batches:
                 ids, langs, folds, texts = (x.to_pylist() for x in batch.columns)
