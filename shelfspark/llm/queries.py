@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, licenses, ngramjoin, packing, quality, tokenbin, toxicity, urlfilter, warc
+from . import codes, decontaminate, exactdedup, licenses, negatives, ngramjoin, packing, pii, quality, tokenbin, toxicity, urlfilter, warc
 
-_MODULES = (decontaminate, urlfilter, licenses, ngramjoin, quality, exactdedup, packing, warc, tokenbin, toxicity)
+_MODULES = (decontaminate, urlfilter, licenses, ngramjoin, quality, exactdedup, packing, warc, tokenbin, toxicity, codes, negatives, pii)
 
 
 def queries() -> dict:
