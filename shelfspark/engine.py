@@ -85,7 +85,7 @@ class Engine:
                department: str | None = None, language: str | None = None, access: str | None = None, sort: str = "relevance", limit: int = 20, candidate_cap: int | None = None) -> Found:
         """Records of both sources with the query's terms; all filters apply to both sources, before ranking.
 
-        The index comes first in the order of its scores; rows of the second source follow, by covered terms, those without
+        A field's terms are looked for in the postings of its columns alone. The index comes first in the order of its scores; rows of the second source follow, by covered terms, those without
         any left out where the field is wide. A query of stopwords alone finds nothing in the index.
         """
         if field != "all" and field not in retrieve.FIELDS:
@@ -96,10 +96,8 @@ class Engine:
             raise ValueError("the query is empty")
         bundle = {"record_type": record_type, "first_year": first_year, "last_year": last_year, "institution": institution, "department": department, "language": language, "access": access}
         own = retrieve.filtered(self.records, **bundle)
-        if field != "all":
-            names = [c for c in retrieve.FIELDS[field] if c in self.records.columns]
-            own = own.where(retrieve.holds_terms(F.concat_ws(" ", *[F.concat_ws(" ", c) for c in names]), query)) if names else own
-        hits = retrieve.ranked(self.index, own, query, candidate_cap=candidate_cap).withColumns({"_1": F.round("score", 9), "_2": F.lit(0), "_3": F.lit(0)})
+        columns = None if field == "all" else [c for c in retrieve.FIELDS[field] if c in self.index.weights]
+        hits = retrieve.ranked(self.index, own, query, candidate_cap=candidate_cap, columns=columns).withColumns({"_1": F.round("score", 9), "_2": F.lit(0), "_3": F.lit(0)})
         order = [F.coalesce("year", F.lit(0)).desc()] if sort == "newest" else []
         notes = [(F.lit(not analysed(query)), NOTES["stopwords"])]
         if self.live is None:
@@ -119,7 +117,8 @@ class Engine:
         if not name or not name.strip():
             raise ValueError("the name is empty")
         year = {"_1": -F.coalesce("year", F.lit(0)).cast("double"), "_2": F.lit(0), "_3": F.lit(0)}
-        hits = retrieve.by_person(self.records, kind, name).withColumns(year)
+        own = retrieve.by_person_indexed(self.index, self.records, kind, name) if kind in self.index.weights else retrieve.by_person(self.records, kind, name)
+        hits = own.withColumns(year)
         if self.live is None:
             return self._found(hits, None, None, [], limit)
         plain_name = self.spark.range(1).select(person_name(F.lit(name)).alias("n")).first()["n"]

@@ -10,22 +10,45 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Turkish letters and their folds, further accented letters, stopwords of both languages and academic
-#: titles after folding.
+#: Turkish letters and their folds, letters with a stroke and the final sigma, which no decomposition undoes,
+#: stopwords of both languages and academic titles after folding.
 TURKISH, TURKISH_FOLDED = "ıİIşŞğĞüÜöÖçÇ", "iiissgguuoocc"
-ACCENTED, PLAIN = "àáâäãåèéêëìíîïñòóôõùúûýÿ", "aaaaaaeeeeiiiinoooouuuyy"
+STROKED, UNSTROKED = "łŁøØđĐħĦŧŦςΣ", "llooddhhttσσ"
 STOPWORDS = ("ve", "ile", "bir", "bu", "da", "de", "icin", "olarak", "the", "of", "and", "in", "on", "a", "an", "to", "ya", "veya", "mi", "mu")
 TITLES = ("prof", "doc", "dr", "ogr", "uyesi", "uye", "yrd", "ars", "gor", "uzm", "ogretim")
 
 
+#: Blocks of combining marks of letters; the marks of other scripts, which are part of their words, are not among them.
+MARKS = ((0x300, 0x370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE20, 0xFE30))
+
+
+def _is_mark(c: str) -> bool:
+    return any(a <= ord(c) < b for a, b in MARKS)
+
+
+def _plain_table() -> tuple[str, str]:
+    """(letters, replacements) of translate(): Turkish and stroked letters, every letter of the basic plane that decomposes into
+    a letter and marks, as that letter without case, and last the marks, which go."""
+    told = dict(zip(TURKISH + STROKED, TURKISH_FOLDED + UNSTROKED, strict=True))
+    for code in [*range(0xC0, 0x2100), *range(0x2C60, 0xD800)]:
+        first, *rest = unicodedata.normalize("NFD", chr(code))
+        if rest and all(map(_is_mark, rest)):
+            told.setdefault(chr(code), told.get(first, first.lower()))
+    return "".join(told) + "".join(chr(m) for a, b in MARKS for m in range(a, b)), "".join(told.values())
+
+
+_MARKED, _UNMARKED = _plain_table()
+_PLAIN = str.maketrans(_MARKED[: len(_UNMARKED)], _UNMARKED, _MARKED[len(_UNMARKED) :])
+
+
 def fold(c: Column) -> Column:
     """Case- and Turkish-insensitive form; null becomes empty."""
     return F.replace(F.lower(F.translate(F.coalesce(c, F.lit("")), TURKISH, TURKISH_FOLDED)), F.lit("ß"), F.lit("ss"))
 
 
 def plain(c: Column) -> Column:
-    """fold() without accents: the form in which texts and queries meet, in tokens and in substrings alike."""
-    return F.translate(fold(c), ACCENTED, PLAIN)
+    """fold() without marks, composed or not: the form in which texts and queries meet, in tokens and in substrings alike."""
+    return F.replace(F.lower(F.translate(F.coalesce(c, F.lit("")), _MARKED, _UNMARKED)), F.lit("ß"), F.lit("ss"))
 
 
 def upper_tr(c: Column) -> Column:
@@ -39,7 +62,7 @@ def tokens(c: Column) -> Column:
 
 def plain_text(text: str | None) -> str:
     """plain() of a literal."""
-    return (text or "").translate(str.maketrans(TURKISH, TURKISH_FOLDED)).lower().replace("ß", "ss").translate(str.maketrans(ACCENTED, PLAIN))
+    return (text or "").translate(_PLAIN).lower().replace("ß", "ss")
 
 
 def fold_contains(c: Column, needle: str) -> Column:
@@ -69,9 +92,32 @@ def place_part(c: Column, i: int) -> Column:
 
 
 def strip_html(c: Column) -> Column:
+    """Text without tags, so that a word with a marked part stays one word; blanks squeezed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", ""), r"\s+", " "))
+
+
+def spaced_html(c: Column) -> Column:
+    """Text with a blank for each tag, as whole pages need it whose blocks part words; blanks squeezed."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))
 
 
+def between(c: Column, opening: str, closing: str) -> Column:
+    """What stands after the first `opening` up to the next `closing`, trimmed; null if either is missing or nothing is between."""
+    rest = after(c, opening)
+    return F.when(F.contains(rest, F.lit(closing)), F.nullif(F.trim(F.substring_index(rest, closing, 1)), F.lit("")))
+
+
+def after(c: Column, mark: str) -> Column:
+    """What follows the first `mark`; null if it is missing."""
+    return F.when(F.contains(c, F.lit(mark)), F.substr(c, F.locate(mark, c) + len(mark)))
+
+
+def title_tr(c: Column) -> Column:
+    """Each run of letters with a Turkish capital and Turkish small letters after it."""
+    word = lambda w: F.concat(upper_tr(F.substring(w, 1, 1)), F.lower(F.translate(F.substr(w, F.lit(2)), "Iİ", "ıi")))
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{M}']+|[^\p{L}\p{M}']+)"), F.lit(1)), word), "")
+
+
 def keyword_list(c: Column) -> Column:
     """Keywords split by ; or else by , without tags, blanks and empty parts."""
     bare = strip_html(F.coalesce(c, F.lit("")))

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import analysed, fold_contains, plain, plain_text, upper_tr
-from .index import Index
+from .index import PREFIX, Index, weight_of
 
 #: Fixed values of the ranking: BM25, the floor of idf, and what phrases, terms and recent years add.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 PHRASE_OF_TERMS, PHRASE_OF_ONE, IN_ABSTRACT, PER_TERM, PER_YEAR = 4.0, 2.0, 1.5, 0.7, 0.03
 RELATED_TERMS = 12
+#: A first wave has blocks with so many candidates for each row that is wanted.
+FIRST_WAVE = 4
 #: Columns that a search field stands for.
 FIELDS = {
     "title": ("title", "title_alt"), "author": ("author",), "advisor": ("advisor",), "subject": ("subjects",),
@@ -22,31 +25,150 @@ FIELDS = {
 PERSONS = ("author", "advisor")
 
 
-def bm25(index: Index, terms: Sequence[str], every: bool = True) -> DataFrame:
+def _starting(terms: Sequence[str]) -> tuple[Column, Column]:
+    """(whether a row's term begins with any of `terms`, the array of those that it begins with)."""
+    starts = [F.startswith("term", F.lit(t)) for t in terms]
+    any_of = starts[0]
+    for s in starts[1:]:
+        any_of = any_of | s
+    return any_of, F.filter(F.array(*[F.when(s, F.lit(t)) for s, t in zip(starts, terms, strict=True)]), lambda x: x.isNotNull())
+
+
+def _share(f: Column, dl: Column, mean: Column) -> Column:
+    """How far f weighted occurrences in a record of dl terms count."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * dl / mean))
+
+
+def bm25(index: Index, terms: Sequence[str], every: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
     """(key, score) of records with a token for every (or any) prefix term; the smallest score is the best.
 
-    A repeated term counts again; no terms find nothing. Only the terms' postings are read: the prefixes reach the scan.
-    Sums over them are partial aggregates, and the document frequencies that are broadcast are one row a term.
+    columns: those in which terms are looked for, all of the index without them; the length of a record is that of all. A
+    repeated term counts again; no terms find nothing. Only the terms' postings are read: columns and prefixes reach the
+    scan. Sums over them are partial aggregates, and the document frequencies that are broadcast are one row a term.
     """
     key, wanted = index.key, sorted(set(terms))
     if not wanted:
-        return index.postings.select(key, F.lit(0.0).alias("score")).limit(0)
-    starts = [F.startswith("term", F.lit(t)) for t in wanted]
-    any_of = starts[0]
-    for s in starts[1:]:
-        any_of = any_of | s
-    held = F.filter(F.array(*[F.when(s, F.lit(t)) for s, t in zip(starts, wanted, strict=True)]), lambda x: x.isNotNull())
-    per = index.postings.where(any_of).select(key, "dl", "f", F.explode(held).alias("q")).groupBy(key, "q").agg(F.sum("f").alias("f"), F.first("dl").alias("dl"))
+        return index.places.select(key, F.lit(0.0).alias("score")).limit(0)
+    any_of, held = _starting(wanted)
+    per = index.weighted(columns).where(any_of).select(key, "dl", "f", F.explode(held).alias("q")).groupBy(key, "q").agg(F.sum("f").alias("f"), F.first("dl").alias("dl"))
     df = per.groupBy("q").agg(F.count("*").alias("df"))
     times = F.element_at(F.create_map(*[F.lit(x) for t in wanted for x in (t, list(terms).count(t))]), F.col("q"))
     idf = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
-    share = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / (F.col("words") / F.col("docs"))))
     rows = per.join(F.broadcast(df.join(F.broadcast(index.corpus()))), "q")
-    out = rows.groupBy(key).agg((-F.sum(times * idf * share)).alias("score"), F.count("*").alias("m"))
+    out = rows.groupBy(key).agg((-F.sum(times * idf * _share(F.col("f"), F.col("dl"), F.col("words") / F.col("docs")))).alias("score"), F.count("*").alias("m"))
     return (out.where(F.col("m") == len(wanted)) if every else out).select(key, "score")
 
 
+def document_frequencies(index: Index, terms: Sequence[str]) -> dict[str, int]:
+    """The records that have a term with each prefix: of short prefixes as the index keeps them, of others counted from their
+    postings (two columns). One row a term comes to the driver."""
+    kept = [t for t in set(terms) if index.prefixes is not None and len(t) <= PREFIX]
+    other = sorted(set(terms) - set(kept))
+    out = dict.fromkeys(terms, 0)
+    if kept:
+        out |= {r["term"]: r["n"] for r in index.prefixes.where(F.col("term").isin(*kept)).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    if other:
+        any_of, held = _starting(other)
+        rows = index.places.where(any_of).select(index.key, F.explode(held).alias("q")).distinct()
+        out |= {r["q"]: r["count"] for r in rows.groupBy("q").count().collect()}
+    return out
+
+
+def top_ranked(index: Index, records: DataFrame, query: str, k: int, abstract: str | None = "abstract", digits: int = 9) -> DataFrame:
+    """The `k` best rows of ranked(), by score (rounded to `digits`) and key, without scoring or joining what can't be among them.
+
+    The index keeps for each block of records of like length the most occurrences of each term and the least length. They
+    bound the scores of a block, and what bonus() adds is bounded too. The blocks with the best bounds are scored first and
+    their records joined; the k-th of them is then a floor. Blocks that can't reach it are not read, and of the others only
+    records that can are joined. All of it is exact, whatever `records` was filtered by. To the driver come a row a term, a
+    row a block of the index (their number does not grow with the records), and k rows.
+    """
+    terms, key = analysed(query), index.key
+    wanted = sorted(set(terms))
+    if not wanted or index.maxima is None or not index.docs:
+        return ranked(index, records, query, abstract).withColumn("score", F.round("score", digits)).orderBy("score", key).limit(k)
+    df, mean = document_frequencies(index, wanted), index.words / index.docs
+    gain = {t: terms.count(t) * (x if (x := log((index.docs - df[t] + 0.5) / (df[t] + 0.5))) > 0 else IDF_FLOOR) for t in wanted}
+    any_of, held = _starting(wanted)
+    worth = F.element_at(F.create_map(*[F.lit(x) for t in wanted for x in (t, float(gain[t]))]), F.col("q"))
+    most = (PHRASE_OF_TERMS + PER_TERM * len(terms) if len(terms) > 1 else PHRASE_OF_ONE) + PER_YEAR * 30
+    bounds = index.maxima.where(any_of).select("block", "dl", "rows", (F.col("n") * weight_of(index.weights)).alias("f"), F.explode(held).alias("q"))
+    bounds = bounds.groupBy("block", "q").agg(F.sum("f").alias("f"), F.min("dl").alias("dl"), F.sum("rows").alias("rows")).groupBy("block").agg(F.sum(worth * _share(F.col("f"), F.col("dl"), F.lit(mean))).alias("most"), F.min("rows").alias("rows"), F.count("*").alias("m"))
+    blocks = sorted(((r["most"], r["block"], r["rows"]) for r in bounds.where(F.col("m") == len(wanted)).collect()), reverse=True)
+    title = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "title_alt") if c in records.columns])
+    body = F.col(abstract) if abstract is not None and abstract in records.columns else None
+
+    def scored(some: Sequence[int], floor: float | None = None) -> DataFrame:
+        rows = index.weighted().where(F.col("block").isin(*some) & any_of).select(key, "dl", "f", F.explode(held).alias("q"))
+        per = rows.groupBy(key, "q").agg(F.sum("f").alias("f"), F.first("dl").alias("dl"))
+        hits = per.groupBy(key).agg((-F.sum(worth * _share(F.col("f"), F.col("dl"), F.lit(mean)))).alias("score"), F.count("*").alias("m")).where(F.col("m") == len(wanted)).drop("m")
+        hits = hits if floor is None else hits.where(F.col("score") - most <= floor)
+        joined = hits.join(records, key)
+        return joined.withColumn("score", F.round(F.col("score") - bonus(query, title, body, F.col("year")), digits)).orderBy("score", key).limit(k)
+
+    first, count = [], 0
+    while blocks and count < FIRST_WAVE * k:
+        _, block, rows = blocks.pop(0)
+        first.append(block)
+        count += rows
+    if not first:
+        return ranked(index, records.limit(0), query, abstract)
+    top = scored(first)
+    held_rows = top.collect()  # k at most
+    floor = held_rows[-1]["score"] if len(held_rows) == k else None
+    rest = [b for bound, b, _ in blocks if floor is None or -bound - most <= floor + 10.0**-digits]
+    best = records.sparkSession.createDataFrame(held_rows, top.schema)
+    if not rest:
+        return best.orderBy("score", key)
+    return best.unionByName(scored(rest, None if floor is None else floor + 10.0**-digits)).orderBy("score", key).limit(k)
+
+
+def phrase(index: Index, words: Sequence[str], columns: Sequence[str] | None = None, last_prefix: bool = True) -> DataFrame:
+    """(key, column, start) of the places where `words` follow each other, the last of them as a prefix unless told otherwise.
+
+    Only the postings of these words are read, in these columns; what a column of a record has of them meets in one row, and
+    there the positions are intersected. No words stand nowhere.
+    """
+    key = index.key
+    if not words:
+        return index.places.select(key, "column", F.lit(0).alias("start")).limit(0)
+    rows = index.places if columns is None else index.places.where(F.col("column").isin(*columns))
+    same = [F.col("term") == w for w in words[:-1]] + [F.startswith("term", F.lit(words[-1])) if last_prefix else F.col("term") == words[-1]]
+    any_of = same[0]
+    for s in same[1:]:
+        any_of = any_of | s
+    begun = lambda i: F.transform("positions", lambda x: x - i)
+    found = rows.where(any_of).groupBy(key, "column").agg(*[F.flatten(F.collect_list(F.when(s, begun(i)))).alias(f"_{i}") for i, s in enumerate(same)])
+    starts = F.col("_0")
+    for i in range(1, len(words)):
+        starts = F.array_intersect(starts, F.col(f"_{i}"))
+    return found.select(key, "column", F.explode(F.array_distinct(starts)).alias("start"))
+
+
+def phrase_search(index: Index, query: str, field: str | Sequence[str] = "all", match: str = "contains", op: str = "and") -> DataFrame:
+    """(key) of the records with both halves of a query in a field's columns, joined by `op`, from the postings alone.
+
+    As keyword_search(), but words count and not letters: a phrase is words that follow each other, whatever parts them, and
+    with "contains" the last one may go on; what stands inside a word is not found. A field is a name of FIELDS, "all" or a
+    list of columns.
+    """
+    if match not in ("contains", "exact"):
+        raise ValueError(f"unknown match {match}")
+    if isinstance(field, str) and field != "all" and field not in FIELDS:
+        raise ValueError(f"unknown field {field}")
+    if not query.strip():
+        raise ValueError("the query is empty")
+    one, two, op = (query, None, op) if field in PERSONS else half_split(query, op)
+    columns = None if field == "all" else FIELDS[field] if isinstance(field, str) else field
+    keys = lambda text: phrase(index, analysed(text, keep_stopwords=True), columns, match == "contains").select(index.key).distinct()
+    if two is None:
+        return keys(one)
+    if op == "or":
+        return keys(one).union(keys(two)).distinct()
+    return keys(one).join(keys(two), index.key, "left_semi" if op == "and" else "left_anti")
+
+
 def bonus(query: str, title: Column, abstract: Column | None, year: Column) -> Column:
     """What a phrase or terms in the title, a phrase in the abstract and a recent year take off the score."""
     terms = analysed(query)
@@ -96,14 +218,14 @@ def newest(key: str) -> list[Column]:
     return [F.coalesce("year", F.lit(0)).desc(), F.col(key)]
 
 
-def ranked(index: Index, records: DataFrame, query: str, abstract: str | None = "abstract", candidate_cap: int | None = None) -> DataFrame:
-    """`records` that hold every term of the query, with their adjusted score (the smallest is the best).
+def ranked(index: Index, records: DataFrame, query: str, abstract: str | None = "abstract", candidate_cap: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """`records` that hold every term of the query (in `columns`, if there are any), with their adjusted score (the smallest is the best).
 
     records: already filtered, so that filters come before ranking. candidate_cap keeps so many best raw scores of the
     whole index first, for those who want such a cap. A query of stopwords alone finds nothing.
     """
     key = index.key
-    hits = bm25(index, analysed(query))
+    hits = bm25(index, analysed(query), columns=columns)
     if candidate_cap is not None:
         hits = hits.orderBy("score", key).limit(candidate_cap)
     title = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "title_alt") if c in records.columns])
@@ -122,6 +244,14 @@ def by_person(records: DataFrame, column: str, name: str, key: str | None = None
     return out if limit is None else out.limit(limit)
 
 
+def by_person_indexed(index: Index, records: DataFrame, column: str, name: str) -> DataFrame:
+    """Records of whose person's words each term of the name begins one, found by the column's postings of these terms alone.
+
+    A name without terms finds nothing.
+    """
+    return records.join(bm25(index, analysed(name), columns=[column]).select(index.key), index.key, "left_semi")
+
+
 def by_institution(records: DataFrame, name: str, key: str, record_type: str | None = None, first_year: int | None = None, last_year: int | None = None, limit: int | None = None) -> DataFrame:
     """Records of the institutions whose name holds the whole given one, newest first; an empty name finds nothing."""
     out = filtered(records.where(fold_contains(F.col("institution"), name) & F.lit(bool(analysed(name, keep_stopwords=True)))), record_type=record_type, first_year=first_year, last_year=last_year)

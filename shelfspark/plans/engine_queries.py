@@ -41,7 +41,7 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     """Orders as records with a stored index, and those of two states as a second source with a cap."""
     rows, at = bibliography(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
     if at not in _STORED:
-        path = f"{store.work_folder(spark)}/bibliography-{at[0]}-{len(_STORED)}"
+        path = store.own_folder(spark, "bibliography")
         write_index(rows, "record_id", _COLS, path)
         _STORED[at] = path
     places = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.concat("n_name", F.lit(" ÜNİVERSİTESİ")).alias("name"))
@@ -244,9 +244,8 @@ def harvest_totals(spark, sf_dir):
     n AS (SELECT count(DISTINCT record_id) AS docs FROM rec) SELECT term, count(DISTINCT record_id) AS df, count(*) AS n, any_value(docs) AS docs, (SELECT count(*) FROM p) AS words FROM p, n GROUP BY term""")
 def index_upsert(spark, sf_dir):
     """A stored index after all English records got a new title: old tokens are gone, the corpus figures follow."""
-    rows, path = records(spark, sf_dir, ("record_id", "title", "institution", "language")), f"{store.work_folder(spark)}/upserted-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    rows, path = records(spark, sf_dir, ("record_id", "title", "institution", "language")), store.own_folder(spark, "upserted")
     weights = {"title": 5.0, "institution": 2.0}
-    store.drop(spark, path)
     write_index(rows, "record_id", weights, path)
     upsert_index(rows.where("language = 'en'").withColumn("title", F.lit("renewed title")), "record_id", weights, path)
     index = read_index(spark, path, "record_id")

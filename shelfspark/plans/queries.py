@@ -22,7 +22,7 @@ def stored_index(spark: SparkSession, sf_dir: str) -> Index:
     """The documents' index, written once for each application and table folder and read from then on."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _STORED:
-        path = f"{store.work_folder(spark)}/index-{spark.sparkContext.applicationId}-{len(_STORED)}"
+        path = store.own_folder(spark, "index")
         write_index(records(spark, sf_dir, _INDEXED), "record_id", _WEIGHTS, path)
         _STORED[at] = path
     return read_index(spark, _STORED[at], "record_id")
@@ -58,6 +58,45 @@ def search_ranked(spark, sf_dir):
     return hits.select("record_id", "year", F.round("score", 6).alias("score")).orderBy("score", "record_id").limit(50)
 
 
+@query(SQL["search_ranked"])
+def search_top(spark, sf_dir):
+    """The same rows by bounds: blocks and records that can't be among the first 50 are neither scored nor joined."""
+    rec = records(spark, sf_dir, ("record_id", "title", "body", "year")).where(retrieve.year_between(F.col("year"), 1995, 2015))
+    return retrieve.top_ranked(stored_index(spark, sf_dir), rec, "onan ble", 50, abstract="body", digits=6).select("record_id", "year", "score")
+
+
+@query(f"""{_bm25(["with"], True)}, f AS (SELECT record_id, 5.0 * count(*) AS f FROM (SELECT record_id, unnest({tokens_sql("title")}) AS term FROM rec) WHERE starts_with(term, 'with') GROUP BY 1),
+    i AS (SELECT greatest(ln((any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM f, c)
+    SELECT record_id, round(-(i.idf * f.f * 2.2 / (f.f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM f JOIN len USING (record_id), i, c""")
+def field_search(spark, sf_dir):
+    """Terms in titles alone, from the postings of that column."""
+    return retrieve.bm25(stored_index(spark, sf_dir), ["with"], columns=["title"]).select("record_id", F.round("score", 6).alias("score"))
+
+
+_PLACES = f"""WITH {_REC}, k AS (SELECT record_id, 'title' AS col, {tokens_sql("title")} AS t FROM rec UNION ALL SELECT record_id, 'body', {tokens_sql("body")} FROM rec),
+    t AS (SELECT record_id, col, unnest(t) AS term, unnest(range(len(t))) AS pos FROM k)"""
+
+
+@query(f"""{_PLACES} SELECT a.record_id, a.col, a.pos::INT AS start FROM t a JOIN t b ON a.record_id = b.record_id AND a.col = b.col AND b.pos = a.pos + 1
+    WHERE a.term = 'the' AND b.term = 'of'""")
+def phrase_places(spark, sf_dir):
+    """Where two words follow each other, by their positions in the postings."""
+    return retrieve.phrase(stored_index(spark, sf_dir), ["the", "of"], ["title", "body"], last_prefix=False).select("record_id", F.col("column").alias("col"), "start")
+
+
+_HALVES = f"""{_PLACES}, a AS (SELECT DISTINCT a.record_id FROM t a JOIN t b ON a.record_id = b.record_id AND a.col = b.col AND b.pos = a.pos + 1 WHERE a.term = 'the' AND starts_with(b.term, 'of')),
+    b AS (SELECT DISTINCT record_id FROM t WHERE starts_with(term, 'and'))"""
+
+
+@query(f"""{_HALVES} SELECT 'and' AS op, record_id FROM a SEMI JOIN b USING (record_id) UNION ALL SELECT 'not', record_id FROM a ANTI JOIN b USING (record_id)
+    UNION ALL SELECT 'or', record_id FROM (SELECT * FROM a UNION SELECT * FROM b)""")
+def keyword_phrases(spark, sf_dir):
+    """The halves of a query by positions, joined by each operator; no text is read."""
+    index = stored_index(spark, sf_dir)
+    parts = [retrieve.phrase_search(index, "the of and", ["title", "body"], op=op).select(F.lit(op).alias("op"), "record_id") for op in ("and", "not", "or")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query(f"WITH {_REC}, {bm25_sql(_WEIGHTS, ['x'], False)} SELECT term, count(*) AS df, sum(n)::BIGINT AS n FROM post GROUP BY 1 HAVING count(*) > 2")
 def index_terms(spark, sf_dir):
     return postings(records(spark, sf_dir, _INDEXED), "record_id", _WEIGHTS).where("term is not null").groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n")).where("df > 2")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import ACCENTED, PLAIN, TURKISH, TURKISH_FOLDED
+from ..functions.text import STROKED, TURKISH, TURKISH_FOLDED, UNSTROKED
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -23,7 +23,7 @@ def fold_sql(c: str) -> str:
 
 
 def plain_sql(c: str) -> str:
-    return f"translate({fold_sql(c)}, '{ACCENTED}', '{PLAIN}')"
+    return f"replace(strip_accents(lower(translate(coalesce({c}, ''), '{TURKISH + STROKED}', '{TURKISH_FOLDED + UNSTROKED}'))), 'ß', 'ss')"
 
 
 def tokens_sql(c: str) -> str:

@@ -5,30 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_list, place_part, plain, strip_html, unescaped
+from ..functions.text import after, between, keyword_list, place_part, plain, strip_html, title_tr, unescaped
 from .records import canonical
 
-#: Fixed values of the format: fields of the detail object, and the record types with the words that name them in a reference.
+#: Fixed values of the format: fields of the detail object, the record types with the words that name them in a reference,
+#: the mark of a record's number in a reference, of the link to its content and of the message in place of one.
 FIELDS = ("danisman", "yer", "trOzet", "enOzet", "anahtarKelimeTr", "anahtarKelimeEn", "apa_ref", "ieee_ref", "mla_ref", "chicago_ref", "harvard_ref")
 TYPES = ("Yüksek Lisans", "Doktora", "Tıpta Uzmanlık", "Sanatta Yeterlik", "Diş Hekimliği Uzmanlık", "Tıpta Yan Dal Uzmanlık", "Eczacılıkta Uzmanlık")
-_APA = r"(?s)^(.+?)\s*\((\d{4})\)\.\s*<i>(.+?)</i>\s*(?:\(Tez No\.\s*([^)]+)\)\s*)?\[([^\]]+)\]"
+NUMBER, CONTENT, MESSAGE = "(Tez No.", "TezGoster?key=", "pdf-info-msg"
+
+
+def _turned(name: Column) -> Column:
+    """"SURNAME, X." as "X. SURNAME"."""
+    parts = F.split(name, ",", 2)
+    return F.nullif(F.trim(F.concat_ws(" ", F.nullif(F.trim(F.get(parts, F.lit(1))), F.lit("")), F.trim(F.get(parts, F.lit(0))))), F.lit(""))
 
 
 def apa_reference(c: Column) -> Column:
-    """struct(author, year, title, public_no, record_type) of an APA reference; all null if it isn't one.
+    """struct(author, year, title, public_no, record_type) of an APA reference, each null where its part is missing.
 
-    "SURNAME, X." is turned round. The type is the text before the bracket's first comma: a known type by its name, whatever
-    its case, another one without its last word and in title case.
+    The year is the first bracket of four digits, the author what precedes it ("SURNAME, X." turned round), the title the
+    first part in italics, and after it stand the number and, in the last square bracket, the type up to a comma: a known
+    type by its name, whatever its case, another one without its last word and in title case.
     """
-    part = lambda i: F.nullif(F.trim(F.regexp_extract(c, _APA, i)), F.lit(""))
-    turned = F.trim(F.concat_ws(" ", F.trim(F.regexp_replace(part(1), r"^[^,]*,", "")), F.trim(F.regexp_extract(part(1), r"^([^,]*),", 1))))
-    author = F.when(F.contains(part(1), F.lit(",")), F.nullif(turned, F.lit(""))).otherwise(part(1))
-    named = F.trim(F.substring_index(part(5), ",", 1))
+    bracket = F.nullif(F.regexp_extract(c, r"\([0-9]{4}\)", 0), F.lit(""))
+    title = F.nullif(F.trim(F.regexp_replace(unescaped(between(c, "<i>", "</i>")), r"(?U)\s+", " ")), F.lit(""))
+    tail = F.coalesce(after(c, "</i>"), c)
+    last = F.when(F.contains(tail, F.lit("[")), F.substring_index(tail, "[", -1))
+    named = F.when(F.contains(last, F.lit("]")), F.nullif(F.trim(F.substring_index(F.substring_index(last, "]", 1), ",", 1)), F.lit("")))
     known = F.create_map(*[F.lit(x) for t in TYPES for x in (_plain_type(t), t)])
-    other = F.nullif(F.initcap(F.trim(F.regexp_replace(named, r"(?i)\s+tezi$", ""))), F.lit(""))
-    kind = F.when(named.isNotNull(), F.coalesce(F.try_element_at(known, plain(named)), other))
-    title = F.nullif(F.trim(F.regexp_replace(unescaped(part(3)), r"(?U)\s+", " ")), F.lit(""))
-    return F.struct(author.alias("author"), part(2).try_cast("int").alias("year"), title.alias("title"), part(4).alias("public_no"), kind.alias("record_type"))
+    other = F.nullif(title_tr(F.trim(F.when(F.endswith(plain(named), F.lit(" tezi")), F.substr(named, F.lit(1), F.length(named) - 5)).otherwise(named))), F.lit(""))
+    return F.struct(
+        _turned(F.when(bracket.isNotNull(), F.trim(F.split_part(c, bracket, F.lit(1))))).alias("author"), F.substring(bracket, 2, 4).cast("int").alias("year"), title.alias("title"),
+        between(tail, NUMBER, ")").alias("public_no"), F.when(named.isNotNull(), F.coalesce(F.try_element_at(known, plain(named)), other)).alias("record_type"))
 
 
 def _plain_type(label: str) -> str:
@@ -47,7 +56,7 @@ def details(answers: DataFrame, key: str = "record_id", body: str = "body") -> D
     d = F.from_json(F.trim(F.regexp_replace(body, r"^\s+", "")), ", ".join(f"{f} string" for f in FIELDS))
     rows = answers.select(key, d.alias("d")).withColumn("apa", apa_reference(F.col("d.apa_ref")))
     empty = lambda f: F.nullif(F.col(f"d.{f}"), F.lit(""))
-    keys = lambda f: keyword_list(F.regexp_replace(F.coalesce(F.col(f"d.{f}"), F.lit("")), r"<[^>]*>", ""))
+    keys = lambda f: keyword_list(F.col(f"d.{f}"))
     return rows.select(
         key, "apa.author", "apa.year", "apa.title", "apa.public_no", "apa.record_type", labelled(F.col("d.danisman")).alias("advisor"),
         *[place_part(F.col("d.yer"), i).alias(c) for i, c in enumerate(("institution", "institute", "department", "branch"))],
@@ -56,12 +65,15 @@ def details(answers: DataFrame, key: str = "record_id", body: str = "body") -> D
 
 
 def access(c: Column) -> Column:
-    """struct(status, reason, content_key) of an access fragment: a content link is open, a message restricted, else unknown."""
-    key = F.nullif(F.regexp_extract(c, r"""TezGoster\?key=([^'"&\s]+)""", 1), F.lit(""))
-    told = F.rlike(c, F.lit(r"""(?s)class=['"]pdf-info-msg['"][^>]*>.*?</span>"""))
-    reason = strip_html(F.regexp_extract(c, r"""(?s)class=['"]pdf-info-msg['"][^>]*>(.*?)</span>""", 1))
-    status = F.when(key.isNotNull(), "open").when(told, "restricted").otherwise("unknown")
-    return F.struct(status.alias("status"), F.when(key.isNull() & told, reason).alias("reason"), key.alias("content_key"))
+    """struct(status, reason, content_key) of an access fragment: a content link is open, a message restricted, else unknown.
+
+    The key ends with the link's quote, a further parameter or a blank; the message is the element of its class.
+    """
+    key = F.nullif(F.regexp_extract(after(c, CONTENT), r"""^[^'"&\s]*""", 0), F.lit(""))
+    message = after(F.coalesce(after(c, f"'{MESSAGE}'"), after(c, f'"{MESSAGE}"')), ">")
+    told = F.when(F.contains(message, F.lit("</span>")), strip_html(F.substring_index(message, "</span>", 1)))
+    status = F.when(key.isNotNull(), "open").when(told.isNotNull(), "restricted").otherwise("unknown")
+    return F.struct(status.alias("status"), F.when(key.isNull(), told).alias("reason"), key.alias("content_key"))
 
 
 def merged_records(detail: DataFrame, fragments: DataFrame, cards: DataFrame | None = None) -> DataFrame:
