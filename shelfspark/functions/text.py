@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,11 @@ _MARKED, _UNMARKED = _plain_table()
 _PLAIN = str.maketrans(_MARKED[: len(_UNMARKED)], _UNMARKED, _MARKED[len(_UNMARKED) :])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often and under whatever condition body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(c: Column) -> Column:
     """Case- and Turkish-insensitive form; null becomes empty."""
     return F.replace(F.lower(F.translate(F.coalesce(c, F.lit("")), TURKISH, TURKISH_FOLDED)), F.lit("ß"), F.lit("ss"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import staged
 
 def _keyed(df: DataFrame, key: str) -> DataFrame:
     """Rows with a key: null and empty ones name nothing."""
@@ -98,7 +99,8 @@ def collected(df: DataFrame, key: str, levels: Sequence[str], cap: int, max_requ
     (requests, collected, total_found, complete): complete if every row is there, as the source's own total tells.
     """
     order = [F.col(c).asc_nulls_first() for c in levels]
-    asked = asked_slices(df, levels, cap).orderBy(*order).limit(max_requests)
+    # a slice comes before its part with a null value; the bounded table is evaluated once
+    asked = staged(asked_slices(df, levels, cap).orderBy(*order, "depth").limit(max_requests), "asked")
     out = None
     for depth in range(1, len(levels) + 1):
         part = asked.where(F.col("depth") == depth).select(*[F.col(c).alias(f"_{c}") for c in levels[:depth]], F.col("rows").alias("_rows"))
@@ -174,3 +176,36 @@ def reported(text: Column) -> Column:
 def production(records: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     """Records, open ones, and the first and last year by every prefix of the given columns (a rollup)."""
     return records.rollup(*by).agg(F.count("*").alias("n"), F.count_if(F.col("access_status") == "open").alias("open"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min(key).alias("first_id"))
+
+
+def _by_each(records: DataFrame, dimensions: Sequence[str], more: Sequence[str], *aggregates: Column) -> DataFrame:
+    """(dimension, value, more, aggregates) by each of the dimensions alone, and for all records as dimension "all"; one scan."""
+    own = [f"_d{i}" for i in range(len(dimensions))]
+    rows = records.select("*", *[F.col(d).cast("string").alias(o) for d, o in zip(dimensions, own, strict=True)])
+    sets = [[o, *more] for o in own] + [list(more)]
+    which, value = F.lit("all"), F.lit(None).cast("string")
+    for d, o in zip(dimensions, own, strict=True):  # a null value is a value, so the set is told by grouping()
+        which, value = F.when(F.grouping(o) == 0, d).otherwise(which), F.when(F.grouping(o) == 0, F.col(o)).otherwise(value)
+    return rows.groupingSets([[F.col(c) for c in s] for s in sets], *own, *more).agg(which.alias("dimension"), value.alias("value"), *aggregates).drop(*own)
+
+
+def production_by(records: DataFrame, dimensions: Sequence[str], person: str) -> DataFrame:
+    """(dimension, value, n, open, first_year, last_year, people) by each dimension alone and for "all", in one scan.
+
+    people is the exact number of different persons that aren't null. Records are counted by value and person first, so a
+    value that most of them share is spread over its persons, and what is counted then has a row for each.
+    """
+    kept = [F.count("*").alias("n"), F.count_if(F.col("access_status") == "open").alias("open"), F.min("year").alias("first_year"), F.max("year").alias("last_year")]
+    fine = _by_each(records.withColumn("_person", F.col(person)), dimensions, ["_person"], *kept)
+    return fine.groupBy("dimension", "value").agg(F.sum("n").alias("n"), F.sum("open").alias("open"), F.min("first_year").alias("first_year"), F.max("last_year").alias("last_year"), F.count("_person").alias("people"))
+
+
+def production_sketches(records: DataFrame, dimensions: Sequence[str], person: str) -> DataFrame:
+    """(dimension, value, n, sketch) by each dimension alone and for "all": the sketches of persons can be kept and merged by
+    merged_sketches() with those of other records, and stand for their numbers within a few percent."""
+    return _by_each(records, dimensions, [], F.count("*").alias("n"), F.hll_sketch_agg(F.col(person).cast("string"), F.lit(14)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """(dimension, value, n, people) of several production_sketches() one above the other."""
+    return sketches.groupBy("dimension", "value").agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("people"))

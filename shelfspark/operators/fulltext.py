@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Letters that a readable text of the covered languages has.
 EXPECTED = "a-zA-ZçğıİöşüÇĞÖŞÜàáâäãåèéêëìíîïòóôõùúûñýÿæœøÀÁÂÄÃÅÈÉÊËÌÍÎÏÒÓÔÕÙÚÛÑ"
 #: Headings of sections, upper-cased without Turkish letters, and those of references.
@@ -26,26 +28,52 @@ _NUMBERING = r"^\s*(?:[0-9]+(?:[.)][0-9]+)*(?:[.)]\s*|\s+)|(?:[IVXLC]+|[A-Da-d])
 
 
 def cleaned(c: Column) -> Column:
-    """Line ends unified, words joined over hyphenated line ends, blank lines squeezed."""
-    c = F.regexp_replace(c, "\r\n?", "\n")
-    c = F.regexp_replace(c, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
-    return F.trim(F.regexp_replace(c, "\n{3,}", "\n\n"))
+    """Line ends unified, words joined over hyphenated line ends, blank lines squeezed.
+
+    Each step reads only texts that hold what it changes.
+    """
+    lines = let(c, lambda t: F.when(F.contains(t, F.lit("\r")), F.regexp_replace(t, "\r\n?", "\n")).otherwise(t))
+    joined = let(lines, lambda t: F.when(F.contains(t, F.lit("-\n")), F.regexp_replace(t, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")).otherwise(t))
+    return F.trim(let(joined, lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, "\n{3,}", "\n\n")).otherwise(t)))
+
+
+def _solid(c: Column) -> Column:
+    """Characters that are not blanks."""
+    for blank in " \n\t\r\f\v":
+        c = F.replace(c, F.lit(blank), F.lit(""))
+    return F.length(c)
 
 
 def readable_ratio(c: Column) -> Column:
     """Share of expected letters in the first 3000 letters; no letters are readable."""
-    letters = F.substring(F.regexp_replace(c, r"\P{L}", ""), 1, SAMPLE)
-    good = F.length(F.regexp_replace(letters, f"[^{EXPECTED}]", ""))
-    return F.when(F.length(letters) == 0, 1.0).otherwise(good / F.length(letters))
+    return _ratio(F.regexp_replace(c, r"\P{L}+", ""))
+
+
+def _ratio(letters: Column) -> Column:
+    """readable_ratio() of a text's letters."""
+    good = lambda x: F.when(F.length(x) == 0, 1.0).otherwise(F.length(F.regexp_replace(x, f"[^{EXPECTED}]+", "")) / F.length(x))
+    return let(F.substring(letters, 1, SAMPLE), good)
 
 
 def assessed(c: Column) -> Column:
-    """struct(has_text, reliable, note): the note says what is wrong with a text, null if nothing is."""
-    solid = F.length(F.regexp_replace(c, r"\s", ""))
-    letters = F.length(F.regexp_replace(c, r"\P{L}", ""))
-    some, words, sound = F.coalesce(solid > 10, F.lit(False)), F.coalesce(letters / F.nullif(solid, F.lit(0)) >= 0.5, F.lit(False)), readable_ratio(c) >= READABLE
-    note = F.when(~some, "no text: probably scanned images").when(~words, "no words: only fragments such as page numbers").when(~sound, "unreliable: the letters are those of a broken font")
-    return F.struct((some & words).alias("has_text"), (some & words & F.coalesce(sound, F.lit(False))).alias("reliable"), note.alias("note"))
+    """struct(has_text, reliable, note): the note says what is wrong with a text, null if nothing is.
+
+    A text is searched once for blanks and once for letters.
+    """
+
+    def measured(t: Column) -> Column:
+        return F.struct(_solid(t).alias("solid"), F.regexp_replace(t, r"\P{L}+", "").alias("letters"))
+
+    def judged(m: Column) -> Column:
+        some, words = F.coalesce(m["solid"] > 10, F.lit(False)), F.coalesce(F.length(m["letters"]) / F.nullif(m["solid"], F.lit(0)) >= 0.5, F.lit(False))
+        return F.struct(some.alias("some"), words.alias("words"), F.coalesce(F.when(some & words, _ratio(m["letters"]) >= READABLE), F.lit(False)).alias("sound"))
+
+    def told(j: Column) -> Column:
+        some, words, sound = j["some"], j["words"], j["sound"]
+        note = F.when(~some, "no text: probably scanned images").when(~words, "no words: only fragments such as page numbers").when(~sound, "unreliable: the letters are those of a broken font")
+        return F.struct((some & words).alias("has_text"), (some & words & sound).alias("reliable"), note.alias("note"))
+
+    return let(let(let(c, measured), judged), told)
 
 
 def _core(line: Column) -> Column:

@@ -216,20 +216,27 @@ def _segment(records: DataFrame, key: str, weights: Mapping[str, float], path: s
     spark, name = records.sparkSession, uuid.uuid4().hex
     base = f"{path}/segments/{name}"
     rows = placed(records, key, weights, prefixes=True)
-    rows.repartitionByRange("column", "term").sortWithinPartitions("column", "term", "block", key).write.partitionBy("column").parquet(f"{base}/places")
-    kinds = dict(rows.dtypes)
-    back = _read(spark, f"{base}/places", _PLACES.format(key=key, kind=kinds[key]))
-    back.where("lead").select(key, "dl").write.parquet(f"{base}/lengths")
-    real = back.where((F.col("column") != PREFIXES) & F.col("term").isNotNull())
-    real.groupBy("column", "term", "block").agg(F.max("n").alias("n"), F.min("dl").alias("dl"), F.count("*").alias("rows")).repartitionByRange("column", "term").sortWithinPartitions("column", "term").write.partitionBy("column").parquet(f"{base}/maxima")
+    rows.write.parquet(f"{base}/unsorted")  # else the range bounds would be sampled from texts that are read once more
+    rows = _read(spark, f"{base}/unsorted", rows.schema)
+    rows.where("lead").select(key, "dl").write.parquet(f"{base}/lengths")
+    _write_sorted(rows, key, base)
+    store.drop(spark, f"{base}/unsorted")
     docs, words = spark.read.parquet(f"{base}/lengths").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     return {"name": name, "docs": docs, "words": words, "deleted": None}
 
 
+def _write_sorted(rows: DataFrame, key: str, base: str) -> None:
+    """Write places by column, sorted by term, and the maxima of their blocks."""
+    rows.repartitionByRange("column", "term").sortWithinPartitions("column", "term", "block", key).write.partitionBy("column").parquet(f"{base}/places")
+    real = rows.where((F.col("column") != PREFIXES) & F.col("term").isNotNull())
+    most = real.groupBy("column", "term", "block").agg(F.max("n").alias("n"), F.min("dl").alias("dl"), F.count("*").alias("rows"))
+    most.sortWithinPartitions("column", "term").write.partitionBy("column").parquet(f"{base}/maxima")
+
+
 _PLACES = "{key} {kind}, term string, n bigint, positions array<int>, dl bigint, block int, lead boolean, column string"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
@@ -345,9 +352,7 @@ def compact(spark: SparkSession, path: str, key: str) -> None:
     rows = index.places.withColumn("block", _band() * PARTS + F.pmod(F.xxhash64(F.col(key)), F.lit(PARTS)).cast("int")).withColumn("lead", F.lit(False))
     heads = index.places.where("term is not null").select(key, F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(PREFIX))), lambda k: F.substring("term", F.lit(1), k))).alias("term"))
     heads = heads.distinct().groupBy("term").agg(F.count("*").alias("n")).withColumn("column", F.lit(PREFIXES))
-    rows.unionByName(heads, allowMissingColumns=True).repartitionByRange("column", "term").sortWithinPartitions("column", "term", "block", key).write.partitionBy("column").parquet(f"{base}/places")
-    real = rows.where("term is not null")
-    real.groupBy("column", "term", "block").agg(F.max("n").alias("n"), F.min("dl").alias("dl"), F.count("*").alias("rows")).repartitionByRange("column", "term").sortWithinPartitions("column", "term").write.partitionBy("column").parquet(f"{base}/maxima")
+    _write_sorted(rows.unionByName(heads, allowMissingColumns=True), key, base)
     made = {"name": name, "docs": index.docs, "words": index.words, "deleted": None, "weights": dict(index.weights)}
     taken = {s["name"] for s in old}
 

@@ -8,7 +8,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import analysed, fold_contains, plain, plain_text, upper_tr
+from ..functions.text import analysed, fold_contains, let, plain, plain_text, upper_tr
 from .index import PREFIX, Index, weight_of
 
 #: Fixed values of the ranking: BM25, the floor of idf, and what phrases, terms and recent years add.
@@ -279,32 +279,40 @@ def half_split(query: str, op: str = "and") -> tuple[str, str | None, str]:
     return (query.strip(), None, op) if len(words) < 2 else (" ".join(words[:k]), " ".join(words[k:]), op)
 
 
-def _has(columns: Sequence[Column], phrase: str, match: str) -> Column:
+def _has(folded: Sequence[Column], phrase: str, match: str) -> Column:
     words = analysed(phrase, keep_stopwords=True)
     exact = r"(^|[^\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(words) + r"([^\p{L}\p{N}]|$)"
     out = F.lit(False)
-    for c in columns:
-        out = out | F.coalesce(F.contains(plain(c), F.lit(" ".join(words))) if match == "contains" else plain(c).rlike(exact), F.lit(False))
+    for c in folded:
+        out = out | (F.contains(c, F.lit(" ".join(words))) if match == "contains" else c.rlike(exact))
     return out if words else F.lit(False)
 
 
-def keyword_filters(columns: Sequence[Column], query: str, match: str = "contains", ops: Sequence[str] = ("and", "or", "not")) -> dict[str, Column]:
-    """keyword_filter() for several operators over the same two phrases."""
+def keyword_held(columns: Sequence[Column], query: str, match: str = "contains", ops: Sequence[str] = ("and", "or", "not")) -> Column:
+    """The operators, of `ops`, with which the halves of a query hold: each half in any of the columns, as a substring or as whole
+    words. Every column is folded once and searched once for each half. A null column holds nothing."""
     if match not in ("contains", "exact"):
         raise ValueError(f"unknown match {match}")
     if not query.strip():
         raise ValueError("the query is empty")
-    out = {}
-    for op in ops:
-        one, two, op = half_split(query, op)
-        a, b = _has(columns, one, match), None if two is None else _has(columns, two, match)
-        out[op] = a if b is None else {"and": a & b, "or": a | b, "not": a & ~b}[op]
-    return out
+    one, two, _ = [half_split(query, op) for op in ops][0]
+    names = [f"c{i}" for i in range(len(columns))]
+
+    def held(found: Column) -> Column:
+        a, b = found["a"], found["b"]
+        tests = {op: a if two is None else {"and": a & b, "or": a | b, "not": a & ~b}[op] for op in ops}
+        return F.filter(F.array(*[F.when(test, F.lit(op)) for op, test in tests.items()]), lambda x: x.isNotNull())
+
+    def searched(s: Column) -> Column:
+        folded = [s[n] for n in names]
+        return F.struct(_has(folded, one, match).alias("a"), (F.lit(False) if two is None else _has(folded, two, match)).alias("b"))
+
+    return let(let(F.struct(*[plain(c).alias(n) for c, n in zip(columns, names, strict=True)]), searched), held)
 
 
 def keyword_filter(columns: Sequence[Column], query: str, match: str = "contains", op: str = "and") -> Column:
     """Field search: each phrase in any of the columns, as a substring or as whole words, joined by and, or, not."""
-    return keyword_filters(columns, query, match, [op])[op] if op in ("and", "or", "not") else half_split(query, op)
+    return F.size(keyword_held(columns, query, match, [op])) > 0
 
 
 def keyword_search(records: DataFrame, query: str, field: str = "all", match: str = "contains", op: str = "and") -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..engine import WEIGHTS, Engine
 from ..functions.text import STOPWORDS, fold, fold_contains, person_name, plain, tokens, upper_tr
-from ..operators import cite, federate, retrieve
+from ..operators import cite, federate, harvest, retrieve
 from ..operators.index import read_index, upsert_index, write_index
 from ..sources import store
 from ..sources.records import HIT, bibliography, read, records
-from .registry import bm25_sql, fold_sql, plain_sql, query, tokens_sql, values_sql
+from .registry import SQL, bm25_sql, fold_sql, plain_sql, query, tokens_sql, values_sql
 
 #: Rows with Turkish letters and accents: id, title, author, advisor.
 ACCENTS = (
@@ -226,6 +226,58 @@ def collected_coverage(spark, sf_dir):
     return _collected(spark, sf_dir)[1]
 
 
+def _frontier(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"))
+    domains = [o.select("y").distinct(), o.select("p").distinct(), o.select("s").distinct()]  # what a form offers
+    return harvest.frontier(harvest.table_source(o, "o_orderkey", ["y", "p", "s"], 60), domains, ["y", "p", "s"], "o_orderkey", store.own_folder(spark, "frontier"), 40)
+
+
+@query(SQL["collected_rows"])
+def frontier_rows(spark, sf_dir):
+    """The same rows from a source that tells its counts only when it is asked."""
+    return _frontier(spark, sf_dir)[0].select("o_orderkey")
+
+
+@query(SQL["collected_coverage"])
+def frontier_coverage(spark, sf_dir):
+    return _frontier(spark, sf_dir)[1]
+
+
+@query("""WITH c AS (SELECT year(o_orderdate)::VARCHAR || '|' || o_orderpriority AS slice, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1, 2)
+    SELECT slice, CASE WHEN n > 400 OR y = 1996 THEN 2 ELSE 1 END AS runs, CASE WHEN n > 400 THEN 'incomplete' ELSE 'complete' END AS status, n AS found, least(n, 400) AS shown FROM c""")
+def harvest_runs(spark, sf_dir):
+    """Slices by year and priority, harvested twice: in the first run the requests of one year fail, in the second they and the
+    incomplete ones are asked again."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("p"))
+    slices, path = o.select("y", "p").distinct().withColumn("slice", federate.slice_key("y", "p")), store.own_folder(spark, "harvest")
+    harvest.harvest(slices, harvest.table_source(o, "o_orderkey", ["y", "p"], 400, broken=F.col("y") == 1996), path)
+    return harvest.harvest(slices, harvest.table_source(o, "o_orderkey", ["y", "p"], 400), path).drop("error")
+
+
+_DIMENSIONS = ("year", "record_type", "department", "language", "advisor", "institution")
+
+
+@query(f"WITH {BIB} " + " UNION ALL ".join(f"""SELECT '{d}' AS dimension, {"NULL" if d == "all" else d + "::VARCHAR"} AS value, count(*) AS n, count(*) FILTER (WHERE access_status = 'open') AS open,
+    min(year) AS first_year, max(year) AS last_year, count(DISTINCT author) AS people FROM bib{"" if d == "all" else " GROUP BY " + d}""" for d in (*_DIMENSIONS, "all")))
+def production_dimensions(spark, sf_dir):
+    """Records and different authors by year, type, department, language, advisor and institution in one scan."""
+    return federate.production_by(bibliography(spark, sf_dir), _DIMENSIONS, "author")
+
+
+@query("""WITH RECURSIVE a AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1 UNION ALL
+    SELECT a.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = a.user_id AND e.ts >= a.ts + INTERVAL 6 HOUR) AS ts FROM a WHERE a.ts IS NOT NULL) SELECT user_id, ts FROM a WHERE ts IS NOT NULL""")
+def asked_again(spark, sf_dir):
+    """Which requests of a stream reach the source if what it has answered stays warm for six hours."""
+    from ..streaming.warm import asked_again as passed
+
+    events, path = read(spark, sf_dir, "events"), store.own_folder(spark, "asked")
+    schema = ", ".join(f"{n} {t}" for n, t in events.dtypes)
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    done = passed(stream, "user_id", "ts", 6 * 3600).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 @query(f"""WITH {BIB} SELECT record_type, department, advisor, count(*) AS n, count(*) FILTER (WHERE access_status = 'open') AS open, min(year) AS first_year, max(year) AS last_year,
     min(record_id) AS first_id FROM bib GROUP BY ROLLUP (record_type, department, advisor)""")
 def production_people(spark, sf_dir):

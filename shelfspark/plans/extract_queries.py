@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..operators import fulltext
 from ..sources import cards, detail, dictionary
-from ..sources.records import bibliography, read
+from ..sources.records import bibliography, read, read_texts
 from .engine_queries import BIB
 from .registry import plain_sql, query
 
@@ -126,7 +126,7 @@ _TEXT = "CASE WHEN doc_id % 4 = 3 THEN text ELSE 'kapak' || chr(10) || '1. ÖZET
 def _thesis_texts(spark, sf_dir):
     """Documents as bodies of works with headings of several kinds; one in four has none."""
     whole = F.concat(F.lit("kapak\n1. ÖZET\n"), "text", F.lit("\n1.2 GİRİŞ\n"), "source", F.lit("\nSONUÇ\n\nIV) Kaynakça\n[1] "), "lang", F.lit("\n[2] x"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 3, F.col("text")).otherwise(whole).alias("text"))
+    return read_texts(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 4 == 3, F.col("text")).otherwise(whole).alias("text"))
 
 
 @query(r"""WITH d AS (SELECT * FROM documents WHERE doc_id % 4 <> 3) SELECT doc_id, '(başlık öncesi)' AS heading, 5 AS chars FROM d UNION ALL SELECT doc_id, '1. ÖZET', length(regexp_replace(text, '^\s+|\s+$', '', 'g')) FROM d WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, fold_contains, grouped_int, place_part, tokens, upper_tr
+from ..functions.text import STOPWORDS, fold, fold_contains, grouped_int, let, place_part, tokens, upper_tr
 from ..operators import federate, fulltext, retrieve
 from ..operators.index import Index, postings, read_index, write_index
-from ..sources import html, store
-from ..sources.records import read, records
+from ..operators.related import related_all
+from ..sources import dictionary, html, store
+from ..sources.records import read, read_texts, records
 from .registry import QUERIES, SQL, bm25_sql, fold_sql, plain_sql, query, tokens_sql
 
 __all__ = ["QUERIES", "SQL"]
@@ -102,6 +103,37 @@ def index_terms(spark, sf_dir):
     return postings(records(spark, sf_dir, _INDEXED), "record_id", _WEIGHTS).where("term is not null").groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n")).where("df > 2")
 
 
+_SEEDS = f"""{_bm25(["x"], False)}, w0 AS (SELECT record_id AS seed, {tokens_sql("title")} AS t FROM rec),
+    w1 AS (SELECT seed, unnest(t) AS q, unnest(range(len(t))) AS i FROM w0), w2 AS (SELECT seed, q, min(i) AS i FROM w1 WHERE q NOT IN ({", ".join(f"'{w}'" for w in STOPWORDS)}) GROUP BY 1, 2),
+    seeds AS (SELECT seed, q FROM w2 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY i) <= 12), voc AS (SELECT DISTINCT term FROM post),
+    heads AS (SELECT d.q, term FROM (SELECT DISTINCT q FROM seeds) d JOIN voc ON starts_with(term, d.q)),
+    sper AS (SELECT q, record_id, sum(f) AS f FROM heads JOIN post USING (term) GROUP BY 1, 2), sdf AS (SELECT q, greatest(ln((any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM sper, c GROUP BY 1),
+    sw AS (SELECT q, record_id, idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w FROM sper JOIN sdf USING (q) JOIN len USING (record_id), c),
+    ss AS (SELECT seed, record_id, round(-sum(w), 9) AS score FROM seeds JOIN sw USING (q) WHERE seed <> record_id GROUP BY 1, 2)"""
+
+
+@query(f"""{_SEEDS} SELECT seed, record_id, row_number() OVER (PARTITION BY seed ORDER BY score, record_id)::INT AS place FROM ss
+    QUALIFY row_number() OVER (PARTITION BY seed ORDER BY score, record_id) <= 10""")
+def related_records(spark, sf_dir):
+    """The ten records most related to every record."""
+    return related_all(stored_index(spark, sf_dir), records(spark, sf_dir, ("record_id", "title")), 10).select("seed", "record_id", "place")
+
+
+_ENTRIES = "SELECT p_partkey AS code, p_name || ' ' || lpad(p_partkey::VARCHAR, 7, '0') AS name FROM part"
+
+
+@query(f"""WITH e AS ({_ENTRIES}), w AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'No ' || c_custkey WHEN c_custkey % 11 = 0 THEN right(c_name, 2) ELSE right(c_name, 4) END AS label FROM customer),
+    m AS (SELECT label, count(*) AS matches, min(name) AS name FROM (SELECT DISTINCT label FROM w) JOIN e ON contains({plain_sql("name")}, {plain_sql("label")}) GROUP BY 1)
+    SELECT c_custkey, coalesce(matches, 0) AS matches, name FROM w LEFT JOIN m USING (label)""")
+def name_entries(spark, sf_dir):
+    """Every customer's name, as a fragment, against a dictionary of all parts: how many entries hold it, and the first."""
+    p, c = read(spark, sf_dir, "part"), read(spark, sf_dir, "customer")
+    entries = p.select(F.col("p_partkey").alias("code"), F.concat_ws(" ", "p_name", F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("name"))
+    label = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("No "), F.col("c_custkey").cast("string"))).when(F.col("c_custkey") % 11 == 0, F.substring("c_name", -2, 2)).otherwise(F.substring("c_name", -4, 4))
+    found = dictionary.name_matches(entries, c.select("c_custkey", label.alias("label")))
+    return found.select("c_custkey", "matches", "entry.name")
+
+
 @query(f"SELECT c_custkey, c_name FROM customer WHERE contains({plain_sql('c_name')}, 'customer') AND contains({plain_sql('c_name')}, '12')")
 def by_person(spark, sf_dir):
     return retrieve.by_person(read(spark, sf_dir, "customer"), "c_name", "CUSTOMER 12").select("c_custkey", "c_name")
@@ -120,8 +152,7 @@ _KW = {"and": "a AND b", "or": "a OR b", "not": "a AND NOT b"}
         contains({plain_sql("title")}, 'and') OR contains({plain_sql("body")}, 'and') AS b FROM rec)
         """ + " UNION ALL ".join(f"SELECT '{k}' AS op, record_id FROM t WHERE {v}" for k, v in _KW.items()))
 def keyword_ops(spark, sf_dir):
-    tests = retrieve.keyword_filters([F.col("title"), F.col("body")], "the of and", ops=tuple(_KW))
-    held = F.filter(F.array(*[F.when(test, F.lit(op)) for op, test in tests.items()]), lambda x: x.isNotNull())
+    held = retrieve.keyword_held([F.col("title"), F.col("body")], "the of and", ops=tuple(_KW))
     return records(spark, sf_dir, ("record_id", "title", "body")).select(F.explode(held).alias("op"), "record_id")
 
 
@@ -211,8 +242,8 @@ _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', ch
     r AS (SELECT *, CASE WHEN l = '' THEN 1.0 ELSE length(regexp_replace(substr(l, 1, 3000), '[^{fulltext.EXPECTED}]', '', 'g')) / length(substr(l, 1, 3000)) END AS ratio FROM m)
     SELECT doc_id, chars, solid > 10 AND length(l) / solid >= 0.5 AS has_text, solid > 10 AND length(l) / solid >= 0.5 AND ratio >= 0.8 AS reliable FROM r""")
 def fulltext_quality(spark, sf_dir):
-    c = fulltext.cleaned(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.length(c).cast("long").alias("chars"), fulltext.assessed(c).alias("a")).select("doc_id", "chars", "a.has_text", "a.reliable")
+    told = let(fulltext.cleaned(F.col("text")), lambda t: F.struct(F.length(t).cast("long").alias("chars"), fulltext.assessed(t).alias("a")))
+    return read_texts(spark, sf_dir).select("doc_id", told.alias("t")).select("doc_id", "t.chars", "t.a.has_text", "t.a.reliable")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(s) AS line, unnest(range(0, len(s))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
@@ -220,7 +251,7 @@ def fulltext_quality(spark, sf_dir):
     SELECT doc_id, section::BIGINT AS section, max(CASE WHEN h THEN trim(line) END) AS heading, sum(CASE WHEN h THEN 0 ELSE length(trim(line)) END)::BIGINT AS chars
     FROM n GROUP BY 1, 2 HAVING sum(CASE WHEN h THEN 0 ELSE length(trim(line)) END) > 0""")
 def text_sections(spark, sf_dir):
-    return fulltext.sections(read(spark, sf_dir, "documents"), "doc_id", "text", lambda line: F.length(F.trim(line)).between(1, 40))
+    return fulltext.sections(read_texts(spark, sf_dir), "doc_id", "text", lambda line: F.length(F.trim(line)).between(1, 40))
 
 
 @query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)

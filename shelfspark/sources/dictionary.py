@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import plain, plain_text
@@ -17,6 +19,8 @@ CODES = {
     "tip": {1: "exact", 2: "contains"},
 }
 ITEMS = 200
+#: Letters of the runs by which names are found, and codes that a plan holds as a literal at most.
+GRAM, MOST_CODES = 3, 1000
 
 
 def code_table(spark: SparkSession) -> DataFrame:
@@ -48,14 +52,48 @@ def found(rows: DataFrame, query: str, name: str = "name") -> DataFrame:
     return rows.where(F.contains(plain(F.col(name)), F.lit(plain_text(query)))) if query else rows.limit(0)
 
 
+def _grams(c: Column, size: Column) -> Column:
+    """The different runs of `size` letters of a text, none of a shorter one."""
+    n = F.length(c) - size + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(c, i, size))))
+
+
+def name_matches(entries: DataFrame, wanted: DataFrame, name: str = "name", label: str = "label", order: Sequence[str] = ("name", "code")) -> DataFrame:
+    """The rows of `wanted` with the number of entries whose name holds their label without case and accents (matches), and
+    the first of these entries (entry, a struct of all its columns, null if there is none): one that is the label, else by `order`.
+
+    Whatever holds a label holds each run of three letters in it (of as many as it has, if it is shorter). So every label
+    meets only the entries with its rarest run, and these are tested; rarest by the number of entries, none where an entry
+    lacks it. Equal labels are looked up once. A null or empty label has no match; of repeated entries each one counts.
+    """
+    needles = wanted.select(plain(F.col(label)).alias("_label")).where("_label <> ''").distinct().withColumn("_size", F.least(F.length("_label"), F.lit(GRAM)))
+    sizes = [r["_size"] for r in needles.select("_size").distinct().collect()]  # GRAM rows at most
+    held = entries.select(F.struct(*entries.columns).alias("_entry"), plain(F.col(name)).alias("_name"))
+    every = F.flatten(F.filter(F.array(*[_grams(F.col("_name"), F.lit(n)) for n in sizes or [GRAM]]), lambda x: x.isNotNull()))
+    held = held.withColumn("_gram", F.explode(every))
+    parts = needles.select("_label", F.explode(_grams(F.col("_label"), F.col("_size"))).alias("_gram"))
+    counts = held.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = parts.join(counts, "_gram", "left").groupBy("_label").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r"))
+    rarest = rarest.where("_r.n > 0").select("_label", F.col("_r.gram").alias("_gram"))
+    found = rarest.join(held, "_gram").where(F.contains("_name", F.col("_label")))
+    first = F.min(F.struct((F.col("_name") != F.col("_label")).alias("other"), *[F.col(f"_entry.{c}").alias(f"o{i}") for i, c in enumerate(order)], F.col("_entry").alias("entry")))
+    best = found.groupBy("_label").agg(F.count("*").alias("matches"), first.alias("_f")).select("_label", "matches", F.col("_f.entry").alias("entry"))
+    out = wanted.withColumn("_label", plain(F.col(label))).join(best, "_label", "left")
+    return out.select(*[wanted[c] for c in wanted.columns], F.coalesce("matches", F.lit(0)).alias("matches"), "entry")
+
+
 def code_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(label, code) for wanted (label): of codes (code, label) the exact one, else the first that holds the text, else "0".
 
-    Code tables are small and known; they are collected into the plan as one literal, so no row is paired with all codes.
+    A table of up to MOST_CODES codes becomes a literal of the plan, so no row is paired with all codes; a larger one is
+    joined by name_matches().
     """
-    table = [(r["code"], plain_text(r["label"])) for r in rows.select("code", "label").orderBy("code").collect()]
+    some = rows.select("code", "label").limit(MOST_CODES + 1).collect()
+    if len(some) > MOST_CODES:
+        found = name_matches(rows.select("code", F.col("label").alias("name")), wanted.select("label"), order=("code",))
+        return found.select("label", F.coalesce(F.col("entry.code").cast("string"), F.lit("0")).alias("code"))
     sought = plain(F.col("label"))
-    codes = F.array(*[F.struct(F.lit(str(c)).alias("code"), F.lit(x).alias("label")) for c, x in table])
+    codes = F.array(*[F.struct(F.lit(str(r["code"])).alias("code"), F.lit(plain_text(r["label"])).alias("label")) for r in sorted(some, key=lambda r: r["code"])])
     exact, holding = F.filter(codes, lambda c: c["label"] == sought), F.filter(codes, lambda c: F.contains(c["label"], sought))
     code = F.coalesce(F.get(exact, F.lit(0))["code"], F.get(holding, F.lit(0))["code"], F.lit("0"))
     return wanted.select("label", F.when(sought == "", F.lit("0")).otherwise(code).alias("code"))

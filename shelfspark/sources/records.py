@@ -23,6 +23,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, dealt to all cores if its files make fewer tasks than that: one small file would keep all others idle.
+
+    A table of many files or row groups has more tasks and stays where it is.
+    """
+    rows, cores = read(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """`df` with every column of a record, missing ones null, in their order."""
     return df.select(*[(F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in COLUMNS.items()])
@@ -33,7 +42,8 @@ def records(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = No
 
     The title is the first line, the whole text if it has one line. Labels are read only for access_status.
     """
-    d = read(spark, sf_dir, "documents")
+    texts = columns is None or {"title", "body"} & set(columns)
+    d = read_texts(spark, sf_dir) if texts else read(spark, sf_dir, "documents")
     if columns is None or "access_status" in columns:
         d = d.join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
     else:

@@ -123,3 +123,17 @@ def read_document(spark: SparkSession, path: str):
         return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
         stream.close()
+
+
+def staged(df: DataFrame, label: str = "staged") -> DataFrame:
+    """Write a table that several later steps read, and read it back; it goes with the process or by drop_staged()."""
+    path = own_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.staged_path = path
+    return back
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    for df in tables:
+        drop(df.sparkSession, df.staged_path)
