@@ -24,7 +24,7 @@ SEED_TERMS = 6
 NOTES = {
     "stopwords": "the query has no terms besides stopwords; nothing was searched",
     "capped": "the second source gives no more rows in one answer; filters apply to those alone",
-    "noise": "rows of the second source with none of the query's terms in title, author or advisor were left out",
+    "noise": " rows of the second source with none of the query's terms in title, author or advisor were left out",
     "nothing": "no match; try fewer or other words, or wider filters",
     "no_name": "the institution is not in the dictionary; only the index was asked",
     "several": "several institutions match; the first one was taken",
@@ -82,7 +82,7 @@ class Engine:
         return Found(page.select(*HIT), coverage)
 
     def search(self, query: str, field: str = "all", *, record_type: str | None = None, first_year: int | None = None, last_year: int | None = None, institution: str | None = None,
-               department: str | None = None, language: str | None = None, access: str | None = None, sort: str = "relevance", limit: int = 20, candidate_cap: int | None = None) -> Found:
+               department: str | None = None, language: str | None = None, access: str | None = None, approval: str | None = None, sort: str = "relevance", limit: int = 20, candidate_cap: int | None = None) -> Found:
         """Records of both sources with the query's terms; all filters apply to both sources, before ranking.
 
         A field's terms are looked for in the postings of its columns alone. The index comes first in the order of its scores; rows of the second source follow, by covered terms, those without
@@ -94,7 +94,7 @@ class Engine:
             raise ValueError(f"unknown sort {sort}")
         if not query or not query.strip():
             raise ValueError("the query is empty")
-        bundle = {"record_type": record_type, "first_year": first_year, "last_year": last_year, "institution": institution, "department": department, "language": language, "access": access}
+        bundle = {"record_type": record_type, "first_year": first_year, "last_year": last_year, "institution": institution, "department": department, "language": language, "access": access, "approval": approval}
         own = retrieve.filtered(self.records, **bundle)
         columns = None if field == "all" else [c for c in retrieve.FIELDS[field] if c in self.index.weights]
         hits = retrieve.ranked(self.index, own, query, candidate_cap=candidate_cap, columns=columns).withColumns({"_1": F.round("score", 9), "_2": F.lit(0), "_3": F.lit(0)})
@@ -107,7 +107,7 @@ class Engine:
         covered = {"_1": -F.col("coverage").cast("double"), "_2": -F.col("title_coverage"), "_3": -F.coalesce("year", F.lit(0))} if "coverage" in told.columns else {"_1": F.lit(0.0), "_2": F.lit(0), "_3": F.lit(0)}
         kept = told.withColumns(covered)
         dropped = kept.agg(F.count("*").alias("kept"))
-        notes += [(F.col("live_shown") < F.col("live_total"), NOTES["capped"]), (F.col("kept") < F.col("live_shown"), NOTES["noise"])]
+        notes += [(F.col("live_shown") < F.col("live_total"), NOTES["capped"]), (F.col("kept") < F.col("live_shown"), F.concat((F.col("live_shown") - F.col("kept")).cast("string"), F.lit(NOTES["noise"])))]
         return self._found(hits, retrieve.filtered(kept, **bundle), total, order, limit, notes=notes, extra=dropped)
 
     def by_person(self, kind: str, name: str, limit: int = 20) -> Found:
@@ -215,5 +215,5 @@ class Engine:
 
 
 def as_json(rows: DataFrame, columns=HIT) -> DataFrame:
-    """One JSON object a row with the columns that an answer shows."""
+    """One JSON object a row with the columns that an answer shows: HIT of hits, RECORD of whole records; nulls are left out."""
     return rows.select(F.to_json(F.struct(*[c for c in columns if c in rows.columns])).alias("json"))

@@ -194,9 +194,12 @@ def holds_terms(column: Column, name: str) -> Column:
 
 
 def filtered(records: DataFrame, *, record_type: str | None = None, first_year: int | None = None, last_year: int | None = None, institution: str | None = None,
-             department: str | None = None, advisor: str | None = None, language: str | None = None, access: str | None = None, approval: str | None = None) -> DataFrame:
+             department: str | None = None, advisor: str | None = None, language: str | None = None, access: str | None = None, approval: str | None = None,
+             title: str | None = None, author: str | None = None, subject: str | None = None) -> DataFrame:
     """Records that pass every filter given: substrings without case and accents, years inclusive, the rest equal but for case.
 
+    title, author and subject are text filters over all columns of these fields; a column that the records lack is none.
+
     An absent or empty filter passes all; a null value passes no filter. An advisor without terms is no filter.
     """
     test = F.lit(True)
@@ -206,6 +209,10 @@ def filtered(records: DataFrame, *, record_type: str | None = None, first_year:
     for column, value in (("access_status", access), ("approval", approval)):
         if value:
             test = test & F.coalesce(plain(F.col(column)) == plain_text(value), F.lit(False))
+    for field, needle in (("title", title), ("author", author), ("subject", subject)):
+        if needle:
+            names = [c for c in FIELDS[field] if c in records.columns]
+            test = test & (F.coalesce(fold_contains(F.concat_ws("; ", *[F.concat_ws("; ", c) for c in names]), needle), F.lit(False)) if names else F.lit(False))
     if advisor and analysed(advisor):
         test = test & holds_terms(F.col("advisor"), advisor)
     if first_year is not None or last_year is not None:
@@ -227,7 +234,7 @@ def ranked(index: Index, records: DataFrame, query: str, abstract: str | None =
     key = index.key
     hits = bm25(index, analysed(query), columns=columns)
     if candidate_cap is not None:
-        hits = hits.orderBy("score", key).limit(candidate_cap)
+        hits = hits.orderBy(F.round("score", 9), key).limit(candidate_cap)
     title = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "title_alt") if c in records.columns])
     body = F.col(abstract) if abstract is not None and abstract in records.columns else None
     hits = hits.join(records, key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..engine import WEIGHTS, Engine
+from ..engine import NOTES, WEIGHTS, Engine, as_json
 from ..functions.text import STOPWORDS, fold, fold_contains, person_name, plain, tokens, upper_tr
 from ..operators import cite, federate, harvest, retrieve
 from ..operators.index import read_index, upsert_index, write_index
@@ -87,6 +87,48 @@ def engine_search_coverage(spark, sf_dir):
     return _searched(spark, sf_dir).coverage.withColumn("notes", F.size("notes"))
 
 
+@query(f"""{_SEARCH}, n AS (SELECT (SELECT count(*) FROM raw) AS total, (SELECT count(*) FROM kept) AS kept, (SELECT count(*) FROM u) AS c)
+    SELECT '{NOTES["capped"]}' AS note FROM n WHERE total > {CAP} UNION ALL SELECT (least(total, {CAP}) - kept) || '{NOTES["noise"].replace("'", "''")}' FROM n WHERE kept < least(total, {CAP})
+    UNION ALL SELECT '{NOTES["nothing"]}' FROM n WHERE c = 0""")
+def engine_search_notes(spark, sf_dir):
+    return _searched(spark, sf_dir).coverage.select(F.explode("notes").alias("note"))
+
+
+@query(f"""{_SEARCH} SELECT 'index' AS source, NULL::BIGINT AS total_found, 0::BIGINT AS shown_live, true AS coverage_complete, (SELECT count(*) FROM idx) AS index_hits, least((SELECT count(*) FROM idx), 40) AS count""")
+def engine_search_alone(spark, sf_dir):
+    """The coverage of a search without a second source: its total is unknown, not zero."""
+    e = engine(spark, sf_dir)
+    alone = Engine(e.records, index=e.index)
+    return alone.search("Hâkim building of", first_year=1996, institution="NATION_1", limit=40).coverage.drop("notes")
+
+
+_JSON = ", ".join(f"""nullif('"{c}":"' || {c} || '"', NULL)""" if c != "year" else """'"year":' || year""" for c in HIT)
+
+
+@query(f"WITH {BIB} SELECT record_id, '{{{{' || concat_ws(',', {_JSON}) || '}}}}' AS json FROM bib".replace("{{", "{").replace("}}", "}"))
+def hit_json(spark, sf_dir):
+    """Every record as the JSON object that an answer shows of a hit."""
+    rows = bibliography(spark, sf_dir)
+    return as_json(rows).select(F.get_json_object("json", "$.record_id").alias("record_id"), "json")
+
+
+@query(f"""WITH {BIB} SELECT record_id FROM bib WHERE {_contains("concat_ws('; ', title, title_alt)", "on building")} AND {_contains("author", "customer")} AND {_contains("advisor", "nation")} AND {_contains("subjects", "asia")}
+    AND language <> 'P' AND year <= 1998""")
+def advanced_filters(spark, sf_dir):
+    """The text filters of the advanced search beside approval and years."""
+    return retrieve.filtered(bibliography(spark, sf_dir), title="On building", author="CUSTOMER", advisor="nation", subject="ASIA", approval="onaylandi", last_year=1998).select("record_id")
+
+
+_MARKED_SQL = "translate(p_name, 'aeioucsrdnl', 'âéİöüČŞřďńł') || ' ' || p_type || 'e' || chr(769)"
+
+
+@query(f"SELECT p_partkey, {plain_sql(_MARKED_SQL)} AS plain, len({tokens_sql(_MARKED_SQL)}) AS n, contains({plain_sql(_MARKED_SQL)}, 'small') AS small FROM part")
+def marked_names(spark, sf_dir):
+    """All parts' names with Turkish, stroked, composed and decomposed letters, in the form in which they are found."""
+    name = F.concat(F.translate("p_name", "aeioucsrdnl", "âéİöüČŞřďńł"), F.lit(" "), "p_type", F.lit("e\u0301"))
+    return read(spark, sf_dir, "part").select("p_partkey", plain(name).alias("plain"), F.size(tokens(name)).cast("long").alias("n"), fold_contains(name, "Śmall").alias("small"))
+
+
 def _person(cond: str) -> str:
     return f"""WITH {BIB}, idx AS (SELECT *, 0 AS source_rank FROM bib WHERE {" AND ".join(_contains("advisor", t) for t in ("building", "nation"))}),
     live AS (SELECT *, 1 AS source_rank FROM bib WHERE language IN ('O', 'P') AND {cond} ORDER BY record_id LIMIT {CAP}),
@@ -183,7 +225,7 @@ _NAMED = values_sql([(1, "Ada Kaya"), (2, "Ada Kaya"), (3, ""), (4, "Ada Kaya"),
 
 @query(f"SELECT n.id, name, s_suppkey, CASE WHEN n.id % 2 = 0 THEN s_name || ' Ada' ELSE 'Ada ' || s_name END AS whole FROM {_NAMED} n, supplier")
 def name_functions(spark, sf_dir):
-    rows = accents(spark).crossJoin(F.broadcast(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")))
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name").crossJoin(F.broadcast(accents(spark)))
     titled = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Doç. Dr. Ada,  "), "s_name")).otherwise(F.concat(F.lit("Uzm. PROF.  "), F.lit("Ada "), "s_name"))
     return rows.select("id", person_name(F.col("advisor")).alias("name"), "s_suppkey", person_name(titled).alias("whole"))
 

@@ -93,9 +93,9 @@ def department_options(spark, sf_dir):
 
 @query("SELECT n_nationkey::VARCHAR AS code, n_name AS name, 'y' || n_regionkey AS second_code FROM nation UNION ALL SELECT 's' || s_suppkey, s_name, 'z' FROM supplier")
 def institution_lists(spark, sf_dir):
-    """Two lists, the second with a row that the first has."""
+    """Lists of 50 institutions, the later ones with a row that the first has."""
     item = lambda code, name, second: F.struct(code.alias("kod"), name.alias("displayName"), second.alias("yoksisId"))
-    body = lambda df, one: df.agg(F.concat(F.lit("\n\n"), F.to_json(F.collect_list(one))).alias("body"))
+    body = lambda df, one: df.groupBy(F.floor(F.col(df.columns[0]) / 50)).agg(F.concat(F.lit("\n\n"), F.to_json(F.collect_list(one))).alias("body")).select("body")
     n, s = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier")
     home = body(n, item(F.col("n_nationkey").cast("string"), F.col("n_name"), F.concat(F.lit("y"), F.col("n_regionkey").cast("string"))))
     abroad = body(s, item(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.col("s_name"), F.lit("z"))).union(spark.createDataFrame([('[{"kod":"3","displayName":"again","yoksisId":"w"}]',), ("",), (None,)], "body string"))
@@ -110,6 +110,26 @@ def code_lookup(spark, sf_dir):
     return dictionary.code_of(dictionary.code_table(spark).where("kind = 'Tur'"), spark.createDataFrame([(x,) for x in _LABELS], "label string"))
 
 
+@query(f"""WITH l AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) ELSE right(n_name, 2) END AS label FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    m AS (SELECT label, min({{'other': {plain_sql("n_name")} <> {plain_sql("label")}, 'code': n_nationkey}}).code AS code FROM (SELECT DISTINCT label FROM l) JOIN nation ON contains({plain_sql("n_name")}, {plain_sql("label")}) GROUP BY 1)
+    SELECT c_custkey, label, coalesce(code::VARCHAR, '0') AS code FROM l LEFT JOIN m USING (label)""")
+def place_codes(spark, sf_dir):
+    """The code of every customer's place, named in several ways."""
+    n, c = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer")
+    label = F.when(F.col("c_custkey") % 3 == 0, F.col("n_name")).when(F.col("c_custkey") % 3 == 1, F.lower("n_name")).otherwise(F.substring("n_name", -2, 2))
+    wanted = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", label.alias("label"))
+    codes = dictionary.code_of(n.select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("label")), wanted.select("label").distinct())
+    return wanted.join(F.broadcast(codes), "label").select("c_custkey", "label", "code")
+
+
+@query(f"""WITH d AS (SELECT n_nationkey::VARCHAR AS code, n_name || ' ÜNİVERSİTESİ' AS name FROM nation), m AS (SELECT * FROM d WHERE contains({plain_sql("name")}, 'nation_1'))
+    SELECT code, name, (SELECT count(*) FROM m) AS count FROM m ORDER BY name, code LIMIT 5""")
+def facet_listing(spark, sf_dir):
+    """The engine's list of a dictionary: its first items and how many there are."""
+    items, count = Engine(bibliography(spark, sf_dir), institutions=_places(spark, sf_dir)).facets("universities", "NATION_1", most=5)["universities"]
+    return items.join(F.broadcast(count))
+
+
 @query(f"""WITH d AS (SELECT n_nationkey::VARCHAR AS code, n_name || ' ÜNİVERSİTESİ' AS name FROM nation), m AS (SELECT * FROM d WHERE contains({plain_sql("name")}, 'nation_2'))
     SELECT 'listed' AS kind, code, name, (SELECT count(*) FROM m) AS matches FROM (SELECT * FROM m ORDER BY name, code LIMIT 3) UNION ALL SELECT 'first', code, name, (SELECT count(*) FROM m) FROM (SELECT * FROM m ORDER BY name LIMIT 1)""")
 def dictionary_search(spark, sf_dir):

@@ -59,6 +59,15 @@ def search_ranked(spark, sf_dir):
     return hits.select("record_id", "year", F.round("score", 6).alias("score")).orderBy("score", "record_id").limit(50)
 
 
+@query(f"""{_bm25(["onan", "ble"], True)}, first AS (SELECT * FROM s ORDER BY round(score, 9), record_id LIMIT 100), hit AS (SELECT record_id, score, title, body, year FROM first JOIN rec USING (record_id) WHERE year >= 2000)
+    SELECT record_id, round(score - (CASE WHEN contains({plain_sql("title")}, 'onan ble') THEN 4.0 WHEN contains({plain_sql("body")}, 'onan ble') THEN 1.5 ELSE 0.0 END
+        + 0.7 * (contains({plain_sql("title")}, 'onan')::INT + contains({plain_sql("title")}, 'ble')::INT) + 0.03 * greatest(0, least(30, year - 2000)))::DOUBLE, 6) AS score FROM hit""")
+def search_capped(spark, sf_dir):
+    """As search_ranked with a cap on the candidates, which comes before the filters."""
+    rec = records(spark, sf_dir, ("record_id", "title", "body", "year")).where(retrieve.year_between(F.col("year"), 2000, None))
+    return retrieve.ranked(stored_index(spark, sf_dir), rec, "onan ble", abstract="body", candidate_cap=100).select("record_id", F.round("score", 6).alias("score"))
+
+
 @query(SQL["search_ranked"])
 def search_top(spark, sf_dir):
     """The same rows by bounds: blocks and records that can't be among the first 50 are neither scored nor joined."""

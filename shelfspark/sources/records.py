@@ -13,8 +13,13 @@ COLUMNS = {
     "advisor": "string", "institution": "string", "institute": "string", "department": "string", "branch": "string", "record_type": "string",
     "year": "int", "pages": "int", "language": "string", "subjects": "array<string>", "keywords": "array<string>",
     "keywords_alt": "array<string>", "abstract": "string", "abstract_alt": "string", "access_status": "string", "access_reason": "string",
-    "content_key": "string",
+    "content_key": "string", "approval": "string",
 }
+#: What an answer shows of a whole record.
+RECORD = (
+    "record_id", "detail_key", "public_no", "title", "title_alt", "author", "advisor", "institution", "institute", "department", "branch", "record_type",
+    "year", "pages", "language", "subjects", "keywords", "keywords_alt", "access_status",
+)
 #: What a hit shows of a record.
 HIT = ("record_id", "detail_key", "public_no", "title", "title_alt", "author", "year", "institution", "record_type")
 
@@ -70,4 +75,5 @@ def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("n_name"), F.lit(" ÜNİVERSİTESİ")).alias("institution"), F.col("c_mktsegment").alias("department"),
         F.element_at(F.split("o_orderpriority", "-"), 2).alias("record_type"), F.when(F.col("o_orderkey") % 50 != 0, F.year("o_orderdate")).alias("year"),
         F.col("o_orderstatus").alias("language"), F.array(F.lower("r_name")).alias("subjects"), F.array(F.lower("c_mktsegment"), F.lower("o_orderpriority")).alias("keywords"),
-        F.when(F.col("o_orderstatus") == "F", "open").when(F.col("o_orderstatus") == "O", "restricted").otherwise("unknown").alias("access_status")))
+        F.when(F.col("o_orderstatus") == "F", "open").when(F.col("o_orderstatus") == "O", "restricted").otherwise("unknown").alias("access_status"),
+        F.when(F.col("o_orderstatus") == "P", "Hazırlanıyor").otherwise("Onaylandı").alias("approval")))
