@@ -479,6 +479,26 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return pairs.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(same, "doc_id long")
 
 
+#: Members of a block that one task holds against the strays of that block at most.
+BLOCK_PART = 50_000
+
+
+def _across(left: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the members (key, id, n, rare, c) of a block that belong to different components c and may link by their sizes.
+
+    Each block has a main component, its largest one. Only its strays, the members of others, are held against the block, so
+    a block in one component gives nothing and one with a few strays a few times its size; members of one component are
+    met in no more pairs than members of different ones. A block is dealt to parts, and its strays go to each of them.
+    """
+    sizes = left.groupBy("key", "c").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("main"), F.sum("m").alias("all"), F.count("*").alias("kinds")).where("kinds > 1").select("key", F.col("main.c").alias("main"), F.ceil(F.col("all") / BLOCK_PART).cast("int").alias("parts"))
+    mixed = cut(left.join(main, "key"), "mixed")
+    y = mixed.select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), *[F.col(x).alias(f"{x}2") for x in ("id", "n", "rare", "c")], (F.col("c") == F.col("main")).alias("in_main"))
+    x = mixed.where("c <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(x).alias(f"{x}1") for x in ("id", "n", "rare", "c")])
+    apart = f"c1 <> c2 and (in_main or id1 < id2) and least(n1 - rare1, n2 - rare2) >= {_need('n1', 'n2', percent)}"
+    return x.join(y, ["key", "part"]).where(apart).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
+
+
 def _joined(docs: DataFrame, width: int, percent: int, most: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(doc_id, first, text_md5) of equal texts, (doc_id, n, rep) of equal sets, (id, component) and links (a, b) of representatives: every one, or enough for the components."""
     spark, known = docs.sparkSession, docs
@@ -531,11 +551,7 @@ def _joined(docs: DataFrame, width: int, percent: int, most: int, every: bool) -
     left = combined.join(found, "id", "left").select("key", "id", "n", "rare", F.coalesce("component", "id").alias("c"))
     left = cut(left, "combined")
     discard(combined)
-    mixed_keys = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    left = left.join(mixed_keys, "key", "left_semi")
-    x, y = (left.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("id", "n", "rare", "c")]) for i in (1, 2))
-    apart = f"id1 < id2 and c1 <> c2 and least(n1 - rare1, n2 - rare2) >= {_need('n1', 'n2', percent)}"
-    rest = cut(x.join(y, "key").where(apart).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct(), "pairs")
+    rest = cut(_across(left, percent).distinct(), "pairs")
     if not rest.isEmpty():
         more = _verified(rest, texts, sketches, width, percent)
         if not more.isEmpty():

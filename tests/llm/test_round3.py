@@ -216,3 +216,60 @@ def test_hot_pattern_and_copies_count_once(spark):
     assert pii.discovered(spark.createDataFrame(rows, kind)).collect() == []
     rows += [("phone", str(i), True, ["a b|"]) for i in range(10, 16)]
     assert [tuple(r) for r in pii.discovered(spark.createDataFrame(rows, kind)).collect()] == [("phone", "9")]
+
+
+def test_blocks_with_strays_give_few_pairs(spark):
+    from shelfspark.llm import ngramjoin
+
+    r = random.Random(1)
+    rows = [(k, i, r.randint(10, 14), r.randint(0, 2), r.choice([i, 1, 1, 2])) for k in range(6) for i in range(30)] + [(99, i, 10, 0, 7) for i in range(30)]
+    need = lambda a, b: -(-85 * (a + b) // 185)
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[4] != y[4] and min(x[2] - x[3], y[2] - y[3]) >= need(x[2], y[2])}
+    frame = lambda data: spark.createDataFrame(data, "key long, id long, n int, rare int, c long")
+    for part in (50_000, 7):
+        ngramjoin.BLOCK_PART, before = part, ngramjoin.BLOCK_PART
+        try:
+            assert {tuple(x) for x in ngramjoin._across(frame(rows), 85).distinct().collect()} == want
+        finally:
+            ngramjoin.BLOCK_PART = before
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = ngramjoin._across(frame([(1, i, 10, 0, 1 if i < 4990 else 2) for i in range(5000)]), 85)
+        assert len(pairs.collect()) == 4990 * 10
+        todo, most = [pairs._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            node = todo.pop()
+            most = max(most, node.metrics().apply("numOutputRows").value() if "Join" in node.nodeName() else 0)
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        assert most <= 5000 * 10
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_references_and_percent_codes(spark):
+    import html
+    import urllib.parse
+
+    from shelfspark.llm import urlfilter
+
+    r, bits = random.Random(5), ["a", "/", "?x=1", "&amp;", "&#038;", "&#x00026;", "&AMP;", "&#47;", "&eacute;", "&sol;", "%7E", "%2f", "%41", "é", "&copy=1", "&nope;", "&notin;", "&#xZ;"]
+    texts = ["".join(r.choices(bits, k=r.randint(1, 6))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", urlfilter.decoded(F.col("t")).alias("d"), urlfilter.unreserved(F.col("t")).alias("u"))
+    for x in df.collect():
+        if "&copy" not in x.t:
+            assert x.d == html.unescape(x.t), x.t
+        assert "&copy=" in x.d or "&copy=" not in x.t
+        assert urllib.parse.unquote(x.u) == urllib.parse.unquote(x.t) and not re.search("%(7E|41|2f)", x.u)
+
+
+def test_every_spelling_of_a_link_reaches_its_page(spark):
+    from shelfspark.llm import urlfilter
+
+    link = lambda href, base="": f'<html><head>{base}<link rel="canonical" href="{href}"></head></html>'
+    bad = "http://bad.com/en/x?a=1&b=~2"
+    cases = ["http://bad.com/en/x?a=1&#038;b=~2", "http://bad.com/en/x?a=1&#x00026;b=%7e2", "http://BAD.com/en/x?a=1&AMP;b=~2#f", "//bad.com:80/en/./x?a=1&amp;b=%7E2", "http&colon;//bad.com/en/x?a=1&b=~2"]
+    rows = [(i, f"http://good{i}.io/p", link(c)) for i, c in enumerate(cases)]
+    rows += [(50, "http://g.io/q", link("x?a=1&amp;b=~2", '<base target="_top"><base href="http://bad.com/en/y"><base href="http://other.io/">')), (51, "http://bad.com/zz/q", link("x?a=1&b=~2", "<base href='../en/'>")), (52, "http://g2.io/q", link("x?a=1&b=~2"))]
+    rows += [(60, "http://g3.io/%7Ejoe", ""), (61, "http://g4.io/", link("http://g3.io/~joe")), (62, "http://g4.io/", '<meta http-equiv=refresh content="0;url=http://bad.com/en/x?a=1&amp;b=~2">')]
+    got = {x.page_id: x.verdict for x in urlfilter.judged_pages(spark.createDataFrame([*rows, (99, bad, None)], "page_id long, url string, html string")).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {0, 1, 2, 3, 4, 50, 51, 60, 61, 62, 99} and got[52] == "allow"
