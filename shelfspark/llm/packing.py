@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, cut, table
 from .tokens import default_vocabulary, encoder, with_end
 
-CAPACITY, GROUP_DOCS = 2048, 4000
+#: Ids of a sequence, documents of a group, its ids at most (about), and the sequences of one document that stay together.
+CAPACITY, GROUP_DOCS, GROUP_IDS, RUN = 2048, 4000, 4_000_000, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -50,36 +51,38 @@ def first_fit_decreasing(sizes: Iterable[int], capacity: int) -> list[tuple[int,
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of at most `capacity` ids of docs (doc_id, text, _g), cut at multiples of it; the last one is the rest."""
+    """Pieces of at most `capacity` ids of docs (doc_id, text, _p), cut at multiples of it; the last one is the rest."""
     arrow_batches(docs.sparkSession)
 
     def pieces(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_g"]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_p"]
         for batch in batches:
             rows = []
-            docs, texts, groups = (c.to_pylist() for c in batch.columns)
-            for doc, group, ids in zip(docs, groups, encoder(vocabulary).encode(texts), strict=True):
+            docs, texts, places = (c.to_pylist() for c in batch.columns)
+            for doc, place, ids in zip(docs, places, encoder(vocabulary).encode(texts), strict=True):
                 ids = with_end(ids)
-                rows += [(doc, i, min(capacity, len(ids) - i), zlib.crc32(ids[i : i + capacity].tobytes()), len(ids), group) for i in range(0, len(ids), capacity)]
+                rows += [(doc, i, min(capacity, len(ids) - i), zlib.crc32(ids[i : i + capacity].tobytes()), len(ids), place) for i in range(0, len(ids), capacity)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, names)
 
-    return docs.select("doc_id", "text", "_g").mapInArrow(pieces, f"{PIECES}, _g long")
+    return docs.select("doc_id", "text", "_p").mapInArrow(pieces, f"{PIECES}, _p long")
 
 
-def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = 11) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, group_ids: int = GROUP_IDS, seed: int = 11) -> DataFrame:
     """One row per piece of docs (doc_id, text): where it comes from and where it lies (sequence_id, offset).
 
     Documents get ids and an end id, so a null or empty text is the end id alone; every id lies in exactly one
     piece. Groups are drawn by a hash of a row's place in the table and take about `group_docs` documents at any size
-    of it; sequences are filled inside a group and numbered group * 2**32 + bin. Pieces of a group meet in one task: a
-    group is bounded by its documents' pieces, never by a key of the data, so a repeated doc_id and equal texts without
-    one are spread as well. Repeated rows are packed like others, rows without doc_id too; an empty table gives no rows.
+    of it, or `group_ids` ids, if documents are long; of a long one RUN sequences stay together, so it is spread over
+    groups too. Sequences are filled inside a group and numbered group * 2**32 + bin. Pieces of a group meet in one task: a group is bounded by its ids, never by a key of
+    the data, so a repeated doc_id and equal texts without one are spread as well. Repeated rows are packed like others,
+    rows without doc_id too; an empty table gives no rows.
     """
-    groups = max(1, round(docs.count() / group_docs))
-    drawn = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).alias("_g"))
-    grouped = cut(token_pieces(drawn, vocabulary, capacity), "pieces")
+    made = cut(token_pieces(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_p")), vocabulary, capacity), "pieces")
+    rows, ids = made.agg(F.count_if(F.col("start") == 0), F.coalesce(F.sum("length"), F.lit(0))).first()
+    groups, run = max(1, round(max(rows / group_docs, ids / group_ids))), F.floor(F.col("start") / (capacity * RUN))
+    grouped = made.withColumn("_g", F.pmod(F.xxhash64("_p", run, F.lit(seed)), F.lit(groups))).drop("_p")
 
     def pack(pdf):
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")

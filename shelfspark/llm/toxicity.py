@@ -27,7 +27,8 @@ SEED_PATTERNS = (
     r"\b(?:tu es|vous êtes|espèce d[e']) ?(?:une? )?(?:\w+ ){0,2}(?:" + "|".join(SEED_LEXICONS["fr"]) + r")\b|\b(?:ta gueule|ferme-la|dégage|je (?:te|vous) (?:hais|déteste))\b",
     r"\b(?:eres|sois) (?:una? )?(?:\w+ ){0,2}(?:" + "|".join(SEED_LEXICONS["es"]) + r")\b|\b(?:cállate|lárgate|vete a la mierda|(?:te|os) odio)\b",
 )
-#: Labelled documents for fitting at most, and as many without label; features of the classifier, voters that are drawn from features.
+#: Labelled documents for fitting at most, and as many without label; features of the classifier at most, those that are most
+#: associated with the labels (the fit holds a weight for each on the driver); voters that are drawn from features at most.
 MOST_ROWS, MOST_FEATURES, MOST_VOTERS = 20_000, 3_000, 96
 #: A word is drawn as a voter if it is so many times as frequent in toxic documents as in clean ones, with one more clean document.
 VOTER_RATIO = 40
@@ -106,7 +107,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS,
 
     docs: doc_id, text; labels: doc_id, toxic. At most `most_rows` labelled documents are used, those of the least
     hash of doc_id, and as many without label, one text (the least) of a repeated doc_id; counts of the labelled ones' features are summed in Spark, and only
-    selected features reach the driver. The voters are the seed lexicons and patterns of each language and the features
+    selected features reach the driver: those with z > 2.5, the MOST_FEATURES highest of them at most, and of these
+    MOST_VOTERS voters at most. The voters are the seed lexicons and patterns of each language and the features
     most associated with the labels; the classifier is fitted on the label model's posteriors. Rows without text or id
     are not used. Without labels of both kinds the seed lexicons alone decide. label_model: false fits on the bare labels,
     for comparison.

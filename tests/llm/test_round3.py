@@ -273,3 +273,19 @@ def test_every_spelling_of_a_link_reaches_its_page(spark):
     rows += [(60, "http://g3.io/%7Ejoe", ""), (61, "http://g4.io/", link("http://g3.io/~joe")), (62, "http://g4.io/", '<meta http-equiv=refresh content="0;url=http://bad.com/en/x?a=1&amp;b=~2">')]
     got = {x.page_id: x.verdict for x in urlfilter.judged_pages(spark.createDataFrame([*rows, (99, bad, None)], "page_id long, url string, html string")).collect()}
     assert {k for k, v in got.items() if v == "block"} == {0, 1, 2, 3, 4, 50, 51, 60, 61, 62, 99} and got[52] == "allow"
+
+
+def test_groups_follow_ids_and_padding_is_little(spark):
+    from shelfspark.llm import packing, tokens
+
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choices(["one", "two", "apple", "zebra"], k=int(r.paretovariate(1.1) * 12) % 900))) for i in range(400)] + [(400, "word " * 40_000)]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), tokens.default_vocabulary(), capacity=256, group_ids=4_000).collect()
+    total, groups, bins = sum(g.length for g in got), {}, {}
+    for g in got:
+        groups.setdefault(g.sequence_id >> 32, []).append(g)
+        bins[g.sequence_id] = bins.get(g.sequence_id, 0) + g.length
+    assert len(groups) > 10 and max(sum(g.length for g in x) for x in groups.values()) < 8 * 4_000 + 256 * packing.RUN
+    assert max(bins.values()) <= 256 and len(bins) * 256 <= 1.05 * total + 256 * len(groups)
+    assert len({g.sequence_id >> 32 for g in got if g.doc_id == 400}) > 1  # a long document is spread
+    assert {g.doc_id: sum(x.length for x in got if x.doc_id == g.doc_id) for g in got} == {g.doc_id: g.doc_tokens for g in got}
