@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import decontaminate, exactdedup, ngramjoin, packing, toxicity
-from shelfspark.llm.common import cut, table, text_key, without
+from shelfspark.llm.common import cut, discard, table, text_key, without
 from shelfspark.llm.tokens import default_vocabulary
 
 
@@ -57,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)  # the stage that read it is written
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
