@@ -156,6 +156,16 @@ def licence_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, t
     return best.select("doc_id", F.col("line_no").cast("long"), "_r.licence", *long, "_r.dice").distinct()
 
 
+def templates_of(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Templates for licence_matches() from a folder of licence texts: a file's name is the licence's, equal texts count once, by
+    the first name. Meant for a few dozen whole texts, which become constants of the plan; a folder without files has none."""
+    files = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").collect()
+    texts: dict[str, str] = {}
+    for r in sorted(files):
+        texts.setdefault(r["value"], f"{r['name']}/text")
+    return {name: text for text, name in texts.items() if len(_words(text)) > 1}
+
+
 def _blocks(tried: DataFrame, best: DataFrame) -> DataFrame:
     """The blocks of licence_matches(), with columns like those of `best`, the matches of whole units."""
     matched = best.groupBy("doc_id", "_m").agg(F.collect_list(F.struct("line_no", F.col("_r.shared").alias("shared"))).alias("_told"))

@@ -289,3 +289,72 @@ def test_groups_follow_ids_and_padding_is_little(spark):
     assert max(bins.values()) <= 256 and len(bins) * 256 <= 1.05 * total + 256 * len(groups)
     assert len({g.sequence_id >> 32 for g in got if g.doc_id == 400}) > 1  # a long document is spread
     assert {g.doc_id: sum(x.length for x in got if x.doc_id == g.doc_id) for g in got} == {g.doc_id: g.doc_tokens for g in got}
+
+
+def brute_blocks(text, templates, threshold=0.8):
+    """(line_no, licence, shared, line_bigrams, template_bigrams) of the units and blocks of a text, straight from the definition."""
+    split = lambda s: [w for w in re.split(r"[\W_]+", s.lower()) if w]
+    pairs = lambda w: list(zip(w, w[1:], strict=False))
+    lines = text.split("\n")
+    words = [(w, i + 1) for i, line in enumerate(lines) for w in split(line)]
+    dice = lambda own, t: 2 * len(own & t) / (len(own) + len(t)) if own or t else 0
+    of = {k: set(pairs(split(t))) for k, t in templates.items()}
+    units = {0: set(pairs([w for w, _ in words]))} | ({i + 1: set(pairs(split(x))) for i, x in enumerate(lines)} if len(lines) > 1 else {})
+    out, told = [], []
+    for no, own in units.items():
+        best = min(((-dice(own, t), k) for k, t in of.items()), default=(0, ""))
+        if -best[0] >= threshold:
+            out.append((no, best[1], len(own & of[best[1]]), len(own), len(of[best[1]])))
+            told.append((no, len(own & of[best[1]])))
+    blocks = []
+    for k, t in of.items():
+        span = max(2, math.floor((len(split(templates[k])) - 1) * (2 - threshold) / threshold + 1e-9))
+        hit = [i for i, x in enumerate(pairs([w for w, _ in words])) if x in t]
+        for a in (i for i in hit if i - 1 not in hit):
+            for b in (i for i in hit if i >= a and i + 1 not in hit):
+                own = set(pairs([w for w, _ in words[a : b + 2]]))
+                inside = sum(a <= i <= b for i in hit)
+                if (b - a < span or inside == b - a + 1) and dice(own, t) >= threshold:
+                    frm, to, shared = words[a][1], words[b + 1][1], len(own & t)
+                    if not any((no == 0 or frm <= no <= to) and s >= shared for no, s in told):
+                        blocks.append((-shared, -dice(own, t), k, a, b, frm, shared, len(own), len(t)))
+    kept = []
+    for x in sorted(blocks):
+        if not any(y[3] <= x[4] + 1 and x[3] <= y[4] + 1 for y in kept):
+            kept.append(x)
+    return sorted(out + [(x[5], x[2], x[6], x[7], x[8]) for x in kept])
+
+
+def test_licence_blocks_are_those_of_the_definition(spark):
+    from shelfspark.llm import licenses
+
+    r = random.Random(9)
+    templates = {k: licenses.TEMPLATES[k] for k in ("MIT/short", "Apache-2.0/short", "GPL-3.0/short", "CC-BY-4.0/notice", "CC-BY-NC-4.0/notice", "MPL-2.0/notice")}
+    noise = ["red", "the", "license", "of", "version", "public", "0", "this"]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randint(1, 3)):
+            words = r.choice(list(templates.values())).split()
+            for _ in range(r.choice([0, 0, 1, 2])):
+                words[r.randrange(len(words))] = r.choice(noise)
+            parts.append(" ".join(w + ("\n" if r.random() < 0.15 else "") for w in r.choices(noise, k=r.randint(0, 6)) + words + r.choices(noise, k=r.randint(0, 4))))
+        texts.append(r.choice(["\n", " "]).join(parts))
+    got = {}
+    for x in licenses.licence_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect():
+        got.setdefault(x.doc_id, []).append((x.line_no, x.licence, x.shared, x.line_bigrams, x.template_bigrams))
+    want = {i: b for i, t in enumerate(texts) if (b := brute_blocks(t, templates))}
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 30
+
+
+def test_whole_licence_files(spark, tmp_path):
+    from shelfspark.llm import licenses
+
+    long_text = " ".join(f"clause{i % 97} grants right{i % 89} under section {i}" for i in range(900))
+    (tmp_path / "Long-1.0").write_text(long_text)
+    (tmp_path / "Long-copy").write_text(long_text)
+    (tmp_path / "empty").write_text("")
+    templates = licenses.templates_of(spark, str(tmp_path))
+    assert list(templates) == ["Long-1.0/text"]
+    docs = spark.createDataFrame([(1, long_text.replace("under", "UNDER\n")), (2, "preface of a file\n" * 50 + long_text + "\nend"), (3, long_text[:4000]), (4, None)], "doc_id long, text string")
+    assert {x.doc_id for x in licenses.licence_matches(docs, templates).where("line_no is not null").collect()} == {1, 2}
