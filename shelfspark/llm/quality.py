@@ -21,8 +21,9 @@ from .hashing import mixed, names_of, segments
 QUANTILE = 0.99
 #: Texts are dealt to so many folds by their hash; a text is scored by the model of the trusted texts of the other folds.
 FOLDS = 2
-#: Word trigrams that a task gathers before it hands them on, and trusted words for each shard of a model's tables.
-FLUSH_WORDS, SHARD_WORDS = 2_000_000, 8_000_000
+#: Word trigrams that a task gathers before it hands them on, trusted words for each shard of a model's tables, and shards of a
+#: model at most.
+FLUSH_WORDS, SHARD_WORDS, MOST_SHARDS = 2_000_000, 8_000_000, 4096
 #: Units of text counted at once, and distinct n-grams that a task holds before it hands them on.
 CHUNK_UNITS, HELD_GRAMS = 1 << 19, 2_000_000
 #: A prime: n-grams are dealt to shards by their remainder, in Spark and in numpy alike.
@@ -346,7 +347,7 @@ def _write_table(store: Store, name: str, shards: int, context, tail, n) -> None
 class _Tables:
     """Look-ups in the written tables: mapped as they are needed, or read, a bounded number of them at a time."""
 
-    def __init__(self, path: str, shards: int, names: list[str], most: int = 8):
+    def __init__(self, path: str, shards: dict[str, int], names: list[str], most: int = 8):
         from collections import OrderedDict
 
         self.store, self.shards, self.names, self.files, self.most = Store(path), shards, set(names), OrderedDict(), most
@@ -368,13 +369,13 @@ class _Tables:
 
         own, sums = np.zeros(len(context), np.int64), np.zeros((len(context), 4), np.int64)
         sort = np.argsort(context)
-        shard = _shard(context[sort], self.shards)
+        shard = _shard(context[sort], self.shards[model])
         ends = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(sort)) if len(sort) else [0]
         for begin, end in zip(ends[:-1], ends[1:], strict=True):
             if (name := f"{model}-{shard[begin]:06d}.{order}") not in self.names:
                 continue
             t, at = self._open(name), sort[begin:end]
-            bucket, rest = _placed(context[at], self.shards, int(t["head"][0]))
+            bucket, rest = _placed(context[at], self.shards[model], int(t["head"][0]))
             last = t["index"][bucket + 1].astype(np.int64)
             place = _first_not_less(t["rest"], t["index"][bucket], last, rest)
             there = np.flatnonzero(place < last)
@@ -419,13 +420,14 @@ class WordModels:
     the lower ones the number of distinct words before an n-gram. The tables hold contexts and the words after them with
     their counts, and of each context its sum and how many of its words have counts 1, 2 and more; the discounts, as in
     kneser_ney(), apply when text is scored. A context's words are in one shard, so each order is counted shard by
-    shard and none is gathered whole.
+    shard and none is gathered whole. A model has shards by the size of its own language's text.
     """
 
     def __init__(self, trusted: DataFrame):
         spark = trusted.sparkSession
-        size = trusted.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] * (FOLDS - 1)
-        self.shards = shards = 1 << max(0, (size // 5 // SHARD_WORDS).bit_length())
+        sizes = trusted.groupBy("lang").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).collect()  # a row a language
+        dealt = lambda size: min(MOST_SHARDS, 1 << max(0, (size * (FOLDS - 1) // FOLDS // 5 // SHARD_WORDS).bit_length()))
+        self.shards = {f"{r['lang'].encode().hex()}-{k}": dealt(r["size"]) for r in sizes for k in range(FOLDS)}
         self.path = path = fresh_dir(spark, "word-model")
         Store(path)
         self.stats, self.names = {}, []
@@ -458,7 +460,7 @@ class WordModels:
                 for model, codes in held.items():
                     a, b, c = (np.concatenate([u[i : len(u) - 2 + i] for u in codes]) for i in range(3))
                     (b, a, c), n = _distinct([b, a, c], np.ones(len(a), np.int64))
-                    out += _parts(model, _key(a, b), [b, a, c], n, shards)
+                    out += _parts(model, _key(a, b), [b, a, c], n, shards[model])
                 return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
             for batch in batches:
@@ -488,11 +490,11 @@ class WordModels:
             *columns, n = (np.concatenate(x) for x in zip(*map(_unpacked, pdf["blob"]), strict=True))
             columns, n = _distinct(columns, n)
             context = _key(*columns[:2][::-1]) if order == 3 else _key(columns[0])
-            _write_table(store, f"{model}-{shard:06d}.{order}", shards, context, _tail(columns[-1]), n)
+            _write_table(store, f"{model}-{shard:06d}.{order}", shards[model], context, _tail(columns[-1]), n)
             out = [(model, shard, None, *[int((n == k).sum()) for k in (1, 2, 3, 4)], len(n), int(n.sum()))]
             if order > 1:
                 lower, types = _distinct([columns[0], columns[2]] if order == 3 else [columns[1]], np.ones(len(n), np.int64))
-                out += _parts(model, _key(lower[0]), lower, types, shards)
+                out += _parts(model, _key(lower[0]), lower, types, shards[model])
             return pd.DataFrame(out, columns=["model", "shard", "blob", *_STATS]).astype({c: "Int64" for c in _STATS})
 
         return table

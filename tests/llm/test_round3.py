@@ -358,3 +358,25 @@ def test_whole_licence_files(spark, tmp_path):
     assert list(templates) == ["Long-1.0/text"]
     docs = spark.createDataFrame([(1, long_text.replace("under", "UNDER\n")), (2, "preface of a file\n" * 50 + long_text + "\nend"), (3, long_text[:4000]), (4, None)], "doc_id long, text string")
     assert {x.doc_id for x in licenses.licence_matches(docs, templates).where("line_no is not null").collect()} == {1, 2}
+
+
+def test_quality_thresholds(spark):
+    """keep and threshold straight from the perplexities: the quantile's rank among a language's trusted documents."""
+    from shelfspark.llm import quality
+
+    r = random.Random(3)
+    say = lambda words, k: " ".join(r.choices(words, k=k))
+    plain, odd = [f"w{i}" for i in range(30)], [f"q{i}" for i in range(400)]
+    rows = [(i, say(plain if i % 5 else odd, r.randint(0, 40)), ["en", "de", None][i % 3]) for i in range(150)] + [(150, None, "fr"), (151, say(plain, 9), "fr"), (None, say(plain, 9), "en"), (3, "again", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("fold", F.lit(9))
+    labels = spark.createDataFrame([(i, 1 if i % 5 else 0) for i in range(0, 150, 2)] + [(None, 1), (7, None)], "doc_id long, quality int")
+    good = {i for i in range(0, 150, 2) if i % 5}
+    for quantile in (0.5, 0.9):
+        got = quality.quality_scores(docs, labels, quantile).collect()
+        assert len(got) == len(rows)
+        for lang in ("en", "de", "und", "fr"):
+            own = [x for x in got if x.lang == lang]
+            trusted = sorted(x.perplexity for x in own if x.doc_id in good)
+            limit = trusted[max(0, math.ceil(quantile * len(trusted)) - 1)] if trusted else None
+            assert {x.threshold for x in own} == {limit}
+            assert all(x.keep == (limit is None or x.perplexity <= limit) for x in own)
