@@ -28,6 +28,8 @@ PREFIXES, PREFIX = "_prefixes", 4
 BROADCAST_KEYS = 1 << 20
 #: Manifests that expire() keeps at least, and for how many seconds a manifest is kept otherwise.
 KEEP, KEEP_SECONDS = 2, 3600.0
+#: After so many seconds a segment that no manifest names is taken to be left by a writer that has died.
+ORPHAN_SECONDS = 7 * 86_400.0
 #: How often a writer tries to get a number.
 TRIES = 50
 
@@ -371,12 +373,13 @@ def _read_keys(spark: SparkSession, path: str, segment: dict) -> DataFrame:
     return spark.read.parquet(f"{path}/segments/{segment['name']}/lengths")
 
 
-def expire(spark: SparkSession, path: str, seconds: float = KEEP_SECONDS, keep: int = KEEP) -> list[int]:
-    """Drop manifests older than `seconds`, but for the last `keep`, and the segments and deletion tables that none names.
+def expire(spark: SparkSession, path: str, seconds: float = KEEP_SECONDS, keep: int = KEEP, orphan_seconds: float = ORPHAN_SECONDS) -> list[int]:
+    """Drop manifests older than `seconds`, but for the last `keep`, and the segments and deletion tables that only they named.
 
-    Returns the numbers of the dropped ones. What a writer has written but not yet committed is younger than its manifest
-    and is left where it is: only what dropped manifests named goes.
+    Returns the numbers of the dropped ones. What no manifest has ever named may belong to a writer that hasn't committed
+    yet; it goes once it is older than `orphan_seconds`, which has to be longer than any write takes.
     """
+    old = [(kind, name) for kind in ("segments", "deleted") for name, made in store.listed_times(spark, f"{path}/{kind}") if made <= time.time() - orphan_seconds]
     numbers = store.versions(spark, f"{path}/manifest")
     held = {n: store.read_document(spark, f"{path}/manifest/v={n}/_SUCCESS") for n in numbers}
     gone = [n for n in numbers[: max(0, len(numbers) - max(1, keep))] if held[n].get("time", 0) <= time.time() - seconds]
@@ -384,6 +387,6 @@ def expire(spark: SparkSession, path: str, seconds: float = KEEP_SECONDS, keep:
     left = named(set(numbers) - set(gone))
     for n in gone:
         store.drop(spark, f"{path}/manifest/v={n}")
-    for kind, name in named(gone) - left:
+    for kind, name in (named(gone) | set(old)) - left:
         store.drop(spark, f"{path}/{kind}/{name}")
     return gone

@@ -66,6 +66,12 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
+def listed_times(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """(name, seconds since the epoch of its last change) of what is in a folder."""
+    fs, where = _fs(spark, path)
+    return sorted((s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
 def latest(spark: SparkSession, path: str) -> int | None:
     return max(versions(spark, path), default=None)
 

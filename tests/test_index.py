@@ -179,6 +179,10 @@ def test_readers_outlive_compaction(spark, frame, tmp_path):
     assert expire(spark, path, seconds=0, keep=1) == [1, 2, 3]
     assert len(store.listed(spark, f"{path}/segments")) == 1 and store.listed(spark, f"{path}/deleted") == []
     assert live(spark, path) == built(frame.where("id < 3")) and store.versions(spark, f"{path}/manifest") == [4]
+    spark.range(1).write.parquet(f"{path}/segments/left-by-a-dead-writer")
+    assert expire(spark, path) == [] and len(store.listed(spark, f"{path}/segments")) == 2
+    assert expire(spark, path, orphan_seconds=0) == [] and len(store.listed(spark, f"{path}/segments")) == 1
+    assert live(spark, path) == built(frame.where("id < 3"))
     upsert_index(changed, "id", WEIGHTS, path)  # numbers go on
     assert store.versions(spark, f"{path}/manifest") == [4, 5]
 
@@ -231,6 +235,16 @@ def test_create_once(spark, tmp_path):
     assert store.read_document(spark, path) == {"a": "ğ"} and store.listed(spark, f"file:{tmp_path}/log") == ["one"]
 
 
+def test_create_once_by_rename(spark, tmp_path, monkeypatch):
+    """What other filesystems than local mounts do."""
+    from urllib.parse import ParseResult
+
+    monkeypatch.setattr(store, "urlparse", lambda p: ParseResult("other", "", p, "", "", ""))
+    path = f"file:{tmp_path}/log/one"
+    assert store.create_once(spark, path, [1]) and not store.create_once(spark, path, [2])
+    assert store.read_document(spark, path) == [1] and [n for n in store.listed(spark, f"file:{tmp_path}/log") if not n.startswith(".")] == ["one"]
+
+
 def test_marks_fold_in_tokens_and_substrings(spark):
     names = [(1, "Karel Čapek"), (2, "Ștefan cel Mare"), (3, "Antonín Dvořák"), (4, "łódź"), (5, "café Zürich"), (6, "ΑΘΉΝΑ Ὀδυσσεύς"), (7, "IŞIK ılık İĞDE"), (8, "Straße ẞ"), (9, "हिन्दी"), (10, "Øresund Đorđe")]
     df = spark.createDataFrame(names, "id int, title string").withColumn("year", F.lit(2000))
