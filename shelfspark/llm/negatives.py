@@ -12,6 +12,8 @@ from .vectors import whole_vectors
 
 #: Rows of a block, anchors of a block, pivots, and how many rows (those with the smallest hashes) pivots are chosen from.
 BLOCK, ANCHORS, PIVOTS, SAMPLE = 4096, 512, 16, 1024
+#: Ranges of rows that blocks are cut from at most: their bounds are found on the driver from a sample of each.
+RANGES = 240
 _LEAST = -(1 << 62)
 
 
@@ -105,22 +107,21 @@ def _placed(space: _Space):
     return run
 
 
-_BLOCK = "part int, uids binary, ids binary, labels binary, anchors binary, x binary, apart binary, least binary, most binary"
+_BLOCK = "uids binary, ids binary, labels binary, anchors binary, x binary, apart binary, least binary, most binary"
 
 
 def _blocks(batches: Iterator) -> Iterator:
     """One row for BLOCK rows at most of a partition; least and most: their distances to each pivot."""
     import numpy as np
     import pyarrow as pa
-    from pyspark import TaskContext
 
-    part, held = TaskContext.get().partitionId(), []
+    held = []
 
     def block(rows: list):
         t = pa.Table.from_batches(rows).combine_chunks()
         apart = np.frombuffer(b"".join(t["apart"].to_pylist()), np.float32).reshape(t.num_rows, -1)
         flat = [t[c].to_numpy().astype(np.int64).tobytes() for c in ("uid", "vec_id", "label")] + [t["anchor"].to_numpy().tobytes(), b"".join(t["x"].to_pylist()), apart.tobytes(), apart.min(0).tobytes(), apart.max(0).tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([f], pa.binary()) for f in flat]], names=["part", "uids", "ids", "labels", "anchors", "x", "apart", "least", "most"])
+        return pa.RecordBatch.from_arrays([pa.array([f], pa.binary()) for f in flat], names=["uids", "ids", "labels", "anchors", "x", "apart", "least", "most"])
 
     for b in batches:
         if b.num_rows:
@@ -206,14 +207,16 @@ def _seeds(positives: int):
     return run
 
 
-def _paired(anchors: DataFrame, blocks: DataFrame, number: int, task) -> DataFrame:
-    """`task` over every anchor block with every row block: anchors in groups of about ANCHORS, sent to each of the
-    `number` parts of the blocks."""
+def _paired(anchors: DataFrame, blocks: DataFrame, task) -> DataFrame:
+    """`task` over every anchor block with every row block: anchors in groups of about ANCHORS.
+
+    Both sides stay in their files: a task reads a part of each and pairs them, so no pair is shuffled and the driver
+    gets no anchor. A broadcast would be chosen by the size of the anchors without their copies.
+    """
     groups = max(1, -(-anchors.count() // ANCHORS))
-    blocks = blocks.drop("anchors")
     packed = anchors.groupBy(F.pmod(F.xxhash64("uid"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("uid", "label", "x", "floor", "wanted")).alias("anchors"))
-    sent = packed.select("anchors", F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("part"))
-    return sent.join(blocks, "part").mapInArrow(task, _FOUND)
+    packed = cut(packed.select("anchors"), "packed")
+    return blocks.drop("anchors").crossJoin(packed.hint("shuffle_replicate_nl")).mapInArrow(task, _FOUND)
 
 
 def _first(found: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -248,16 +251,15 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, vector: str = "embedding"
     arrow_batches(spark, BLOCK)
     placed = cut(base.mapInArrow(_placed(space), "uid bigint, vec_id bigint, label bigint, anchor boolean, x binary, apart binary, home int, near float"), "placed")
     discard(base)
-    blocks = cut(placed.repartitionByRange(-(-size // BLOCK), "home", "near", "uid").mapInArrow(_blocks, _BLOCK), "blocks")
+    blocks = cut(placed.repartitionByRange(min(RANGES, -(-size // BLOCK)), "home", "near", "uid").sortWithinPartitions("home", "near", "uid").mapInArrow(_blocks, _BLOCK), "blocks")
     discard(placed)
-    number = blocks.agg(F.max("part")).first()[0] + 1
     arrow_batches(spark, 4)  # a row is a block
     anchors = cut(blocks.mapInArrow(_seeds(positives), _ANCHOR), "anchors")
-    found = _paired(anchors.withColumn("wanted", F.lit(None).cast("array<bigint>")), blocks, number, _searched(space, positives, negatives, low, high))
+    found = _paired(anchors.withColumn("wanted", F.lit(None).cast("array<bigint>")), blocks, _searched(space, positives, negatives, low, high))
     best = _first(found, ["uid"], positives).where("score >= 0")
     wanted = best.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("p"))
     again = cut(anchors.join(wanted, "uid").withColumn("wanted", F.transform("p", lambda x: x["score"])), "positives")
-    found = _paired(again, blocks, number, _searched(space, positives, negatives, low, high))
+    found = _paired(again, blocks, _searched(space, positives, negatives, low, high))
     last = _first(found, ["uid", "rank"], negatives).join(again.select("uid", F.col("vec_id").alias("anchor_id"), "p"), "uid")
     positive = F.get("p", F.col("rank"))
     last = last.select(F.col("anchor_id"), positive["id"].alias("positive_id"), F.col("place").alias("rank"), F.col("id").alias("negative_id"), positive["score"].alias("positive_score"), F.col("score").alias("negative_score"))

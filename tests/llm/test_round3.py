@@ -116,6 +116,14 @@ def test_hard_negatives(spark, block, monkeypatch):
     assert negatives.hard_negatives(frame(spark, [(1, [0.1], 1)]), F.lit(True)).collect() == []
 
 
+def test_anchors_are_not_broadcast(spark):
+    """Copies of the anchors for each block are neither broadcast nor shuffled: a task reads a part of both sides."""
+    found = negatives.hard_negatives(frame(spark, vectors()), F.col("vec_id") % 10 == 0, positives=4, negatives=3, low=80)
+    plan = found._jdf.queryExecution().optimizedPlan().toString(), found._jdf.queryExecution().executedPlan().toString()
+    searched = plan[1][plan[1].index("MapInArrow") :]
+    assert "CartesianProduct" in searched and "explode" not in plan[0] and "Broadcast" not in searched.split("CartesianProduct")[0]
+
+
 def test_score_brackets():
     import numpy as np
 
