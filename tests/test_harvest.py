@@ -42,6 +42,18 @@ def test_frontier_is_what_counting_first_gives(spark, rows, tmp_path, cap, most)
     assert again.count() == got.count() and len(asked) == before  # nothing is asked twice
 
 
+def test_collected_without_bound_is_whole(spark, rows):
+    """Slices of the last level that are over the cap are asked again by ranges of the key."""
+    got, coverage = federate.collected(rows, "id", ["y", "p"], 30, None)
+    sizes = [r["count"] for r in rows.groupBy("y", "p").count().collect()]
+    asked = rows.groupBy("y").count().count() + sum(1 + (-(-n // 30) if n > 30 else 0) for n in sizes)
+    c = coverage.first()
+    assert max(sizes) > 30 and sorted(r.id for r in got.collect()) == list(range(300))
+    assert (c.requests, c.collected, c.total_found, c.complete) == (asked, 300, 300, True)
+    capped, _ = federate.collected(rows, "id", ["y", "p"], 30, 200)
+    assert capped.count() < 300
+
+
 def test_frontier_with_values_that_bring_nothing(spark, rows, tmp_path):
     levels = ["y", "p", "s"]
     got, told = harvest.frontier(harvest.table_source(rows, "id", levels, 60), domains(spark, rows), levels, "id", f"file:{tmp_path}/f")
