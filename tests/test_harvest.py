@@ -54,6 +54,15 @@ def test_collected_without_bound_is_whole(spark, rows):
     assert capped.count() < 300
 
 
+def test_runs_of_names_are_not_broadcast(spark):
+    entries = spark.createDataFrame([(i, f"name {i}") for i in range(50)], "code int, name string")
+    got = dictionary.name_matches(entries, spark.createDataFrame([(k, f"e {k}") for k in range(20)], "k int, label string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "[_gram" in line]
+    assert any("SortMergeJoin" in j for j in joins) and all("LeftSemi" in j for j in joins if "BroadcastHashJoin" in j)
+    assert sorted((r["k"], r["matches"]) for r in got.collect())[:2] == [(0, 1), (1, 11)]
+
+
 def test_frontier_with_values_that_bring_nothing(spark, rows, tmp_path):
     levels = ["y", "p", "s"]
     got, told = harvest.frontier(harvest.table_source(rows, "id", levels, 60), domains(spark, rows), levels, "id", f"file:{tmp_path}/f")
