@@ -260,3 +260,18 @@ def test_people_by_the_words_of_their_names(spark):
     assert [r.record_id for r in Engine(df).by_person("author", "Ada Kaya").hits.collect()] == ["4", "1"]
     assert sorted(r.record_id for r in Engine(df).search("ada", field="author").hits.collect()) == ["1", "4"]
     assert sorted(r.record_id for r in Engine(df).search("kaya", field="title").hits.collect()) == ["1"]
+
+
+def test_pieces_of_a_batch_count_the_same(spark, monkeypatch):
+    """A batch of long texts is cut between records; what is counted stays the same."""
+    import pyarrow as pa
+
+    texts = [[], ["a", "b", "a"], ["c"] * 5, ["ab", "a"], [], ["b"]] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array(range(24)), pa.array([0] * 24, pa.int32()), pa.array(texts, pa.list_(pa.string())), pa.array(texts[::-1], pa.list_(pa.string()))], names=["k", "part", "t", "u"])
+    flat = lambda out: sorted(str((r["key"], r["column"], r["term"], r["n"], r["positions"], r["dl"])) for b in out for r in b.to_pylist())
+    whole, summed = flat(ix._counted(["t", "u"], False)([batch])), sorted(str(r) for b in ix._summed([1.0, 2.0])([batch.drop_columns(["part"])]) for r in b.to_pylist())
+    monkeypatch.setattr(ix, "PIECE", 7)
+    parts = [b.num_rows for b in ix._pieces([batch], 2)]
+    assert len(parts) > 5 and sum(parts) == 24
+    assert flat(ix._counted(["t", "u"], False)([batch])) == whole
+    assert sorted(str(r) for b in ix._summed([1.0, 2.0])([batch.drop_columns(["part"])]) for r in b.to_pylist()) == summed
