@@ -275,3 +275,16 @@ def test_pieces_of_a_batch_count_the_same(spark, monkeypatch):
     assert len(parts) > 5 and sum(parts) == 24
     assert flat(ix._counted(["t", "u"], False)([batch])) == whole
     assert sorted(str(r) for b in ix._summed([1.0, 2.0])([batch.drop_columns(["part"])]) for r in b.to_pylist()) == summed
+
+
+def test_a_term_of_all_records_is_dealt_to_several_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "hot", "", 2000) for i in range(400)], SCHEMA)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        write_index(rows, "id", WEIGHTS, f"file:{tmp_path}/i")
+    finally:
+        spark.conf.set(name, before)
+    hot = read_index(spark, f"file:{tmp_path}/i", "id").places.where("term = 'hot'")
+    assert hot.count() == 400 and hot.select(F.input_file_name()).distinct().count() > 1
