@@ -288,3 +288,9 @@ def test_a_term_of_all_records_is_dealt_to_several_tasks(spark, tmp_path):
         spark.conf.set(name, before)
     hot = read_index(spark, f"file:{tmp_path}/i", "id").places.where("term = 'hot'")
     assert hot.count() == 400 and hot.select(F.input_file_name()).distinct().count() > 1
+
+
+def test_an_answer_is_written_once(spark):
+    rows = canonical(spark.createDataFrame([(str(i), "hot") for i in range(9)], "record_id string, title string"))
+    answer, total = Engine(rows, rows, cap=5)._asked(rows)
+    assert answer.staged_path and answer.count() == 5 and total.first()["live_total"] == 9
