@@ -146,6 +146,29 @@ def test_related_to_every_record(spark, heavy, split, monkeypatch):
     assert rel.related_all(index, df.limit(0)).count() == 0
 
 
+def test_related_meets_in_blocks(spark, monkeypatch):
+    """Records that all share terms are never paired as rows, whatever their number, and equal scores go by the key over blocks."""
+    monkeypatch.setattr(rel, "SPLIT", 200)
+    monkeypatch.setattr(rel, "GROUP", 2)
+    sizes, staged = [], rel.store.staged
+
+    def counted(df, label="staged"):
+        out = staged(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(rel.store, "staged", counted)
+    df = spark.createDataFrame([(f"r{i:03d}", "alpha beta" if i % 4 else f"alpha gamma{i % 8}") for i in range(300)], "id string, title string")
+    got = {}
+    for x in rel.related_all(index_of(df, "id", {"title": 1.0}), df, 5).collect():
+        got.setdefault(x.seed, []).append((x.place, x.id))
+    kind = lambda i: "b" if i % 4 else i % 8
+    assert len(got) == 300 and max(sizes) <= 600
+    for i in range(300):
+        near = [f"r{j:03d}" for j in range(300) if j != i and kind(j) == kind(i)][:5]
+        assert [x for _, x in sorted(got[f"r{i:03d}"])] == near
+
+
 def test_dimensions_and_sketches(spark):
     r = random.Random(3)
     data = [(i, r.choice([None, 2000, 2001]), r.choice(["a", "b", None]), r.choice([None, *"pqrs"]), r.choice(["open", "x"])) for i in range(200)]
