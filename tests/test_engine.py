@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from shelfspark.engine import Engine
 from shelfspark.functions import text
 from shelfspark.operators import cite, federate, fulltext, retrieve
-from shelfspark.operators.index import compact, index_of, postings, read_index, upsert_index, write_index
+from shelfspark.operators.index import Index, compact, index_of, postings, read_index, upsert_index, write_index
 from shelfspark.sources import cards, detail, dictionary, store
 from shelfspark.sources.records import canonical
 from shelfspark.streaming.warm import warm, warmed
@@ -237,3 +237,15 @@ def test_windows_drop_late_events(spark, tmp_path):
     stream.writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     got = sorted((str(r.start)[11:16], r.n, r.total) for r in spark.table("windows").collect())
     assert got == [("10:00", 1, 1.0), ("13:00", 3, 3.0)]
+
+
+def test_one_question_reads_records_once(spark, tmp_path, monkeypatch):
+    """An index that is not stored answers from one row a record, with the scores of a stored one, and makes no postings."""
+    rows = [(i % 9, "alpha beta " * (i % 3) + f"gam{i % 5}", None if i % 4 else "Alpha x") for i in range(9)] + [(9, None, None), (10, "the", "betas alp")]
+    df, weights = spark.createDataFrame(rows, "id long, title string, body string"), {"title": 2.0, "body": 0.5}
+    write_index(df, "id", weights, f"file:{tmp_path}/i")
+    asks = [(["alp", "beta", "alp"], False, None), (["alpha", "gam"], True, None), (["alp"], True, ["body"]), (["nothing"], False, None)]
+    told = lambda index: [sorted((x.id, x.score) for x in retrieve.bm25(index, t, e, c).select("id", F.round("score", 9).alias("score")).collect()) for t, e, c in asks]
+    want = told(read_index(spark, f"file:{tmp_path}/i", "id"))
+    monkeypatch.setattr(Index, "weighted", None)
+    assert told(index_of(df, "id", weights)) == want and [len(x) > 0 for x in want] == [True, True, True, False]
