@@ -294,3 +294,23 @@ def test_an_answer_is_written_once(spark):
     rows = canonical(spark.createDataFrame([(str(i), "hot") for i in range(9)], "record_id string, title string"))
     answer, total = Engine(rows, rows, cap=5)._asked(rows)
     assert answer.staged_path and answer.count() == 5 and total.first()["live_total"] == 9
+
+
+def test_maxima_come_from_what_was_written(spark, tmp_path):
+    """Rows are made for the bounds of the order and for the order, not once more for the maxima."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def term(i):
+        made.add(1)
+        return f"t{i % 7}"
+
+    term = term.asNondeterministic()
+    rows = spark.range(60).select(F.col("id").alias("k"), F.lit("title").alias("column"), term("id").alias("term"), (F.col("id") % 5 + 1).alias("n"), F.array(F.lit(0)).alias("positions"), (F.col("id") + 1).alias("dl"), (F.col("id") % 2).cast("int").alias("block"), F.lit(False).alias("lead"))
+    ix._write_sorted(rows, "k", f"file:{tmp_path}/s")
+    assert made.value <= 2 * 60
+    got = {(x.column, x.term, x.block): (x.n, x.dl, x.rows) for x in spark.read.parquet(f"file:{tmp_path}/s/maxima").collect()}
+    groups = {}
+    for i in range(60):
+        groups.setdefault(("title", f"t{i % 7}", i % 2), []).append((i % 5 + 1, i + 1))
+    assert got == {g: (max(n for n, _ in v), min(d for _, d in v), len(v)) for g, v in groups.items()}
