@@ -388,3 +388,37 @@ def test_quality_thresholds(spark):
             limit = trusted[max(0, math.ceil(quantile * len(trusted)) - 1)] if trusted else None
             assert {x.threshold for x in own} == {limit}
             assert all(x.keep == (limit is None or x.perplexity <= limit) for x in own)
+
+
+class Asked:
+    """A tokenizer that notes the words it is asked for."""
+
+    def __init__(self, tokenizer, words):
+        self.tokenizer, self.words = tokenizer, words
+
+    def encode_batch(self, texts, **options):
+        self.words += [w for t in texts for w in t.split(" ")]
+        return self.tokenizer.encode_batch(texts, **options)
+
+
+def test_parts_of_pieces_are_encoded_once(monkeypatch):
+    """Case, digits and signs around a word don't have it encoded again, and the ids are the tokenizer's own."""
+    from shelfspark.llm import tokens
+
+    encoder = tokens.PieceEncoder(tokens.default_vocabulary())
+    whole, words = encoder.tokenizer, []
+    for name in ("tokenizer", "model"):
+        if hasattr(encoder, name):
+            setattr(encoder, name, Asked(getattr(encoder, name), words))
+    texts = [f"{a}{w}{b}" for w in ("straße", "Straße", "STRAßE", "élan", "ÉLAN", "word", "Word") for a in ("", "(", "7") for b in ("", ".", "!!", "42,")]
+    ask = lambda texts: [x.tolist() for x in encoder.encode(texts)]
+    want = lambda texts: [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+    assert ask(texts) == want(texts) and sorted(words) == sorted(["straße", "élan", "word", "(", "7", "4", "2", ".", "!!", ","])
+    signs = [*"\t\r\n\v\f\x1c\x1f\x85\xa0 ́̈İıΣςßẞÿŸ×÷ªºµ²½ŒſÅ'’<|日😀éÑÀaZ19!?$~\x7f\x00٣", "'s", "'LL", "<|endoftext|>", "the", " "]
+    r = random.Random(8)
+    texts = ["", None, *("".join(r.choices(signs, k=r.randint(0, 40))) for _ in range(3000))]
+    for most in (tokens.CACHE_PIECES, 100):
+        monkeypatch.setattr(tokens, "CACHE_PIECES", most)
+        assert [x for i in range(0, len(texts), 300) for x in ask(texts[i : i + 300])] == want([t or "" for t in texts])
+    encoder.parted = False  # as under other rules
+    assert ask(texts) == want([t or "" for t in texts])
