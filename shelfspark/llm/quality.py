@@ -345,12 +345,16 @@ def _write_table(store: Store, name: str, shards: int, context, tail, n) -> None
 
 
 class _Tables:
-    """Look-ups in the written tables: mapped as they are needed, or read, a bounded number of them at a time."""
+    """Look-ups in the written tables: mapped as they are needed, or read, a bounded number of them at a time.
 
-    def __init__(self, path: str, shards: dict[str, int], names: list[str], most: int = 8):
+    shards: those of the largest model. names: each table with the shards of its own model.
+    """
+
+    def __init__(self, path: str, shards: int, names: dict[str, int], most: int = 8):
         from collections import OrderedDict
 
-        self.store, self.shards, self.names, self.files, self.most = Store(path), shards, set(names), OrderedDict(), most
+        self.store, self.shards, self.names, self.files, self.most = Store(path), shards, names, OrderedDict(), most
+        self.own = {name.rsplit("-", 1)[0]: n for name, n in names.items()}
 
     def _open(self, name: str):
         if name not in self.files:
@@ -369,13 +373,14 @@ class _Tables:
 
         own, sums = np.zeros(len(context), np.int64), np.zeros((len(context), 4), np.int64)
         sort = np.argsort(context)
-        shard = _shard(context[sort], self.shards[model])
+        shards = self.own.get(model, self.shards)
+        shard = _shard(context[sort], shards)
         ends = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(sort)) if len(sort) else [0]
         for begin, end in zip(ends[:-1], ends[1:], strict=True):
             if (name := f"{model}-{shard[begin]:06d}.{order}") not in self.names:
                 continue
             t, at = self._open(name), sort[begin:end]
-            bucket, rest = _placed(context[at], self.shards[model], int(t["head"][0]))
+            bucket, rest = _placed(context[at], shards, int(t["head"][0]))
             last = t["index"][bucket + 1].astype(np.int64)
             place = _first_not_less(t["rest"], t["index"][bucket], last, rest)
             there = np.flatnonzero(place < last)
@@ -427,10 +432,11 @@ class WordModels:
         spark = trusted.sparkSession
         sizes = trusted.groupBy("lang").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).collect()  # a row a language
         dealt = lambda size: min(MOST_SHARDS, 1 << max(0, (size * (FOLDS - 1) // FOLDS // 5 // SHARD_WORDS).bit_length()))
-        self.shards = {f"{r['lang'].encode().hex()}-{k}": dealt(r["size"]) for r in sizes for k in range(FOLDS)}
+        self.own = {f"{r['lang'].encode().hex()}-{k}": dealt(r["size"]) for r in sizes for k in range(FOLDS)}
+        self.shards = max(self.own.values(), default=1)
         self.path = path = fresh_dir(spark, "word-model")
         Store(path)
-        self.stats, self.names = {}, []
+        self.stats, self.names = {}, {}
         parts, before = trusted.select("lang", "fold", "text").mapInArrow(self._counting(), _PART), None
         for order in (3, 2, 1):
             made = cut(parts.where("blob is not null").groupBy("model", "shard").applyInPandas(self._table(order), _PART), f"words{order}")
@@ -441,12 +447,12 @@ class WordModels:
                 sums = self.stats.setdefault(r["model"], {}).setdefault(order, [0] * len(_STATS))
                 for i, c in enumerate(_STATS):
                     sums[i] += r[c]
-                self.names.append(f"{r['model']}-{r['shard']:06d}.{order}")
+                self.names[f"{r['model']}-{r['shard']:06d}.{order}"] = self.own[r["model"]]
             parts = before = made
         discard(before)
 
     def _counting(self):
-        shards = self.shards
+        shards = self.own
 
         def rows(batches):
             import numpy as np
@@ -480,7 +486,7 @@ class WordModels:
         return rows
 
     def _table(self, order: int):
-        shards, path = self.shards, self.path
+        shards, path = self.own, self.path
 
         def table(pdf):
             import numpy as np

@@ -422,3 +422,19 @@ def test_parts_of_pieces_are_encoded_once(monkeypatch):
         assert [x for i in range(0, len(texts), 300) for x in ask(texts[i : i + 300])] == want([t or "" for t in texts])
     encoder.parted = False  # as under other rules
     assert ask(texts) == want([t or "" for t in texts])
+
+
+def test_models_of_unlike_sizes_have_own_shards(spark, monkeypatch):
+    """The tables of a small language are found beside those of a large one, and tell what one shard of each does."""
+    from shelfspark.llm import quality
+
+    r = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(r.choices([f"w{k}" for k in range(50)], k=40 if i % 4 else 3)), "en" if i % 4 else "de") for i in range(80)], "doc_id long, text string, lang string")
+    good = docs.where("doc_id % 3 > 0").select("doc_id")
+    score = lambda: {x.doc_id: (x.fold, x.perplexity) for x in quality.word_perplexities(docs, good).collect()}
+    want = score()
+    monkeypatch.setattr(quality, "SHARD_WORDS", 30)
+    models = quality.WordModels(docs.select("lang", (F.col("doc_id") % 2).cast("int").alias("fold"), "text"))
+    assert models.shards == max(models.own.values()) > min(models.own.values()) and {name.split("-")[0] for name in models.names} == {"en".encode().hex(), "de".encode().hex()}
+    got = score()
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and math.isclose(got[i][1], want[i][1], rel_tol=1e-9) for i in want)
