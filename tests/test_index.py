@@ -314,3 +314,17 @@ def test_maxima_come_from_what_was_written(spark, tmp_path):
     for i in range(60):
         groups.setdefault(("title", f"t{i % 7}", i % 2), []).append((i % 5 + 1, i + 1))
     assert got == {g: (max(n for n, _ in v), min(d for _, d in v), len(v)) for g, v in groups.items()}
+
+
+def test_a_batch_without_a_term_has_the_same_types(spark):
+    """Some batches of records hold a term and others don't; the same columns come from all."""
+    rows = spark.createDataFrame([(i, "rare word" if i == 30 else "word", "", 2000) for i in range(40)], SCHEMA).coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8")
+    try:
+        got = {r.id: (r.dl, r.f0, r.f1) for r in ix.asked(index_of(rows, "id", WEIGHTS), ["rare", "word"]).collect()}
+    finally:
+        spark.conf.set(name, before)
+    w = WEIGHTS["title"]
+    assert got == {i: (2, w, w) if i == 30 else (1, None, w) for i in range(40)}
