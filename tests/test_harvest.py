@@ -232,3 +232,24 @@ def test_quarantine(spark):
     assert {r.page_id: r.reason for r in cards.quarantined(df).collect()} == {2: "neither a count nor a card", 3: "the source rejected the query"}
     with pytest.raises(ValueError):
         cards.hits(df, errors="x")
+
+
+def test_blocks_of_a_task_leave_one_set_of_best_records(spark, monkeypatch):
+    """Blocks that a task meets one after the other share a floor: a list's best come once from all of them, and no index is written."""
+    monkeypatch.setattr(rel, "SPLIT", 40)
+    found, staged = [], rel.store.staged
+
+    def counted(df, label="staged"):
+        out = staged(df, label)
+        if label == "related-found":
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(rel.store, "staged", counted)
+    df = spark.createDataFrame([(i, f"common w{i % 20 + 10} v{i % 3}") for i in range(120)], "id long, title string")
+    got = {}
+    for x in rel.related_all(index_of(df, "id", {"title": 1.0}), df, 3).collect():
+        got.setdefault(x.seed, []).append((x.place, x.id))
+    near = lambda i: [j for j in range(i % 60, 120, 60) if j != i] + [j for j in range(i % 20, 120, 20) if j % 3 != i % 3][:2]
+    assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == {i: near(i) for i in range(120)}
+    assert found[0] <= 60 * 4 * 2  # lists, records of each and one more, tasks of 9 blocks
