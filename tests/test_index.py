@@ -328,3 +328,22 @@ def test_a_batch_without_a_term_has_the_same_types(spark):
         spark.conf.set(name, before)
     w = WEIGHTS["title"]
     assert got == {i: (2, w, w) if i == 30 else (1, None, w) for i in range(40)}
+
+
+def test_one_search_writes_no_index(spark, monkeypatch):
+    """A query that asks a single question reads the records; an index of all of them isn't written for it."""
+    from shelfspark.plans import engine_queries
+
+    monkeypatch.setattr(engine_queries, "write_index", None)
+    for name in ("engine_search_coverage", "engine_search_notes"):
+        assert getattr(engine_queries, name)(spark, "/root/testdata/sf0.001").count() <= 1
+
+
+def test_first_keys_come_from_the_best_rows(spark):
+    """A page is taken from the best rows of the first source if these have enough keys; repeated keys count once."""
+    rows = canonical(spark.createDataFrame([(str(i % 7), f"hot x{i}", 2000 + i) for i in range(60)] + [("", "hot", 2000), (None, "hot", 2000)], "record_id string, title string, year int"))
+    live = canonical(spark.createDataFrame([(str(i), "hot", 2000) for i in range(12)], "record_id string, title string, year int"))
+    ids = lambda limit: [r.record_id for r in Engine(rows, live).search("hot", limit=limit).hits.collect()]
+    whole = ids(30)
+    assert sorted(whole, key=int) == [str(i) for i in range(12)] and set(whole[:7]) == set("0123456")
+    assert [ids(n) for n in (1, 3, 9)] == [whole[:n] for n in (1, 3, 9)]
