@@ -347,3 +347,11 @@ def test_first_keys_come_from_the_best_rows(spark):
     whole = ids(30)
     assert sorted(whole, key=int) == [str(i) for i in range(12)] and set(whole[:7]) == set("0123456")
     assert [ids(n) for n in (1, 3, 9)] == [whole[:n] for n in (1, 3, 9)]
+
+
+def test_people_without_a_stored_index_are_read_from_their_column(spark, monkeypatch):
+    names = [(str(i), n) for i, n in enumerate(["Ada Kaya", "Kaya, Adanır", "Can Kaya", "XAda Kaya", "ŞULE Âda-kaya", "", None, "ada"])]
+    df = canonical(spark.createDataFrame(names, "record_id string, author string"))
+    monkeypatch.setattr(retrieve, "bm25", None)
+    assert sorted(r.record_id for r in Engine(df).by_person("author", "Kaya ADA").hits.collect()) == ["0", "1", "4"]
+    assert Engine(df).by_person("author", "ve").hits.count() == 0
